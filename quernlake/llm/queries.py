@@ -1,6 +1,12 @@
 """Queries of this package by name, with the SQL that gives the same rows."""
 
+from . import url_filter
+from .packing import op3_packing
+from .quality import op9_quality
 from .sentencepiece_codec import op2_sentencepiece
+from .sharding import op5_sharding
+from .toxicity import op1_toxicity
+from .url_filter import op4_url_filter
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_toxicity": op1_toxicity, "op9_quality": op9_quality, "op2_sentencepiece": op2_sentencepiece, "op3_packing": op3_packing, "op4_url_filter": op4_url_filter, "op5_sharding": op5_sharding}
+ORACLE: dict[str, str] = {"op4_url_filter": url_filter.ORACLE}
