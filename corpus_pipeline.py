@@ -1,11 +1,55 @@
-"""Stages of corpus preparation over the table documents."""
+"""Corpus preparation over the table documents, stage by stage, each on all that the one before kept."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernlake.llm._common import scratch, table
+from quernlake.llm.ngram_join import keep_one
+from quernlake.llm.packing import pack_documents
+from quernlake.llm.quality import keep_good, train_quality
+from quernlake.llm.substring_dedup import FingerprintIndex
+from quernlake.llm.toxicity import keep_clean, train_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the string-kernel machine calls toxic."""
+    return keep_clean(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the boosted trees call poor."""
+    return keep_good(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes passages out that an earlier document has; n_chars follows the text."""
+    found = FingerprintIndex(spark, scratch(spark, "fingerprints")).add(docs)
+    return found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into training sequences."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("packing", packing)]
+#: SQL can express neither the trained classifiers nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what each stage before kept is written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -194,3 +194,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each class of jaccard_classes() the document with the least doc_id, all columns as they are.
+
+    Rows that repeat such a doc_id go too. Rows without doc_id, which no decision can name, stay.
+    """
+    first = jaccard_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL"))

@@ -173,3 +173,15 @@ def score_quality(docs: DataFrame, forest: Forest, threshold: float = 0.7) -> Da
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_good(docs: DataFrame, forest: Forest, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose whole text scores at least ``threshold``."""
+
+    @F.pandas_udf("double")
+    def score(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in text:
+            x = [forest.score(np.stack([statistics(t) for t in batch.iloc[k : k + 1024]]).astype("float64")) for k in range(0, len(batch), 1024)]
+            yield pd.Series(np.concatenate(x) if x else [], dtype="float64")
+
+    return docs.where(score(F.coalesce(F.col("text"), F.lit(""))) >= threshold)

@@ -140,6 +140,9 @@ class Machine:
         total, norm = np.add.reduceat(total, starts), np.add.reduceat(norm, starts)
         return (total / np.sqrt(norm + 1e-12) + self.offset).tolist()
 
+    def key(self) -> bytes:
+        return hashlib.sha256(self.values.tobytes() + self.numbers.tobytes() + repr((self.offset, self.scale)).encode()).digest()
+
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * margin + self.scale[1], -30, 30)))
 
@@ -270,7 +273,7 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     A text is as toxic as its worst word. Null and empty texts are scored as a word without letters; null doc_id:
     held_out is false. Repeated rows: a row each. Other columns of ``docs`` are left out.
     """
-    key = hashlib.sha256(machine.values.tobytes() + machine.numbers.tobytes() + repr((machine.offset, machine.scale)).encode()).digest()
+    key = machine.key()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -284,3 +287,15 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_clean(docs: DataFrame, machine: Machine) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose whole text scores under 0.5."""
+    key = machine.key()
+
+    @F.pandas_udf("double")
+    def score(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in text:
+            yield pd.Series(machine.probability(margins(machine, key, batch.tolist())), dtype="float64")
+
+    return docs.where(score(F.coalesce(F.col("text"), F.lit(""))) < 0.5)
