@@ -50,6 +50,14 @@ class Memo(dict):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
+    def lookup(self, keys: list) -> list:
+        """The values of ``keys``, none of which may be None."""
+        got = list(map(self.get, keys))
+        if None in got:
+            self.fill([k for k, g in zip(keys, got) if g is None])
+            got = [self[k] if g is None else g for k, g in zip(keys, got)]
+        return got
+
     def fill(self, keys) -> None:
         keys = set(keys)
         need = [k for k in keys if k not in self]  # set.difference() would walk through a dict's subclass

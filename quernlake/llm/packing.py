@@ -25,7 +25,7 @@ class WordTokens:
     letter and ASCII punctuation after it (but an apostrophe) never share a token there, words are cut at such a place too.
     """
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -47,9 +47,9 @@ class WordTokens:
         return [units[a] + units[b] if b else units[a] if a else b"" for a, b in parts]
 
     def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        self.words.fill(words)
-        return b"".join(map(self.words.__getitem__, words))
+        if text.isascii() and "<|" not in text:  # special tokens are found before letters are made small
+            text = text.lower()
+        return b"".join(self.words.lookup(text.replace("\n", " ").split(" ")))
 
 
 _tokens: dict[str, WordTokens] = {}
