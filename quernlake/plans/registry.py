@@ -386,3 +386,71 @@ def tree_children(spark, d):
     j = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     kids = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x.n_name)
     return j.groupBy("n_regionkey", "r_name").agg(F.concat_ws(";", kids).alias("members"))
+
+
+def records(spark, d) -> DataFrame:
+    """Conversations as records of one session each."""
+    c = t(spark, d, "conversations")
+    return c.select(
+        F.concat(F.lit("web:gm:"), F.col("conv_id").cast("string")).alias("sid"), F.concat_ws(":", F.col("conv_id").cast("string"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("id"), "role", F.lit(0).alias("level"), F.col("turn").alias("position"),
+        F.lit("session").alias("visibility"), F.coalesce("text", F.lit("")).alias("content"), F.lit(1).alias("active"), F.lit(0).alias("deleted"), F.lit(0).alias("permanent"),
+    )
+
+
+@query("""WITH r AS (SELECT *, coalesce(lag(role) OVER w, role) AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM r WHERE role = 'user' AND before <> 'user'),
+f AS (SELECT conv_id, max(turn) AS last FROM e GROUP BY conv_id HAVING count(*) >= 2)
+SELECT 'web:gm:' || conv_id AS sid, conv_id || ':' || lpad(CAST(turn AS VARCHAR), 6, '0') AS id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS ordinal, 1 AS target_level FROM conversations JOIN f USING (conv_id) WHERE turn < last""")
+def compression_plan(spark, d):
+    from ..operators.consolidate import FoldSettings, fold_plan
+
+    return fold_plan(records(spark, d), FoldSettings(rounds=2, max_chars=10**9))
+
+
+@query("""SELECT doc_id, CASE WHEN text IS NULL THEN 'invalid_text' WHEN length(text) > 4000 THEN 'too_long' WHEN NOT regexp_matches(trim(text), '[\\p{L}\\p{N}]') THEN 'empty'
+WHEN regexp_matches(trim(text), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'control_characters' WHEN regexp_matches(trim(text), '^(```|\\{|\\[|<)|</?\\w+[^>]*>') THEN 'markup_or_serialized_output'
+WHEN trim(text) IN ('None', 'null') THEN 'placeholder' WHEN length(trim(text)) > 12 AND len(list_distinct(string_split(trim(text), ''))) < 3 THEN 'repetition' END AS reason FROM documents""")
+def text_rejection(spark, d):
+    from ..functions.cleaning import rejection
+
+    return t(spark, d, "documents").select("doc_id", rejection(F.col("text"), 4000).alias("reason"))
+
+
+@query("SELECT l_orderkey AS parent, l_partkey AS child, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INT) AS ordinal FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem)")
+def archive_edges(spark, d):
+    edges = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
+    return edges.select(F.col("l_orderkey").alias("parent"), F.col("l_partkey").alias("child"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1).alias("ordinal"))
+
+
+@query("SELECT page_id, CASE WHEN length(s) > 240 THEN substr(s, 1, 240) || '…' ELSE s END AS preview FROM (SELECT page_id, trim(regexp_replace(coalesce(html, ''), '\\s+', ' ', 'g')) AS s FROM pages)")
+def tool_preview(spark, d):
+    from ..functions.cleaning import tool_preview as preview
+
+    return t(spark, d, "pages").select("page_id", preview(F.col("html")).alias("preview"))
+
+
+@query("SELECT user_id, CASE WHEN same IS NULL OR same <= 0.12 THEN 'keep' WHEN same < 0.5 THEN 'inherit' WHEN nw < 0.6 THEN 'drop' WHEN dl < 0.75 THEN 'merge' ELSE 'keep' END AS route FROM (SELECT user_id, (user_id % 11) / 10 AS same, (user_id % 7) / 6 AS nw, (user_id % 5) / 4 AS dl FROM (SELECT DISTINCT user_id FROM events))")
+def merge_routing(spark, d):
+    from ..operators.lifecycle import route_merge
+
+    u = t(spark, d, "events").select("user_id").distinct()
+    part = lambda n: F.pmod("user_id", F.lit(n)) / (n - 1)
+    return u.select("user_id", route_merge(part(11), part(7), part(5)).alias("route"))
+
+
+@query("SELECT CASE WHEN c IS NULL THEN 'unknown' ELSE c END AS segment, count(*) AS n, CAST(sum(b) AS BIGINT) AS positive FROM (SELECT c_mktsegment AS c, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS b FROM customer) GROUP BY 1")
+def segment_counts(spark, d):
+    return t(spark, d, "customer").groupBy(F.coalesce("c_mktsegment", F.lit("unknown")).alias("segment")).agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("positive"))
+
+
+@query("SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id HAVING max_by(role, turn) = 'user'")
+def open_rounds(spark, d):
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("r")).where("r = 'user'").drop("r")
+
+
+@query("SELECT c.c_custkey, c.c_nationkey FROM customer c LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus <> 'F') o ON c_custkey = o_custkey WHERE o_custkey IS NULL AND EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = c.c_custkey)")
+def orphan_facts(spark, d):
+    o = t(spark, d, "orders")
+    c = t(spark, d, "customer").select("c_custkey", "c_nationkey")
+    cited, live = o.select("o_custkey").distinct(), o.where("o_orderstatus <> 'F'").select("o_custkey").distinct()
+    return c.join(cited, F.col("c_custkey") == F.col("o_custkey"), "left_semi").join(live, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
