@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ._common import cut, table, texts
-from ._components import components
 from ._words import mix, runs, words_of
 
 WORDS, PERCENT = 5, 80  # shingle length; pairs of at least this Jaccard similarity are links
