@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 
 from ._common import cut, table
 
-NEIGHBOURS, TREES, ROUNDS, SAMPLE = 24, 4, 3, 10
-LEAF, BUCKET = 1024, 4096  # vectors of a leaf of the first guess; nodes of a bucket
-BEAM, EXPAND, HOPS = 160, 40, 5
+NEIGHBOURS, TREES, ROUNDS, SAMPLE = 24, 12, 3, 10
+LEAF, BUCKET = 2048, 4096  # vectors of a leaf of the first guess; nodes of a bucket
+BEAM, EXPAND, HOPS = 256, 64, 5
 
 GRAPH = "node long, near array<long>, sim array<float>, fresh array<boolean>"
 
