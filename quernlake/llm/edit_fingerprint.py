@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,7 +160,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     the edited text's), near_next (to the next document's), a row for each row; null text is empty.
 
     Ranges of doc_id of near-equal sizes are a task each; the head of each range is also given to the range before, so
-    texts are shuffled once. The driver holds a few numbers for each range. Other columns are left out.
+    texts are shuffled once, compressed. The driver holds a few numbers for each range. Other columns are left out.
     """
     docs = texts(docs).withColumn("at", F.coalesce("doc_id", F.lit(LOWEST)))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -179,6 +180,8 @@ def with_next(docs: DataFrame) -> DataFrame:
         return pd.Series([[p, also[a]] if a in also else [p] for p, a in zip(own, at.tolist())])
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        open_ = zstandard.ZstdDecompressor().decompress
+        g = g.assign(text=[open_(t).decode("utf-8", "surrogatepass") for t in g["text"]])
         own = np.searchsorted(cuts, g["at"].to_numpy(), "left") == key[0]
         g = g.assign(own=own, tie=[hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in g["text"]])
         g = g.sort_values(["at", "tie"], ascending=False, kind="stable")
@@ -197,7 +200,12 @@ def with_next(docs: DataFrame) -> DataFrame:
             "near_edited": [likeness(x, y) for x, y in zip(a, b)], "near_next": [likeness(x, y) for x, y in zip(a, c)],
         })
 
-    dealt = docs.withColumn("part", F.explode(parts("at")))
+    @F.pandas_udf("binary")
+    def pressed(text: pd.Series) -> pd.Series:
+        press = zstandard.ZstdCompressor(level=3).compress
+        return pd.Series([press(t.encode("utf-8", "surrogatepass")) for t in text])
+
+    dealt = docs.select("doc_id", "at", pressed("text").alias("text"), parts("at").alias("parts")).withColumn("part", F.explode("parts")).drop("parts")
     return dealt.groupBy("part").applyInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
