@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,25 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+_stores: dict[str, dict] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # in glibc alone
+
+
+def store(owner: str) -> dict:
+    """What the operator ``owner`` remembers from task to task in this Python worker; what others remember goes.
+
+    Spark's workers go on from one stage of a pipeline to the next, and would else hold the memos of all stages. Memory
+    that is let go is given back to the system.
+    """
+    if owner not in _stores:
+        _stores.clear()
+        gc.collect()
+        if _trim:
+            _trim(0)
+        _stores[owner] = {}
+    return _stores[owner]
+
+
 class Memo(dict):
     """Remembers at most two generations of ``limit`` entries: as one fills up, the older goes.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._common import cut, table, texts
+from ._common import cut, store, table, texts
 from ._words import mix, runs, words_of
 
 WORDS, PERCENT = 5, 80  # shingle length; pairs of at least this Jaccard similarity are links
@@ -97,6 +97,7 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | N
 
 def _join_group(lead: int, i: int, j: int, g: pd.DataFrame) -> pd.DataFrame:
     """Links between the members of one lead (of its blocks i and j); each pair counts under the least lead it shares."""
+    store("ngrams")
     g = g.drop_duplicates("node").sort_values("node", ignore_index=True)
     sets = [shingles(t) for t in g["text"]]
     block, nodes, copies = g["block"].to_numpy(), g["node"].to_numpy(), g["copies"].to_numpy()
@@ -142,6 +143,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n int, k1 long, k2 long, bands array<long>"
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store("ngrams")
         for batch in batches:
             out = []
             for text in batch["text"]:

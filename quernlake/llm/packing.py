@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import Memo, table, texts
+from ._common import Memo, store, table, texts
 
 TIERS = (512, 1024, 2048, 4096)
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -25,12 +25,12 @@ class WordTokens:
     letter and ASCII punctuation after it (but an apostrophe) never share a token there, words are cut at such a place too.
     """
 
-    def __init__(self, path: str, memo: int = 450_000):
+    def __init__(self, path: str, memo: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.units = Memo(self._encode, memo)
+        self.units = Memo(self._encode, memo // 2)
         self.words = Memo(self._split, memo)
 
     def _encode(self, units: list[str]) -> list[bytes]:
@@ -52,13 +52,11 @@ class WordTokens:
         return b"".join(self.words.lookup(text.replace("\n", " ").split(" ")))
 
 
-_tokens: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
-    if path not in _tokens:
-        _tokens[path] = WordTokens(path)
-    return _tokens[path]
+    mine = store("packing")
+    if path not in mine:
+        mine[path] = WordTokens(path)
+    return mine[path]
 
 
 def pack_tiers(pool: list[tuple[int, int, int]], tiers: tuple[int, ...]) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold, labelled, table, texts
+from ._common import fold, labelled, store, table, texts
 
 LEARN_ROWS = 8000  # labelled rows of each class to learn from, at most
 CLASSES = "other lower upper digit space newline period comma bang bar symbol".split()
@@ -38,6 +38,7 @@ LUT = _lut()
 
 def statistics(text: str) -> np.ndarray:
     """The features of a whole text; zeros for an empty one."""
+    store("quality")
     out = np.zeros(len(FEATURES), "float32")
     if not text:
         return out

@@ -11,7 +11,7 @@ from itertools import chain
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import Memo, table, texts
+from ._common import Memo, store, table, texts
 
 SPACE = "▁"
 
@@ -203,14 +203,12 @@ def _text(run: bytearray) -> str:
         return "".join(out)
 
 
-_codecs: dict[tuple, PieceCodec] = {}
-
-
 def codec(model_path: str, verify: bool = True) -> PieceCodec:
     """One codec a Python worker, so that what it remembers serves all its tasks."""
-    if (model_path, verify) not in _codecs:
-        _codecs[model_path, verify] = PieceCodec(model_path, verify)
-    return _codecs[model_path, verify]
+    mine = store("sentencepiece")
+    if (model_path, verify) not in mine:
+        mine[model_path, verify] = PieceCodec(model_path, verify)
+    return mine[model_path, verify]
 
 
 def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False, verify: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, scratch, table
+from ._common import cut, scratch, store, table
 from ._words import runs, words_of
 
 WINDOW, GRAM = 13, 6  # words of a window; of the runs that stand for windows in the index
@@ -45,6 +45,7 @@ class Chunk:
     """The fingerprints of a chunk of documents (doc_id, text), the same whatever the order of its rows."""
 
     def __init__(self, frame: pd.DataFrame, buckets: int):
+        store("substrings")
         self.ids = [None if pd.isna(x) else int(x) for x in frame["doc_id"]]
         self.data = [("" if t is None else t).encode("utf-8", "surrogatepass") for t in frame["text"]]
         self.words = [words_of(d) for d in self.data]

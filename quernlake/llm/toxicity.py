@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Memo, fold, labelled, table, texts
+from ._common import Memo, fold, labelled, store, table, texts
 
 LEARN_TOXIC, LEARN_CLEAN = 1500, 2500  # labelled rows to learn from, at most
 SPAN, DECAY, LETTERS, START = 7, 0.85, 32, 27
@@ -242,15 +242,13 @@ def learn(rows: list[tuple[str, int]], landmarks: int = 256, seed: int = 5, roun
     return machine
 
 
-_memos: dict[bytes, Memo] = {}
-
-
 def margins(machine: Machine, key: bytes, docs: list[str]) -> np.ndarray:
     """The largest decision value in each text; for texts without words, that of an empty word."""
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = Memo(machine.words)
-    memo, out = _memos[key], []
+    mine = store("toxicity")
+    if key not in mine:
+        mine.clear()
+        mine[key] = Memo(machine.words)
+    memo, out = mine[key], []
     for k in range(0, len(docs), 64):
         parts = [units(t) or [""] for t in docs[k : k + 64]]
         memo.fill([w for ws in parts for w in ws])
