@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import cut, table, texts
+from ._words import mix
 
 PERIOD, SAMPLES, END = 4096, 256, 255  # steps after which walks use the same bits again; most samples looked for; past the end
 CHANCE = 0.125  # about the share of samples in which unrelated texts agree
 GROUP_BYTES = 8 << 20
+BLOCK = 256  # fingerprints of a block of a large bucket
 LOWEST = -(1 << 63)
 
 _rng = np.random.default_rng(8)
@@ -115,38 +117,77 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInPandas(run, "doc_id long, fingerprint string")
 
 
-def near_documents(prints: DataFrame, threshold: float = 0.5, bands: int = 16, rows: int = 8) -> DataFrame:
-    """Near fingerprints of ``prints`` (doc_id, fingerprint): pairs lead, doc_id, likeness.
+def bands_for(share: float, rows: int, miss: float) -> int:
+    """Bands of ``rows`` places that a pair with this share of equal samples misses with probability ``miss`` at most."""
+    hit = share**rows
+    return 1 if hit >= 1 - miss else int(np.ceil(np.log(miss) / np.log1p(-hit)))
 
-    Equal fingerprints are one, led by the least doc_id, with likeness 1. Bands of sampled places of the embedding, at a
-    text's own scale and the next coarser, bring the others together; in each bucket all are verified against its least
-    doc_id by the whole fingerprint. So pairs grow with the rows, not with their squares.
+
+def near_documents(prints: DataFrame, threshold: float = 0.5, bands: int | None = None, rows: int = 6, miss: float = 0.01) -> DataFrame:
+    """Near fingerprints of ``prints`` (doc_id, fingerprint): pairs lead < doc_id with their likeness.
+
+    Equal fingerprints are one, led by the least doc_id, with likeness 1. Bands of sampled places of the whole embedding,
+    at a text's own scale and the next coarser ones, bring the others together. A place is that of least random rank
+    among a text's samples, so that two texts take the same one, and agree there, with the share of equal samples as
+    probability; there are as many bands as keep the chance of missing a pair at the threshold under ``miss``. All members
+    of a bucket are compared with each other by the whole fingerprint, large buckets in pairs of blocks.
     """
+    share = min(1.0, threshold * (1 - CHANCE) + CHANCE)
+    bands, coarser = bands or bands_for(share, rows, miss), int(np.ceil(1 - np.log2(share)))
     prints = prints.where("doc_id IS NOT NULL AND fingerprint IS NOT NULL")
     same = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("lead")))
-    places = np.random.default_rng(3).integers(0, 56, (bands, rows))
+    rng = np.random.default_rng(3)
+    order = np.argsort(rng.random((bands * rows, 2 * SAMPLES)), 1).argsort(1)
+    place = np.where(order == np.minimum.accumulate(order, 1), np.arange(2 * SAMPLES), 0)
+    place = np.maximum.accumulate(place, 1).astype("int16").T.copy()  # the place of least rank among the first n + 1
+    factor = rng.integers(0, 1 << 63, (bands, rows), dtype="uint64") * np.uint64(2) + np.uint64(1)
+
+    def at_scale(f: tuple[int, np.ndarray], t: int) -> np.ndarray:
+        return f[1][(1 << (t - f[0])) - 1 :: 1 << (t - f[0])]
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for d, text in zip(batch["lead"], batch["fingerprint"]):
-                s, x = from_text(text)
-                for t in (s, s + 1):
-                    y = np.full(56, END, "uint8")
-                    z = x[(1 << (t - s)) - 1 :: 1 << (t - s)][:56]
-                    y[: len(z)] = z
-                    out += [(d, text, f"{t}.{b}." + y[p].tobytes().hex()) for b, p in enumerate(places)]
-            yield pd.DataFrame(out, columns=["doc_id", "fingerprint", "key"])
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            value = np.array([likeness(from_text(a), from_text(b)) for a, b in zip(batch["fingerprint"], batch["other"])], float)
-            yield batch[["lead", "doc_id"]].assign(likeness=value)[value >= threshold]
-
-    keyed = same.mapInPandas(keys, "doc_id long, fingerprint string, key string")
-    leads = keyed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key", "lead")
-    met = keyed.join(leads, "key").where("lead < doc_id").select("lead", "doc_id", "fingerprint").distinct()
-    found = met.join(same.select("lead", F.col("fingerprint").alias("other")), "lead").mapInPandas(verify, "lead long, doc_id long, likeness double")
+            for text in batch["fingerprint"]:
+                f, mine = from_text(text), []
+                for t in range(f[0], f[0] + coarser + 1):
+                    y = at_scale(f, t)
+                    if len(y):
+                        at = place[len(y) - 1].astype("int64")
+                        value = (y[at].astype("uint64") + (at.astype("uint64") << np.uint64(8)) + np.uint64(1)).reshape(bands, rows)
+                        mine.append(mix((value * factor).sum(1, dtype="uint64") + np.arange(bands, dtype="uint64") * np.uint64(64) + np.uint64(t)) >> np.uint64(6) << np.uint64(6) | np.uint64(t))
+                out.append(np.concatenate(mine).astype("int64") if mine else np.zeros(0, "int64"))
+            yield pd.DataFrame({"doc_id": batch["lead"], "keys": out})
+
+    def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        t, i, j = int(key[0]) & 63, int(key[1]), int(key[2])
+        g = g.drop_duplicates("doc_id").sort_values("doc_id")
+        f = [from_text(x) for x in g["fingerprint"]]
+        scale, ids, block = np.array([x[0] for x in f]), g["doc_id"].to_numpy(), g["block"].to_numpy()
+        ok = scale <= t  # a key of another scale can look the same
+        f, scale, ids, block = [x for x, o in zip(f, ok) if o], scale[ok], ids[ok], block[ok]
+        x = np.full((len(f), 2 * SAMPLES), END, "uint8")
+        size = np.zeros(len(f), "int64")
+        for k, y in enumerate(f):
+            y = at_scale(y, t)
+            x[k, : len(y)], size[k] = y, len(y)
+        out = []
+        for a in np.flatnonzero(block == i):
+            others = np.flatnonzero((block == j) & ((scale == t) | (scale[a] == t)))
+            others = others[others > a] if i == j else others
+            if len(others):
+                equal = ((x[others] == x[a]) & (x[a] != END)).sum(1)
+                value = (equal / np.maximum(size[others], size[a]) - CHANCE) / (1 - CHANCE)
+                near = value >= threshold
+                out += [(min(ids[a], b), max(ids[a], b), max(0.0, v)) for b, v in zip(ids[others[near]], value[near])]
+        return pd.DataFrame(out, columns=["lead", "doc_id", "likeness"])
+
+    keyed = cut(same.mapInPandas(keys, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key")))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(same.select(F.col("lead").alias("doc_id"), "fingerprint"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select("key", "i", "j", "block", "doc_id", "fingerprint")
+    found = dealt.groupBy("key", "i", "j").applyInPandas(compare, "lead long, doc_id long, likeness double").distinct()
     copies = prints.join(same, "fingerprint").where("doc_id > lead").select("lead", "doc_id", F.lit(1.0).alias("likeness"))
     return found.unionByName(copies)
 

@@ -74,3 +74,21 @@ def test_near_documents(spark):
     prints = E.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {(x.lead, x.doc_id) for x in E.near_documents(prints).collect()}
     assert got == {(k, 100 + k) for k in range(20)} | {(0, 200)}
+
+
+def test_near_documents_finds_all_pairs(spark, monkeypatch):
+    """Pairs that differ at the head, pairs near the threshold, and all pairs of a bucket, against brute force."""
+    monkeypatch.setattr(E, "BLOCK", 4)
+    r = random.Random(6)
+    rows = []
+    for k in range(12):
+        base = words(r, 400)
+        n = len(base)
+        for part in (0.0, 0.1, 0.25, 0.35, 0.42):
+            rows += [(len(rows), words(r, int(400 * part)) + base[int(n * part) :])]
+        rows += [(len(rows), base[: int(n * 0.75)])]
+    prints = {i: E.walk([t])[0] for i, t in rows}
+    want = {(a, b): v for a in prints for b in prints if a < b and (v := E.likeness(prints[a], prints[b])) >= 0.5}
+    got = {(x.lead, x.doc_id): x.likeness for x in E.near_documents(E.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got.keys() <= want.keys() and all(np.isclose(v, want[p]) for p, v in got.items())
+    assert len(want) > 40 and len(got) >= 0.97 * len(want)
