@@ -12,9 +12,12 @@ from pyspark.sql.window import Window
 
 from ._common import cut, table
 
-NEIGHBOURS, TREES, ROUNDS, SAMPLE = 24, 12, 3, 10
+NEIGHBOURS, TREES, BEAM = 24, 12, 256  # for tables of up to BASE nodes; effort() says how they grow
+BASE = 50_000
+SETTLED = 0.005  # descent ends when fewer of all links are still to be compared
 LEAF, BUCKET = 2048, 4096  # vectors of a leaf of the first guess; nodes of a bucket
-BEAM, EXPAND, HOPS = 256, 64, 5
+EXPAND = 64  # nodes of a beam asked for in a hop
+PAIRS = 1 << 20  # pairs held at once before the best of them are picked
 
 GRAPH = "node long, near array<long>, sim array<float>, fresh array<boolean>"
 
@@ -69,30 +72,47 @@ def _half(vec: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in vec.astype("<f2")]
 
 
-def build_graph(nodes: DataFrame, count: int, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph of ``nodes`` (node, vec): node, near array<long>, sim array<float>, fresh.
+def effort(count: int) -> tuple[int, int, int]:
+    """Neighbours, trees and beam for ``count`` nodes: the first two grow with the logarithm, the beam as the square root."""
+    more = max(0.0, float(np.log2(max(count, 1) / BASE)))
+    return int(NEIGHBOURS + 4 * more), int(TREES + 2 * more), int(BEAM * 2 ** (more / 2))
 
-    Vectors get a component more that makes all as long as the longest, so that nearest by inner product is nearest by
-    angle too. The first guess is the nearest in leaves of random hyperplanes (leaves of over LEAF vectors are split at
-    random). Then, round by round, each node's neighbours and those it is a neighbour of, some of them and at least one
-    of a pair new, are joined with their vectors and compared with each other: neighbours of neighbours. Only pairs that
-    beat the worst neighbour so far go on.
-    """
-    longest = nodes.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), F.max(F.size("vec"))).first()
-    reach, dim = float(longest[0] or 1), int(longest[1] or 1)
-    depth, buckets = max(0, int(np.ceil(np.log2(max(1, count / LEAF)))), ), max(1, -(-count // BUCKET))
-    planes = np.random.default_rng(6).normal(size=(TREES, dim + 1, max(depth, 1)))
 
-    def lift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def build_graph(nodes: DataFrame, count: int, neighbours: int | None = None) -> DataFrame:
+    """The neighbour graph of ``nodes`` (node, vec): kind, node, near array<long>, sim array<float>.
+
+    Kind 0 are the nearest by angle. Where norms differ, kind 1 are those of the largest inner product besides: short
+    vectors are then near each other but the answer of no query. The first guess is the best in leaves of random
+    hyperplanes (leaves of over LEAF vectors are split at random). Then, round by round, each node's neighbours and those
+    it is a neighbour of, some of them and at least one of a pair new, are joined with their vectors and compared with
+    each other: neighbours of neighbours. Only pairs that beat the worst neighbour so far go on. Rounds end when nearly no link is new.
+    """
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    longest, shortest, dim = nodes.agg(F.max(length), F.min(length), F.max(F.size("vec"))).first()
+    longest, dim = float(longest or 1), int(dim or 1)
+    grown, trees, _ = effort(count)
+    neighbours = neighbours or grown
+    depth, buckets = max(0, int(np.ceil(np.log2(max(1, count / LEAF))))), max(1, -(-count // BUCKET))
+    planes = np.random.default_rng(6).normal(size=(trees, dim, max(depth, 1)))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x = np.stack(batch["vec"].to_list())
-                x = np.hstack([x, np.sqrt(np.maximum(reach - (x * x).sum(1), 0))[:, None]]) / np.sqrt(reach)
+                norm = np.linalg.norm(x, axis=1)
+                x = x / norm[:, None]
                 leaf = [((x @ p > 0) @ (1 << np.arange(p.shape[1])) if depth else np.zeros(len(x), "int64")) + (t << 40) for t, p in enumerate(planes)]
-                yield pd.DataFrame({"node": batch["node"], "half": _half(x), "leaf": list(np.stack(leaf, 1))})
+                yield pd.DataFrame({"node": batch["node"], "half": _half(x), "norm": (norm / longest).astype("float32"), "leaf": list(np.stack(leaf, 1))})
+
+    placed = cut(nodes.select("node", "vec").mapInPandas(place, "node long, half binary, norm float, leaf array<long>"))
+    kinds = [0] if float(shortest or longest) > 0.999 * longest else [0, 1]
+    graphs = [_one_graph(placed.withColumn("norm", F.lit(1.0).cast("float")) if k == 0 else placed, buckets, neighbours).select(F.lit(k).alias("kind"), "node", "near", "sim") for k in kinds]
+    return graphs[0] if len(graphs) == 1 else graphs[0].unionByName(graphs[1])
+
 
-    lifted = cut(nodes.select("node", "vec").mapInPandas(lift, "node long, half binary, leaf array<long>"))
-    leaves = lifted.select("node", "half", F.explode("leaf").alias("leaf"))
+def _one_graph(placed: DataFrame, buckets: int, neighbours: int) -> DataFrame:
+    """The graph of unit vectors ``placed`` (node, half, norm, leaf); y is as near to x as their product times y's norm."""
+    leaves = placed.select("node", "half", "norm", F.explode("leaf").alias("leaf"))
     sizes = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(2 * LEAF)).alias("n"))
     dealt = leaves.join(sizes, "leaf").withColumn("salt", F.pmod(F.xxhash64("node", "leaf"), F.col("n")))
 
@@ -100,48 +120,69 @@ def build_graph(nodes: DataFrame, count: int, neighbours: int = NEIGHBOURS, roun
         x = np.frombuffer(b"".join(g["half"]), "<f2").reshape(len(g), -1).astype("float32")
         ids, k = g["node"].to_numpy(), min(neighbours, len(g) - 1)
         s = x @ x.T
+        s *= g["norm"].to_numpy()
         np.fill_diagonal(s, -np.inf)
         at = np.argpartition(-s, k - 1, 1)[:, :k] if k else np.zeros((len(g), 0), "int64")
         return pd.DataFrame({"node": ids, "near": list(ids[at]), "sim": list(np.take_along_axis(s, at, 1)), "fresh": [np.ones(k, bool)] * len(g)})
 
-    first = dealt.select("leaf", "salt", "node", "half").groupBy("leaf", "salt").applyInPandas(guess, GRAPH)
+    first = dealt.select("leaf", "salt", "node", "half", "norm").groupBy("leaf", "salt").applyInPandas(guess, GRAPH)
 
     def gather(g: pd.DataFrame) -> pd.DataFrame:
         node, near, sim = _flat(g)
         return _best(node, near, sim, np.zeros(len(node), bool), neighbours)
 
     graph = cut(first.withColumn("b", _bucket(buckets)).groupBy("b").applyInPandas(lambda key, g: gather(g), GRAPH))
-    for k in range(rounds):
-        graph = _descend(graph, lifted, buckets, neighbours, seed=k)
+    seed = 0
+    while _unsettled(graph):
+        graph = _descend(graph, placed, buckets, neighbours, seed)
+        seed += 1
     return graph
 
 
-def _descend(graph: DataFrame, lifted: DataFrame, buckets: int, neighbours: int, seed: int) -> DataFrame:
-    """One round: neighbours of neighbours."""
+def _unsettled(graph: DataFrame) -> bool:
+    new, links = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("fresh"))).first()
+    return (new or 0) > SETTLED * (links or 0)
+
+
+def _descend(graph: DataFrame, placed: DataFrame, buckets: int, neighbours: int, seed: int) -> DataFrame:
+    """One round: neighbours of neighbours. A node offers all its new links, which then are new no more."""
     worst = F.when(F.size("sim") < neighbours, F.lit(-9.0)).otherwise(F.array_min("sim")).cast("float")
+    sample = max(1, neighbours // 2)
     links = graph.select("node", F.explode(F.arrays_zip("near", "fresh")).alias("x")).select("node", F.col("x.near").alias("near"), F.col("x.fresh").alias("fresh"))
-    both = links.select(F.col("node").alias("hub"), F.col("near").alias("node"), "fresh").unionByName(links.select(F.col("near").alias("hub"), "node", "fresh"))
-    rank = F.row_number().over(Window.partitionBy("hub", "fresh").orderBy(F.xxhash64("node", "hub", F.lit(seed)), "node"))
-    some = both.withColumn("k", rank).where(F.col("k") <= 2 * SAMPLE).drop("k")
-    members = some.join(lifted.select("node", "half"), "node").join(graph.select("node", worst.alias("worst")), "node")
+    own = links.select(F.col("node").alias("hub"), F.col("near").alias("node"), "fresh", F.lit(True).alias("own"))
+    both = own.unionByName(links.select(F.col("near").alias("hub"), "node", "fresh", F.lit(False).alias("own")))
+    rank = F.row_number().over(Window.partitionBy("hub", "fresh", "own").orderBy(F.xxhash64("node", "hub", F.lit(seed)), "node"))
+    some = both.withColumn("k", rank).where((F.col("own") & F.col("fresh")) | (F.col("k") <= sample)).select("hub", "node", "fresh")
+    members = some.join(placed.select("node", "half", "norm"), "node").join(graph.select("node", worst.alias("worst")), "node")
     members = members.withColumn("b", F.pmod(F.xxhash64("hub"), F.lit(buckets)).cast("int"))
 
     def local(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["hub", "node", "fresh"]).drop_duplicates(["hub", "node"], keep="last")
         x = np.frombuffer(b"".join(g["half"]), "<f2").reshape(len(g), -1).astype("float32")
-        hub, node, fresh, least = (g[c].to_numpy() for c in ("hub", "node", "fresh", "worst"))
+        hub, node, fresh, least, norm = (g[c].to_numpy() for c in ("hub", "node", "fresh", "worst", "norm"))
         starts = np.flatnonzero(np.append(True, hub[1:] != hub[:-1]))
-        a_all, b_all, s_all = [], [], []
+        held: list[tuple] = []
+        picked, n = [], 0
+
+        def pick() -> None:
+            if held:
+                a, b, s = (np.concatenate(c) for c in zip(*held))
+                picked.append(_best(a, b, s, np.zeros(len(a), bool), neighbours))
+                held.clear()
+
         for a, z in zip(starts, np.append(starts[1:], len(hub))):
-            s = x[a:z] @ x[a:z].T
+            s = (x[a:z] @ x[a:z].T) * norm[a:z]
             f = fresh[a:z]
             good = (s > least[a:z, None]) & (f[:, None] | f[None, :])
             np.fill_diagonal(good, False)
             i, j = np.nonzero(good)
-            a_all.append(node[a + i])
-            b_all.append(node[a + j])
-            s_all.append(s[i, j])
-        return _best(np.concatenate(a_all), np.concatenate(b_all), np.concatenate(s_all), np.zeros(sum(map(len, a_all)), bool), neighbours)
+            held.append((node[a + i], node[a + j], s[i, j]))
+            n += len(i)
+            if n > PAIRS:
+                pick()
+                n = 0
+        pick()
+        return pd.concat(picked)
 
     found = members.groupBy("b").applyInPandas(local, GRAPH)
 
@@ -153,27 +194,29 @@ def _descend(graph: DataFrame, lifted: DataFrame, buckets: int, neighbours: int,
     return cut(graph.withColumn("b", _bucket(buckets)).groupBy("b").cogroup(found.withColumn("b", _bucket(buckets)).groupBy("b")).applyInPandas(merge, GRAPH))
 
 
-STATE = "q long, qvec array<double>, beam array<long>, sim array<double>, done array<boolean>, seen array<long>"
+STATE = "q long, qvec array<double>, beam array<long>, sim array<double>, done array<boolean>, worst double"
 
 
-def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, count: int, k: int, beam: int = BEAM, expand: int = EXPAND, hops: int = HOPS) -> DataFrame:
+def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, count: int, k: int, beam: int | None = None, expand: int = EXPAND) -> DataFrame:
     """Greedy search from each query (q, qvec, near array<long>: where to begin): q, beam array<long>, sim array<double>.
 
     A hop takes each query's ``expand`` best nodes whose neighbours it hasn't asked for, joins them with the graph (both
-    ways), and has the new ones' inner products found in the buckets that hold their vectors: a query's vector goes once
-    to a bucket, with the list of nodes asked for. The best ``beam`` nodes are kept.
+    ways, all kinds), and has the inner products found in the buckets that hold the vectors: a query's vector goes once
+    to a bucket, with the list of nodes asked for, and those better than its beam's worst come back. The best ``beam``
+    nodes are kept. Hops go on until all nodes of all beams were asked for.
     """
-    buckets = max(1, -(-count // BUCKET))
-    back = graph.select(F.col("node").alias("x"), F.explode(F.arrays_zip("near", "sim")).alias("n")).select(F.col("n.near").alias("node"), "x", F.col("n.sim").alias("s"))
-    back = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("s"), "x"))).where(F.col("r") <= NEIGHBOURS).groupBy("node").agg(F.collect_list("x").alias("back"))
-    ways = graph.select("node", "near").join(back, "node", "left").select("node", F.array_union("near", F.coalesce("back", F.array().cast("array<long>"))).alias("ways"))
+    buckets, beam = max(1, -(-count // BUCKET)), max(beam or effort(count)[2], k + 1)
+    back = graph.select("kind", F.col("node").alias("x"), F.explode(F.arrays_zip("near", "sim")).alias("n")).select("kind", F.col("n.near").alias("node"), "x", F.col("n.sim").alias("s"))
+    most = effort(count)[0]
+    back = back.withColumn("r", F.row_number().over(Window.partitionBy("kind", "node").orderBy(F.desc("s"), "x"))).where(F.col("r") <= most).select("node", "x")
+    ways = graph.select("node", F.explode("near").alias("x")).unionByName(back).groupBy("node").agg(F.collect_set("x").alias("ways"))
     placed = cut(nodes.select("node", "vec").join(ways, "node", "left").withColumn("b", _bucket(buckets)))
     vecs, ways = placed.select("b", "node", "vec"), placed.select("node", "ways")
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
             n = len(g)
-            yield pd.DataFrame({"q": g["q"], "qvec": g["qvec"], "beam": [[] for _ in range(n)], "sim": [[] for _ in range(n)], "done": [[] for _ in range(n)], "seen": [[] for _ in range(n)]})
+            yield pd.DataFrame({"q": g["q"], "qvec": g["qvec"], "beam": [[] for _ in range(n)], "sim": [[] for _ in range(n)], "done": [[] for _ in range(n)], "worst": [-np.inf] * n})
 
     state = cut(queries.select("q", "qvec").mapInPandas(begin, STATE))
     ask = queries.select("q", F.explode("near").alias("node"))
@@ -184,9 +227,10 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, count:
         order = np.argsort(v["node"].to_numpy())
         ids, x = v["node"].to_numpy()[order], np.stack(v["vec"].to_list())[order]
         out = []
-        for q, qvec, want in zip(r["q"], r["qvec"], r["want"]):
+        for q, qvec, worst, want in zip(r["q"], r["qvec"], r["worst"], r["want"]):
             at = np.searchsorted(ids, want)
-            out.append((q, ids[at], x[at] @ qvec))
+            s = (x[at] * qvec).sum(1)  # the same to the last bit in each hop
+            out.append((q, ids[at][s >= worst], s[s >= worst]))
         return pd.DataFrame(out, columns=["q", "got", "sims"])
 
     def step(key: tuple, s: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -194,27 +238,27 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, count:
         for q, got, sims in zip(r["q"], r["got"], r["sims"]):
             new.setdefault(q, []).append((got, sims))
         out = []
-        for q, qvec, b, sim, done, seen in zip(s["q"], s["qvec"], s["beam"], s["sim"], s["done"], s["seen"]):
-            b, sim, done, seen = np.asarray(b, "int64"), np.asarray(sim, float), np.asarray(done, bool), np.asarray(seen, "int64")
+        for q, qvec, b, sim, done, worst in zip(s["q"], s["qvec"], s["beam"], s["sim"], s["done"], s["worst"]):
+            b, sim, done = np.asarray(b, "int64"), np.asarray(sim, float), np.asarray(done, bool)
             fresh = new.get(q, [])
-            n = sum(len(x) for x, _ in fresh)
             ids = np.concatenate([b, *[x for x, _ in fresh]]).astype("int64")
             val = np.concatenate([sim, *[x for _, x in fresh]])
-            asked = np.concatenate([done | (np.cumsum(~done) <= expand), np.zeros(n, bool)])  # what was asked for with this hop
-            best = np.lexsort((ids, -val))[:beam]
-            out.append((q, qvec, ids[best], val[best], asked[best], np.concatenate([seen, ids[len(b) :]])))
-        return pd.DataFrame(out, columns=["q", "qvec", "beam", "sim", "done", "seen"])
-
-    for _ in range(hops + 1):
-        want = ask.join(state.select("q", "qvec", "seen"), "q").where(~F.array_contains("seen", F.col("node"))).withColumn("b", _bucket(buckets))
-        want = want.groupBy("b", "q").agg(F.collect_set("node").alias("want"), F.first("qvec").alias("qvec"))
+            asked = np.concatenate([done | (np.cumsum(~done) <= expand), np.zeros(len(ids) - len(b), bool)])  # what was asked for with this hop
+            first = np.unique(ids, return_index=True)[1]  # of a node that the beam holds, that entry
+            best = first[np.lexsort((ids[first], -val[first]))][:beam]
+            out.append((q, qvec, ids[best], val[best], asked[best], val[best[-1]] if len(best) == beam else -np.inf))
+        return pd.DataFrame(out, columns=["q", "qvec", "beam", "sim", "done", "worst"])
+
+    while True:
+        want = ask.withColumn("b", _bucket(buckets)).groupBy("b", "q").agg(F.collect_set("node").alias("want")).join(state.select("q", "qvec", "worst"), "q")
         got = vecs.groupBy("b").cogroup(want.groupBy("b")).applyInPandas(score, "q long, got array<long>, sims array<double>")
         parts = max(1, -(-count // (20 * 512)))
         side = lambda x: x.withColumn("p", F.pmod(F.xxhash64("q"), F.lit(parts))).groupBy("p")
         state = cut(side(state).cogroup(side(got)).applyInPandas(step, STATE))
+        if not state.agg(F.max(F.exists("done", lambda x: ~x))).first()[0]:
+            return state.select("q", "beam", "sim")
         open_ = state.select("q", F.slice(F.transform(F.filter(F.arrays_zip("beam", "done"), lambda x: ~x.done), lambda x: x.beam), 1, expand).alias("next"))
-        ask = open_.select("q", F.explode("next").alias("node")).join(ways, "node").select("q", F.explode("ways").alias("node")).distinct()
-    return state.select("q", "beam", "sim")
+        ask = open_.select("q", F.explode("next").alias("node")).join(ways, "node").select("q", F.explode("ways").alias("node"))
 
 
 def nearest(df: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
@@ -231,7 +275,8 @@ def nearest(df: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
     graph = build_graph(nodes, count)
     asked = v.where(F.col("vec_id") % query_every == 0).join(nodes.select("node", "vec"), "vec").select(F.col("vec_id").alias("query_id"), "node").distinct()
     entry = F.concat(F.array("node"), F.coalesce("near", F.array().cast("array<long>")))
-    starts = asked.select("node").distinct().join(nodes.select("node", "vec"), "node").join(graph.select("node", "near"), "node", "left")
+    own = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    starts = asked.select("node").distinct().join(nodes.select("node", "vec"), "node").join(own, "node", "left")
     found = search_graph(nodes, graph, starts.select(F.col("node").alias("q"), F.col("vec").alias("qvec"), entry.alias("near")), count, k)
 
     @F.pandas_udf("double")

@@ -49,3 +49,27 @@ def test_few(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in N.nearest(df).orderBy("rank").collect()] == [(20, 1, 22, 1.0), (20, 2, 21, 0.5)]
     assert N.nearest(df.limit(0)).count() == 0
     assert N.nearest(df.limit(1)).count() == 0
+
+
+def test_search_goes_on_until_beams_are_closed(spark):
+    """A chain whose far end is the answer, ten hops away."""
+    n = 11
+    nodes = spark.createDataFrame([(k, [float(k + 1), 1.0]) for k in range(n)], "node long, vec array<double>")
+    graph = spark.createDataFrame([(0, k, [k + 1], [1.0]) for k in range(n - 1)], "kind int, node long, near array<long>, sim array<float>")
+    start = spark.createDataFrame([(0, [1.0, 0.0], [0])], "q long, qvec array<double>, near array<long>")
+    assert N.search_graph(nodes, graph, start, n, 1).first().beam[0] == n - 1
+
+
+def test_uneven_norms_have_inner_product_edges(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 128)
+    monkeypatch.setattr(N, "BUCKET", 400)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 16)) * np.exp(0.5 * rng.normal(size=1500))[:, None]
+    nodes = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node long, vec array<double>")
+    near = {}
+    for r in N.build_graph(nodes, len(x)).collect():
+        near.setdefault(r.node, set()).update(r.near)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    hits = sum(len(near[k] & set(np.argsort(-s[k])[:10].tolist())) for k in range(len(x)))
+    assert hits >= 0.9 * 10 * len(x)
