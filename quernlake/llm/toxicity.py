@@ -38,9 +38,12 @@ LUT = _lut()
 def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letter classes of all words, one after the other, each behind a start mark; the places of the marks.
 
-    Of a run of one character, two are left, of a syllable said again and again, one: else repeats would add up to guilt.
+    Marks between letters, however many, are left out, so that gaps are counted over letters only. Of a run of one
+    character, two are left, of a syllable said again and again, one: else repeats would add up to guilt.
     """
-    raw = np.frombuffer(AGAIN.sub(r"\1", "\n".join(["", *words])).encode("utf-32-le", "surrogatepass"), "<u4")
+    raw = np.frombuffer("\n".join(["", *words]).encode("utf-32-le", "surrogatepass"), "<u4")
+    raw = raw[(LUT[np.minimum(raw, 0xFFFF)] > 0) | (raw == 10)]
+    raw = np.frombuffer(AGAIN.sub(r"\1", raw.tobytes().decode("utf-32-le", "surrogatepass")).encode("utf-32-le", "surrogatepass"), "<u4")
     if len(raw) > 2:
         raw = raw[np.append([True, True], (raw[2:] != raw[1:-1]) | (raw[1:-1] != raw[:-2]) | (raw[2:] == 10))]
     out = LUT[np.minimum(raw, 0xFFFF)]

@@ -48,6 +48,15 @@ def test_gapped_insults():
     assert p("bright morning of another station") < 0.5 and p("") < 0.5
 
 
+def test_marks_after_every_letter():
+    machine = toxicity.learn(rows(), landmarks=32)
+    p = lambda t: float(machine.probability(toxicity.margins(machine, t.encode(), [t]))[0])
+    for w in BAD:
+        for mark in (".", "-", "--", "*.", "---", "-.-"):
+            assert p(f"the {mark.join(w)} of stones") >= 0.5, mark.join(w)
+    assert p("bright mor-ning of a-n-o-t-h-e-r sta--tion") < 0.5 and p("... --- !!!") < 0.5
+
+
 def test_toxicity_held_out(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     machine = toxicity.train_toxicity(docs, labels)
