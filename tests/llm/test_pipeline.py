@@ -61,3 +61,9 @@ def test_nulls(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in P.STAGES:
         assert stage(spark, docs, SF).count() >= 0, name
+
+
+def test_packing_gives_token_ids(spark):
+    docs = spark.createDataFrame([(3, "The quick brown fox went over there.", "en", "s", 36)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(P.STAGES)["packing"](spark, docs, SF).collect()
+    assert got and all(len(r.ids) == r.length for r in got)
