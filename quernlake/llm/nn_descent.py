@@ -16,7 +16,7 @@ NEIGHBOURS, TREES, BEAM = 24, 12, 256  # for tables of up to BASE nodes; effort(
 BASE = 50_000
 SETTLED = 0.005  # descent ends when fewer of all links are still to be compared
 LEAF, BUCKET = 2048, 4096  # vectors of a leaf of the first guess; nodes of a bucket
-EXPAND = 64  # nodes of a beam asked for in a hop
+EXPAND = 128  # nodes of a beam asked for in a hop
 PAIRS = 1 << 20  # pairs held at once before the best of them are picked
 
 GRAPH = "node long, near array<long>, sim array<float>, fresh array<boolean>"
@@ -153,7 +153,7 @@ def _descend(graph: DataFrame, placed: DataFrame, buckets: int, neighbours: int,
     both = own.unionByName(links.select(F.col("near").alias("hub"), "node", "fresh", F.lit(False).alias("own")))
     rank = F.row_number().over(Window.partitionBy("hub", "fresh", "own").orderBy(F.xxhash64("node", "hub", F.lit(seed)), "node"))
     some = both.withColumn("k", rank).where((F.col("own") & F.col("fresh")) | (F.col("k") <= sample)).select("hub", "node", "fresh")
-    members = some.join(placed.select("node", "half", "norm"), "node").join(graph.select("node", worst.alias("worst")), "node")
+    members = some.join(placed.select("node", "half", "norm").hint("merge"), "node").join(graph.select("node", worst.alias("worst")).hint("merge"), "node")
     members = members.withColumn("b", F.pmod(F.xxhash64("hub"), F.lit(buckets)).cast("int"))
 
     def local(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -250,7 +250,7 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, count:
         return pd.DataFrame(out, columns=["q", "qvec", "beam", "sim", "done", "worst"])
 
     while True:
-        want = ask.withColumn("b", _bucket(buckets)).groupBy("b", "q").agg(F.collect_set("node").alias("want")).join(state.select("q", "qvec", "worst"), "q")
+        want = ask.withColumn("b", _bucket(buckets)).groupBy("b", "q").agg(F.collect_set("node").alias("want")).join(state.select("q", "qvec", "worst").hint("merge"), "q")
         got = vecs.groupBy("b").cogroup(want.groupBy("b")).applyInPandas(score, "q long, got array<long>, sims array<double>")
         parts = max(1, -(-count // (20 * 512)))
         side = lambda x: x.withColumn("p", F.pmod(F.xxhash64("q"), F.lit(parts))).groupBy("p")
@@ -258,7 +258,7 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, count:
         if not state.agg(F.max(F.exists("done", lambda x: ~x))).first()[0]:
             return state.select("q", "beam", "sim")
         open_ = state.select("q", F.slice(F.transform(F.filter(F.arrays_zip("beam", "done"), lambda x: ~x.done), lambda x: x.beam), 1, expand).alias("next"))
-        ask = open_.select("q", F.explode("next").alias("node")).join(ways, "node").select("q", F.explode("ways").alias("node"))
+        ask = open_.select("q", F.explode("next").alias("node")).join(ways.hint("merge"), "node").select("q", F.explode("ways").alias("node"))
 
 
 def nearest(df: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
