@@ -3,8 +3,10 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
-import pytest
 import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quernlake.llm import packing, sharding, url_filter
@@ -19,6 +21,28 @@ def test_tokens_same_as_library():
         assert mine(text) == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+@pytest.fixture(scope="module")
+def both():
+    return Tokenizer.from_file(WORDS), packing.WordTokens(WORDS)
+
+
+PARTS = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "İ", "ı", "ß", "Σ", "ΑΣ", "\u0301", "\u0307", "\u0338", "'", "'s", "'LL", "’", "=", "!", ".", "-", "A", "b", "the", "9", "²", "中", "😀", "\u200d", " ", "\n", "\t", "\x85", "\u00a0", "\x00"]
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=9).map("".join) | st.text(max_size=12).filter(lambda t: not any(0xD800 <= ord(c) < 0xE000 for c in t)))
+def test_ids_are_the_librarys(both, text):
+    """Special tokens, letters that change when lower-cased, marks and apostrophes beside punctuation."""
+    lib, mine = both
+    assert np.frombuffer(mine(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_and_dotted_capital(both):
+    lib, mine = both
+    for text in ["hello <|endoftext|> x", "İ!", "<|startoftext|>", "a <|endoftext|>.", "<|endoftext|", "İ'S.", "A<|endoftext|>B!"]:
+        assert np.frombuffer(mine(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def check_pieces(rows, docs):
     lib = Tokenizer.from_file(WORDS)
     of, seqs = defaultdict(list), defaultdict(list)
@@ -54,6 +78,18 @@ def test_packing(spark):
     assert max(load.values()) <= 32_768
 
 
+def test_packing_odd_rows(spark):
+    rows = [(None, "a b c"), (None, None), (7, "same text"), (7, "same text"), (7, "another"), (8, "")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), WORDS).collect()
+    lib, total = Tokenizer.from_file(WORDS), Counter()
+    for r in got:
+        total[r.doc_id] += r.length
+    want = Counter()
+    for i, text in rows:
+        want[i] += len(lib.encode(text or "", add_special_tokens=False).ids) + 1
+    assert total == want
+
+
 def test_matrix_has_exact_sums():
     counts, sizes = [5, 0, 9, 1, 40], np.array([11, 11, 11, 11, 11])
     m = np.array([sharding.matrix_row(counts, sizes, k, 3) for k in range(5)])
