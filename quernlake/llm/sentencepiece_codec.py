@@ -22,7 +22,8 @@ class PieceCodec:
     encode() keeps an agenda of adjacent symbol pairs whose concatenation is a piece, takes the pair of the best score
     (the leftmost among equals), merges it and adds the two pairs that arise, till the agenda is empty. A boundary that no
     piece of the vocabulary crosses can't be merged over, so a text falls into units there, which are encoded one by one
-    and remembered. Each unit is held against the sentencepiece library when first met; a difference raises.
+    and remembered. Each word, with all its units, is held against the sentencepiece library's encode() and decode() when
+    first met, and so is a whole text of each batch (check()); a difference raises. Texts are decoded from their ids.
     """
 
     def __init__(self, model_path: str, verify: bool = True, memo: int = 250_000):
@@ -46,8 +47,10 @@ class PieceCodec:
             raise ValueError("pieces with inner spaces aren't supported")
         self.units = Memo(self._encode_units, memo)
         self.words = Memo(self._encode_words, memo)
-        self.odd: dict[str, str] = {}
-        self.odd_units = False
+        self.texts = Memo(lambda found: [self.decode_ids(map(int, x.split(","))) for x in found], memo)
+        text_ids = set(self.ids.values())
+        self.shown = [self.pieces[i] if i in text_ids else "" for i in n]
+        self.shown[self.unk] = " ⁇ "
 
     def agenda(self, unit: str) -> list[str]:
         """The pieces into which ``unit`` merges, by score, then from the left: a flat agenda for short units, else a heap."""
@@ -99,20 +102,9 @@ class PieceCodec:
     def _encode_units(self, units: list[str]) -> list[str]:
         out = []
         for u in units:
-            got = [self.ids.get(x) for x in self.agenda(u)]
-            if None in got:
-                got = list(self._ids(self.agenda(u)))
-                if self.decode_ids(got) != u.replace(SPACE, " "):
-                    self.odd_units = True
-            out.append(",".join(map(str, got)))
-        if self.verify:
-            # The library puts a space mark before each text: units with one are given without it, others where the mark stays apart.
-            apart = f"{self.ids.get(SPACE)},"
-            at = [k for k, u in enumerate(units) if u != SPACE and (u[0] == SPACE or SPACE + u[0] not in self.joined)]
-            found = self.lib.encode([units[k].removeprefix(SPACE).replace(SPACE, " ") for k in at], num_threads=1)
-            for k, ids in zip(at, found, strict=True):
-                if (x := ",".join(map(str, ids))) != out[k] and x != apart + out[k]:
-                    raise RuntimeError(f"the agenda and the library differ on {units[k]!r}: {out[k]}; {x}")
+            symbols = self.agenda(u)
+            got = [self.ids.get(x) for x in symbols]
+            out.append(",".join(map(str, self._ids(symbols) if None in got else got)))
         return out
 
     def split(self, word: str) -> list[str]:
@@ -131,14 +123,27 @@ class PieceCodec:
         self.units.fill(chain.from_iterable(parts))
         units = self.units
         out = [",".join([units[p] for p in ps]) for ps in parts]
-        if self.odd_units:
-            for w, ids in zip(words, out, strict=True):
-                if (back := self.decode_ids(map(int, ids.split(",")))) != " " + w.replace(SPACE, " "):
-                    self.odd[w] = back.removeprefix(" ")
+        if self.verify:
+            self._check_words(words, out)
         return out
 
+    def _check_words(self, words: list[str], found: list[str]) -> None:
+        """The library puts a space mark before each text, as stands before each word; of "" it keeps none, so x stands before it."""
+        plain = [w.replace(SPACE, " ") for w in words]
+        theirs = self.lib.encode([w or "x " for w in plain], num_threads=1)
+        back = self.lib.decode([[int(x) for x in ids.split(",")] for ids in found], num_threads=1)
+        for w, ids, want, text in zip(plain, found, theirs, back, strict=True):
+            if (ids != ",".join(map(str, want)) if w else int(ids) != want[-1]) or text != self.decode_ids(map(int, ids.split(","))).removeprefix(" "):
+                raise RuntimeError(f"the agenda and the library differ on {w!r}: {ids}; {want}; {text!r}")
+
+    def check(self, text: str, ids: str, back: str) -> None:
+        """Holds a whole text, its ids and what they decode to against the library."""
+        want = self.lib.encode(text)
+        if ids != ",".join(map(str, want)) or back != self.lib.decode(want):
+            raise RuntimeError(f"the agenda and the library differ on a text that begins with {text[:80]!r}")
+
     def decode_ids(self, ids) -> str:
-        """The text of ``ids`` with the space that stands first; broken bytes become U+FFFD one by one."""
+        """The text of ``ids`` with the space that stands first, each id by its piece; broken bytes become U+FFFD one by one."""
         out, run = [], bytearray()
         for i in ids:
             if (b := self.byte_of.get(i)) is not None:
@@ -147,18 +152,11 @@ class PieceCodec:
             if run:
                 out.append(_text(run))
                 run.clear()
-            out.append(" ⁇ " if i == self.unk else self.pieces[i] if i in self.lib_text else "")
+            out.append(self.shown[i])
         if run:
             out.append(_text(run))
         return "".join(out).replace(SPACE, " ")
 
-    @property
-    def lib_text(self):
-        """Ids whose piece is text."""
-        if not hasattr(self, "_text_ids"):
-            self._text_ids = set(self.ids.values())
-        return self._text_ids
-
     def decode(self, ids) -> str:
         return self.decode_ids(ids).removeprefix(" ")
 
@@ -169,9 +167,13 @@ class PieceCodec:
         text = text.replace(SPACE, " ")
         words = text.split(" ") if "  " not in text and text[0] != " " else _words(text)
         self.words.fill(words)
-        ids = ",".join(map(self.words.__getitem__, words))
-        back = " ".join([self.odd.get(w, w) for w in words]) if self.odd else " ".join(words)
-        return ids, back.replace(SPACE, " ")
+        found = list(map(self.words.__getitem__, words))
+        self.texts.fill(found)
+        return ",".join(found), "".join(map(self.texts.__getitem__, found)).removeprefix(" ")
+
+    def encode_word(self, word: str) -> str:
+        """Decimal ids of a word and the space mark before it, joined by commas."""
+        return self.words.lookup([word])[0]
 
     def encode(self, text: str) -> list[int]:
         ids = self.run(text)[0]
@@ -214,6 +216,9 @@ def codec(model_path: str, verify: bool = True) -> PieceCodec:
 def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False, verify: bool = True) -> DataFrame:
     """Encodes the text of each row and decodes the ids again, batch by batch, with no shuffle.
 
+    With ``verify`` every word that a worker first meets, and the first whole text of each Arrow batch, are held against
+    the sentencepiece library, both ways; a difference raises.
+
     Returns doc_id, n_tokens long, ids_sha256 and decoded_sha256 (lowercase hex), with ``keep_ids`` also ids array<int> and
     decoded string. Null and empty texts: no ids and an empty decoded text. Repeated rows, null and equal doc_id: a row
     each, as given. Other columns of ``docs`` are left out, whatever their names. Memory: an Arrow batch and the memo.
@@ -224,8 +229,10 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False, v
         c, sha = codec(model_path, verify), hashlib.sha256
         for batch in batches:
             n, ids_sha, back_sha, ids_all, back_all = [], [], [], [], []
-            for text in batch["text"]:
+            for k, text in enumerate(batch["text"]):
                 ids, back = c.run(text)
+                if verify and not k:
+                    c.check(text, ids, back)
                 n.append(ids.count(",") + 1 if ids else 0)
                 ids_sha.append(sha(ids.encode()).hexdigest())
                 back_sha.append(sha(back.encode()).hexdigest())

@@ -28,6 +28,20 @@ def test_long_units_use_the_heap(codec):
         assert codec.encode(text) == codec.lib.encode(text)
 
 
+def test_decoded_text_comes_from_the_ids():
+    """A wrong id shows in the decoded text, and the check against the library finds it in the middle of a word too."""
+    c = PieceCodec(MODEL, verify=False)
+    c.words["cat"] = c.encode_word("dog")
+    assert c.run("a cat")[1] == "a dog"
+    d = PieceCodec(MODEL)
+    d.units["ing"] = "7"
+    d.split = lambda w: [w[:-3], "ing"] if w.endswith("ing") else [w]
+    with pytest.raises(RuntimeError):
+        d.run("xqzing")
+    with pytest.raises(RuntimeError):
+        c.check("a cat", *c.run("a cat"))
+
+
 def test_rows(spark):
     rows = [(1, "Hello  wörld"), (2, None), (3, ""), (None, "x"), (1, "Hello  wörld"), (4, "long " * 40_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS n_tokens", "2 AS ids")
