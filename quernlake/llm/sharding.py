@@ -11,18 +11,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import cut, table, texts
+from ._common import cut, free_names, table, texts
 
-EXACT = 10**9  # numpy draws from populations below this
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` rows drawn without replacement from ``good + bad`` are good: an exact draw for any sizes.
 
-
-def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < EXACT:
-        return int(rng.hypergeometric(good, bad, n)) if good + bad and n else 0
+    Each row is taken by itself with probability n / (good + bad), which makes two binomial numbers; rows that are then
+    missing are drawn from those not taken, rows too many from those taken. By symmetry the rows so taken are a uniform
+    choice of n, whatever the probability was, and what is to be drawn shrinks to about its square root each time.
+    """
     total = good + bad
-    p = good / total
-    sd = (n * p * (1 - p) * (total - n) / max(total - 1, 1)) ** 0.5
-    return int(min(max(round(rng.normal(n * p, sd)), n - bad, 0), good, n))
+    if not 0 <= n <= total:
+        raise ValueError("more rows to draw than there are")
+    if 2 * n > total:
+        return good - hypergeometric(rng, good, bad, total - n)
+    if n <= 32:
+        left = good
+        for k in range(n):
+            left -= int(rng.integers(total - k)) < left
+        return good - left
+    p = n / total
+    x, y = int(rng.binomial(good, p)), int(rng.binomial(bad, p))
+    if x + y < n:
+        return x + hypergeometric(rng, good - x, bad - y, n - x - y)
+    return x - hypergeometric(rng, x, y, x + y - n)
 
 
 def matrix_row(counts: list[int], sizes: np.ndarray, part: int, seed: int) -> np.ndarray:
@@ -30,7 +42,7 @@ def matrix_row(counts: list[int], sizes: np.ndarray, part: int, seed: int) -> np
 
     Row sums are ``counts`` and column sums ``sizes``. Halving the partitions again and again, each half's share of every
     target is drawn hypergeometrically from a generator of the half's own seed, so each task finds its row alone, without
-    the matrix. Over 10^9 rows a draw is a rounded normal one; sums stay exact.
+    the matrix. Draws are exact at any size.
     """
     ends = np.concatenate([[0], np.cumsum(counts)])
     lo, hi, cols = 0, len(counts), np.array(sizes, dtype="int64")
@@ -40,7 +52,7 @@ def matrix_row(counts: list[int], sizes: np.ndarray, part: int, seed: int) -> np
         left, need, rest = np.zeros_like(cols), int(ends[mid] - ends[lo]), int(cols.sum())
         for k, c in enumerate(cols.tolist()):
             rest -= c
-            left[k] = x = _draw(rng, c, rest, need)
+            left[k] = x = hypergeometric(rng, c, rest, need)
             need -= x
         lo, hi, cols = (lo, mid, left) if part < mid else (mid, hi, cols - left)
     return cols
@@ -55,13 +67,14 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 17, least_rows
     there would be over ``most_targets`` splits, and is never larger than that, whatever keys the rows hold: equal
     rows spread like others. The driver holds a count for each partition. Rows are first written to the shared folder, so
     that their places stay as counted and any task can run again. Null cells and repeated rows are rows like others; an
-    empty ``df`` gives no rows.
+    empty ``df`` gives no rows. Other columns may have any names and types; very long texts are only passed through.
     """
-    spark, kept = df.sparkSession, [c for c in df.columns if c not in ("shard", "slot")]
+    spark, kept = df.sparkSession, [c for c in df.columns if c.lower() not in ("shard", "slot")]
     schema = df.select(kept).schema
-    placed = cut(df.select(kept).withColumn("_id", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_part", F.shiftright("_id", 33).cast("int"))
-    found = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())
+    number, part_of, target, rank = free_names(df, "number", "part", "target", "rank")
+    placed = cut(df.select(kept).withColumn(number, F.monotonically_increasing_id()))
+    placed = placed.withColumn(part_of, F.shiftright(number, 33).cast("int"))
+    found = sorted(map(tuple, placed.groupBy(part_of).agg(F.count("*").alias(rank)).collect()))
     counts, index = [n for _, n in found], {p: k for k, (p, _) in enumerate(found)}
     total = sum(counts)
     shards = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
@@ -73,22 +86,19 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 17, least_rows
         order = None
         for batch in batches:
             if order is None and len(batch):
-                part = index[int(batch["_part"].iloc[0])]
+                part = index[int(batch[part_of].iloc[0])]
                 order = np.repeat(np.arange(len(sizes), dtype="int32"), matrix_row(counts, sizes, part, seed))
                 np.random.default_rng([seed, part]).shuffle(order)
-            yield batch.drop(columns="_part").assign(_target=order[batch["_id"] & ((1 << 33) - 1)] if len(batch) else np.zeros(0, "int32"))
+            yield batch.drop(columns=part_of).assign(**{target: order[batch[number] & ((1 << 33) - 1)] if len(batch) else np.zeros(0, "int32")})
 
-    sent = placed.mapInPandas(send, T.StructType([*schema.fields, T.StructField("_id", T.LongType()), T.StructField("_target", T.IntegerType())]))
-    again = Window.partitionBy("_target").orderBy(F.xxhash64("_id", F.lit(seed + 1)), "_id")
-    shard = F.expr(f"int(_target DIV {splits})")
+    sent = placed.mapInPandas(send, T.StructType([*schema.fields, T.StructField(number, T.LongType()), T.StructField(target, T.IntegerType())]))
+    again = Window.partitionBy(target).orderBy(F.xxhash64(number, F.lit(seed + 1)), number)
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    shard = div(F.col(target), splits).cast("int")
     size = F.lit(total // n_shards) + (shard < total % n_shards).cast("long")
-    first = F.expr(f"_target % {splits}").cast("long")
-    return (
-        sent.withColumn("_rank", F.row_number().over(again) - 1)
-        .withColumn("shard", shard)
-        .withColumn("slot", F.floor(size * first / splits).cast("long") + F.col("_rank") if splits == 1 else (F.call_function("div", size * first, F.lit(splits)) + F.col("_rank")))
-        .select(*kept, "shard", "slot")
-    )
+    first = (F.col(target) % splits).cast("long")
+    ranked = sent.withColumn(rank, F.row_number().over(again) - 1)
+    return ranked.select(*kept, shard.alias("shard"), (div(size * first, splits) + F.col(rank)).alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:

@@ -96,6 +96,48 @@ def test_matrix_has_exact_sums():
     assert m.sum(1).tolist() == counts and m.sum(0).tolist() == sizes.tolist() and (m >= 0).all()
 
 
+def test_draws_are_exact():
+    """Against the exact law at small sizes (chi-square), against exact moments at large ones."""
+    from math import comb
+
+    rng = np.random.default_rng(2)
+    for good, bad, n in ((60, 90, 70), (200, 40, 100), (45, 45, 45)):
+        hits = Counter(sharding.hypergeometric(rng, good, bad, n) for _ in range(20_000))
+        law = {k: comb(good, k) * comb(bad, n - k) / comb(good + bad, n) for k in range(max(0, n - bad), min(n, good) + 1)}
+        assert set(hits) <= set(law)
+        big = [k for k in law if law[k] * 20_000 >= 5]
+        chi = sum((hits[k] - 20_000 * law[k]) ** 2 / (20_000 * law[k]) for k in big)
+        assert chi < len(big) + 5 * (2 * len(big)) ** 0.5
+    for good, bad, n in ((3 * 10**9, 10**10, 2 * 10**9), (10**13, 4 * 10**13, 10**13), (5, 10**14, 10**13)):
+        x = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(2000)], float)
+        total = good + bad
+        mean, var = n * good / total, n * good / total * bad / total * (total - n) / (total - 1)
+        assert abs(x.mean() - mean) < 5 * (var / 2000) ** 0.5 and 0.85 < x.var() / var < 1.15
+
+
+def test_sharding_query(spark):
+    """The query's contract, on a whole table and on odd rows."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = sharding.op5_sharding(spark, SF)
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in got.schema.fields] == ["doc_id bigint", "size bigint", "text_crc32 bigint", "law string", "shard int", "slot bigint", "grown_shard int"]
+    rows = got.collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in docs)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want and {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
+    per = defaultdict(list)
+    for r in rows:
+        per[r.shard].append(r.slot)
+    assert set(per) == set(range(8)) and max(map(len, per.values())) - min(map(len, per.values())) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in per.values())
+
+
+def test_sharding_clashing_names_and_long_texts(spark):
+    rows = [(k, "y" * (2_000_000 if k == 3 else 1)) for k in range(30)]
+    df = spark.createDataFrame(rows, "_id long, text string").selectExpr("*", "'a' AS _target", "'b' AS _part", "'c' AS _rank", "'d' AS number", "'e' AS Part", "'f' AS target", "'g' AS rank", "'h' AS SHARD")
+    got = sharding.shuffle_into_shards(df.drop("SHARD"), 4).collect()
+    assert Counter((r._id, r.text) for r in got) == Counter(rows) and {(r._target, r.number, r.Part, r["rank"]) for r in got} == {("a", "d", "e", "g")}
+    assert len(sharding.shuffle_into_shards(df, 4).collect()) == 30
+
+
 def test_sharding(spark):
     rows = [(i % 7 if i % 5 else None, "t" * (i % 3)) for i in range(1003)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "9 AS slot").repartition(5)
