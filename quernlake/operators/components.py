@@ -5,33 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import hot_join, written
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
 
-
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b: long) but the roots, the least nodes of their components.
 
     Each round hooks every node's larger neighbours to its least neighbour, then its smaller ones, till nothing changes;
-    rounds grow as the logarithm of the longest chain. Every round is cut off in the shared folder. Nodes with very many
-    neighbours are joined by a plain equi-join, which Spark splits when skewed.
+    rounds grow as the logarithm of the longest chain. Every round is written to the shared folder. Nodes with very many
+    neighbours are joined by broadcast (hot_join), so their edges stay spread. Null ends and loops are left out.
     """
-    now = _cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        sign = now.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 16))).first()
-        if sign == seen:
+    while True:
+        total, sign = now.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 16))).first()
+        if (total, sign) == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = sign
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+        seen = total, sign
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = hot_join(both, least, ["u"], "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        small = hot_join(large, low, ["u"], "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
