@@ -21,9 +21,9 @@ TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 class WordTokens:
     """Ids of the tokenizers library for texts, as little-endian unsigned 32-bit bytes.
 
-    For tokenizers that drop white space: what stands between spaces is encoded by the library once and remembered. An
-    ASCII letter and ASCII punctuation after it (but an apostrophe) never share a token there, so ASCII words are cut at
-    such a place too. All other words, and those that may hold a special token, are handed to the library whole.
+    For tokenizers that drop white space: what stands between spaces is encoded by the library once and remembered. A
+    Latin letter that lower-casing leaves a letter and ASCII punctuation after it (but an apostrophe) never share a token
+    there, so words are cut at such a place too; other words, and those that may hold a special token, are handed over whole.
     """
 
     def __init__(self, path: str, memo: int = 300_000):
@@ -40,8 +40,10 @@ class WordTokens:
     def _split(self, words: list[str]) -> list[bytes]:
         parts = []
         for w in words:
-            stem = w.rstrip(TAIL) if w.isascii() and "<|" not in w else ""
-            parts.append((stem.lower(), w[len(stem) :]) if stem and stem[-1].isalpha() else (w, ""))
+            stem = w.rstrip(TAIL) if "<|" not in w else ""
+            last = stem[-1:]
+            cut = last.isalpha() and last < "\u0250" and last != "\u0130"
+            parts.append((stem.lower() if stem.isascii() else stem, w[len(stem) :]) if cut else (w, ""))
         self.units.fill([u for p in parts for u in p if u])
         units = self.units
         return [units[a] + units[b] if b else units[a] if a else b"" for a, b in parts]
