@@ -1,42 +1,22 @@
-"""What the operators of this package share: tables, shared folders, bounded memos."""
+"""What the operators of this package share: tables, bounded memos, labelled rows."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, drop, hot_join, scratch, shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir``; any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), set here only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that its lineage ends there and it is made once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def texts(docs: DataFrame, *more: str) -> DataFrame:
+def texts(docs: DataFrame, *more) -> DataFrame:
     """doc_id and text of ``docs``, null text as empty, all else left out but ``more``."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 

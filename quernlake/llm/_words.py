@@ -1,26 +1,15 @@
-"""Words of a text and hashes of runs of words, in numpy; no Python object for each word."""
+"""Hashes of words and of runs of words."""
 
 from __future__ import annotations
 
-import numpy as np
-
-ODD = np.uint64(0x9E3779B97F4A7C15)
-_space = np.zeros(256, bool)
-_space[[0x20, *range(0x09, 0x0E)]] = True
-_powers = [np.ones(1, "uint64"), np.ones(1, "uint64")]
+from hashlib import blake2b
 
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n-1 of an odd base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        base, size = 0xD6E8FEB86659FD93, 1 << (n - 1).bit_length()
-        for k, b in enumerate((base, pow(base, -1, 1 << 64))):
-            with np.errstate(over="ignore"):
-                _powers[k] = np.multiply.accumulate(np.concatenate([np.ones(1, "uint64"), np.full(size - 1, b, "uint64")]))
-    return _powers[0][:n], _powers[1][:n]
+import numpy as np
+import xxhash
 
 
 def mix(h: np.ndarray) -> np.ndarray:
+    """A mixing of 64 bits; different values stay different."""
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(29)
@@ -28,27 +17,46 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each word [^\\x20\\x09-\\x0D]+ of UTF-8 text."""
-    raw = np.frombuffer(data, "uint8")
-    if not len(raw):
-        return (np.zeros(0, "int64"),) * 2 + (np.zeros(0, "uint64"),)
-    inside = np.concatenate([[False], ~_space[raw], [False]])
-    turns = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = turns[::2], turns[1::2]
-    up, down = _power(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, "uint64")
-    np.cumsum((raw.astype("uint64") + np.uint64(1)) * up[:-1], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype("uint64") * ODD)
+class Vocabulary:
+    """Two 64-bit hashes of each word's bytes, from different families: XXH3 and BLAKE2b.
+
+    Remembers up to ``limit`` words and those of one text; beyond, it begins anew.
+    """
+
+    def __init__(self, limit: int = 300_000):
+        self.limit = limit
+        self._begin()
+
+    def _begin(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.first, self.second = np.zeros(1024, "uint64"), np.zeros(1024, "uint64")
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of each of ``words``."""
+        at = list(map(self.place.get, words))
+        if None in at:
+            if len(self.place) > self.limit:
+                self._begin()
+            fresh = list({w for w in words if w not in self.place})
+            n = len(self.place)
+            while len(self.first) < n + len(fresh):
+                self.first, self.second = (np.concatenate([x, np.zeros(len(x), "uint64")]) for x in (self.first, self.second))
+            self.place.update(zip(fresh, range(n, n + len(fresh))))
+            self.first[n : n + len(fresh)] = list(map(xxhash.xxh3_64_intdigest, fresh))
+            self.second[n : n + len(fresh)] = np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in fresh]), "uint64")
+            at = list(map(self.place.__getitem__, words))
+        at = np.array(at, "int64")
+        return self.first[at], self.second[at]
 
 
-def runs(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
+def runs(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of ``n`` words, by the words' hashes."""
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, "uint64")
-    with np.errstate(over="ignore"):
-        out, factor = np.full(m, salt + 1, "uint64"), np.uint64(0x9FB21C651E98DF25 ^ (salt << 1))
-        for k in range(n):
-            out = out * factor + h[k : k + m]
+    out = h[:m] + np.uint64(0x9E3779B97F4A7C15 ^ n)
+    for k in range(1, n):
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0x9FB21C651E98DF25)
+        out += h[k : k + m]
     return mix(out)

@@ -1,6 +1,6 @@
 """Queries of this package by name, with the SQL that gives the same rows."""
 
-from . import url_filter
+from . import ngram_join, substring_dedup, url_filter
 from .edit_fingerprint import op8_edit_fingerprint
 from .ngram_join import op10_ngram_join
 from .nn_descent import op6_nn_descent
@@ -24,4 +24,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
 }
-ORACLE: dict[str, str] = {"op4_url_filter": url_filter.ORACLE}
+ORACLE: dict[str, str] = {"op4_url_filter": url_filter.ORACLE, "op7_substring_dedup": substring_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE}

@@ -9,271 +9,302 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, scratch, store, table
-from ._words import runs, words_of
+from ._common import drop, free_names, scratch, store, table
+from ._words import Vocabulary, mix, runs
 
-WINDOW, GRAM = 13, 6  # words of a window; of the runs that stand for windows in the index
-CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20  # text of a chunk of documents; text whose fingerprints fill a bucket
+WINDOW, GRAM = 13, 6  # words of a window; of the runs that windows are filed under
+CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20  # text of a chunk of documents; text whose windows fill a range of hashes
 RUNS = 4  # sorted runs of an index, beyond which they are compacted
+BATCHES = 3  # batches in which deduplicate() adds a table
 
-#: A message between chunks and buckets: chunk number, bucket, kind, sorted hashes or bits, and what goes with them.
-MESSAGE = "chunk long, bucket int, kind int, a binary, b binary, c binary"
+#: Windows of a chunk or a run in a range of hashes: sorted keys, how many windows each has, the windows' other hash, their
+#: least doc_id. Kind 0 comes from a chunk, 1 is a reply to one (bits in k), 2 belongs to a run of the index.
+BLOCK = "kind int, chunk long, bucket int, k binary, c binary, v binary, d binary"
+NAMES = [x.split()[0] for x in BLOCK.split(", ")]
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    """Buckets are ranges of hashes, so that sorted hashes have sorted buckets."""
-    return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype("int64")
+def _bucket(k: np.ndarray, n: int) -> np.ndarray:
+    """Buckets are ranges of keys, so that sorted keys have sorted buckets; ``n`` is a power of two."""
+    return (k >> np.uint64(65 - n.bit_length())).astype("int64") if n > 1 else np.zeros(len(k), "int64")
 
 
-def least_grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window of a document: where the least hash of its six-word runs stands; the hashes of all such runs.
+def _frame(rows) -> pd.DataFrame:
+    return pd.DataFrame(list(rows), columns=NAMES)
+
+
+class Windows:
+    """Windows sorted by key: of each its key, other hash and least doc_id. One key files at most a few windows of a text."""
+
+    def __init__(self, key: np.ndarray, other: np.ndarray, doc: np.ndarray):
+        self.key, self.other, self.doc = key, other, doc
+
+    @classmethod
+    def read(cls, k: bytes, c: bytes, v: bytes, d: bytes) -> Windows:
+        return cls(np.repeat(np.frombuffer(k, "uint64"), np.frombuffer(c, "uint32")), np.frombuffer(v, "uint64"), np.frombuffer(d, "int64"))
+
+    def heads(self) -> np.ndarray:
+        """Places at which a new key begins."""
+        return np.flatnonzero(np.append(True, self.key[1:] != self.key[:-1])) if len(self.key) else np.zeros(0, "int64")
 
-    Equal windows have equal least runs, so a window can only occur elsewhere if its least run does.
+    def blocks(self, kind: int, chunk: int, buckets: int) -> Iterator[tuple]:
+        head = self.heads()
+        keys = self.key[head]
+        count = np.diff(np.append(head, len(self.key))).astype("uint32")
+        bucket = _bucket(keys, buckets)
+        turn = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
+        for a, z in zip(turn, [*turn[1:], len(keys)]):
+            s = slice(int(head[a]), int(head[z]) if z < len(head) else len(self.key))
+            yield kind, chunk, int(bucket[a]), keys[a:z].tobytes(), count[a:z].tobytes(), self.other[s].tobytes(), self.doc[s].tobytes()
+
+
+def merge(parts: list[Windows]) -> tuple[Windows, np.ndarray]:
+    """All windows of sorted parts in one, each once with its least doc_id; for each given window its place there.
+
+    Keys that only one part has pass through; only where several have a key are its windows compared.
     """
-    if len(h) < WINDOW:
-        return np.zeros(0, "int64"), np.zeros(0, "uint64")
-    g = runs(h, GRAM, 3)
+    key, other, doc = (np.concatenate([getattr(p, x) for p in parts]) for x in ("key", "other", "doc"))
+    order = np.argsort(key, kind="stable")  # a merge: numpy's stable sort takes sorted stretches as they are
+    key, other, doc = key[order], other[order], doc[order]
+    part = np.repeat(np.arange(len(parts)), [len(p.key) for p in parts])[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, "int64")
+    sizes = np.diff(np.append(head, len(key)))
+    mixed = np.minimum.reduceat(part, head) != np.maximum.reduceat(part, head) if len(head) else np.zeros(0, bool)
+    several = np.flatnonzero(np.repeat(mixed, sizes))
+    by = several[np.lexsort((doc[several], other[several], key[several]))]
+    place = np.arange(len(key))
+    place[several] = by  # windows of one key stand by their other hash, then by doc_id
+    key, other, doc, order = key[place], other[place], doc[place], order[place]
+    first = np.append(True, (key[1:] != key[:-1]) | (other[1:] != other[:-1])) if len(key) else np.zeros(0, bool)
+    where = np.empty(len(key), "int64")
+    where[order] = np.cumsum(first) - 1
+    return Windows(key[first], other[first], doc[first]), where
+
+
+def least_grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the least of each window's six-word hashes stands; the hashes of all six-word runs."""
+    g = mix(runs(h, GRAM))
     view = np.lib.stride_tricks.sliding_window_view(g, WINDOW - GRAM + 1)
     return view.argmin(1) + np.arange(len(view)), g
 
 
 class Chunk:
-    """The fingerprints of a chunk of documents (doc_id, text), the same whatever the order of its rows."""
-
-    def __init__(self, frame: pd.DataFrame, buckets: int):
-        store("substrings")
-        self.ids = [None if pd.isna(x) else int(x) for x in frame["doc_id"]]
-        self.data = [("" if t is None else t).encode("utf-8", "surrogatepass") for t in frame["text"]]
-        self.words = [words_of(d) for d in self.data]
-        self.least = [least_grams(w[2]) if i is not None else least_grams(w[2][:0]) for i, w in zip(self.ids, self.words)]
-        self.buckets = buckets
-        per_doc = [(i, np.unique(g[at])) for i, (at, g) in zip(self.ids, self.least) if len(at)]
-        order = {}
-        for i, f in per_doc:
-            order[i] = np.union1d(order[i], f) if i in order else f
-        joined = np.concatenate([*order.values(), np.zeros(0, "uint64")])
-        self.prints, counts = np.unique(joined, return_counts=True)
-        self.several = counts > 1
-
-    def run(self, number: int) -> Iterator[tuple]:
-        """Messages of kind 0: sorted fingerprints of each bucket, and which of them several documents hold."""
-        for b, s in _slices(_bucket(self.prints, self.buckets)):
-            yield number, b, 0, self.prints[s].tobytes(), np.packbits(self.several[s]).tobytes(), None
-
-    def shared(self, replies: pd.DataFrame) -> np.ndarray:
-        """Fingerprints that other documents hold too, by the replies of kind 1."""
-        bits = np.zeros(len(self.prints), bool)
-        _fill(bits, _bucket(self.prints, self.buckets), replies[replies["kind"] == 1])
-        return self.prints[bits]
-
-    def windows(self, shared: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Windows that may occur elsewhere: row, place, two hashes."""
-        rows, places, firsts, seconds = [], [], [], []
-        for k, (at, g) in enumerate(self.least):
-            if len(at) and len(shared):
-                p = np.minimum(np.searchsorted(shared, g), len(shared) - 1)
-                hit = np.flatnonzero((shared[p] == g)[at])
-                if len(hit):
-                    h = self.words[k][2]
-                    rows.append(np.full(len(hit), k))
-                    places.append(hit)
-                    firsts.append(runs(h, WINDOW, 5)[hit])
-                    seconds.append((runs(h, WINDOW, 9)[hit] >> np.uint64(32)).astype("uint32"))
-        empty = [np.zeros(0, "int64")]
-        return np.concatenate(rows or empty), np.concatenate(places or empty), np.concatenate(firsts or [np.zeros(0, "uint64")]), np.concatenate(seconds or [np.zeros(0, "uint32")])
-
-    def entries(self, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        """Each different window once, with the least doc_id that has it here: doc, hashes, bucket, sorted; and of each
-        window of ``found`` its entry."""
-        rows, _, w, v = found
-        docs = np.array([-(1 << 63) if i is None else i for i in self.ids], "int64")[rows]
-        order = np.lexsort((docs, v, w))
-        ws, vs = w[order], v[order]
-        first = np.concatenate([[True], (ws[1:] != ws[:-1]) | (vs[1:] != vs[:-1])]) if len(ws) else np.zeros(0, bool)
-        head = order[first]
-        entry_of = np.zeros(len(w), "int64")
-        entry_of[order] = np.cumsum(first) - 1
-        bucket = _bucket(w[head], self.buckets)
-        by = np.lexsort((v[head], w[head], docs[head], bucket))
-        place = np.empty_like(by)
-        place[by] = np.arange(len(by))
-        return docs[head][by], w[head][by], v[head][by], bucket[by], place[entry_of] if len(w) else entry_of
-
-    def ask(self, number: int, shared: np.ndarray) -> Iterator[tuple]:
-        """Messages of kind 2: the windows of each bucket by document; documents as (doc_id, number of windows)."""
-        docs, w, v, bucket, _ = self.entries(self.windows(shared))
-        for b, s in _slices(bucket):
-            ids, counts = np.unique(docs[s], return_counts=True)
-            yield number, b, 2, w[s].tobytes(), v[s].tobytes(), np.stack([ids, counts]).tobytes()
-
-    def removed(self, replies: pd.DataFrame) -> list[np.ndarray]:
-        """For each row which words go."""
-        found = self.windows(self.shared(replies))
-        docs, _, _, bucket, entry = self.entries(found)
-        earlier = np.zeros(len(docs), bool)
-        _fill(earlier, bucket, replies[replies["kind"] == 3])
-        rows, places = found[0], found[1]
-        mine = np.array([-(1 << 63) if i is None else i for i in self.ids], "int64")[rows]
-        goes = earlier[entry] | (mine > docs[entry]) if len(rows) else np.zeros(0, bool)
-        out = [np.zeros(len(w[0]), bool) for w in self.words]
-        rows, places = rows[goes], places[goes]
-        for k in np.unique(rows):
-            turn = np.zeros(len(out[k]) + 1, "int32")
-            p = places[rows == k]
-            np.add.at(turn, p, 1)
-            np.add.at(turn, p + WINDOW, -1)
-            out[k] = np.cumsum(turn)[:-1] > 0
+    """The windows of a chunk of documents (doc_id, text), the same whatever the order of its rows.
+
+    A window is filed under the least hash of its six-word runs (XXH3 of the words), and told apart by a hash of all its
+    words from another family (BLAKE2b of the words): 128 bits of both.
+    """
+
+    def __init__(self, ids: list, docs: list[bytes]):
+        mine = store("substrings")
+        if not mine:
+            mine["words"] = Vocabulary()
+        self.ids, self.words = ids, [d.split() for d in docs]
+        keys, others, rows, places = [np.zeros(0, "uint64")], [np.zeros(0, "uint64")], [], []
+        for n, (i, w) in enumerate(zip(ids, self.words)):
+            if i is not None and len(w) >= WINDOW:
+                first, second = mine["words"](w)
+                at, g = least_grams(first)
+                keys.append(mix(g[at]))
+                others.append(runs(second, WINDOW))
+                rows.append((n, len(at)))
+        key, other = np.concatenate(keys), np.concatenate(others)
+        self.row = np.repeat([n for n, _ in rows], [m for _, m in rows]).astype("int64")
+        self.place = np.concatenate([np.arange(m) for _, m in rows] or [np.zeros(0, "int64")])
+        self.doc = np.array([0 if i is None else i for i in ids], "int64")[self.row]
+        # Windows of one place in a text that share their least run stand together; a key met once more is sorted out.
+        turn = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (self.row[1:] != self.row[:-1]) | (self.place[1:] != self.place[:-1] + 1))) if len(key) else np.zeros(0, "int64")
+        size = np.diff(np.append(turn, len(key)))
+        by = np.argsort(key[turn], kind="stable")
+        starts = np.repeat(turn[by] - np.append(0, np.cumsum(size[by])[:-1]), size[by]) if len(by) else np.zeros(0, "int64")
+        order = starts + np.arange(len(key))
+        k = key[turn[by]]
+        again = np.append(False, k[1:] == k[:-1]) if len(k) else np.zeros(0, bool)
+        again |= np.append(again[1:], False)
+        several = np.flatnonzero(np.repeat(again, size[by]))
+        mixed = order[several]
+        order[several] = mixed[np.lexsort((self.doc[mixed], other[mixed], key[mixed]))]
+        ks, vs = key[order], other[order]
+        first = np.append(True, (ks[1:] != ks[:-1]) | (vs[1:] != vs[:-1])) if len(ks) else np.zeros(0, bool)
+        self.entry = np.empty(len(key), "int64")
+        self.entry[order] = np.cumsum(first) - 1
+        self.windows = Windows(ks[first], vs[first], self.doc[order][first])
+
+    def removed(self, buckets: int, replies: pd.DataFrame) -> list[np.ndarray]:
+        """For each row which words go, by the replies of kind 1."""
+        earlier = np.zeros(len(self.windows.key), bool)
+        got = dict(zip(replies["bucket"], replies["k"]))
+        bucket = _bucket(self.windows.key, buckets)
+        turn = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
+        for a, z in zip(turn, [*turn[1:], len(bucket)]):
+            if bits := got.get(int(bucket[a])):
+                earlier[a:z] = np.unpackbits(np.frombuffer(bits, "uint8"), count=z - a).astype(bool)
+        goes = earlier[self.entry] | (self.doc > self.windows.doc[self.entry])
+        out = [np.zeros(len(w), bool) for w in self.words]
+        rows, places = self.row[goes], self.place[goes]
+        ends = np.flatnonzero(np.append(rows[1:] != rows[:-1], True)) + 1 if len(rows) else []
+        for a, z in zip([0, *ends[:-1]], ends):
+            turn = np.zeros(len(out[rows[a]]) + 1, "int32")
+            np.add.at(turn, places[a:z], 1)
+            np.add.at(turn, places[a:z] + WINDOW, -1)
+            out[rows[a]] = np.cumsum(turn)[:-1] > 0
         return out
 
 
-def _slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
-    if len(bucket):
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        for a, z in zip(at, [*at[1:], len(bucket)]):
-            yield int(bucket[a]), slice(int(a), int(z))
+def _match(g: pd.DataFrame) -> pd.DataFrame:
+    """Merges a range's windows of the index (kind 2) with those of a batch's chunks (kind 0).
 
+    Replies to each chunk which of its windows have a smaller doc_id elsewhere; and gives the batch's own sorted run:
+    its windows, but those that the index has under a doc_id as small.
+    """
+    g = g.sort_values(["kind", "chunk"], kind="stable", ignore_index=True)
+    parts = [Windows.read(*x) for x in zip(g["k"], g["c"], g["v"], g["d"])]
+    whole, where = merge(parts)
+    known = np.zeros(len(whole.key), bool)
+    out, at = [], 0
+    for kind, chunk, bucket, p in zip(g["kind"], g["chunk"], g["bucket"], parts):
+        mine = where[at : at + len(p.key)]
+        at += len(p.key)
+        if kind == 0:
+            bits = p.doc > whole.doc[mine]
+            if bits.any():
+                out.append((1, chunk, bucket, np.packbits(bits).tobytes(), None, None, None))
+    at = 0
+    for kind, p in zip(g["kind"], parts):
+        mine = where[at : at + len(p.key)]
+        at += len(p.key)
+        if kind == 2:
+            known[mine[p.doc <= whole.doc[mine]]] = True
+    fresh = Windows(whole.key[~known], whole.other[~known], whole.doc[~known])
+    b = int(g["bucket"].iloc[0])
+    if len(fresh.key):
+        out += [(kind, chunk, b, *rest) for kind, chunk, _, *rest in fresh.blocks(2, -1, 1)]
+    return _frame(out)
 
-def _fill(bits: np.ndarray, bucket: np.ndarray, replies: pd.DataFrame) -> None:
-    got = dict(zip(replies["bucket"], replies["a"]))
-    for b, s in _slices(bucket):
-        if b in got:
-            bits[s] = np.unpackbits(np.frombuffer(got[b], "uint8"), count=s.stop - s.start).astype(bool)
 
+def _merge_runs(g: pd.DataFrame) -> pd.DataFrame:
+    whole, _ = merge([Windows.read(*x) for x in zip(g["k"], g["c"], g["v"], g["d"])])
+    return _frame((kind, chunk, int(g["bucket"].iloc[0]), *rest) for kind, chunk, _, *rest in whole.blocks(2, -1, 1))
 
-def _frame(rows) -> pd.DataFrame:
-    return pd.DataFrame(list(rows), columns=["chunk", "bucket", "kind", "a", "b", "c"])
-
-
-def _match_prints(g: pd.DataFrame) -> pd.DataFrame:
-    """Merges the sorted runs of a bucket; replies to each chunk which of its fingerprints other documents hold."""
-    parts = [np.frombuffer(a, "uint64") for a in g["a"]]
-    values, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    several = np.concatenate([np.unpackbits(np.frombuffer(b, "uint8"), count=len(p)).astype(bool) for b, p in zip(g["b"], parts)])
-    common = counts > 1
-    common[inverse[several]] = True
-    bits, at, out = common[inverse], 0, []
-    for chunk, bucket, p in zip(g["chunk"], g["bucket"], parts):
-        if bits[at : at + len(p)].any():
-            out.append((chunk, bucket, 1, np.packbits(bits[at : at + len(p)]).tobytes(), None, None))
-        at += len(p)
-    return _frame(out)
 
+def _pressed(text: Column) -> Column:
+    """The text in UTF-8, compressed."""
 
-def _match_windows(g: pd.DataFrame) -> pd.DataFrame:
-    """Verifies windows of a bucket by 96 bits; replies to each chunk which of its windows a smaller doc_id has elsewhere."""
-    w = [np.frombuffer(a, "uint64") for a in g["a"]]
-    v = np.concatenate([np.frombuffer(b, "uint32") for b in g["b"]])
-    docs = np.concatenate([np.repeat(*np.frombuffer(c, "int64").reshape(2, -1)) for c in g["c"]])
-    whole = np.concatenate(w)
-    order = np.lexsort((docs, v, whole))
-    ws, vs, ds = whole[order], v[order], docs[order]
-    first = np.concatenate([[True], (ws[1:] != ws[:-1]) | (vs[1:] != vs[:-1])])
-    least = ds[np.flatnonzero(first)][np.cumsum(first) - 1]
-    bits = np.zeros(len(docs), bool)
-    bits[order] = ds > least
-    at, out = 0, []
-    for chunk, bucket, p in zip(g["chunk"], g["bucket"], w):
-        if bits[at : at + len(p)].any():
-            out.append((chunk, bucket, 3, np.packbits(bits[at : at + len(p)]).tobytes(), None, None))
-        at += len(p)
-    return _frame(out)
+    def press(batch: pd.Series) -> pd.Series:
+        z = zstandard.ZstdCompressor(level=3)
+        return pd.Series([z.compress(t.encode("utf-8", "surrogatepass")) for t in batch])
+
+    return F.pandas_udf(press, "binary")(text)
 
 
 class FingerprintIndex:
-    """A log-structured index in the folder ``path``: a sorted, immutable run of fingerprints for each batch added.
+    """A log-structured index in the folder ``path``: a sorted, immutable run of window hashes for each batch added.
 
     add() gives each document of a batch without the words that windows cover which start in a document with a smaller
-    doc_id, of the batch or of an earlier one. A run holds, for each chunk of documents and each range of hashes, the
-    sorted least six-word hashes of all windows of 13 words, each once. The runs of a range are merged with the batch's;
-    chunks learn which of their fingerprints other documents hold, and ask by whole windows for those alone; windows are
-    verified by 96 bits of two independent hashes of their words. compact() makes one run out of many.
-
-    A chunk sends a hash once, however many of its documents hold it, so a passage in a third of all documents weighs as
-    many entries as there are chunks. ``history``: the earlier batches' documents, in the order they were added, needed to
-    ask for windows; judging is by doc_id, so batches should come in its order.
+    doc_id, of the batch or of an earlier one. A run holds, for each range of keys, the batch's distinct windows of 13
+    words, sorted, each with its least doc_id, and nothing that the index had before; so a later batch needs neither the
+    earlier texts nor to be told of them. The sorted runs of a range are merged with the sorted windows of the batch's
+    chunks; a window is filed under the least hash of its six-word runs and verified by a second hash of all its words,
+    of another family (128 bits in all). compact() merges runs into one. Ranges are split as the index grows: a run's
+    blocks are cut at the new bounds as they are read.
+
+    A chunk sends a window once, however many of its documents hold it, so a passage in a third of all documents weighs as
+    many entries as there are chunks. Judging is by doc_id, and a document is judged when it is added, so batches should
+    come in the order of doc_id.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.buckets, self.chunks, self.parts = 0, [], []  # ranges; chunks of each batch; folders of runs
+        self.bytes, self.batches, self.parts = 0, 0, []  # text added; batches; [folder, ranges] of each run
 
-    def _chunked(self, docs: DataFrame, batch: int) -> DataFrame:
-        n = self.chunks[batch]
-        return docs.withColumn("chunk", F.lit(batch << 32) + F.pmod(F.coalesce(F.xxhash64("doc_id"), F.xxhash64("text")) if "doc_id" in docs.columns else F.lit(0), F.lit(n)))
+    def _ranges(self) -> int:
+        return 1 << max(0, (-(-self.bytes // BUCKET_BYTES) - 1).bit_length())
 
-    def add(self, docs: DataFrame, history: list[DataFrame] = (), digest: bool = False) -> DataFrame:
+    def add(self, docs: DataFrame, digest: bool = False) -> DataFrame:
         """All columns of ``docs``, and n_words, n_removed, and kept: the text without its removed words.
 
         A text that loses nothing stays as it is in ``kept``; else its kept words are joined by one space. With
         ``digest`` instead: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space. Null and empty
         texts have no words; null doc_id: the row neither loses words nor takes them from others. Rows of equal doc_id
-        don't take words from each other. Columns named like added ones are replaced.
+        don't take words from each other. Other columns come back as they are, but those named like added ones are
+        replaced.
         """
-        own = ["n_words", "n_removed", "kept", "kept_sha256", "chunk"]
-        docs = docs.select(*[c for c in docs.columns if c not in own])
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        if not self.chunks:
-            self.buckets = max(1, -(-size // BUCKET_BYTES))
-        batch, buckets = len(self.chunks), self.buckets
-        self.chunks.append(max(1, -(-size // CHUNK_BYTES)))
-        chunked = self._chunked(docs, batch)
-        narrow = chunked.select("chunk", "doc_id", "text")
-
-        def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-            return _frame(Chunk(g, buckets).run(int(key[0])))
-
-        part = f"{self.path}/run-{batch}"
-        narrow.groupBy("chunk").applyInPandas(run, MESSAGE).sortWithinPartitions("bucket").write.parquet(part)
-        self.parts.append(part)
+        spark, own = self.spark, ["n_words", "n_removed", "kept_sha256" if digest else "kept"]
+        rest = [c for c in docs.columns if c.lower() not in [*own, "text"]] if not digest else ["doc_id"]
+        number, body, size, chunk = free_names(docs, "number", "body", "size", "chunk")
+        text = F.coalesce(F.col("text"), F.lit(""))
+        placed = docs.select(*rest, F.monotonically_increasing_id().alias(number), F.col("text").isNull().alias(size + "_none"), F.octet_length(text).cast("long").alias(size), _pressed(text).alias(body))
+        stored, part = f"{self.path}/batch-{self.batches}", f"{self.path}/run-{self.batches}"
+        placed.write.parquet(stored)
+        placed = spark.read.schema(placed.schema).parquet(stored)
+        added = placed.agg(F.sum(size)).first()[0] or 0
+        self.bytes, self.batches = self.bytes + added, self.batches + 1
+        buckets = self._ranges()
+        placed = placed.withColumn(chunk, F.pmod(F.xxhash64(number), F.lit(max(1, -(-added // CHUNK_BYTES)))))
+
+        def opened(g: pd.DataFrame) -> Chunk:
+            open_ = zstandard.ZstdDecompressor().decompress
+            return Chunk([None if pd.isna(x) else int(x) for x in g["doc_id"]], [open_(x) for x in g[body]])
+
+        def send(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+            return _frame(opened(g).windows.blocks(0, int(key[0]), buckets))
+
+        sent = placed.select(chunk, "doc_id", body).groupBy(chunk).applyInPandas(send, BLOCK)
+        met = sent.unionByName(self.runs(buckets)).groupBy("bucket").applyInPandas(_match, BLOCK)
+        met.write.partitionBy("kind").parquet(part)
         gc.collect()  # lets go of the shuffle files of what is written
-
-        replies = cut(self.runs().groupBy("bucket").applyInPandas(_match_prints, MESSAGE))
-        everyone = narrow
-        for k, old in enumerate(history):
-            everyone = everyone.unionByName(self._chunked(old, k).select("chunk", "doc_id", "text"))
-
-        def ask(key: tuple, g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            if not len(g) or not len(r):
-                return _frame(())
-            c = Chunk(g, buckets)
-            return _frame(c.ask(int(key[0]), c.shared(r)))
-
-        asked = everyone.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(ask, MESSAGE)
-        answers = replies.unionByName(asked.groupBy("bucket").applyInPandas(_match_windows, MESSAGE)).where(F.col("chunk") >= batch << 32)
-        rest = [f for f in docs.schema.fields if f.name != "text"] if not digest else [docs.schema["doc_id"]]
-        out = T.StructType([*(rest if digest else docs.schema.fields), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256" if digest else "kept", T.StringType())])
+        self.parts.append([part, buckets])
+        replies = spark.read.schema(BLOCK).parquet(part).where("kind = 1").select("chunk", "bucket", "k")
+        fields = [docs.schema[c] for c in rest] if digest else docs.schema.fields
+        fields = [f for f in fields if f.name.lower() not in own]
+        out = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(own[2], T.StringType())])
 
         def finish(key: tuple, g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             if not len(g):
                 return pd.DataFrame(columns=out.fieldNames())
-            c = Chunk(g, buckets)
-            gone, kept = c.removed(r), []
-            for data, text, x in zip(c.data, g["text"], gone):
-                words = data.split() if digest or x.any() else ()
-                left = b" ".join([w for w, y in zip(words, x.tolist()) if not y] if x.any() else words)
-                kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "surrogatepass") if x.any() else text)
-            g = g.drop(columns="chunk").assign(n_words=[len(x) for x in gone], n_removed=[int(x.sum()) for x in gone])
-            return g.assign(**{out.fieldNames()[-1]: kept})[out.fieldNames()]
-
-        return (narrow if digest else chunked).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, out)
-
-    def runs(self) -> DataFrame:
-        """All runs; none may hold a row."""
-        return self.spark.read.schema(MESSAGE).parquet(*self.parts)
+            c = opened(g)
+            gone, kept = c.removed(buckets, r), []
+            texts = [None if none else zstandard.ZstdDecompressor().decompress(x).decode("utf-8", "surrogatepass") for none, x in zip(g[size + "_none"], g[body])] if not digest else [None] * len(g)
+            for words, t, x in zip(c.words, texts, gone):
+                if digest or x.any():
+                    left = b" ".join([w for w, y in zip(words, x.tolist()) if not y] if x.any() else words)
+                kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "surrogatepass") if x.any() else t)
+            added = {"n_words": [len(x) for x in gone], "n_removed": [int(x.sum()) for x in gone], own[2]: kept}
+            return g.assign(**added, **({} if digest else {"text": texts}))[out.fieldNames()]
+
+        return placed.groupBy(chunk).cogroup(replies.groupBy("chunk")).applyInPandas(finish, out)
+
+    def runs(self, buckets: int | None = None) -> DataFrame:
+        """All runs, cut at the bounds of ``buckets`` ranges, at least as many as any run has; none may hold a row."""
+        buckets = buckets or self._ranges()
+
+        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for x in zip(batch["k"], batch["c"], batch["v"], batch["d"]):
+                    yield _frame(Windows.read(*x).blocks(2, -1, buckets))
+
+        found = self.spark.createDataFrame([], BLOCK)
+        for part, n in self.parts:
+            run = self.spark.read.schema(BLOCK).parquet(part).where("kind = 2").select(*NAMES)
+            found = found.unionByName(run if n == buckets else run.mapInPandas(split, BLOCK))
+        return found
 
     def compact(self, most: int = RUNS) -> None:
-        """Merges all runs into one, sorted by range, if there are more than ``most``; old runs stay for their readers."""
+        """Merges all runs into one if there are more than ``most``; merged runs are removed."""
         if len(self.parts) > most:
-            part = f"{self.path}/merged-{len(self.chunks)}"
-            self.runs().repartitionByRange("bucket", "chunk").sortWithinPartitions("bucket", "chunk").write.parquet(part)
-            self.parts = [part]
+            part, buckets = f"{self.path}/merged-{self.batches}", self._ranges()
+            self.runs(buckets).groupBy("bucket").applyInPandas(_merge_runs, BLOCK).write.partitionBy("kind").parquet(part)
+            for old, _ in self.parts:
+                drop(self.spark, f"{old}/kind=2")  # replies of kind 1 are for results not yet read
+            gc.collect()
+            self.parts = [[part, buckets]]
 
     def state(self) -> str:
-        return json.dumps({"buckets": self.buckets, "chunks": self.chunks, "parts": self.parts})
+        return json.dumps({"bytes": self.bytes, "batches": self.batches, "parts": self.parts})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, state: str) -> FingerprintIndex:
@@ -282,5 +313,35 @@ class FingerprintIndex:
         return index
 
 
+def batch_of(docs: DataFrame, batches: int) -> Column:
+    """The number of a row's batch by rising doc_id, near-equal in rows; equal doc_id together, null in the first."""
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] or []
+    return F.coalesce(sum([(F.col("doc_id") > c).cast("int") for c in cuts], F.lit(0)), F.lit(0))
+
+
+def deduplicate(docs: DataFrame, digest: bool = False, batches: int = BATCHES) -> DataFrame:
+    """``docs`` added to a new index in ``batches`` batches by rising doc_id, compacted after each but the last; as add()."""
+    spark = docs.sparkSession
+    index, of, found = FingerprintIndex(spark, scratch(spark, "fingerprints")), batch_of(docs, batches), None
+    for k in range(batches):
+        part = index.add(docs.where(of == k), digest)
+        found = part if found is None else found.unionByName(part)
+        if k < batches - 1:
+            index.compact(1)
+    return found
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FingerprintIndex(spark, scratch(spark, "fingerprints")).add(table(spark, sf_dir, "documents"), digest=True)
+    return deduplicate(table(spark, sf_dir, "documents"), digest=True)
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT rid, doc_id, p, array_to_string(list_slice(w, p, p + {WINDOW - 1}), ' ') AS k
+    FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS p FROM d WHERE doc_id IS NOT NULL AND len(w) >= {WINDOW})),
+first AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT rid, unnest(range(p, p + {WINDOW})) AS spot FROM windows JOIN first USING (k) WHERE least < doc_id),
+words AS (SELECT rid, unnest(range(1, len(w) + 1)) AS spot, unnest(w) AS word FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY spot) AS left_over FROM words ANTI JOIN gone USING (rid, spot) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""

@@ -25,9 +25,9 @@ def brute(docs):
             if i and 5 * i >= 4 * len(sets[a] | sets[b]):
                 links[a] += 1
                 links[b] += 1
-                if sets[a] != sets[b]:
-                    texts[a].add(frozenset(sets[b]))
-                    texts[b].add(frozenset(sets[a]))
+                if (x := docs[a][1].split()) != (y := docs[b][1].split()):
+                    texts[a].add(tuple(y))
+                    texts[b].add(tuple(x))
                 parent[top(a)] = top(b)
     least = {}
     for k in range(n):
@@ -61,11 +61,23 @@ def test_same_as_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS node").repartition(3)
     got = {r.doc_id: (r.class_id, r.n_links, r.n_text_links) for r in J.jaccard_classes(df).collect()}
     assert got == want
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_text_links) for r in J.jaccard_classes(df, exact=True).collect()}
+    assert got == want
     monkeypatch.setattr(J, "BLOCK", 500)
     got = {r.doc_id: (r.class_id, r.n_links, r.n_text_links) for r in J.jaccard_classes(df).collect()}
     assert got == want
 
 
+def test_oracle_sql_says_the_same(spark, tmp_path):
+    import duckdb
+
+    docs = corpus()
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert {r[0]: r[1:] for r in con.sql(J.ORACLE).fetchall()} == brute(docs)
+
+
 def test_odd_rows(spark):
     t = "one two three four five six seven"
     df = spark.createDataFrame([(None, t), (3, t), (3, t), (None, "x"), (4, "long words " * 50_000)], "doc_id long, text string")
@@ -78,3 +90,40 @@ def test_pruning_keeps_true_pairs():
     rng = np.random.default_rng(0)
     for n, least in J.LEAST:
         assert (rng.binomial(n, 0.8, 100_000) >= least).all()
+
+
+def thue_morse(n, a, b):
+    """Two words that any polynomial in two's powers takes for one."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    x, y = thue_morse(2048, "a", "b")
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen "
+    df = spark.createDataFrame([(1, x), (2, y), (3, x + " z"), (4, text * 2 + x), (5, text * 2 + y)], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_text_links) for r in J.jaccard_classes(df).collect()}
+    assert got == brute([(r.doc_id, r.text) for r in df.collect()])
+    assert got[1] == (1, 0, 0) and got[2] == (2, 0, 0)
+
+
+def test_words_are_compared_where_hashes_agree(monkeypatch):
+    """With a hash of eight values, sets are still those of the words."""
+    monkeypatch.setattr(J, "runs", lambda h, n: J_runs(h, n) % np.uint64(8))
+    docs = [t.encode().split() for t in ("a b c d e f g", "h i j k l m n", "a b c d e f g h", "a b c d e f g", "a b", "a b c", "b a")]
+    rows, _ = J.word_sets(docs)
+    for i, a in enumerate(docs):
+        for j, b in enumerate(docs):
+            s, t = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a, b))
+            assert len(np.intersect1d(rows[i], rows[j])) == len(s & t) and len(rows[i]) == len(s)
+
+
+J_runs = J.runs
+
+
+def test_keep_one_names_rows_not_ids(spark):
+    t = "one two three four five six seven"
+    rows = [(3, t, 1), (3, "quite another text of some words", 2), (5, t, 3), (None, t, 4), (None, "alone here", 5), (7, "", 6), (7, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, number int").coalesce(1)
+    assert sorted(r.number for r in J.keep_one(df).collect()) == [1, 2, 5, 6, 7]
+    assert J.keep_one(df).columns == df.columns and J.keep_one(df.limit(0)).count() == 0

@@ -58,23 +58,65 @@ def test_same_as_brute_force(spark, small):
 
 
 def test_batches_and_compaction(spark, monkeypatch):
+    """No text of an earlier batch is given; ranges split as the index grows; compacted runs say the same."""
     monkeypatch.setattr(S, "CHUNK_BYTES", 2000)
     monkeypatch.setattr(S, "BUCKET_BYTES", 2000)
     docs = sorted((d for d in corpus() if d[0] is not None), key=lambda d: d[0])
     want = sorted(brute(docs), key=KEY)
-    batches = [[d for d in docs if d[0] < 300_000], [d for d in docs if 300_000 <= d[0] < 600_000], [d for d in docs if d[0] >= 600_000]]
-    path, got, history, state = scratch(spark, "t"), [], [], None
-    for b in batches:
-        df = spark.createDataFrame(b, "doc_id long, text string")
-        index = S.FingerprintIndex.load(spark, path, state) if state else S.FingerprintIndex(spark, path)
-        got += [tuple(r) for r in index.add(df, history, digest=True).collect()]
-        index.compact(1)
-        assert len(index.parts) == 1
-        history.append(df)
-        state = index.state()
-    assert sorted(got, key=KEY) == want
+    batches = [[d for d in docs if d[0] < 100_000], [d for d in docs if 100_000 <= d[0] < 600_000], [d for d in docs if d[0] >= 600_000]]
+    for most in (1, 9):
+        path, got, state, ranges = scratch(spark, "t"), [], None, []
+        for b in batches:
+            index = S.FingerprintIndex.load(spark, path, state) if state else S.FingerprintIndex(spark, path)
+            got += [tuple(r) for r in index.add(spark.createDataFrame(b, "doc_id long, text string"), digest=True).collect()]
+            index.compact(most)
+            ranges.append(index._ranges())
+            state = index.state()
+        assert len(index.parts) == (1 if most == 1 else 3) and ranges == sorted(ranges) and ranges[0] < ranges[-1]
+        assert sorted(got, key=KEY) == want
+
+
+def test_second_batch_needs_no_history(spark):
+    index = S.FingerprintIndex(spark, scratch(spark, "t"))
+    text = " ".join(f"w{k}" for k in range(20))
+    assert index.add(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().n_removed == 0
+    assert index.add(spark.createDataFrame([(2, text)], "doc_id long, text string")).first().n_removed == 20
+
+
+def test_deduplicate_in_batches(spark, small):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS chunk", "'x' AS kept", "2 AS number", "3 AS N_WORDS").repartition(3)
+    got = [tuple(r) for r in S.deduplicate(df, digest=True).collect()]
+    assert sorted(got, key=KEY) == sorted(brute(docs), key=KEY)
+    full = S.deduplicate(df)
+    assert full.columns == ["doc_id", "text", "chunk", "number", "n_words", "n_removed", "kept"]
+    rows = full.collect()
+    assert len(rows) == len(docs) and all(r.n_removed or r.kept == r.text for r in rows)
+    assert sorted(((r.doc_id, r.text) for r in rows), key=KEY) == sorted(docs, key=KEY)
+
+
+def test_oracle_sql_says_the_same(spark, tmp_path):
+    import duckdb
+
+    docs = [d for d in corpus() if d[0] is not None]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(con.sql(S.ORACLE).fetchall(), key=KEY) == sorted(brute(docs), key=KEY)
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    from .test_ngram_join import thue_morse
+
+    x, y = thue_morse(2048, "a", "b")
+    rest = " ".join(f"w{k}" for k in range(12))
+    docs = [(1, f"{rest} {x}"), (2, f"{rest} {y}"), (3, f"{rest} {x}")]
+    got = [tuple(r) for r in S.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), digest=True).collect()]
+    assert sorted(got) == brute(docs) and [r[2] for r in sorted(got)] == [0, 0, 13]
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert S.FingerprintIndex(spark, scratch(spark, "t")).add(df).count() == 0
+    assert S.FingerprintIndex(spark, scratch(spark, "t")).add(df).count() == 0 and S.deduplicate(df).count() == 0
+    nulls = spark.createDataFrame([(None, None), (None, "a b")], "doc_id long, text string")
+    assert S.deduplicate(nulls).count() == 2
