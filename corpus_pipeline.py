@@ -9,33 +9,55 @@ from quernlake.llm._common import scratch, table
 from quernlake.llm.ngram_join import keep_one
 from quernlake.llm.packing import pack_documents
 from quernlake.llm.quality import keep_good, train_quality
-from quernlake.llm.substring_dedup import FingerprintIndex
+from quernlake.llm.substring_dedup import deduplicate
 from quernlake.llm.toxicity import keep_clean, train_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the string-kernel machine calls toxic."""
+    """Drops documents that the string-kernel machine calls toxic; all columns of the rest as they are.
+
+    Null and empty texts are judged as a word without letters, very long ones whole; repeated rows, equal and null doc_id
+    are judged row by row. An empty table stays empty.
+    """
     return keep_clean(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the boosted trees call poor."""
+    """Drops documents that the boosted trees call poor; all columns of the rest as they are.
+
+    Null texts are judged as empty ones, very long ones whole; repeated rows, equal and null doc_id row by row. An empty
+    table stays empty.
+    """
     return keep_good(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one row of each group of near duplicates, the first by doc_id (null last), all columns as they are.
+
+    Texts without words (null, empty) have no duplicates and stay; repeated rows leave one; two different texts with one
+    doc_id are judged apart; very long texts are compared whole. Any other columns may be there.
+    """
     return keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes passages out that an earlier document has; n_chars follows the text."""
-    found = FingerprintIndex(spark, scratch(spark, "fingerprints")).add(docs)
-    return found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(docs.columns)
+    """Takes passages out that an earlier document has; n_chars follows the text.
+
+    Null and empty texts stay as they are, null doc_id neither loses nor takes; rows of equal doc_id take nothing from each
+    other. Very long texts are judged whole. Columns named like the operator's own come back as they were.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = deduplicate(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(others)]))
+    found = found.select("doc_id", F.col("kept").alias("text"), *[F.col(f"_{k}").alias(c) for k, c in enumerate(others)])
+    return (found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into training sequences."""
+    """Packs what is left into training sequences, with their token ids.
+
+    Null and empty texts are a document of the end token alone; repeated rows and null doc_id are packed one by one; very
+    long texts are cut into pieces. Columns but doc_id and text are left out. An empty table gives no pieces.
+    """
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
