@@ -97,7 +97,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out:
     """At most rows[v] documents whose label is v, outside the fold ``held_out``: doc_id, y, text.
 
     Which ones, a hash of doc_id decides, so that every part of the table is met. Only the chosen ids, a bounded number,
-    are broadcast. An id labelled twice takes its larger label; null ids and labels are left out.
+    are broadcast. An id labelled twice takes its larger label, one with several texts the least; null ids and labels are
+    left out.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(mod) != held_out))
     known = known.groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -105,4 +106,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out:
     for v, n in rows.items():
         part = known.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))

@@ -63,6 +63,16 @@ def test_nulls(spark):
         assert stage(spark, docs, SF).count() >= 0, name
 
 
+def test_columns_named_like_the_operators_own(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(30)) + f" e{k}" * (k % 2), "a", 1, 2, "b", 3, "c") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words int, n_removed int, kept_sha256 string, chunk int, number string")
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert {tuple(r)[2:] for r in got.collect()} <= {("a", 1, 2, "b", 3, "c")}, name
+    assert dict(P.STAGES)["packing"](spark, docs, SF).count() > 0
+
+
 def test_packing_gives_token_ids(spark):
     docs = spark.createDataFrame([(3, "The quick brown fox went over there.", "en", "s", 36)], "doc_id long, text string, lang string, source string, n_chars long")
     got = dict(P.STAGES)["packing"](spark, docs, SF).collect()
