@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import Memo, store, table, texts
 
-SPACE = "▁"
+SPACE, APART = "▁", "\uf8ff"
 
 
 class PieceCodec:
@@ -22,7 +22,7 @@ class PieceCodec:
     encode() keeps an agenda of adjacent symbol pairs whose concatenation is a piece, takes the pair of the best score
     (the leftmost among equals), merges it and adds the two pairs that arise, till the agenda is empty. A boundary that no
     piece of the vocabulary crosses can't be merged over, so a text falls into units there, which are encoded one by one
-    and remembered. Each word, with all its units, is held against the sentencepiece library's encode() and decode() when
+    and remembered. Each unit, without exception, is held against the sentencepiece library's encode() and decode() when
     first met, and so is a whole text of each batch (check()); a difference raises. Texts are decoded from their ids.
     """
 
@@ -47,10 +47,13 @@ class PieceCodec:
             raise ValueError("pieces with inner spaces aren't supported")
         self.units = Memo(self._encode_units, memo)
         self.words = Memo(self._encode_words, memo)
-        self.texts = Memo(lambda found: [self.decode_ids(map(int, x.split(","))) for x in found], memo)
+        self.texts = Memo(lambda found: list(map(self.text_of, found)), memo)
         text_ids = set(self.ids.values())
         self.shown = [self.pieces[i] if i in text_ids else "" for i in n]
         self.shown[self.unk] = " ⁇ "
+        self.apart = sp.encode(APART)
+        if any(APART in p for p in self.pieces):
+            raise ValueError("vocabularies with pieces of the private character U+F8FF aren't supported")
 
     def agenda(self, unit: str) -> list[str]:
         """The pieces into which ``unit`` merges, by score, then from the left: a flat agenda for short units, else a heap."""
@@ -105,8 +108,19 @@ class PieceCodec:
             symbols = self.agenda(u)
             got = [self.ids.get(x) for x in symbols]
             out.append(",".join(map(str, self._ids(symbols) if None in got else got)))
+        if self.verify:
+            self._check_units(units, out)
         return out
 
+    def _check_units(self, units: list[str], found: list[str]) -> None:
+        """Units stand behind a character of no piece, over which nothing merges, so that the library sees each as in its word."""
+        n, k = len(self.apart), len(APART)
+        theirs = self.lib.encode([APART + u.replace(SPACE, " ") for u in units], num_threads=1)
+        back = self.lib.decode(theirs, num_threads=1)
+        for u, ids, want, text in zip(units, found, theirs, back, strict=True):
+            if ids != str(want[n:])[1:-1].replace(" ", "") or text[k:] != self.text_of(ids):
+                raise RuntimeError(f"the agenda and the library differ on {u!r}: {ids}; {want[n:]}; {text[k:]!r}")
+
     def split(self, word: str) -> list[str]:
         """``word`` cut where no piece crosses."""
         joined, at, out = self.joined, 0, []
@@ -123,25 +137,18 @@ class PieceCodec:
         self.units.fill(chain.from_iterable(parts))
         units = self.units
         out = [",".join([units[p] for p in ps]) for ps in parts]
-        if self.verify:
-            self._check_words(words, out)
         return out
 
-    def _check_words(self, words: list[str], found: list[str]) -> None:
-        """The library puts a space mark before each text, as stands before each word; of "" it keeps none, so x stands before it."""
-        plain = [w.replace(SPACE, " ") for w in words]
-        theirs = self.lib.encode([w or "x " for w in plain], num_threads=1)
-        back = self.lib.decode([[int(x) for x in ids.split(",")] for ids in found], num_threads=1)
-        for w, ids, want, text in zip(plain, found, theirs, back, strict=True):
-            if (ids != ",".join(map(str, want)) if w else int(ids) != want[-1]) or text != self.decode_ids(map(int, ids.split(","))).removeprefix(" "):
-                raise RuntimeError(f"the agenda and the library differ on {w!r}: {ids}; {want}; {text!r}")
-
     def check(self, text: str, ids: str, back: str) -> None:
         """Holds a whole text, its ids and what they decode to against the library."""
         want = self.lib.encode(text)
         if ids != ",".join(map(str, want)) or back != self.lib.decode(want):
             raise RuntimeError(f"the agenda and the library differ on a text that begins with {text[:80]!r}")
 
+    def text_of(self, ids: str) -> str:
+        """decode_ids() of decimal ids joined by commas."""
+        return self.decode_ids(map(int, ids.split(",")))
+
     def decode_ids(self, ids) -> str:
         """The text of ``ids`` with the space that stands first, each id by its piece; broken bytes become U+FFFD one by one."""
         out, run = [], bytearray()

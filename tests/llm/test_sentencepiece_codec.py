@@ -34,10 +34,15 @@ def test_decoded_text_comes_from_the_ids():
     c.words["cat"] = c.encode_word("dog")
     assert c.run("a cat")[1] == "a dog"
     d = PieceCodec(MODEL)
-    d.units["ing"] = "7"
-    d.split = lambda w: [w[:-3], "ing"] if w.endswith("ing") else [w]
+    agenda = d.agenda
+    d.agenda = lambda u: list(u) if u == "中" * 4 else agenda(u)  # not what the scores say
+    d.split = lambda w: [w[:-4], w[-4:]]
+    d.run("xqz中文字符")
+    d.place["er"] = 10**6  # a pair of the wrong rank in the middle of words
+    d.split = lambda w: [w[:-5], w[-5:]] if w.endswith("other") else [w]
+    d.agenda = lambda u: list(u) if u == "other" else agenda(u)
     with pytest.raises(RuntimeError):
-        d.run("xqzing")
+        d.run("!!other")
     with pytest.raises(RuntimeError):
         c.check("a cat", *c.run("a cat"))
 
