@@ -6,6 +6,7 @@ import gc
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from ._common import drop, free_names, scratch, store, table
 from ._words import Vocabulary, mix, runs
 
 WINDOW, GRAM = 13, 6  # words of a window; of the runs that windows are filed under
-CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20  # text of a chunk of documents; text whose windows fill a range of hashes
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20  # text of a chunk of documents; text whose windows fill a range of hashes
 RUNS = 4  # sorted runs of an index, beyond which they are compacted
 BATCHES = 3  # batches in which deduplicate() adds a table
 
@@ -70,7 +71,7 @@ def merge(parts: list[Windows]) -> tuple[Windows, np.ndarray]:
     key, other, doc = (np.concatenate([getattr(p, x) for p in parts]) for x in ("key", "other", "doc"))
     order = np.argsort(key, kind="stable")  # a merge: numpy's stable sort takes sorted stretches as they are
     key, other, doc = key[order], other[order], doc[order]
-    part = np.repeat(np.arange(len(parts)), [len(p.key) for p in parts])[order]
+    part = np.repeat(np.arange(len(parts), dtype="int32"), [len(p.key) for p in parts])[order]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, "int64")
     sizes = np.diff(np.append(head, len(key)))
     mixed = np.minimum.reduceat(part, head) != np.maximum.reduceat(part, head) if len(head) else np.zeros(0, bool)
@@ -103,9 +104,11 @@ class Chunk:
         mine = store("substrings")
         if not mine:
             mine["words"] = Vocabulary()
-        self.ids, self.words = ids, [d.split() for d in docs]
+        self.lengths = np.zeros(len(docs), "int64")
         keys, others, rows, places = [np.zeros(0, "uint64")], [np.zeros(0, "uint64")], [], []
-        for n, (i, w) in enumerate(zip(ids, self.words)):
+        for n, (i, d) in enumerate(zip(ids, docs)):
+            w = d.split()
+            self.lengths[n] = len(w)
             if i is not None and len(w) >= WINDOW:
                 first, second = mine["words"](w)
                 at, g = least_grams(first)
@@ -144,7 +147,7 @@ class Chunk:
             if bits := got.get(int(bucket[a])):
                 earlier[a:z] = np.unpackbits(np.frombuffer(bits, "uint8"), count=z - a).astype(bool)
         goes = earlier[self.entry] | (self.doc > self.windows.doc[self.entry])
-        out = [np.zeros(len(w), bool) for w in self.words]
+        out = [np.zeros(n, bool) for n in self.lengths]
         rows, places = self.row[goes], self.place[goes]
         ends = np.flatnonzero(np.append(rows[1:] != rows[:-1], True)) + 1 if len(rows) else []
         for a, z in zip([0, *ends[:-1]], ends):
@@ -201,6 +204,12 @@ def _pressed(text: Column) -> Column:
     return F.pandas_udf(press, "binary")(text)
 
 
+def _write(blocks: DataFrame, path: str) -> None:
+    """Blocks are large cells of random bytes: no dictionary, and pages and row groups end by size after each row."""
+    options = {"parquet.enable.dictionary": "false", "parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
+    blocks.write.options(**options).partitionBy("kind").parquet(path)
+
+
 class FingerprintIndex:
     """A log-structured index in the folder ``path``: a sorted, immutable run of window hashes for each batch added.
 
@@ -246,16 +255,17 @@ class FingerprintIndex:
         buckets = self._ranges()
         placed = placed.withColumn(chunk, F.pmod(F.xxhash64(number), F.lit(max(1, -(-added // CHUNK_BYTES)))))
 
-        def opened(g: pd.DataFrame) -> Chunk:
+        def opened(g: pd.DataFrame) -> tuple[Chunk, list[bytes]]:
             open_ = zstandard.ZstdDecompressor().decompress
-            return Chunk([None if pd.isna(x) else int(x) for x in g["doc_id"]], [open_(x) for x in g[body]])
+            docs = [open_(x) for x in g[body]]
+            return Chunk([None if pd.isna(x) else int(x) for x in g["doc_id"]], docs), docs
 
         def send(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-            return _frame(opened(g).windows.blocks(0, int(key[0]), buckets))
+            return _frame(opened(g)[0].windows.blocks(0, int(key[0]), buckets))
 
         sent = placed.select(chunk, "doc_id", body).groupBy(chunk).applyInPandas(send, BLOCK)
-        met = sent.unionByName(self.runs(buckets)).groupBy("bucket").applyInPandas(_match, BLOCK)
-        met.write.partitionBy("kind").parquet(part)
+        met = (sent.unionByName(self.runs(buckets)) if self.parts else sent).groupBy("bucket").applyInPandas(_match, BLOCK)
+        _write(met, part)
         gc.collect()  # lets go of the shuffle files of what is written
         self.parts.append([part, buckets])
         replies = spark.read.schema(BLOCK).parquet(part).where("kind = 1").select("chunk", "bucket", "k")
@@ -266,12 +276,12 @@ class FingerprintIndex:
         def finish(key: tuple, g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             if not len(g):
                 return pd.DataFrame(columns=out.fieldNames())
-            c = opened(g)
+            c, data = opened(g)
             gone, kept = c.removed(buckets, r), []
-            texts = [None if none else zstandard.ZstdDecompressor().decompress(x).decode("utf-8", "surrogatepass") for none, x in zip(g[size + "_none"], g[body])] if not digest else [None] * len(g)
-            for words, t, x in zip(c.words, texts, gone):
+            texts = [None if none else x.decode("utf-8", "surrogatepass") for none, x in zip(g[size + "_none"], data)] if not digest else [None] * len(g)
+            for d, t, x in zip(data, texts, gone):
                 if digest or x.any():
-                    left = b" ".join([w for w, y in zip(words, x.tolist()) if not y] if x.any() else words)
+                    left = b" ".join([w for w, y in zip(d.split(), x.tolist()) if not y] if x.any() else d.split())
                 kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "surrogatepass") if x.any() else t)
             added = {"n_words": [len(x) for x in gone], "n_removed": [int(x.sum()) for x in gone], own[2]: kept}
             return g.assign(**added, **({} if digest else {"text": texts}))[out.fieldNames()]
@@ -279,7 +289,7 @@ class FingerprintIndex:
         return placed.groupBy(chunk).cogroup(replies.groupBy("chunk")).applyInPandas(finish, out)
 
     def runs(self, buckets: int | None = None) -> DataFrame:
-        """All runs, cut at the bounds of ``buckets`` ranges, at least as many as any run has; none may hold a row."""
+        """All runs, of which there is one at least, cut at the bounds of ``buckets`` ranges, no fewer than any run has."""
         buckets = buckets or self._ranges()
 
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,17 +297,17 @@ class FingerprintIndex:
                 for x in zip(batch["k"], batch["c"], batch["v"], batch["d"]):
                     yield _frame(Windows.read(*x).blocks(2, -1, buckets))
 
-        found = self.spark.createDataFrame([], BLOCK)
+        found = []
         for part, n in self.parts:
             run = self.spark.read.schema(BLOCK).parquet(part).where("kind = 2").select(*NAMES)
-            found = found.unionByName(run if n == buckets else run.mapInPandas(split, BLOCK))
-        return found
+            found.append(run if n == buckets else run.mapInPandas(split, BLOCK))
+        return reduce(DataFrame.unionByName, found)
 
     def compact(self, most: int = RUNS) -> None:
         """Merges all runs into one if there are more than ``most``; merged runs are removed."""
         if len(self.parts) > most:
             part, buckets = f"{self.path}/merged-{self.batches}", self._ranges()
-            self.runs(buckets).groupBy("bucket").applyInPandas(_merge_runs, BLOCK).write.partitionBy("kind").parquet(part)
+            _write(self.runs(buckets).groupBy("bucket").applyInPandas(_merge_runs, BLOCK), part)
             for old, _ in self.parts:
                 drop(self.spark, f"{old}/kind=2")  # replies of kind 1 are for results not yet read
             gc.collect()
