@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import hot_join, written
+from ..shared import drop, hot_join, kept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     rounds grow as the logarithm of the longest chain. Every round is written to the shared folder. Nodes with very many
     neighbours are joined by broadcast (hot_join), so their edges stay spread. Null ends and loops are left out.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    now, path = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     while True:
         total, sign = now.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 16))).first()
@@ -23,9 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = total, sign
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        least, least_path = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
         large = hot_join(both, least, ["u"], "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        large, large_path = kept(large, "large")
+        low, low_path = kept(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
         small = hot_join(large, low, ["u"], "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, (now, path) = path, kept(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        for done in (old, least_path, large_path, low_path):
+            drop(spark, done)

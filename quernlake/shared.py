@@ -55,11 +55,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: made once, and read by column."""
+def kept(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder as Parquet and read again, made once and read by column; and its path."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """kept() without the path."""
+    return kept(df, name)[0]
 
 
 def hot_join(big: DataFrame, small: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
