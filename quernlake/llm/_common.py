@@ -8,7 +8,7 @@ import gc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, drop, hot_join, scratch, shared_dir, written  # noqa: F401
+from ..shared import cut, drop, hot_join, kept, scratch, shared_dir, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import cut, table
+from ._common import drop, kept, table, written
 
-NEIGHBOURS, TREES, BEAM = 24, 12, 256  # for tables of up to BASE nodes; effort() says how they grow
-BASE = 50_000
-SETTLED = 0.005  # descent ends when fewer of all links are still to be compared
-LEAF, BUCKET = 2048, 4096  # vectors of a leaf of the first guess; nodes of a bucket
-EXPAND = 128  # nodes of a beam asked for in a hop
-PAIRS = 1 << 20  # pairs held at once before the best of them are picked
+BASE = 50_000  # nodes for which these hold; effort() says how they follow the table's size:
+NEIGHBOURS, SAMPLE, BEAM = 40, 16, 112  # links of a node; of them offered a round, by kind; nodes of a query's beam
+TREES, LEAF = 4, 64  # of the first guess: random trees, vectors of a leaf
+SETTLED = 0.02  # descent ends when no more than this share of all links is new
+BACK = 24  # ways back to nodes that a node is a neighbour of
+BUCKET = 1024  # nodes of a bucket
+EXPAND = 32  # nodes of a beam asked for in a hop
+PAIRS = 1 << 19  # pairs held at once before the best of them are picked
 
 GRAPH = "node long, near array<long>, sim array<float>, fresh array<boolean>"
 
@@ -73,29 +75,38 @@ def _half(vec: np.ndarray) -> list[bytes]:
 
 
 def effort(count: int) -> tuple[int, int, int]:
-    """Neighbours, trees and beam for ``count`` nodes: the first two grow with the logarithm, the beam as the square root."""
-    more = max(0.0, float(np.log2(max(count, 1) / BASE)))
-    return int(NEIGHBOURS + 4 * more), int(TREES + 2 * more), int(BEAM * 2 ** (more / 2))
+    """Neighbours, offered links and beam for ``count`` nodes: the first two follow the logarithm, the beam the square root."""
+    more = float(np.log2(max(count, 1) / BASE))
+    return int(max(16, NEIGHBOURS + 4 * more)), int(max(8, SAMPLE + 2 * more)), int(max(40, BEAM * 2 ** (more / 2)))
 
 
-def build_graph(nodes: DataFrame, count: int, neighbours: int | None = None) -> DataFrame:
+def build_graph(nodes: DataFrame, count: int) -> DataFrame:
     """The neighbour graph of ``nodes`` (node, vec): kind, node, near array<long>, sim array<float>.
 
     Kind 0 are the nearest by angle. Where norms differ, kind 1 are those of the largest inner product besides: short
-    vectors are then near each other but the answer of no query. The first guess is the best in leaves of random
-    hyperplanes (leaves of over LEAF vectors are split at random). Then, round by round, each node's neighbours and those
-    it is a neighbour of, some of them and at least one of a pair new, are joined with their vectors and compared with
-    each other: neighbours of neighbours. Only pairs that beat the worst neighbour so far go on. Rounds end when nearly no link is new.
+    vectors are then near each other but the answer of no query. descent() says how each is made.
     """
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     longest, shortest, dim = nodes.agg(F.max(length), F.min(length), F.max(F.size("vec"))).first()
-    longest, dim = float(longest or 1), int(dim or 1)
-    grown, trees, _ = effort(count)
-    neighbours = neighbours or grown
-    depth, buckets = max(0, int(np.ceil(np.log2(max(1, count / LEAF))))), max(1, -(-count // BUCKET))
-    planes = np.random.default_rng(6).normal(size=(trees, dim, max(depth, 1)))
+    placed = place(nodes, count, float(longest or 1), int(dim or 1))
+    kinds = [0] if float(shortest or 1) > 0.999 * float(longest or 1) else [0, 1]
+    graphs = []
+    for k in kinds:
+        path = None
+        for graph, at in descent(placed.withColumn("norm", F.lit(1.0).cast("float")) if k == 0 else placed, count):
+            if path:
+                drop(nodes.sparkSession, path)
+            path = at
+        graphs.append(graph.select(F.lit(k).alias("kind"), "node", "near", "sim"))
+    return graphs[0] if len(graphs) == 1 else graphs[0].unionByName(graphs[1])
+
+
+def place(nodes: DataFrame, count: int, longest: float, dim: int) -> DataFrame:
+    """node, half (the unit vector in half precision), norm (its length over the longest), leaf (one of each random tree)."""
+    depth = max(0, int(np.ceil(np.log2(max(1, count / LEAF)))))
+    planes = np.random.default_rng(6).normal(size=(TREES, dim, max(depth, 1)))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x = np.stack(batch["vec"].to_list())
@@ -104,39 +115,52 @@ def build_graph(nodes: DataFrame, count: int, neighbours: int | None = None) ->
                 leaf = [((x @ p > 0) @ (1 << np.arange(p.shape[1])) if depth else np.zeros(len(x), "int64")) + (t << 40) for t, p in enumerate(planes)]
                 yield pd.DataFrame({"node": batch["node"], "half": _half(x), "norm": (norm / longest).astype("float32"), "leaf": list(np.stack(leaf, 1))})
 
-    placed = cut(nodes.select("node", "vec").mapInPandas(place, "node long, half binary, norm float, leaf array<long>"))
-    kinds = [0] if float(shortest or longest) > 0.999 * longest else [0, 1]
-    graphs = [_one_graph(placed.withColumn("norm", F.lit(1.0).cast("float")) if k == 0 else placed, buckets, neighbours).select(F.lit(k).alias("kind"), "node", "near", "sim") for k in kinds]
-    return graphs[0] if len(graphs) == 1 else graphs[0].unionByName(graphs[1])
+    return written(nodes.select("node", "vec").mapInPandas(run, "node long, half binary, norm float, leaf array<long>"), "placed")
+
 
+def descent(placed: DataFrame, count: int) -> Iterator[tuple[DataFrame, str]]:
+    """The graph of unit vectors ``placed`` after the first guess and after each round of NN-descent, and where it is written.
 
-def _one_graph(placed: DataFrame, buckets: int, neighbours: int) -> DataFrame:
-    """The graph of unit vectors ``placed`` (node, half, norm, leaf); y is as near to x as their product times y's norm."""
+    y is as near to x as their product times y's norm. The first guess, a poor one, is the best in small leaves of a few
+    random trees (leaves of over twice LEAF vectors are split at random). Then, round by round, each node's neighbours and
+    those it is a neighbour of, some of them and at least one of a pair new, are joined with their vectors and compared
+    with each other: neighbours of neighbours. Only pairs that beat the worst neighbour so far go on. Rounds end when
+    nearly no link is new.
+    """
+    neighbours, sample, _ = effort(count)
+    buckets = max(1, -(-count // BUCKET))
     leaves = placed.select("node", "half", "norm", F.explode("leaf").alias("leaf"))
-    sizes = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(2 * LEAF)).alias("n"))
-    dealt = leaves.join(sizes, "leaf").withColumn("salt", F.pmod(F.xxhash64("node", "leaf"), F.col("n")))
+    sizes = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(2 * LEAF)).alias("n")).where("n > 1")
+    dealt = leaves.join(sizes, "leaf", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node", "leaf"), F.col("n")), F.lit(0)))
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("leaf", "salt"), F.lit(buckets * TREES)))
 
     def guess(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["leaf", "salt", "node"])
         x = np.frombuffer(b"".join(g["half"]), "<f2").reshape(len(g), -1).astype("float32")
-        ids, k = g["node"].to_numpy(), min(neighbours, len(g) - 1)
-        s = x @ x.T
-        s *= g["norm"].to_numpy()
-        np.fill_diagonal(s, -np.inf)
-        at = np.argpartition(-s, k - 1, 1)[:, :k] if k else np.zeros((len(g), 0), "int64")
-        return pd.DataFrame({"node": ids, "near": list(ids[at]), "sim": list(np.take_along_axis(s, at, 1)), "fresh": [np.ones(k, bool)] * len(g)})
+        ids, norm, leaf, salt = (g[c].to_numpy() for c in ("node", "norm", "leaf", "salt"))
+        starts = np.flatnonzero(np.append(True, (leaf[1:] != leaf[:-1]) | (salt[1:] != salt[:-1])))
+        out = []
+        for a, z in zip(starts, np.append(starts[1:], len(g))):
+            k = min(neighbours, z - a - 1)
+            s = (x[a:z] @ x[a:z].T) * norm[a:z]
+            np.fill_diagonal(s, -np.inf)
+            at = np.argpartition(-s, k - 1, 1)[:, :k] if k else np.zeros((z - a, 0), "int64")
+            out += zip(ids[a:z], ids[a + at], np.take_along_axis(s, at, 1), [np.ones(k, bool)] * (z - a))
+        return pd.DataFrame(out, columns=["node", "near", "sim", "fresh"])
 
-    first = dealt.select("leaf", "salt", "node", "half", "norm").groupBy("leaf", "salt").applyInPandas(guess, GRAPH)
+    first = dealt.select("b", "leaf", "salt", "node", "half", "norm").groupBy("b").applyInPandas(guess, GRAPH)
 
     def gather(g: pd.DataFrame) -> pd.DataFrame:
         node, near, sim = _flat(g)
         return _best(node, near, sim, np.zeros(len(node), bool), neighbours)
 
-    graph = cut(first.withColumn("b", _bucket(buckets)).groupBy("b").applyInPandas(lambda key, g: gather(g), GRAPH))
+    graph, path = kept(first.withColumn("b", _bucket(buckets)).groupBy("b").applyInPandas(lambda key, g: gather(g), GRAPH), "graph")
+    yield graph, path
     seed = 0
     while _unsettled(graph):
-        graph = _descend(graph, placed, buckets, neighbours, seed)
+        graph, path = kept(_descend(graph, placed, buckets, neighbours, sample, seed), "graph")
+        yield graph, path
         seed += 1
-    return graph
 
 
 def _unsettled(graph: DataFrame) -> bool:
@@ -144,21 +168,23 @@ def _unsettled(graph: DataFrame) -> bool:
     return (new or 0) > SETTLED * (links or 0)
 
 
-def _descend(graph: DataFrame, placed: DataFrame, buckets: int, neighbours: int, seed: int) -> DataFrame:
-    """One round: neighbours of neighbours. A node offers all its new links, which then are new no more."""
+def _descend(graph: DataFrame, placed: DataFrame, buckets: int, neighbours: int, sample: int, seed: int) -> DataFrame:
+    """One round: neighbours of neighbours. A node offers all its new links, which then are new no more, and some others."""
     worst = F.when(F.size("sim") < neighbours, F.lit(-9.0)).otherwise(F.array_min("sim")).cast("float")
-    sample = max(1, neighbours // 2)
-    links = graph.select("node", F.explode(F.arrays_zip("near", "fresh")).alias("x")).select("node", F.col("x.near").alias("near"), F.col("x.fresh").alias("fresh"))
-    own = links.select(F.col("node").alias("hub"), F.col("near").alias("node"), "fresh", F.lit(True).alias("own"))
-    both = own.unionByName(links.select(F.col("near").alias("hub"), "node", "fresh", F.lit(False).alias("own")))
-    rank = F.row_number().over(Window.partitionBy("hub", "fresh", "own").orderBy(F.xxhash64("node", "hub", F.lit(seed)), "node"))
-    some = both.withColumn("k", rank).where((F.col("own") & F.col("fresh")) | (F.col("k") <= sample)).select("hub", "node", "fresh")
-    members = some.join(placed.select("node", "half", "norm").hint("merge"), "node").join(graph.select("node", worst.alias("worst")).hint("merge"), "node")
-    members = members.withColumn("b", F.pmod(F.xxhash64("hub"), F.lit(buckets)).cast("int"))
+    links = F.arrays_zip("near", "fresh")
+    olds = F.transform(F.filter(links, lambda x: ~x.fresh), lambda x: F.struct(F.xxhash64(x.near, F.col("node"), F.lit(seed)).alias("h"), x.near.alias("near")))
+    own = F.concat(F.filter(links, lambda x: x.fresh), F.transform(F.slice(F.array_sort(olds), 1, sample), lambda x: F.struct(x.near.alias("near"), F.lit(False).alias("fresh"))))
+    own = graph.select(F.col("node").alias("hub"), F.explode(own).alias("x")).select("hub", F.col("x.near").alias("node"), F.col("x.fresh").alias("fresh"))
+    back = graph.select("node", F.explode(links).alias("x")).select(F.col("x.near").alias("hub"), "node", F.col("x.fresh").alias("fresh"))
+    # A pure limit of the rank, so that each task keeps few links of a hub before they are shuffled.
+    rank = F.row_number().over(Window.partitionBy("hub", "fresh").orderBy(F.xxhash64("node", "hub", F.lit(seed)), "node"))
+    back = back.withColumn("k", rank).where(F.col("k") <= sample).drop("k")
+    known = placed.select("node", "half", "norm").join(graph.select("node", worst.alias("worst")), "node")
+    members = own.unionByName(back).join(known.hint("merge"), "node").withColumn("b", F.pmod(F.xxhash64("hub"), F.lit(buckets)).cast("int"))
 
     def local(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["hub", "node", "fresh"]).drop_duplicates(["hub", "node"], keep="last")
-        x = np.frombuffer(b"".join(g["half"]), "<f2").reshape(len(g), -1).astype("float32")
+        x = np.frombuffer(b"".join(g["half"]), "<f2").reshape(len(g), -1)
         hub, node, fresh, least, norm = (g[c].to_numpy() for c in ("hub", "node", "fresh", "worst", "norm"))
         starts = np.flatnonzero(np.append(True, hub[1:] != hub[:-1]))
         held: list[tuple] = []
@@ -171,7 +197,8 @@ def _descend(graph: DataFrame, placed: DataFrame, buckets: int, neighbours: int,
                 held.clear()
 
         for a, z in zip(starts, np.append(starts[1:], len(hub))):
-            s = (x[a:z] @ x[a:z].T) * norm[a:z]
+            y = x[a:z].astype("float32")
+            s = (y @ y.T) * norm[a:z]
             f = fresh[a:z]
             good = (s > least[a:z, None]) & (f[:, None] | f[None, :])
             np.fill_diagonal(good, False)
@@ -184,21 +211,22 @@ def _descend(graph: DataFrame, placed: DataFrame, buckets: int, neighbours: int,
         pick()
         return pd.concat(picked)
 
-    found = members.groupBy("b").applyInPandas(local, GRAPH)
+    found = members.select("b", "hub", "node", "fresh", "half", "norm", "worst").groupBy("b").applyInPandas(local, GRAPH)
 
     def merge(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         parts = [_flat(old), _flat(new)]
         node, near, sim = (np.concatenate(x) for x in zip(*parts))
         return _best(node, near, sim, np.arange(len(node)) < len(parts[0][0]), neighbours)
 
-    return cut(graph.withColumn("b", _bucket(buckets)).groupBy("b").cogroup(found.withColumn("b", _bucket(buckets)).groupBy("b")).applyInPandas(merge, GRAPH))
+    return graph.withColumn("b", _bucket(buckets)).groupBy("b").cogroup(found.withColumn("b", _bucket(buckets)).groupBy("b")).applyInPandas(merge, GRAPH)
 
 
-STATE = "q long, qvec array<double>, beam array<long>, sim array<double>, done array<boolean>, worst double"
+STATE = "q long, qvec array<double>, beam array<long>, sim array<double>, done array<boolean>, worst double, visits long"
 
 
 def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, count: int, k: int, beam: int | None = None, expand: int = EXPAND) -> DataFrame:
-    """Greedy search from each query (q, qvec, near array<long>: where to begin): q, beam array<long>, sim array<double>.
+    """Greedy search from each query (q, qvec, near array<long>: where to begin): q, beam array<long>, sim array<double>,
+    visits (vectors compared; one that fell out of the beam and is met again in another hop counts again).
 
     A hop takes each query's ``expand`` best nodes whose neighbours it hasn't asked for, joins them with the graph (both
     ways, all kinds), and has the inner products found in the buckets that hold the vectors: a query's vector goes once
@@ -207,38 +235,40 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, count:
     """
     buckets, beam = max(1, -(-count // BUCKET)), max(beam or effort(count)[2], k + 1)
     back = graph.select("kind", F.col("node").alias("x"), F.explode(F.arrays_zip("near", "sim")).alias("n")).select("kind", F.col("n.near").alias("node"), "x", F.col("n.sim").alias("s"))
-    most = effort(count)[0]
-    back = back.withColumn("r", F.row_number().over(Window.partitionBy("kind", "node").orderBy(F.desc("s"), "x"))).where(F.col("r") <= most).select("node", "x")
+    back = back.withColumn("r", F.row_number().over(Window.partitionBy("kind", "node").orderBy(F.desc("s"), "x"))).where(F.col("r") <= BACK).select("node", "x")
     ways = graph.select("node", F.explode("near").alias("x")).unionByName(back).groupBy("node").agg(F.collect_set("x").alias("ways"))
-    placed = cut(nodes.select("node", "vec").join(ways, "node", "left").withColumn("b", _bucket(buckets)))
+    spark = nodes.sparkSession
+    placed = written(nodes.select("node", "vec").join(ways, "node", "left").withColumn("b", _bucket(buckets)), "ways")
     vecs, ways = placed.select("b", "node", "vec"), placed.select("node", "ways")
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
             n = len(g)
-            yield pd.DataFrame({"q": g["q"], "qvec": g["qvec"], "beam": [[] for _ in range(n)], "sim": [[] for _ in range(n)], "done": [[] for _ in range(n)], "worst": [-np.inf] * n})
+            yield pd.DataFrame({"q": g["q"], "qvec": g["qvec"], "beam": [[] for _ in range(n)], "sim": [[] for _ in range(n)], "done": [[] for _ in range(n)], "worst": [-np.inf] * n, "visits": [0] * n})
 
-    state = cut(queries.select("q", "qvec").mapInPandas(begin, STATE))
+    state, path = kept(queries.select("q", "qvec").mapInPandas(begin, STATE), "beams")
     ask = queries.select("q", F.explode("near").alias("node"))
 
     def score(key: tuple, v: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(r):
-            return pd.DataFrame(columns=["q", "got", "sims"])
+            return pd.DataFrame(columns=["q", "got", "sims", "n"])
         order = np.argsort(v["node"].to_numpy())
         ids, x = v["node"].to_numpy()[order], np.stack(v["vec"].to_list())[order]
         out = []
         for q, qvec, worst, want in zip(r["q"], r["qvec"], r["worst"], r["want"]):
             at = np.searchsorted(ids, want)
             s = (x[at] * qvec).sum(1)  # the same to the last bit in each hop
-            out.append((q, ids[at][s >= worst], s[s >= worst]))
-        return pd.DataFrame(out, columns=["q", "got", "sims"])
+            out.append((q, ids[at][s >= worst], s[s >= worst], len(at)))
+        return pd.DataFrame(out, columns=["q", "got", "sims", "n"])
 
     def step(key: tuple, s: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         new: dict = {}
-        for q, got, sims in zip(r["q"], r["got"], r["sims"]):
+        seen: dict = {}
+        for q, got, sims, n in zip(r["q"], r["got"], r["sims"], r["n"]):
             new.setdefault(q, []).append((got, sims))
+            seen[q] = seen.get(q, 0) + n
         out = []
-        for q, qvec, b, sim, done, worst in zip(s["q"], s["qvec"], s["beam"], s["sim"], s["done"], s["worst"]):
+        for q, qvec, b, sim, done, visits in zip(s["q"], s["qvec"], s["beam"], s["sim"], s["done"], s["visits"]):
             b, sim, done = np.asarray(b, "int64"), np.asarray(sim, float), np.asarray(done, bool)
             fresh = new.get(q, [])
             ids = np.concatenate([b, *[x for x, _ in fresh]]).astype("int64")
@@ -246,19 +276,20 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, count:
             asked = np.concatenate([done | (np.cumsum(~done) <= expand), np.zeros(len(ids) - len(b), bool)])  # what was asked for with this hop
             first = np.unique(ids, return_index=True)[1]  # of a node that the beam holds, that entry
             best = first[np.lexsort((ids[first], -val[first]))][:beam]
-            out.append((q, qvec, ids[best], val[best], asked[best], val[best[-1]] if len(best) == beam else -np.inf))
-        return pd.DataFrame(out, columns=["q", "qvec", "beam", "sim", "done", "worst"])
+            out.append((q, qvec, ids[best], val[best], asked[best], val[best[-1]] if len(best) == beam else -np.inf, visits + seen.get(q, 0)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
 
     while True:
         want = ask.withColumn("b", _bucket(buckets)).groupBy("b", "q").agg(F.collect_set("node").alias("want")).join(state.select("q", "qvec", "worst").hint("merge"), "q")
-        got = vecs.groupBy("b").cogroup(want.groupBy("b")).applyInPandas(score, "q long, got array<long>, sims array<double>")
+        got = vecs.groupBy("b").cogroup(want.groupBy("b")).applyInPandas(score, "q long, got array<long>, sims array<double>, n long")
         parts = max(1, -(-count // (20 * 512)))
         side = lambda x: x.withColumn("p", F.pmod(F.xxhash64("q"), F.lit(parts))).groupBy("p")
-        state = cut(side(state).cogroup(side(got)).applyInPandas(step, STATE))
+        old, (state, path) = path, kept(side(state).cogroup(side(got)).applyInPandas(step, STATE), "beams")
+        drop(spark, old)
         if not state.agg(F.max(F.exists("done", lambda x: ~x))).first()[0]:
-            return state.select("q", "beam", "sim")
-        open_ = state.select("q", F.slice(F.transform(F.filter(F.arrays_zip("beam", "done"), lambda x: ~x.done), lambda x: x.beam), 1, expand).alias("next"))
-        ask = open_.select("q", F.explode("next").alias("node")).join(ways.hint("merge"), "node").select("q", F.explode("ways").alias("node"))
+            return state.select("q", "beam", "sim", "visits")
+        open_ = state.select("q", "beam", F.slice(F.transform(F.filter(F.arrays_zip("beam", "done"), lambda x: ~x.done), lambda x: x.beam), 1, expand).alias("next"))
+        ask = open_.select("q", "beam", F.explode("next").alias("node")).join(ways.hint("merge"), "node").select("q", F.explode(F.array_except("ways", "beam")).alias("node"))
 
 
 def nearest(df: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
@@ -269,8 +300,8 @@ def nearest(df: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
     than most, or hold null or non-finite components take no part, nor do null ids; of rows repeated whole, one counts.
     Equal vectors are one node of the graph, searched for once. Other columns are left out.
     """
-    v = cut(clean_vectors(df))
-    nodes = cut(distinct_vectors(v, k + 1))
+    v = written(clean_vectors(df), "vectors")
+    nodes = written(distinct_vectors(v, k + 1), "nodes")
     count = nodes.count()
     graph = build_graph(nodes, count)
     asked = v.where(F.col("vec_id") % query_every == 0).join(nodes.select("node", "vec"), "vec").select(F.col("vec_id").alias("query_id"), "node").distinct()
