@@ -71,9 +71,9 @@ def hot_join(big: DataFrame, small: DataFrame, on: list[str], count: str, total:
     """The inner join of ``big`` with ``small``, which has each key once and in ``count`` how many rows of ``big`` hold it.
 
     Keys held by over ``total`` / 1000 of all ``total`` rows, fewer than 1000 then, are broadcast, so that a hot key's rows
-    stay where they are; the rest is shuffled by key. Both sides are read twice.
+    stay where they are; the rest, of no bounded size, is joined by shuffle whatever it is here. Both sides are read twice.
     """
     hot = F.col(count) > max(1, total // MOST_HOT)
     few = small.where(hot)
     spread = big.join(F.broadcast(few), on)
-    return spread.unionByName(big.join(F.broadcast(few.select(*on)), on, "left_anti").join(small.where(~hot), on))
+    return spread.unionByName(big.join(F.broadcast(few.select(*on)), on, "left_anti").join(small.where(~hot).hint("merge"), on))
