@@ -19,7 +19,7 @@ from ._words import Vocabulary, mix, runs
 WORDS, PERCENT = 5, 80  # shingle length; pairs of at least this Jaccard similarity are links
 BANDS, ROWS = 40, 6  # a pair at the threshold shares no band with probability (1 - 0.8^6)^40 < 6e-6
 STEP, TOLERANCE = 24, 1e-9
-BLOCK = 1_500_000  # shingles of a block of a large group
+BLOCK = 500_000  # shingles of a block of a large group
 
 _rng = np.random.default_rng(20)
 XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype="uint32")[:, None]
@@ -205,7 +205,7 @@ def _classes(docs: DataFrame, exact: bool = False) -> DataFrame:
     total = some.count()
     sets = written(some.groupBy("digest").agg(F.min("rid").alias("node"), F.count("*").alias("copies")), "sets")
     of = written(hot_join(some.select("doc_id", "rid", "digest"), sets, ["digest"], "copies", total).select("doc_id", "rid", "node", "copies"), "nodes")
-    heads = rows.join(of.where("rid = node").select("rid", "node", "copies"), "rid")
+    heads = written(rows.select("rid", "n", "keys").join(of.where("rid = node").select("rid", "copies").hint("merge"), "rid").withColumnRenamed("rid", "node"), "heads")
     bands = heads.select("node", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("count")).where("lead < last")
     shared = written(shared.select("key", "lead", "count"), "shared")
@@ -217,7 +217,8 @@ def _classes(docs: DataFrame, exact: bool = False) -> DataFrame:
     large = loads.where("blocks > 1").select("lead", "blocks", "count")
     cut_up = hot_join(places.select("node", "lead"), large, ["lead"], "count", large.agg(F.sum("count")).first()[0] or 0)
     cut_up = cut_up.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("lead", "blocks"))).alias("cut_up"))
-    dealt = heads.select("node", "copies", "body").join(led.select("node", "leads"), "node").join(cut_up, "node", "left")
+    dealt = led.select("node", "copies", "leads").join(cut_up, "node", "left")
+    dealt = rows.select(F.col("rid").alias("node"), "body").hint("merge").join(dealt, "node")
     dealt = dealt.withColumn("lead", F.explode("leads")).withColumn("blocks", F.coalesce(F.try_element_at("cut_up", F.col("lead")), F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
