@@ -179,8 +179,30 @@ def test_urls(spark):
 
 
 def test_many_listed_urls(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 10)
-    listed = spark.range(500).selectExpr("concat('h', id, '.com') AS host", "'/a' AS path", "'block' AS verdict")
-    pages = spark.range(1000).selectExpr("id AS page_id", "concat('http://www.h', id, '.com/abc') AS url")
-    got = url_filter.judge_urls(pages, listed).collect()
-    assert len(got) == 1000 and all((r.verdict == "block") == (r.page_id < 500) for r in got)
+    """Whole URLs of many hosts and lengths; a filter with false hits; a list that isn't broadcast."""
+    import random
+
+    r = random.Random(1)
+    listed = {(f"h{r.randrange(300)}.com", "/" + "p" * r.randrange(200)): "block" for _ in range(3000)} | {("com", "/q"): "allow"}
+    urls = [(k, f"http://www.h{r.randrange(400)}.com/" + "p" * r.randrange(220) + r.choice(["", "q", "?x"])) for k in range(1500)] + [(2000, "http://x.com/qq"), (2001, None)]
+
+    def plain(url):
+        rest = url.split("://", 1)[1] if url else ""
+        host = rest.split("/")[0]
+        path = rest[len(host) :].split("?")[0]
+        fits = [(len(h) + len(p), len(h), h + p, v) for (h, p), v in listed.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[2:] if fits else (None, "allow")
+
+    entries = spark.createDataFrame([(h, p, v) for (h, p), v in listed.items()], "host string, path string, verdict string")
+    pages = spark.createDataFrame(urls, "page_id long, url string").selectExpr("*", "1 AS row", "2 AS hits", "3 AS keys", "4 AS cuts")
+    want = {k: plain(u) for k, u in urls}
+    for most, limit in ((1 << 17, 1 << 20), (3, 0)):
+        monkeypatch.setattr(url_filter, "MOST_BLOCKS", most)
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
+        got = {x.page_id: (x.rule, x.verdict) for x in url_filter.judge_urls(pages, entries).collect()}
+        assert got == want
+
+
+def test_url_query_runs_no_python(spark):
+    plan = url_filter.op4_url_filter(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "RDD" not in plan.replace("ExistingRDD", "RDD")
