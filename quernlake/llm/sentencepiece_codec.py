@@ -47,7 +47,6 @@ class PieceCodec:
             raise ValueError("pieces with inner spaces aren't supported")
         self.units = Memo(self._encode_units, memo)
         self.words = Memo(self._encode_words, memo)
-        self.texts = Memo(lambda found: list(map(self.text_of, found)), memo)
         text_ids = set(self.ids.values())
         self.shown = [self.pieces[i] if i in text_ids else "" for i in n]
         self.shown[self.unk] = " ⁇ "
@@ -102,23 +101,28 @@ class PieceCodec:
             else:
                 yield self.unk
 
-    def _encode_units(self, units: list[str]) -> list[str]:
+    def _encode_units(self, units: list[str]) -> list[tuple[str, str]]:
+        """The ids of each unit, decimal and joined by commas, and what these ids decode to; units end with whole characters."""
         out = []
         for u in units:
             symbols = self.agenda(u)
             got = [self.ids.get(x) for x in symbols]
-            out.append(",".join(map(str, self._ids(symbols) if None in got else got)))
+            if None in got:
+                got = list(self._ids(symbols))
+                out.append((",".join(map(str, got)), self.decode_ids(got)))
+            else:
+                out.append((",".join(map(str, got)), "".join([self.shown[i] for i in got]).replace(SPACE, " ")))
         if self.verify:
             self._check_units(units, out)
         return out
 
-    def _check_units(self, units: list[str], found: list[str]) -> None:
+    def _check_units(self, units: list[str], found: list[tuple[str, str]]) -> None:
         """Units stand behind a character of no piece, over which nothing merges, so that the library sees each as in its word."""
         n, k = len(self.apart), len(APART)
         theirs = self.lib.encode([APART + u.replace(SPACE, " ") for u in units], num_threads=1)
         back = self.lib.decode(theirs, num_threads=1)
-        for u, ids, want, text in zip(units, found, theirs, back, strict=True):
-            if ids != str(want[n:])[1:-1].replace(" ", "") or text[k:] != self.text_of(ids):
+        for u, (ids, mine), want, text in zip(units, found, theirs, back, strict=True):
+            if ids != ",".join(map(str, want[n:])) or text[k:] != mine:
                 raise RuntimeError(f"the agenda and the library differ on {u!r}: {ids}; {want[n:]}; {text[k:]!r}")
 
     def split(self, word: str) -> list[str]:
@@ -131,12 +135,17 @@ class PieceCodec:
         out.append(word[at:])
         return out
 
-    def _encode_words(self, words: list[str]) -> list[str]:
+    def _encode_words(self, words: list[str]) -> list[tuple[str, str]]:
         """words: without the space mark that comes first."""
         parts = [self.split(SPACE + w) for w in words]
         self.units.fill(chain.from_iterable(parts))
-        units = self.units
-        out = [",".join([units[p] for p in ps]) for ps in parts]
+        units, out = self.units, []
+        for ps in parts:
+            if len(ps) == 1:
+                out.append(units[ps[0]])
+            else:
+                found = [units[p] for p in ps]
+                out.append((",".join([i for i, _ in found]), "".join([t for _, t in found])))
         return out
 
     def check(self, text: str, ids: str, back: str) -> None:
@@ -145,10 +154,6 @@ class PieceCodec:
         if ids != ",".join(map(str, want)) or back != self.lib.decode(want):
             raise RuntimeError(f"the agenda and the library differ on a text that begins with {text[:80]!r}")
 
-    def text_of(self, ids: str) -> str:
-        """decode_ids() of decimal ids joined by commas."""
-        return self.decode_ids(map(int, ids.split(",")))
-
     def decode_ids(self, ids) -> str:
         """The text of ``ids`` with the space that stands first, each id by its piece; broken bytes become U+FFFD one by one."""
         out, run = [], bytearray()
@@ -175,11 +180,10 @@ class PieceCodec:
         words = text.split(" ") if "  " not in text and text[0] != " " else _words(text)
         self.words.fill(words)
         found = list(map(self.words.__getitem__, words))
-        self.texts.fill(found)
-        return ",".join(found), "".join(map(self.texts.__getitem__, found)).removeprefix(" ")
+        return ",".join([i for i, _ in found]), "".join([t for _, t in found]).removeprefix(" ")
 
-    def encode_word(self, word: str) -> str:
-        """Decimal ids of a word and the space mark before it, joined by commas."""
+    def encode_word(self, word: str) -> tuple[str, str]:
+        """Decimal ids of a word and the space mark before it, joined by commas, and what they decode to."""
         return self.words.lookup([word])[0]
 
     def encode(self, text: str) -> list[int]:
