@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 PLACEHOLDERS = ("暂无", "暂无信息", "暂无画像信息", "无", "未知", "无有效信息", "None", "null")
 # Predicates that state no relation.
 VAGUE = ("认为", "觉得", "说", "提到", "表示", "评价", "是", "相关", "关系", "thinks", "says", "is", "mentions")
-SHELL = r"(?i)\[(?:reply|at|cq:at)\b[^\]]*(?:\]|$)|<at\b[^>]*(?:>|$)"
-MEDIA = r"(?i)\[(?:image|sticker|video|voice|file|图片|表情)[^\]]*(?:\]|$)"
+SHELL = r"(?i)\[(?:reply|at|cq:at)\b[^\]]*(?:\]|$)|<at\b[^>]*(?:>|$)|↩\S+"
+MEDIA = r"(?i)\[(?:image|sticker|video|voice|file|face|图片|图文|表情|贴纸|语音|视频|文件)[^\]]*(?:\]|$)"
 
 
 def rejection(c: Column, limit: int) -> Column:
     """Why a text isn't taken in, or null: too_long, empty, control_characters, markup, placeholder, repetition."""
-    s = F.trim(c)
+    s = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     return (
         F.when(c.isNull(), "invalid_text")
         .when(F.length(c) > limit, "too_long")
-        .when((s == "") | ~s.rlike(r"[\p{L}\p{N}]"), "empty")
+        .when(~s.rlike(r"[\p{L}\p{N}]"), "empty")
         .when(s.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), "control_characters")
         .when(s.rlike(r"^(?:```|\{|\[|<)|</?\w+[^>]*>"), "markup_or_serialized_output")
         .when(s.isin(*PLACEHOLDERS), "placeholder")
@@ -39,13 +39,17 @@ def without_reasoning(c: Column) -> Column:
     return F.regexp_replace(opened, r"(?i)</?reasoning\b[^>]*>", "")
 
 
+# How a message begins that is media, whatever follows.
+MEDIA_HEAD = r"(?i)^\s*\[(?:image|sticker|video|voice|file|face|图片|图文|表情|贴纸|语音|视频|文件)(?:\s|\]|\d)"
+
+
 def media_only(c: Column, names: list[str] = ()) -> Column:
-    """Whether a message holds nothing but shells, media and mentions of known names or numbers."""
+    """Whether a message begins as media, or holds nothing but shells, media and mentions of known names or numbers."""
     left = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), SHELL, " "), MEDIA, " ")
     words = F.filter(F.split(left, r"\s+"), lambda w: w.rlike(r"[0-9A-Za-z一-鿿]"))
     who = lambda w: F.regexp_replace(w.substr(F.lit(2), F.length(w)), r"[，。！？、,.!?~～:：;；\"'）)】\]]+$", "")
     mention = lambda w: F.startswith(w, F.lit("@")) & (who(w).rlike(r"^\d+$") | who(w).isin(*names) if names else who(w).rlike(r"^\d+$"))
-    return F.size(F.filter(words, lambda w: ~mention(w))) == 0
+    return F.coalesce(c, F.lit("")).rlike(MEDIA_HEAD) | (F.size(F.filter(words, lambda w: ~mention(w))) == 0)
 
 
 def recall_text(c: Column, limit: int = 0) -> Column:
@@ -60,3 +64,31 @@ def recall_text(c: Column, limit: int = 0) -> Column:
 def tool_preview(c: Column, limit: int = 240) -> Column:
     s = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
     return F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit("…"))).otherwise(s)
+
+
+# How a tool's result and a memory payload begin; names that third parties write for themselves.
+TOOL_RESULT = "工具感知结果："
+SYNTHETIC_NAMES = ("提醒任务所有者", "Kira", "system", "system:reminder_plugin", "Web UI 用户", "Web UI 管理员", "自主意图循环", "未知")
+
+
+def tool_result(c: Column) -> Column:
+    """Whether a text is what a tool gave."""
+    return F.startswith(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+", ""), F.lit(TOOL_RESULT))
+
+
+def memory_payload(c: Column, markers: list[str]) -> Column:
+    """Whether a text is a payload of this store: {"ok":true first, blanks aside, and a marker within 4000 characters."""
+    head = F.substring(F.coalesce(c, F.lit("")), 1, 4000)
+    head = F.when(F.startswith(head, F.lit(TOOL_RESULT)), F.ltrim(head.substr(F.lit(len(TOOL_RESULT) + 1), F.length(head)))).otherwise(head)
+    marked = F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(head, m))
+    return F.startswith(F.replace(F.substring(head, 1, 200), F.lit(" "), F.lit("")), F.lit('{"ok":true')) & marked
+
+
+def call_summary(calls: Column, limit: int = 60) -> Column:
+    """Of array<struct<name, arguments>> one readable line, arguments cut to ``limit``; empty without calls."""
+    each = F.transform(calls, lambda x: F.concat(F.coalesce(x["name"], F.lit("工具")), F.when(F.coalesce(x["arguments"], F.lit("")) != "", F.concat(F.lit("("), F.substring(x["arguments"], 1, limit), F.lit(")"))).otherwise("")))
+    return F.when(F.coalesce(F.size(calls), F.lit(0)) > 0, F.concat(F.lit("[调用工具："), F.array_join(each, "、"), F.lit("]"))).otherwise("")
+
+
+def synthetic_name(c: Column) -> Column:
+    return F.coalesce(F.trim(c).isin(*SYNTHETIC_NAMES), F.lit(False))

@@ -8,13 +8,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that carry no meaning in a query.
-STOP = ("的", "了", "吗", "呢", "是", "我", "你", "他", "她", "它", "在", "和", "the", "a", "an", "is")
-NOISE = r"[\s!-/:-@\[-`{-~]+"
+# Words that carry no meaning in a query; characters that likeness leaves out; those that no text should hold.
+STOP = ("记得", "之前", "上次", "曾经", "什么", "那个", "这个", "我们", "你们", "他们", "怎么", "是不是", "the", "and", "that", "with")
+NOISE = r"[\s，。、；：！？,.!?;:'\"“”‘’()（）\[\]【】<>《》\-—~～/\\]+"
+BAD = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]"
+CJK = r"\x{3400}-\x{9fff}"
 
 
 def normalize(c: Column) -> Column:
-    """Lower case, without white space and ASCII punctuation."""
+    """Lower case, without white space and punctuation."""
     return F.regexp_replace(F.lower(c), NOISE, "")
 
 
@@ -31,21 +33,73 @@ def containment(a: Column, b: Column, min_overlap: int = 4) -> Column:
     return F.when(both >= min_overlap, both / F.least(F.size(a), F.size(b))).otherwise(0.0)
 
 
+def squeeze(c: Column) -> Column:
+    """Without control characters, blanks between CJK characters, and repeated or outer blanks; null as empty."""
+    out = F.regexp_replace(F.coalesce(c, F.lit("")), BAD, "")
+    out = F.regexp_replace(out, f"(?<=[{CJK}])[ \\t]+(?=[{CJK}])", "")
+    return F.regexp_replace(F.regexp_replace(out, r"[ \t]{2,}", " "), r"^\s+|\s+$", "")
+
+
+def _squeezed(text: str) -> str:
+    """squeeze() of a literal."""
+    cjk = "\u3400-\u9fff"
+    out = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffd]", "", text or "")
+    return re.sub(r"[ \t]{2,}", " ", re.sub(f"(?<=[{cjk}])[ \\t]+(?=[{cjk}])", "", out)).strip()
+
+
+def _chunks(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(squeeze(c)), F.lit(f"[a-z0-9_]+|[{CJK}]+"), 0)
+
+
+def _pairs(t: Column) -> Column:
+    """Adjacent pairs of characters; none of a single one."""
+    return F.transform(F.filter(F.sequence(F.lit(1), F.length(t)), lambda i: i < F.length(t)), lambda i: t.substr(i, F.lit(2)))
+
+
 def index_grams(c: Column) -> Column:
     """Of each Latin or CJK chunk all characters and all adjacent pairs, joined by spaces, in order."""
-    chunks = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+|[㐀-鿿]+"), 0)
-    each = lambda t, n: F.filter(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: t.substr(i, F.lit(n))), lambda x: F.length(x) == n)
-    return F.concat_ws(" ", F.flatten(F.transform(chunks, lambda t: F.concat(each(t, 1), each(t, 2)))))
+    return F.concat_ws(" ", F.flatten(F.transform(_chunks(c), lambda t: F.concat(F.filter(F.split(t, ""), lambda x: x != ""), _pairs(t)))))
+
+
+def search_body(c: Column) -> Column:
+    """What an index of grams holds of a text; a dash for texts without any."""
+    return F.coalesce(F.nullif(index_grams(c), F.lit("")), F.lit("-"))
+
+
+def tokens_of(c: Column) -> Column:
+    """query_tokens() of a column: distinct, sorted."""
+    each = F.transform(_chunks(c), lambda t: F.when((F.length(t) < 2) | t.rlike("^[a-z0-9_]"), F.array(t)).otherwise(_pairs(t)))
+    return F.array_sort(F.array_except(F.array_distinct(F.flatten(each)), F.array(*map(F.lit, STOP))))
 
 
 def query_tokens(query: str) -> list[str]:
     """Latin chunks whole, CJK chunks as adjacent pairs (a single character as it is), sorted, without stop words."""
     found: set[str] = set()
-    for chunk in re.findall(r"[a-z0-9_]+|[㐀-鿿]+", query.casefold()):
+    for chunk in re.findall(r"[a-z0-9_]+|[㐀-鿿]+", _squeezed(query).casefold()):
         found.update([chunk] if chunk[0] < "㐀" or len(chunk) == 1 else [chunk[k : k + 2] for k in range(len(chunk) - 1)])
     return sorted(found - set(STOP))
 
 
+def score_tokens(query: str, words=None) -> list[str]:
+    """Tokens for scoring: with a word splitter ``words`` CJK words of two letters or more, else query_tokens()."""
+    if words is None:
+        return query_tokens(query)
+    found: set[str] = set()
+    for chunk in re.findall(r"[a-z0-9_]+|[㐀-鿿]+", _squeezed(query).casefold()):
+        found.update([chunk] if chunk[0] < "㐀" else [w for w in words(chunk) if len(w) >= 2])
+    return sorted(found - set(STOP)) or query_tokens(query)
+
+
+def match_grams(tokens: list[str]) -> list[str]:
+    """The grams of which a text must hold one to be a candidate: tokens of over two letters by their pairs."""
+    return [g for t in (x.strip() for x in tokens) if t for g in ([t] if len(t) <= 2 else [t[k : k + 2] for k in range(len(t) - 1)])]
+
+
+def relevance(c: Column, query: str) -> Column:
+    """lexical_score() on the squeezed text, by the query's scoring tokens."""
+    return lexical_score(squeeze(c), score_tokens(query))
+
+
 def lexical_score(c: Column, tokens: list[str], most: int = 256) -> Column:
     """Sum of the lengths of the tokens that the lower-case text contains."""
     low = F.lower(c)
@@ -59,11 +113,15 @@ def proximity_bonus(c: Column, tokens: list[str], window: int = 30, bonus: int =
 
 
 def overlap_hit(c: Column, reply: str, min_hits: int = 2) -> Column:
-    """Whether ``reply`` shares enough tokens of two letters or more with the text, or a number of five digits or more."""
-    tokens = [t for t in query_tokens(reply) if len(t) >= 2]
-    hits = reduce(lambda a, t: a + F.contains(F.lower(c), F.lit(t)).cast("int"), tokens, F.lit(0))
-    digits = [F.contains(c, F.lit(d)) for d in sorted(set(re.findall(r"\d{5,}", reply)))]
-    return reduce(lambda a, b: a | b, digits, hits >= min_hits)
+    """Whether ``reply`` uses the text: holds enough of its tokens of two letters or more, or a number of five digits or more.
+
+    False for null texts and those without such tokens.
+    """
+    body = F.lit(_squeezed(reply).casefold())
+    tokens = F.filter(tokens_of(c), lambda t: F.length(t) >= 2)
+    told = F.size(F.filter(tokens, lambda t: F.contains(body, t))) >= max(1, min_hits)
+    number = F.exists(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\d{5,}"), 0), lambda d: F.contains(body, d))
+    return (F.size(tokens) > 0) & (F.lit(reply) != "") & (told | number)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -88,10 +146,84 @@ def retention_score(importance: Column, access_age: Column, start_age: Column, a
 
 
 def sink_score(importance: Column, used: Column, used_age: Column, age: Column, bonus: Column) -> Column:
-    """Freshness and use of a fact; use counts up to 5 and halves in 60 days; without an age freshness is 0."""
-    use = F.least(used, F.lit(5)) * half_life(used_age, 60)
-    fresh = F.coalesce(F.greatest((1 - age / 60) * 10, F.lit(0.0)), F.lit(0.0))
-    return F.bround(importance * 2 + use * 3 + fresh + bonus, 4)
+    """Freshness and use of a fact, to a whole number.
+
+    Use counts up to 5 and halves in 60 days, and not at all where used_age is null; without an age freshness is 0. Ages in
+    days, negative ones count as 0; importance is 5 where it is null or 0.
+    """
+    use = F.least(F.coalesce(used, F.lit(0)), F.lit(5)) * F.coalesce(half_life(F.greatest(used_age, F.lit(0.0)), 60), F.lit(1.0))
+    fresh = F.coalesce(F.greatest((1 - F.greatest(age, F.lit(0.0)) / 60) * 10, F.lit(0.0)), F.lit(0.0))
+    return F.bround(F.coalesce(F.nullif(importance, F.lit(0)), F.lit(5)) * 2 + use * 3 + fresh + bonus, 0).cast("int")
+
+
+def sinks(importance: Column, age: Column, score: Column, threshold: int) -> Column:
+    """Whether a fact gives way: under ``threshold`` (0: never), not at importance 8 or more, nor without an age."""
+    return F.lit(threshold > 0) & (F.coalesce(F.nullif(importance, F.lit(0)), F.lit(5)) < 8) & age.isNotNull() & (score < threshold)
+
+
+def importance_of(c: Column) -> Column:
+    """A number from text, rounded to even, 1 to 10; 5 for what is none."""
+    n = c.try_cast("double")
+    return F.coalesce(F.greatest(F.least(F.bround(F.when(~F.isnan(n), n), 0), F.lit(10.0)), F.lit(1.0)).cast("int"), F.lit(5))
+
+
+# Categories, their codes and ranks, and other names that stand for them.
+CATEGORY_CODES = {"event": "ev", "fact": "fa", "preference": "pr", "commitment": "co", "relationship": "re", "profile": "pf", "resource": "rs", "self": "sf"}
+CATEGORY_RANK = {"rule": 0, "commitment": 1, "preference": 2, "profile": 3, "relationship": 4, "resource": 5, "event": 6, "fact": 7, "note": 8}
+CATEGORY_ALIASES = {
+    "事件": "event", "事实": "fact", "偏好": "preference", "喜好": "preference", "习惯": "preference", "约定": "commitment", "承诺": "commitment",
+    "关系": "relationship", "画像": "profile", "档案": "profile", "资料": "profile", "资源": "resource", "自我": "self", "自身": "self",
+    "general": "fact", "other": "fact", "misc": "fact", "note": "fact", "info": "fact", "personal": "profile", "identity": "profile",
+}
+
+
+def _choice(c: Column, table: dict, default: Column) -> Column:
+    found = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[c]
+    return F.coalesce(found, default)
+
+
+def category(c: Column) -> Column:
+    """The category a name stands for; unknown names trimmed."""
+    plain = F.lower(F.trim(c))
+    return F.when(plain.isin(*CATEGORY_CODES), plain).otherwise(_choice(plain, CATEGORY_ALIASES, F.trim(c)))
+
+
+def category_code(c: Column) -> Column:
+    return _choice(c, CATEGORY_CODES, c)
+
+
+def category_rank(c: Column) -> Column:
+    return _choice(c, CATEGORY_RANK, F.lit(9))
+
+
+def named_pair(entity: Column, name: Column) -> Column:
+    """id(name); the id alone without another name, the name alone without an id."""
+    i, n = F.coalesce(entity, F.lit("")), F.trim(F.coalesce(name, F.lit("")))
+    return F.when(i == "", n).when((n == "") | (n == i), i).otherwise(F.concat(i, F.lit("("), n, F.lit(")")))
+
+
+def bare_id(c: Column) -> Column:
+    """What stands before the first bracket, trimmed."""
+    return F.trim(F.substring_index(F.coalesce(c, F.lit("")), "(", 1))
+
+
+def short_time(epoch: Column, year: int, with_clock: bool = True) -> Column:
+    """Month, day (and clock), with the year where it isn't ``year``; empty outside 2000 to 2100 and for null."""
+    at, clock = F.timestamp_seconds(epoch), " HH:mm" if with_clock else ""
+    text = F.when(F.year(at) == year, F.date_format(at, "MM-dd" + clock)).otherwise(F.date_format(at, "yyyy-MM-dd" + clock))
+    return F.when(epoch.between(946684800, 4102444800), text).otherwise("")
+
+
+def full_time(epoch: Column) -> Column:
+    return F.when(epoch > 0, F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm")).otherwise("")
+
+
+def parsed_time(c: Column, fallback: Column) -> Column:
+    """struct<at double, basis string> of ISO text (without a zone: UTC) or seconds since 1970, else of ``fallback``."""
+    number = F.when(c.rlike(r"^\s*\d+(\.\d+)?\s*$"), c.try_cast("double"))
+    iso = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_micros(F.try_to_timestamp(c)) / 1e6)
+    ok = F.when((number > 0) & (number < 32503680000), number)
+    return F.struct(F.coalesce(iso, ok, fallback).alias("at"), F.when(iso.isNotNull(), "source.time").when(ok.isNotNull(), "source.timestamp").otherwise("file_mtime_estimate").alias("basis"))
 
 
 def aged_importance(importance: Column, age_days: Column, days: float = 365) -> Column:

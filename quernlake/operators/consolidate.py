@@ -85,46 +85,49 @@ def fold(records: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
 def pair_verdicts(groups: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Assigns verdicts (batch, verdict, target_id, source_ids) to groups (batch, grp, id, time) of their batch.
 
-    In the verdicts' order each takes the free group that holds its target, else the one that shares most of its sources.
-    Ids that aren't the group's are dropped; the target falls back to the group's newest, which is always a source.
-    Gives batch, verdict, grp (null: no group), target_id, source_ids.
+    A verdict may go to groups that hold its target, best of all, or one of its sources, the more the better, then by grp.
+    Verdicts choose in their order and a group is given once. Of a verdict's sources those of its group stay, with the
+    group's newest member before them if it isn't there; a target that isn't a member becomes the newest. Gives batch,
+    verdict, grp (null: no group), target_id, source_ids. Matches come from joins on ids; only their order of choice,
+    a few rows a batch, is a walk.
     """
-    schema = "batch string, verdict int, grp string, target_id string, source_ids array<string>"
-
-    def pair(g: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        free = {k: x.sort_values(["time", "id"], ascending=[False, True])["id"].tolist() for k, x in g.groupby("grp")}
-        out = []
-        for _, row in v.sort_values("verdict").iterrows():
-            named = [] if row["source_ids"] is None else list(row["source_ids"])
-            shared = {k: len(set(named) & set(ids)) for k, ids in free.items()}
-            best = next((k for k, ids in free.items() if row["target_id"] in ids), None) or max((k for k in shared if shared[k]), key=lambda k: shared[k], default=None)
-            if best is None:
-                out.append((row["batch"], row["verdict"], None, row["target_id"], named))
-                continue
-            ids = free.pop(best)
-            kept = [i for i in named if i in ids]
-            out.append((row["batch"], row["verdict"], best, row["target_id"] if row["target_id"] in ids else ids[0], kept if ids[0] in kept else [ids[0], *kept]))
-        return pd.DataFrame(out, columns=["batch", "verdict", "grp", "target_id", "source_ids"])
-
-    return groups.groupBy("batch").cogroup(verdicts.groupBy("batch")).applyInPandas(pair, schema)
+    named = verdicts.select("batch", "verdict", F.explode(F.array_distinct(F.coalesce("source_ids", F.array().cast("array<string>")))).alias("id"))
+    met = named.join(groups.select("batch", "grp", "id"), ["batch", "id"]).groupBy("batch", "verdict", "grp").agg(F.countDistinct("id").alias("shared"), F.lit(0).alias("aimed"))
+    aimed = verdicts.select("batch", "verdict", F.col("target_id").alias("id")).join(groups.select("batch", "grp", "id").distinct(), ["batch", "id"]).select("batch", "verdict", "grp", F.lit(0).cast("long").alias("shared"), F.lit(1).alias("aimed"))
+    matches = met.unionByName(aimed).groupBy("batch", "verdict", "grp").agg(F.max("aimed").alias("aimed"), F.max("shared").alias("shared"))
+    lists = matches.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("verdict", (-F.col("aimed")).alias("a"), F.when(F.col("aimed") == 1, 0).otherwise(-F.col("shared")).alias("s"), "grp"))).alias("x"))
+    start = F.struct(F.array().cast("array<int>").alias("v"), F.array().cast("array<string>").alias("g"))
+    taken = F.aggregate("x", start, lambda s, m: F.when(F.array_contains(s.v, m.verdict) | F.array_contains(s.g, m.grp), s).otherwise(F.struct(F.array_append(s.v, m.verdict).alias("v"), F.array_append(s.g, m.grp).alias("g"))))
+    given = lists.select("batch", taken.alias("t")).select("batch", F.explode(F.arrays_zip("t.v", "t.g")).alias("z")).select("batch", F.col("z.v").alias("verdict"), F.col("z.g").alias("grp"))
+    members = groups.groupBy("batch", "grp").agg(F.collect_set("id").alias("ids"), F.array_min(F.collect_list(F.struct((-F.col("time")).alias("t"), "id"))).alias("first"))
+    both = verdicts.join(given, ["batch", "verdict"], "left").join(members, ["batch", "grp"], "left")
+    sources, newest = F.coalesce("source_ids", F.array().cast("array<string>")), F.col("first.id")
+    own = F.filter(sources, lambda i: F.array_contains("ids", i))
+    return both.select(
+        "batch", "verdict", "grp",
+        F.when(F.col("grp").isNull() | F.array_contains("ids", F.col("target_id")), F.col("target_id")).otherwise(newest).alias("target_id"),
+        F.when(F.col("grp").isNull(), sources).when(F.array_contains(own, newest), own).otherwise(F.concat(F.array(newest), own)).alias("source_ids"),
+    )
 
 
 def take_apart(merged: DataFrame, versions: DataFrame) -> DataFrame:
     """The facts whose texts, joined by the separator, begin a merged text: target, id, content, ordinal.
 
-    merged (id, content), versions (target, id, content): earlier states of facts folded into target. Texts are laid one
-    after the other from the left; a merge of fewer than two, or without the target itself, gives nothing.
+    merged (id, content), versions (target, id, content): earlier states of facts folded into target, by the order of id.
+    A fold in the JVM keeps the place reached in the merged text and what lies before it; a text fits if the merged one
+    goes on with it there. Fewer than two facts, or without the target itself, give nothing; empty texts never fit.
     """
-    both = versions.join(merged.select(F.col("id").alias("target"), F.col("content").alias("whole")), "target")
-
-    def lay(g: pd.DataFrame) -> pd.DataFrame:
-        target, whole = g["target"].iloc[0], g["whole"].iloc[0]
-        left, at, laid = [(i, c) for i, c in zip(g["id"], g["content"]) if c], 0, []
-        while (hit := next((x for x in left if whole.startswith(x[1], at)), None)) is not None:
-            left.remove(hit)
-            laid.append(hit)
-            at += len(hit[1]) + len(SEPARATOR)
-        good = len({i for i, _ in laid}) >= 2 and target in {i for i, _ in laid} and whole.startswith(SEPARATOR.join(c for _, c in laid))
-        return pd.DataFrame([(target, i, c, k) for k, (i, c) in enumerate(laid)] if good else [], columns=["target", "id", "content", "ordinal"])
-
-    return both.groupBy("target").applyInPandas(lay, "target string, id string, content string, ordinal int")
+    both = versions.where("content <> ''").groupBy("target").agg(F.array_sort(F.collect_list(F.struct("id", "content"))).alias("olds"))
+    both = both.join(merged.select(F.col("id").alias("target"), F.col("content").alias("whole")), "target")
+    rest = lambda s, c: F.col("whole").substr(s.at, F.length(c))
+    free = lambda s: F.filter(F.transform(F.col("olds"), lambda o, k: F.struct(k.alias("k"), o.id.alias("id"), o.content.alias("content"))), lambda o: ~F.array_contains(s.used, o.k) & (rest(s, o.content) == o.content))
+
+    def lay(s, _):
+        hit = F.try_element_at(free(s), F.lit(1))
+        return F.when(hit.isNull(), s).otherwise(F.struct((s.at + F.length(hit.content) + len(SEPARATOR)).alias("at"), F.array_append(s.used, hit.k).alias("used")))
+
+    laid = F.aggregate(F.sequence(F.lit(1), F.size("olds")), F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("used")), lay)
+    picked = both.select("target", "whole", F.transform(laid.used, lambda k: F.get("olds", k)).alias("x"))
+    whole = F.startswith("whole", F.array_join(F.transform("x", lambda o: o.content), SEPARATOR))
+    good = picked.where((F.size(F.array_distinct(F.transform("x", lambda o: o.id))) >= 2) & F.exists("x", lambda o: o.id == F.col("target")) & whole)
+    return good.select("target", F.posexplode("x").alias("ordinal", "o")).select("target", "o.id", "o.content", "ordinal")
