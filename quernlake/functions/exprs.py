@@ -152,7 +152,7 @@ def sink_score(importance: Column, used: Column, used_age: Column, age: Column,
     days, negative ones count as 0; importance is 5 where it is null or 0.
     """
     use = F.least(F.coalesce(used, F.lit(0)), F.lit(5)) * F.coalesce(half_life(F.greatest(used_age, F.lit(0.0)), 60), F.lit(1.0))
-    fresh = F.coalesce(F.greatest((1 - F.greatest(age, F.lit(0.0)) / 60) * 10, F.lit(0.0)), F.lit(0.0))
+    fresh = F.when(age.isNull(), 0.0).otherwise(F.greatest((1 - F.greatest(age, F.lit(0.0)) / 60) * 10, F.lit(0.0)))
     return F.bround(F.coalesce(F.nullif(importance, F.lit(0)), F.lit(5)) * 2 + use * 3 + fresh + bonus, 0).cast("int")
 
 
@@ -164,7 +164,7 @@ def sinks(importance: Column, age: Column, score: Column, threshold: int) -> Col
 def importance_of(c: Column) -> Column:
     """A number from text, rounded to even, 1 to 10; 5 for what is none."""
     n = c.try_cast("double")
-    return F.coalesce(F.greatest(F.least(F.bround(F.when(~F.isnan(n), n), 0), F.lit(10.0)), F.lit(1.0)).cast("int"), F.lit(5))
+    return F.when(n.isNull() | F.isnan(n), 5).otherwise(F.greatest(F.least(F.bround(n, 0), F.lit(10.0)), F.lit(1.0)).cast("int"))
 
 
 # Categories, their codes and ranks, and other names that stand for them.
