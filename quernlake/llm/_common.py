@@ -63,11 +63,8 @@ class Memo(dict):
 
     def lookup(self, keys: list) -> list:
         """The values of ``keys``, none of which may be None."""
-        got = list(map(self.get, keys))
-        if None in got:
-            self.fill([k for k, g in zip(keys, got) if g is None])
-            got = [self[k] if g is None else g for k, g in zip(keys, got)]
-        return got
+        self.fill(keys)
+        return list(map(self.__getitem__, keys))
 
     def fill(self, keys) -> None:
         keys = set(keys)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import Memo, store, table, texts
 
 TIERS = (512, 1024, 2048, 4096)
+MARK = "\x01"  # stands between units that are encoded together; a byte of its own, which has an id of its own
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -31,11 +32,24 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        (self.mark,) = self.lib.encode(MARK, add_special_tokens=False).ids
         self.units = Memo(self._encode, memo // 2)
         self.words = Memo(self._split, memo)
 
     def _encode(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(units, add_special_tokens=False)]
+        """Units with white space around them are encoded as if alone, so that many go in one text, with a mark between."""
+        plain = [u for u in units if MARK not in u]
+        (whole,) = self.lib.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)
+        ids = np.array(whole.ids, "<u4")
+        ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)] if plain else []
+        raw, at, found = ids.tobytes(), 0, {}
+        for u, end in zip(plain, ends, strict=True):
+            found[u] = raw[4 * at : 4 * end]
+            at = end + 1
+        if len(plain) < len(units):
+            rest = [u for u in units if MARK in u]
+            found |= {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False))}
+        return [found[u] for u in units]
 
     def _split(self, words: list[str]) -> list[bytes]:
         parts = []

@@ -26,7 +26,7 @@ def both():
     return Tokenizer.from_file(WORDS), packing.WordTokens(WORDS)
 
 
-PARTS = ["é", "Ñ", "ª", "ŉ", "ﬁ", "יִ", "K", "ͅ", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "İ", "ı", "ß", "Σ", "ΑΣ", "\u0301", "\u0307", "\u0338", "'", "'s", "'LL", "’", "=", "!", ".", "-", "A", "b", "the", "9", "²", "中", "😀", "\u200d", " ", "\n", "\t", "\x85", "\u00a0", "\x00"]
+PARTS = ["\x01", " \x01 ", "\x01a", "é", "Ñ", "ª", "ŉ", "ﬁ", "יִ", "K", "ͅ", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "İ", "ı", "ß", "Σ", "ΑΣ", "\u0301", "\u0307", "\u0338", "'", "'s", "'LL", "’", "=", "!", ".", "-", "A", "b", "the", "9", "²", "中", "😀", "\u200d", " ", "\n", "\t", "\x85", "\u00a0", "\x00"]
 
 
 @settings(max_examples=3000, deadline=None)
