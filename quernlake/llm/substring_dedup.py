@@ -23,8 +23,9 @@ CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20  # text of a chunk of documents; te
 RUNS = 4  # sorted runs of an index, beyond which they are compacted
 BATCHES = 3  # batches in which deduplicate() adds a table
 
-#: Windows of a chunk or a run in a range of hashes: sorted keys, how many windows each has, the windows' other hash, their
-#: least doc_id. Kind 0 comes from a chunk, 1 is a reply to one (bits in k), 2 belongs to a run of the index.
+#: Windows of a chunk or a run in a range of hashes. For each stretch of one key and one least doc_id: the key (k), how many
+#: windows (c), the doc_id (d); for each window its other hash (v). Kind 0 comes from a chunk, 1 is a reply to one (bits in
+#: k), 2 belongs to a run of the index.
 BLOCK = "kind int, chunk long, bucket int, k binary, c binary, v binary, d binary"
 NAMES = [x.split()[0] for x in BLOCK.split(", ")]
 
@@ -46,21 +47,18 @@ class Windows:
 
     @classmethod
     def read(cls, k: bytes, c: bytes, v: bytes, d: bytes) -> Windows:
-        return cls(np.repeat(np.frombuffer(k, "uint64"), np.frombuffer(c, "uint32")), np.frombuffer(v, "uint64"), np.frombuffer(d, "int64"))
-
-    def heads(self) -> np.ndarray:
-        """Places at which a new key begins."""
-        return np.flatnonzero(np.append(True, self.key[1:] != self.key[:-1])) if len(self.key) else np.zeros(0, "int64")
+        n = np.frombuffer(c, "uint32")
+        return cls(np.repeat(np.frombuffer(k, "uint64"), n), np.frombuffer(v, "uint32"), np.repeat(np.frombuffer(d, "int64"), n))
 
     def blocks(self, kind: int, chunk: int, buckets: int) -> Iterator[tuple]:
-        head = self.heads()
-        keys = self.key[head]
+        head = np.flatnonzero(np.append(True, (self.key[1:] != self.key[:-1]) | (self.doc[1:] != self.doc[:-1]))) if len(self.key) else np.zeros(0, "int64")
+        keys, docs = self.key[head], self.doc[head]
         count = np.diff(np.append(head, len(self.key))).astype("uint32")
         bucket = _bucket(keys, buckets)
         turn = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
         for a, z in zip(turn, [*turn[1:], len(keys)]):
             s = slice(int(head[a]), int(head[z]) if z < len(head) else len(self.key))
-            yield kind, chunk, int(bucket[a]), keys[a:z].tobytes(), count[a:z].tobytes(), self.other[s].tobytes(), self.doc[s].tobytes()
+            yield kind, chunk, int(bucket[a]), keys[a:z].tobytes(), count[a:z].tobytes(), self.other[s].tobytes(), docs[a:z].tobytes()
 
 
 def merge(parts: list[Windows]) -> tuple[Windows, np.ndarray]:
@@ -97,7 +95,7 @@ class Chunk:
     """The windows of a chunk of documents (doc_id, text), the same whatever the order of its rows.
 
     A window is filed under the least hash of its six-word runs (XXH3 of the words), and told apart by a hash of all its
-    words from another family (BLAKE2b of the words): 128 bits of both.
+    words from another family (BLAKE2b of the words): 64 and 32 bits, which are independent of each other.
     """
 
     def __init__(self, ids: list, docs: list[bytes]):
@@ -105,7 +103,7 @@ class Chunk:
         if not mine:
             mine["words"] = Vocabulary()
         self.lengths = np.zeros(len(docs), "int64")
-        keys, others, rows, places = [np.zeros(0, "uint64")], [np.zeros(0, "uint64")], [], []
+        keys, others, rows, places = [np.zeros(0, "uint64")], [np.zeros(0, "uint32")], [], []
         for n, (i, d) in enumerate(zip(ids, docs)):
             w = d.split()
             self.lengths[n] = len(w)
@@ -113,7 +111,7 @@ class Chunk:
                 first, second = mine["words"](w)
                 at, g = least_grams(first)
                 keys.append(mix(g[at]))
-                others.append(runs(second, WINDOW))
+                others.append((runs(second, WINDOW) >> np.uint64(32)).astype("uint32"))
                 rows.append((n, len(at)))
         key, other = np.concatenate(keys), np.concatenate(others)
         self.row = np.repeat([n for n, _ in rows], [m for _, m in rows]).astype("int64")
@@ -218,7 +216,7 @@ class FingerprintIndex:
     words, sorted, each with its least doc_id, and nothing that the index had before; so a later batch needs neither the
     earlier texts nor to be told of them. The sorted runs of a range are merged with the sorted windows of the batch's
     chunks; a window is filed under the least hash of its six-word runs and verified by a second hash of all its words,
-    of another family (128 bits in all). compact() merges runs into one. Ranges are split as the index grows: a run's
+    of another family (96 bits in all, of independent hashes). compact() merges runs into one. Ranges are split as the index grows: a run's
     blocks are cut at the new bounds as they are read.
 
     A chunk sends a window once, however many of its documents hold it, so a passage in a third of all documents weighs as
