@@ -59,6 +59,14 @@ def rotation_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("item").agg(F.count_if(F.col("kind") == "shown").alias("shown"), F.count_if(F.col("kind") == "used").alias("used"), F.max(F.when(F.col("kind") == "used", F.col("at"))).alias("used_at"))
 
 
+def rotation_order(items: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` items (item, position) whose turn it is: unseen ones, then the most used for their showings, the least
+    shown, and their own order. counts: rotation_counts()."""
+    both = items.join(counts.select("item", "shown", "used"), "item", "left").fillna(0, ["shown", "used"])
+    ratio = F.when(F.col("shown") > 0, F.col("used") / F.col("shown")).otherwise(0.0)
+    return both.orderBy(F.col("shown") > 0, F.desc(ratio), "shown", "position").limit(k)
+
+
 def resolve_identities(ids: DataFrame, known: DataFrame) -> DataFrame:
     """Maps ids of the shape legacy:user:<number> to the one known adapter:<number>; ambiguous and unknown ones stay.
 

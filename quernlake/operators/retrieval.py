@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
+from ..shared import written
 
 
 def lexical_search(df: DataFrame, text: str, tokens: list[str], tie: list, k: int | None, tier: Column | None = None, offset: int = 0) -> DataFrame:
@@ -28,18 +29,23 @@ def vector_search(df: DataFrame, vector: str, query: list[float], tie: list, k:
     return df.withColumn("cosine", X.cosine(F.col(vector), target)).orderBy(F.desc("cosine"), *tie).limit(k)
 
 
-def fused_search(df: DataFrame, key: str, text: str, vector: str, tokens: list[str], query: list[float], k: int) -> DataFrame:
-    """0.3 of the lexical and 0.7 of the cosine score, each over its largest in the pool of both top lists."""
-    pool = max(30, 3 * k)
-    target = F.array(*[F.lit(float(x)) for x in query])
-    scored = df.select(key, X.lexical_score(F.col(text), tokens).alias("lex"), X.cosine(F.col(vector), target).alias("cos"))
-    lexical = scored.where("lex > 0").orderBy(F.desc("lex"), key).limit(pool)
-    near = scored.orderBy(F.desc("cos"), key).limit(pool)
-    both = lexical.unionByName(near).distinct()
-    most = both.agg(F.max("lex").alias("max_lex"), F.max(F.greatest("cos", F.lit(0.0))).alias("max_cos"))
+def fused_search(df: DataFrame, key: str, text: str, vector: str, tokens: list[str], query: list[float], k: int, tier: Column | None = None, end: Column | None = None, offset: int = 0) -> DataFrame:
+    """0.3 of the lexical and 0.7 of the cosine score, each over its largest in the pool of both top lists.
+
+    Rows without a vector have a cosine of -1. By tier, fused score, then ``end`` (the latest first) and key. The rows are
+    scored once and written, and the pool has three times the page's rows, at least 30, from either list.
+    """
+    pool, target = max(30, 3 * (offset + k)), F.array(*[F.lit(float(x)) for x in query])
+    scored = df.select(key, X.lexical_score(F.col(text), tokens).alias("lex"), F.coalesce(X.cosine(F.col(vector), target), F.lit(-1.0)).alias("cos"), (F.lit(0) if tier is None else tier).alias("tier"), (F.lit(0.0) if end is None else end.cast("double")).alias("end"))
+    scored = written(scored, "scored")
+    lexical = scored.where("lex > 0").orderBy("tier", F.desc("lex"), key).limit(pool)
+    near = scored.orderBy("tier", F.desc("cos"), key).limit(pool)
+    whole = Window.partitionBy(F.lit(0))  # of the pool, no more than twice its size
+    both = lexical.unionByName(near).distinct().withColumn("pos", F.greatest("cos", F.lit(0.0)))
+    both = both.withColumn("max_lex", F.max("lex").over(whole)).withColumn("max_cos", F.max("pos").over(whole))
     part = lambda v, m: F.when(F.col(m) > 0, F.col(v) / F.col(m)).otherwise(0.0)
-    fused = both.join(F.broadcast(most)).withColumn("pos", F.greatest("cos", F.lit(0.0)))  # most is one row
-    return fused.select(key, F.round(part("lex", "max_lex") * 0.3 + part("pos", "max_cos") * 0.7, 6).alias("fused")).orderBy(F.desc("fused"), key).limit(k)
+    fused = both.withColumn("fused", F.round(part("lex", "max_lex") * 0.3 + part("pos", "max_cos") * 0.7, 6)).orderBy("tier", F.desc("fused"), F.desc("end"), key)
+    return (fused.offset(offset) if offset else fused).limit(k).select(key, "fused")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:

@@ -458,3 +458,115 @@ def tool_texts(spark, d):
 SELECT id, used FROM p WHERE used <= 300 OR k = 1""")
 def payload_budget(spark, d):
     return R.packed(records(spark, d).where("deleted = 0"), ["sid"], ["position", "id"], F.struct("id", "position"), 300).select("id", F.col("used").cast("long").alias("used"))
+
+
+COLD = f"(((cold = 1 AND (archived_at = 0 OR archived_at <= {NOW} - 30 * 86400)) OR deleted = 1) AND trim(content) <> '')"
+
+
+@q(f"SELECT id AS record_id, content FROM records WHERE {COLD}")
+def cold_spill(spark, d):
+    return L.spill_cold(records(spark, d), NOW, 30)[1].select("record_id", "content")
+
+
+@q(f"SELECT id, CASE WHEN {COLD} THEN 0 ELSE length(content) END AS hot, coalesce(length(nullif(trim(content), '')), 0) > 0 AS back FROM records")
+def cold_fill(spark, d):
+    hot, cold = L.spill_cold(records(spark, d), NOW, 30)
+    filled = L.fill_cold(hot, cold).select("id", (F.length("content") > 0).alias("back"))
+    return hot.select("id", F.length("content").alias("hot")).join(filled, "id")
+
+
+@q("SELECT id FROM facts f WHERE EXISTS (SELECT 1 FROM (SELECT unnest(f.sources) AS s)) AND NOT EXISTS (SELECT 1 FROM records r WHERE list_contains(f.sources, r.id) AND r.deleted = 0)")
+def orphan_facts(spark, d):
+    return L.orphans(facts(spark, d), records(spark, d)).select("id")
+
+
+@query("""WITH known AS (SELECT 'qq:' || s_suppkey AS id, s_suppkey AS n FROM supplier UNION ALL SELECT 'wx:' || s_suppkey, s_suppkey FROM supplier WHERE s_suppkey % 7 = 0),
+one AS (SELECT n, min(id) AS target FROM known GROUP BY n HAVING count(*) = 1)
+SELECT CASE WHEN c_custkey % 2 = 0 THEN 'legacy:user:' ELSE 'qq:' END || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN coalesce(target, 'legacy:user:' || c_custkey) ELSE 'qq:' || c_custkey END AS resolved FROM customer LEFT JOIN one ON n = c_custkey""")
+def identity_resolution(spark, d):
+    sup = t(spark, d, "supplier")
+    known = sup.selectExpr("concat('qq:', s_suppkey) AS id").union(sup.where("s_suppkey % 7 = 0").selectExpr("concat('wx:', s_suppkey)"))
+    ids = t(spark, d, "customer").selectExpr("concat(CASE WHEN c_custkey % 2 = 0 THEN 'legacy:user:' ELSE 'qq:' END, c_custkey) AS id")
+    return L.resolve_identities(ids, known)
+
+
+SHOWN = "(SELECT user_id, count(*) FILTER (event_type = 'view') AS shown, count(*) FILTER (event_type = 'click') AS used FROM events GROUP BY user_id)"
+
+
+@query(f"WITH n AS (SELECT c_custkey AS item, c_custkey AS position, coalesce(shown, 0) AS shown, coalesce(used, 0) AS used FROM customer LEFT JOIN {SHOWN} ON user_id = c_custkey WHERE c_custkey % 3 = 0) SELECT item, shown, used FROM n ORDER BY shown > 0, CASE WHEN shown > 0 THEN used / shown ELSE 0 END DESC, shown, position LIMIT 400")
+def rotation_order(spark, d):
+    log = t(spark, d, "events").select(F.col("user_id").alias("item"), F.when(F.col("event_type") == "view", "shown").when(F.col("event_type") == "click", "used").alias("kind"), F.col("ts").alias("at"))
+    items = t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("item"), F.col("c_custkey").alias("position"))
+    return L.rotation_order(items, L.rotation_counts(log), 400).select("item", "shown", "used")
+
+
+FOLD = "p AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY position, id) - 1 AS ordinal FROM records WHERE active = 1 AND deleted = 0 AND level = 0 QUALIFY ordinal < 5)"
+
+
+def _fold(spark, d):
+    from pyspark.sql.window import Window
+
+    r = records(spark, d)
+    at = F.row_number().over(Window.partitionBy("sid").orderBy("position", "id")) - 1
+    plan = r.where("active = 1 AND deleted = 0 AND level = 0").select("sid", "id", at.alias("ordinal"), F.lit(1).alias("target_level")).where("ordinal < 5")
+    return K.fold(r.drop("level"), plan)
+
+
+@q(f"{FOLD} SELECT sid, 1 AS level, min(start) AS start, max(\"end\") AS \"end\", min(position) AS position, list_sort(list_distinct(flatten(list(users)))) AS users, count(*) AS children FROM p GROUP BY sid")
+def archive_fold(spark, d):
+    return _fold(spark, d)[0].select("sid", "level", "start", "end", "position", "users", "children")
+
+
+@q(f"{FOLD}, a AS (SELECT sid, sha256(sid || '|1|' || string_agg(id, ',' ORDER BY ordinal)) AS parent FROM p GROUP BY sid) SELECT parent, id AS child, CAST(ordinal AS INT) AS ordinal FROM p JOIN a USING (sid)")
+def archive_edges(spark, d):
+    return _fold(spark, d)[1].select("parent", "child", "ordinal")
+
+
+@q("SELECT subject, category, list_sort(list_distinct(flatten(list(sources)))) AS sources, list_sort(list_distinct(flatten(list(tags)))) AS tags, len(list_distinct(flatten(list(relations)))) AS n_relations, max(importance) AS importance, min(nullif(event_at, 0)) AS event_at, max(event_end) AS event_end FROM facts WHERE deleted = 0 GROUP BY subject, category")
+def fact_merges(spark, d):
+    merged = S.merge_facts(facts(spark, d).where("deleted = 0"), ["subject", "category"])
+    return merged.select("subject", "category", "sources", "tags", F.size("relations").alias("n_relations"), "importance", "event_at", "event_end")
+
+
+REASON = r"""CASE WHEN text IS NULL THEN 'invalid_text' WHEN length(text) > 4000 THEN 'too_long' WHEN NOT regexp_matches(text, '[\p{L}\p{N}]') THEN 'empty'
+WHEN regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]') THEN 'control_characters' WHEN regexp_matches(text, '^\s*(```|\{|\[|<)|</?\w+[^>]*>') THEN 'markup_or_serialized_output'
+WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') IN ('None', 'null') THEN 'placeholder' WHEN length(trim(text)) > 12 AND len(list_distinct(string_split(trim(text), ''))) < 3 THEN 'repetition' END"""
+ENTRIES = f"e AS (SELECT 'k' || (doc_id % 300) AS key, sha256(trim(coalesce(text, ''))) AS digest, {REASON} AS reason FROM documents), good AS (SELECT DISTINCT key, digest FROM e WHERE reason IS NULL), fresh AS (SELECT * FROM good WHERE digest NOT IN (SELECT sha256(trim(coalesce(text, ''))) FROM documents WHERE doc_id % 5 = 0) OR substr(key, 2) <> '7')"
+
+
+def _ingest(spark, d):
+    from ..sources.legacy import ingest
+
+    docs = t(spark, d, "documents")
+    entries = docs.selectExpr("concat('k', doc_id % 300) AS key", "text", "'fact' AS category")
+    ledger = docs.where("doc_id % 5 = 0").select(F.lit("old").alias("source"), F.lit("k7").alias("key"), F.sha2(F.trim(F.coalesce("text", F.lit(""))), 256).alias("digest"))
+    return ingest(entries, ledger, "old")
+
+
+@query(f"WITH {ENTRIES} SELECT sha256(concat_ws(chr(31), 'old', key, digest)) AS id, key FROM fresh")
+def ingest_entries(spark, d):
+    return _ingest(spark, d)[0].select("id", "key")
+
+
+@query(f"WITH {ENTRIES} SELECT 'imported' AS reason, (SELECT count(*) FROM fresh) AS n UNION ALL SELECT 'duplicate', (SELECT count(*) FROM e WHERE reason IS NULL) - (SELECT count(*) FROM fresh) UNION ALL SELECT reason, count(*) FROM e WHERE reason IS NOT NULL GROUP BY reason")
+def ingest_report(spark, d):
+    return _ingest(spark, d)[1]
+
+
+def _rows(spark, schema: str, *rows: str) -> DataFrame:
+    """A frame of literals."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS v({schema})")
+
+
+@query("SELECT * FROM (VALUES (0, 'h', 'd', ['d', 'c']), (1, 'g', 'a', ['b', 'a']), (2, NULL, 'a', ['a']), (3, 'i', 'e', ['e'])) v(verdict, grp, target_id, source_ids)")
+def merge_verdicts(spark, d):
+    groups = _rows(spark, "batch, grp, id, time", "('1', 'g', 'a', 1.0D)", "('1', 'g', 'b', 2.0D)", "('1', 'h', 'c', 1.0D)", "('1', 'h', 'd', 5.0D)", "('1', 'i', 'e', 1.0D)")
+    verdicts = _rows(spark, "batch, verdict, target_id, source_ids", "('1', 0, 'zz', array('c', 'q'))", "('1', 1, 'a', array('a', 'x'))", "('1', 2, 'a', array('a'))", "('1', 3, 'e', cast(null AS array<string>))")
+    return K.pair_verdicts(groups, verdicts).drop("batch")
+
+
+@query("SELECT * FROM (VALUES ('t', 't', 'one', 0), ('t', 'u', 'two', 1), ('t', 'w', 'three', 2)) v(target, id, content, ordinal)")
+def unmerged_facts(spark, d):
+    merged = _rows(spark, "id, content", "('t', 'one；two；three')", "('x', 'one；two')")
+    versions = _rows(spark, "target, id, content", "('t', 'u', 'two')", "('t', 't', 'one')", "('t', 'v', 'decoy')", "('t', 'w', 'three')", "('x', 'u', 'two')", "('x', 'v', 'one')")
+    return K.take_apart(merged, versions)

@@ -152,11 +152,6 @@ def evidence_latest(spark, d):
     return R.latest(t(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", "o_orderdate")
 
 
-@query("SELECT l_orderkey, min(l_shipdate) AS event_at, max(l_shipdate) AS event_end FROM lineitem GROUP BY l_orderkey")
-def event_span(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("event_at"), F.max("l_shipdate").alias("event_end"))
-
-
 SPANS = "(SELECT o_orderkey, o_custkey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS level, o_orderdate AS start_at, o_orderdate + CAST(substr(o_orderpriority, 1, 1) AS INT) * INTERVAL 60 DAY AS end_at FROM orders)"
 
 
@@ -182,17 +177,6 @@ def latest_name(spark, d):
     return R.latest(t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE length(n_name) >= 2 AND instr('orders of NATION_12 and NATION_3', n_name) > 0")
-def entity_mention_join(spark, d):
-    return t(spark, d, "nation").where("length(n_name) >= 2 AND instr('orders of NATION_12 and NATION_3', n_name) > 0").select("n_nationkey", "n_name")
-
-
-@query("SELECT DISTINCT lower(r_name) AS token FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name IN ('NATION_1', 'NATION_2', 'NATION_9')")
-def query_expansion(spark, d):
-    named = t(spark, d, "nation").where(F.col("n_name").isin("NATION_1", "NATION_2", "NATION_9"))
-    return named.join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("r_name").alias("token")).distinct()
-
-
 @query("SELECT o_orderstatus, count(*) AS n, count(*) FILTER (o_totalprice > 100000) AS active FROM orders GROUP BY o_orderstatus")
 def status_by_level(spark, d):
     return t(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 100000).alias("active"))
@@ -234,7 +218,7 @@ def profile_topk_per_category(spark, d):
     return R.top_per_group(facts(spark, d), ["source", "lang"], [F.desc("importance"), "doc_id"], 3).select("source", "lang", "doc_id", "rank")
 
 
-GRAMS = r"(SELECT id, list_distinct(list_transform(range(1, greatest(length(n), 2)), lambda i: substr(n, i, 2))) AS g FROM (SELECT item_id AS id, regexp_replace(lower(text), '[\s!-/:-@\[-`{-~]+', '', 'g') AS n FROM benchmark) WHERE n <> '')"
+GRAMS = r"""(SELECT id, list_distinct(list_transform(range(1, greatest(length(n), 2)), lambda i: substr(n, i, 2))) AS g FROM (SELECT item_id AS id, regexp_replace(lower(text), '[\s，。、；：！？,.!?;:''"“”‘’()（）\[\]【】<>《》\-—~～/\\]+', '', 'g') AS n FROM benchmark) WHERE n <> '')"""
 PAIRS = f"(SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)), 6) AS similarity FROM {GRAMS} a JOIN {GRAMS} b ON a.id < b.id WHERE len(list_intersect(a.g, b.g)) >= 2 AND round(len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)), 6) >= 0.85)"
 
 
@@ -288,7 +272,7 @@ def retention_score(spark, d):
     return u.select("user_id", X.retention_score(F.lit(5.0), F.col("last_age"), F.col("first_age"), F.col("used"), F.col("v") > 100).alias("score"))
 
 
-@query(f"SELECT user_id, round_even(10.0 + least(used, 5) * pow(0.5, last_age / 60) * 3 + greatest(10 * (1 - first_age / 60), 0), 4) AS score FROM {USE}")
+@query(f"SELECT user_id, CAST(round_even(10.0 + least(used, 5) * pow(0.5, last_age / 60) * 3 + greatest(10 * (1 - first_age / 60), 0), 0) AS INT) AS score FROM {USE}")
 def sink_score(spark, d):
     return use(spark, d).select("user_id", X.sink_score(F.lit(5.0), F.col("used"), F.col("last_age"), F.col("first_age"), F.lit(0)).alias("score"))
 
@@ -299,11 +283,6 @@ def aged_importance(spark, d):
     return t(spark, d, "orders").select("o_orderkey", X.aged_importance(F.pmod("o_orderkey", F.lit(10)) + 1, days).alias("importance"))
 
 
-@query(f"SELECT user_id, shown, used FROM {USE} ORDER BY shown > 0, -(used / greatest(shown, 1)), shown, user_id LIMIT 12")
-def rotation_order(spark, d):
-    return use(spark, d).select("user_id", "shown", "used").orderBy(F.col("shown") > 0, -(F.col("used") / F.greatest("shown", F.lit(1))), "shown", "user_id").limit(12)
-
-
 @query("""WITH x AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND coalesce(lag(role) OVER w, '') <> 'user' THEN 1 ELSE 0 END AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn, CAST(sum(s) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS round FROM x""")
 def round_segments(spark, d):
@@ -315,43 +294,6 @@ def char_budget_cut(spark, d):
     return R.within_budget(t(spark, d, "conversations"), "conv_id", ["turn"], F.length(F.coalesce("text", F.lit(""))), 800).select("conv_id", "turn", F.col("used_chars").cast("long").alias("used_chars"))
 
 
-@query("SELECT conv_id, CAST(turn // 4 AS BIGINT) AS batch, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n, list_sort(list_distinct(list(role))) AS users FROM conversations GROUP BY conv_id, batch")
-def fold_batches(spark, d):
-    return t(spark, d, "conversations").groupBy("conv_id", F.expr("turn DIV 4").alias("batch")).agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n"), F.array_sort(F.collect_set("role")).alias("users"))
-
-
-@query("SELECT conv_id, bool_and(role = 'assistant') AS only_self, CASE WHEN bool_and(role = 'assistant') THEN least(5, 8) ELSE 8 END AS importance FROM conversations GROUP BY conv_id")
-def audit_clamp(spark, d):
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.every(F.col("role") == "assistant").alias("only_self")).withColumn("importance", F.when(F.col("only_self"), F.least(F.lit(5), F.lit(8))).otherwise(8))
-
-
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate <= TIMESTAMP '1996-01-01' UNION SELECT o_orderkey FROM orders WHERE o_totalprice > 450000")
-def cold_candidates(spark, d):
-    o = t(spark, d, "orders")
-    return o.where((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") <= F.expr("TIMESTAMP_NTZ '1996-01-01'"))).select("o_orderkey").union(o.where("o_totalprice > 450000").select("o_orderkey")).distinct()
-
-
-@query("SELECT d.doc_id, coalesce(nullif(trim(CASE WHEN l.quality = 0 THEN '' ELSE d.lang END), ''), 'cold:' || d.source) AS content FROM documents d LEFT JOIN labels l USING (doc_id)")
-def cold_fill(spark, d):
-    hot = facts(spark, d).select("doc_id", F.when(F.col("quality") == 0, "").otherwise(F.col("lang")).alias("body"))
-    cold = t(spark, d, "documents").select("doc_id", F.concat(F.lit("cold:"), F.col("source")).alias("kept"))
-    return hot.join(cold, "doc_id", "left").select("doc_id", F.coalesce(F.nullif(F.trim("body"), F.lit("")), "kept").alias("content"))
-
-
-@query("SELECT c_name, min(c_custkey) AS entity FROM customer JOIN (SELECT c_nationkey AS k, c_mktsegment AS m FROM customer GROUP BY 1, 2 HAVING count(*) = 1) ON c_nationkey = k AND c_mktsegment = m GROUP BY c_name")
-def identity_mapping(spark, d):
-    c = t(spark, d, "customer")
-    one = c.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    return c.join(one, ["c_nationkey", "c_mktsegment"]).groupBy("c_name").agg(F.min("c_custkey").alias("entity"))
-
-
-@query("SELECT sha256(coalesce(text, '')) AS digest, min(doc_id) AS doc_id FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM benchmark) GROUP BY 1")
-def ingest_dedupe(spark, d):
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    known = t(spark, d, "benchmark").select(digest.alias("digest"))
-    return t(spark, d, "documents").withColumn("digest", digest).join(known, "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-
-
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 def json_decode(spark, d):
     return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -362,14 +304,6 @@ def distinct_union(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_partkey").union(t(spark, d, "orders").select("o_orderkey", "o_custkey")).distinct()
 
 
-HITS = " + ".join(f"CASE WHEN contains(lower(text), '{x}') THEN 1 ELSE 0 END" for x in ("stupid", "worthless", "clown", "12345"))
-
-
-@query(f"SELECT doc_id FROM documents WHERE {HITS} >= 2 OR contains(text, '12345')")
-def overlap_hit(spark, d):
-    return t(spark, d, "documents").where(X.overlap_hit(F.col("text"), "stupid worthless clown 12345")).select("doc_id")
-
-
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start_at, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def tumbling_event_counts(spark, d):
     return t(spark, d, "events").groupBy(F.window("ts", "1 hour").start.alias("start_at"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
@@ -416,12 +350,6 @@ def text_rejection(spark, d):
     return t(spark, d, "documents").select("doc_id", rejection(F.col("text"), 4000).alias("reason"))
 
 
-@query("SELECT l_orderkey AS parent, l_partkey AS child, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INT) AS ordinal FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem)")
-def archive_edges(spark, d):
-    edges = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
-    return edges.select(F.col("l_orderkey").alias("parent"), F.col("l_partkey").alias("child"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1).alias("ordinal"))
-
-
 @query("SELECT page_id, CASE WHEN length(s) > 240 THEN substr(s, 1, 240) || '…' ELSE s END AS preview FROM (SELECT page_id, trim(regexp_replace(coalesce(html, ''), '\\s+', ' ', 'g')) AS s FROM pages)")
 def tool_preview(spark, d):
     from ..functions.cleaning import tool_preview as preview
@@ -438,19 +366,3 @@ def merge_routing(spark, d):
     return u.select("user_id", route_merge(part(11), part(7), part(5)).alias("route"))
 
 
-@query("SELECT CASE WHEN c IS NULL THEN 'unknown' ELSE c END AS segment, count(*) AS n, CAST(sum(b) AS BIGINT) AS positive FROM (SELECT c_mktsegment AS c, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS b FROM customer) GROUP BY 1")
-def segment_counts(spark, d):
-    return t(spark, d, "customer").groupBy(F.coalesce("c_mktsegment", F.lit("unknown")).alias("segment")).agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("positive"))
-
-
-@query("SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id HAVING max_by(role, turn) = 'user'")
-def open_rounds(spark, d):
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("r")).where("r = 'user'").drop("r")
-
-
-@query("SELECT c.c_custkey, c.c_nationkey FROM customer c LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus <> 'F') o ON c_custkey = o_custkey WHERE o_custkey IS NULL AND EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = c.c_custkey)")
-def orphan_facts(spark, d):
-    o = t(spark, d, "orders")
-    c = t(spark, d, "customer").select("c_custkey", "c_nationkey")
-    cited, live = o.select("o_custkey").distinct(), o.where("o_orderstatus <> 'F'").select("o_custkey").distinct()
-    return c.join(cited, F.col("c_custkey") == F.col("o_custkey"), "left_semi").join(live, F.col("c_custkey") == F.col("o_custkey"), "left_anti")

@@ -74,9 +74,10 @@ def ingest(entries: DataFrame, ledger: DataFrame, source: str, limit: int = 4000
     known = ledger.where(F.col("source") == source).select("key", "digest")
     fresh = once.join(known, ["key", "digest"], "left_anti")
     new = fresh.select(F.sha2(F.concat_ws("\x1f", F.lit(source), "key", "digest"), 256).alias("id"), "key", F.trim("text").alias("text"), "category")
-    n_new, n_good = fresh.agg(F.count("*").alias("n")), good.agg(F.count("*").alias("n"))
-    counts = n_new.select(F.lit("imported").alias("reason"), "n").unionByName(n_good.join(n_new.withColumnRenamed("n", "m")).select(F.lit("duplicate").alias("reason"), (F.col("n") - F.col("m")).alias("n")))
-    return new, counts.unionByName(told.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")))
+    count = lambda df, reason, n: df.select(F.lit(reason).alias("reason"), F.lit(n).cast("long").alias("n"))
+    counts = count(fresh, "imported", 1).unionByName(count(good, "duplicate", 1)).unionByName(count(fresh, "duplicate", -1))
+    counts = counts.unionByName(told.where("reason IS NOT NULL").select("reason", F.lit(1).cast("long").alias("n")))
+    return new, counts.groupBy("reason").agg(F.sum("n").alias("n"))
 
 
 def export(tables: dict[str, DataFrame], path: str) -> None:
