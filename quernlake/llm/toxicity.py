@@ -17,6 +17,9 @@ from ._common import Memo, fold, labelled, store, table, texts
 
 LEARN_TOXIC, LEARN_CLEAN = 1500, 2500  # labelled rows to learn from, at most
 SPAN, DECAY, LETTERS, START = 7, 0.85, 32, 27
+BLAMED, GUILTY, INNOCENT, BENT, HARD = 8, 1500, 6000, 400, 2000  # words: of a toxic text, to learn from, of clean texts, with gaps, looked at again
+SHORT, PAIR = 4, 1.4  # letters of words that may be parts of one; how much more guilty the whole must look
+MARGIN = 0.1  # where between the clean texts and the toxic ones the border lies; low, for words with letters put in
 SIZE = LETTERS**4  # numbers of letter quadruples
 SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")  # letters spaced out
 AGAIN = re.compile(r"([^\n]{2,6}?)\1+")
@@ -162,6 +165,20 @@ def units(text: str) -> list[str]:
     return words
 
 
+def pairs(text: str) -> list[str]:
+    """Neighbours of two to four letters, put together: they may be one word with a space in it."""
+    words = text.split()
+    short = [2 <= len(w) <= SHORT for w in words]
+    return [a + b for a, b, x, y in zip(words, words[1:], short, short[1:]) if x and y]
+
+
+def worst(machine: Machine, text: str, value=None) -> float:
+    """The largest decision value of a text's words, and of its pairs less PAIR, which must look the more guilty."""
+    value = value or (lambda words: machine.words(words))
+    words = value(units(text) or [""])
+    return max(max(words), max(value(pairs(text)), default=-9.0) - PAIR)
+
+
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by finite Newton steps."""
     x = np.hstack([z, np.ones((len(z), 1))])
@@ -178,10 +195,16 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, r
     return w[:-1], float(w[-1])
 
 
-def _gapped(word: str) -> list[str]:
-    """The word with a character after each of its first letters, as insults are written to slip through."""
-    head, tail = word[:8], word[8:]
-    return ["-".join(head) + tail, ".".join(head) + tail, head[:2] + "*" + head[2:] + tail, head[:3] + "x" + head[3:] + tail] if len(word) >= 4 else []
+def _gapped(word: str, rng: np.random.Generator, n: int = 6) -> list[str]:
+    """The word with marks between its letters, and ``n`` times with a letter put in somewhere, as insults are written to slip
+    through."""
+    if len(word) < 4:
+        return []
+    bent = ["-".join(word[:8]) + word[8:], word[:2] + "*" + word[2:]]
+    for _ in range(n):
+        at = int(rng.integers(1, len(word)))
+        bent.append(word[:at] + "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))] + word[at:])
+    return bent
 
 
 def learn(rows: list[tuple[str, int]], landmarks: int = 256, seed: int = 5, rounds: int = 3) -> Machine:
@@ -206,41 +229,43 @@ def learn(rows: list[tuple[str, int]], landmarks: int = 256, seed: int = 5, roun
     blamed = []
     for ws in toxic:
         rated = sorted(((guilt(w), w) for w in ws), reverse=True)
-        blamed.append([w for s, w in rated if s > 3.5][:8])
+        blamed.append([w for s, w in rated if s > 3.5][:BLAMED])
     innocent = sorted({w for ws in clean for w in ws})
     known = set(innocent)
-    pick = [innocent[k] for k in rng.permutation(len(innocent))[:6000]]
+    pick = [innocent[k] for k in rng.permutation(len(innocent))[:INNOCENT]]
     hard: list[str] = []
     machine = None
     for _ in range(rounds):
         count = Counter(w for ws in blamed for w in ws if w not in known)
-        guilty = [w for w, _ in count.most_common(1500)]
+        guilty = [w for w, _ in count.most_common(GUILTY)]
         if not guilty:
             return machine or constant(0.01)
         marks = guilty[: landmarks // 2] + pick[: landmarks - landmarks // 2]
         lm = Landmarks(marks)
         val, vec = np.linalg.eigh(lm.rows @ lm.rows.T)
         root = vec / np.sqrt(np.maximum(val, 1e-3)) @ vec.T
-        bent = [g for w in guilty[:400] for g in _gapped(w)]
+        bent = [g for w in guilty[:BENT] for g in _gapped(w, rng)]
         instances = guilty + bent + pick + hard
         y = np.array([1.0] * (len(guilty) + len(bent)) + [-1.0] * (len(pick) + len(hard)))
         z = lm.kernel(instances) @ root
         many = np.array([min(count[w], 20) for w in guilty], float)
-        share = np.concatenate([many, np.full(len(bent), many.sum() / max(len(bent), 1)), np.ones(len(pick) + len(hard))])
+        share = np.concatenate([many, np.full(len(bent), 2 * many.sum() / max(len(bent), 1)), np.ones(len(pick) + len(hard))])
         weight = np.where(y > 0, share / share[y > 0].sum(), 2 * share / (y < 0).sum()) * 2000
         w, offset = _svm(z, y, weight)
         machine = Machine(lm.numbers, lm.rows.T @ (root @ w), offset, (1.0, 0.0))
         value = np.array(machine.words(innocent))
-        hard = sorted({innocent[k] for k in np.argsort(-value)[:2000]})
+        hard = sorted({innocent[k] for k in np.argsort(-value)[:HARD]})
         rated = [sorted(zip(machine.words(ws), ws), reverse=True) for ws in toxic]
-        blamed = [[w for s, w in r if s > 0 and w not in known and guilt(w) > 2][:8] for r in rated]
-    worst = np.array([max(machine.words(ws), default=-3.0) for ws in toxic + clean])
+        blamed = [[w for s, w in r if s > 0 and w not in known and guilt(w) > 2][:BLAMED] for r in rated]
+    texts_ = [t for t, y in rows if y] + [t for t, y in rows if not y]
+    found = np.array([worst(machine, t) for t in texts_])
     y = np.array([1] * len(toxic) + [0] * len(clean))
-    order = np.sort(np.unique(worst))
+    order = np.sort(np.unique(found))
     cuts = (order[1:] + order[:-1]) / 2 if len(order) > 1 else order
-    wrong = [int((worst[y == 1] < c).sum() + 4 * (worst[y == 0] >= c).sum()) for c in cuts]
+    wrong = [int((found[y == 1] < c).sum() + 4 * (found[y == 0] >= c).sum()) for c in cuts]
     best = [c for c, n in zip(cuts, wrong) if n == min(wrong)]
-    border = 0.5 * best[0] + 0.5 * best[-1]  # between the classes, halfway where they part
+    low, high = order[order < best[0]], order[order >= best[-1]]
+    border = float(low[-1] + MARGIN * (high[0] - low[-1])) if len(low) and len(high) else float(best[0])
     machine.scale = (4.0, float(-4.0 * border))
     return machine
 
@@ -253,9 +278,10 @@ def margins(machine: Machine, key: bytes, docs: list[str]) -> np.ndarray:
         mine[key] = Memo(machine.words)
     memo, out = mine[key], []
     for k in range(0, len(docs), 64):
-        parts = [units(t) or [""] for t in docs[k : k + 64]]
-        memo.fill([w for ws in parts for w in ws])
-        out += [max(map(memo.__getitem__, ws)) for ws in parts]
+        parts, twos = [units(t) or [""] for t in docs[k : k + 64]], list(map(pairs, docs[k : k + 64]))
+        memo.fill([w for ws in (*parts, *twos) for w in ws])
+        get = memo.__getitem__
+        out += [max(max(map(get, ws)), max(map(get, ps), default=-9.0) - PAIR) for ws, ps in zip(parts, twos)]
     return np.array(out)
 
 

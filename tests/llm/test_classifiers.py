@@ -57,6 +57,19 @@ def test_marks_after_every_letter():
     assert p("bright mor-ning of a-n-o-t-h-e-r sta--tion") < 0.5 and p("... --- !!!") < 0.5
 
 
+def test_insults_written_to_slip_through():
+    """Marks, spaces and letters put in, learned from the driver's labelled sentences; clean words that look alike stay clean."""
+    import duckdb
+
+    found = duckdb.sql(f"SELECT d.doc_id, coalesce(text, ''), toxic FROM '{SF}/documents.parquet' d JOIN '{SF}/labels.parquet' l USING (doc_id) WHERE toxic IS NOT NULL ORDER BY 1").fetchall()
+    machine = toxicity.learn([(t, y) for i, t, y in found if zlib.crc32(str(i).encode()) % 5])
+    p = lambda w: float(machine.probability(toxicity.margins(machine, b"k", [f"the {w} of leaves"]))[0])
+    for w in ("s-t-u-p-i-d", "i.d.i.o.t", "c*l*o*w*n", "w-o-r-t-h-l-e-s-s", "stuxpid", "idixot", "cloxwn", "morxon", "worxthless", "stu pid", "id iot", "st*upid", "1d10t"):
+        assert p(w) >= 0.5, w
+    for w in ("station", "another", "cloud", "crown", "moorland", "idiom", "stupendous", "worthy", "clover", "student", "clone", "studio", "worth less"):
+        assert p(w) < 0.5, w
+
+
 def test_toxicity_held_out(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     machine = toxicity.train_toxicity(docs, labels)
