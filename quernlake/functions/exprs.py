@@ -254,3 +254,21 @@ def overlaps(start: Column, end: Column, low, high) -> Column:
 
 def fingerprint(*cols: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256)
+
+
+def adapter_parts(c: Column) -> Column:
+    """struct<adapter, number, kind> of adapter:number or adapter:kind:number (kinds dm, gm, and pm, which is dm); of other
+    ids no adapter, the id as number."""
+    p = F.split(F.coalesce(c, F.lit("")), ":")
+    full, kind = ~F.exists(p, lambda x: x == ""), F.get(p, F.lit(1))
+    two, three = (F.size(p) == 2) & full, (F.size(p) == 3) & full & kind.isin("dm", "gm", "pm")
+    part = lambda a, b, other: F.when(two, a).when(three, b).otherwise(other)
+    none = F.lit("")
+    return F.struct(part(p[0], p[0], none).alias("adapter"), part(kind, F.get(p, F.lit(2)), F.coalesce(c, none)).alias("number"), part(none, F.when(kind == "pm", "dm").otherwise(kind), none).alias("kind"))
+
+
+def pending_parts(c: Column, prefix: str) -> Column:
+    """struct<kind, adapter, number> of prefix + user or group : [adapter:] number; null for other ids."""
+    rest = F.regexp_extract_all(c, F.lit(f"^{prefix}(user|group):(?:([^:]*):)?([^:\\s]+)$"), F.lit(0))
+    get = lambda k: F.regexp_extract(c, f"^{prefix}(user|group):(?:([^:]*):)?([^:\\s]+)$", k)
+    return F.when(F.size(rest) > 0, F.struct(get(1).alias("kind"), get(2).alias("adapter"), get(3).alias("number")))

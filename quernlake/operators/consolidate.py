@@ -1,12 +1,12 @@
-"""Consolidation steps that are sequential within a small group: what to fold, verdicts to groups, taking merges apart."""
+"""Consolidation: what to fold, folding it, verdicts to groups, taking merges apart."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SEPARATOR = "；"
 
@@ -21,53 +21,46 @@ class FoldSettings:
     max_level: int = 8
     max_chars: int = 20_000
     by_rounds: bool = True
+    stale_days: float = 3  # with idle_hours: how old and how quiet a session must be for a boost
+    idle_hours: float = 6
 
 
-def _closed_rounds(roles: list[str]) -> list[int]:
-    """Ends of the closed rounds: a round closes before a user's message that follows another's."""
-    return [k for k in range(1, len(roles)) if roles[k] == "user" and roles[k - 1] != "user"]
-
-
-def _cut(sizes: list[int], ends: list[int], most: int) -> int:
-    """The last end within ``most`` characters; the first end if even that is beyond."""
-    total, at, fits = 0, 0, ends[0]
-    for end in ends:
-        total += sum(sizes[at:end])
-        at = end
-        if total > most and end != ends[0]:
-            break
-        fits = end
-    return fits
-
-
-def fold_plan(records: DataFrame, settings: FoldSettings = FoldSettings()) -> DataFrame:
+def fold_plan(records: DataFrame, settings: FoldSettings = FoldSettings(), now: float | None = None) -> DataFrame:
     """Which rows of each session fold next: sid, id, ordinal, target_level.
 
-    The lowest level that has enough rows folds, of its visibilities the one with most; messages by whole closed rounds
-    within the character budget, archives by count. Permanent and inactive rows stay. A session is a group of bounded
-    size: what has been folded is inactive.
+    The lowest level that has enough rows folds, of its visibilities the one with most. Messages fold by whole closed rounds
+    (one closes before a user's row that follows another's) within the character budget, the first round in any case; or by
+    count, to the end of the round then open. Archives fold by count. With ``now`` a boost: sessions with an old row and
+    nothing new fold from one closed round on, or their first messages if there is none. Permanent, inactive and deleted
+    rows stay. Running sums over each session's level and visibility, and one aggregation; no Python.
     """
-
-    def plan(g: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame(columns=["sid", "id", "ordinal", "target_level"])
-        for level in sorted(x for x in g["level"].unique() if x < settings.max_level):
-            rows = g[g["level"] == level].sort_values(["position", "id"])
-            parts = sorted(rows.groupby("visibility"), key=lambda p: (-len(p[1]), p[0]))
-            for _, part in parts:
-                if level == 0 and settings.by_rounds:
-                    ends = _closed_rounds(part["role"].tolist())
-                    n = _cut(part["size"].tolist(), ends, settings.max_chars) if len(ends) >= settings.rounds else 0
-                else:
-                    least, most = (settings.threshold, settings.batch) if level == 0 else (settings.upper_threshold, settings.upper_batch)
-                    n = most if len(part) >= least else 0
-                if n:
-                    chosen = part.head(n)
-                    return pd.DataFrame({"sid": chosen["sid"], "id": chosen["id"], "ordinal": range(len(chosen)), "target_level": int(level) + 1})
-        return none
-
-    live = records.where("active = 1 AND deleted = 0 AND permanent = 0")
-    narrow = live.select("sid", "id", "role", "level", "position", "visibility", F.length("content").alias("size"))
-    return narrow.groupBy("sid").applyInPandas(plan, "sid string, id string, ordinal int, target_level int")
+    c = settings
+    live = records.where("active = 1 AND deleted = 0")
+    key, order = ["sid", "level", "visibility"], [F.col("position"), F.col("id")]
+    w = Window.partitionBy(*key).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    closes = (F.col("role") == "user") & (F.lag("role").over(w) != "user")
+    rows = live.where(F.col("permanent") == 0).where(F.col("level") < c.max_level)
+    rows = rows.select("sid", "id", "role", "level", "visibility", F.row_number().over(w).alias("n"), F.coalesce(closes, F.lit(False)).alias("closes"), F.sum(F.length("content")).over(upto).alias("chars"), F.length("content").alias("size"))
+    end, before = F.when(F.col("closes"), F.col("n") - 1), F.col("chars") - F.col("size")
+    parts = rows.groupBy(*key).agg(
+        F.count("*").alias("rows"), F.count(end).alias("closed"), F.min(end).alias("first"), F.max(F.when(before <= c.max_chars, end)).alias("fits"),
+        F.min(F.when(F.col("n") > c.batch, end)).alias("over"), F.some(F.col("role") == "assistant").alias("answered"), F.max(F.when((F.col("chars") <= c.max_chars) | (F.col("n") == 1), F.col("n"))).alias("budget"),
+    )
+    if now is None:
+        parts = parts.withColumn("boost", F.lit(False))
+    else:
+        times = live.select("sid", F.coalesce("end", "start").alias("t")).groupBy("sid").agg(F.min("t").alias("oldest"), F.max("t").alias("newest"))
+        stale, idle = F.col("oldest") < now - c.stale_days * 86400, F.col("newest") < now - c.idle_hours * 3600
+        wake = stale & idle if c.stale_days and c.idle_hours else (stale & F.lit(c.stale_days > 0)) | (idle & F.lit(c.idle_hours > 0))
+        parts = parts.join(times, "sid").withColumn("boost", F.coalesce(wake, F.lit(False)))
+    leaf = F.col("level") == 0
+    by_rounds = F.when(F.col("closed") >= F.when(F.col("boost"), 1).otherwise(c.rounds), F.coalesce("fits", "first")).when(F.col("boost") & (F.col("closed") == 0), F.least(F.lit(c.batch), F.col("rows"), F.col("budget")))
+    by_count = F.when(F.col("rows") >= c.threshold, F.least(F.when(F.col("answered"), F.coalesce("over", "rows")).otherwise(c.batch), F.col("budget")))
+    upper = F.when(F.col("rows") >= c.upper_threshold, F.least(F.lit(c.upper_batch), F.col("budget")))
+    some = parts.withColumn("take", F.when(leaf, by_rounds if c.by_rounds else by_count).otherwise(upper)).where("take > 0")
+    chosen = some.groupBy("sid").agg(F.min(F.struct("level", (-F.col("rows")).alias("m"), "visibility", "take")).alias("x")).select("sid", "x.level", "x.visibility", "x.take")
+    return rows.join(chosen, key).where("n <= take").select("sid", "id", (F.col("n") - 1).alias("ordinal"), (F.col("level") + 1).alias("target_level"))
 
 
 def fold(records: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:

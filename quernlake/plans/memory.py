@@ -570,3 +570,32 @@ def unmerged_facts(spark, d):
     merged = _rows(spark, "id, content", "('t', 'one；two；three')", "('x', 'one；two')")
     versions = _rows(spark, "target, id, content", "('t', 'u', 'two')", "('t', 't', 'one')", "('t', 'v', 'decoy')", "('t', 'w', 'three')", "('x', 'u', 'two')", "('x', 'v', 'one')")
     return K.take_apart(merged, versions)
+
+
+@query("""SELECT * FROM (VALUES ('global/self/a.toml', '', 'legacy:global', 'global', 'legacy:self', []), ('entities/user_qq%3A12/p.toml', 'qq:pm:5', 'legacy:user:qq:12', 'user', 'qq:12', ['qq:12']),
+('entities/group_qq%3A9/p.toml', 'qq:gm:5', 'qq:gm:9', 'session', 'legacy:group:qq:9', []), ('core.txt', 'qq:pm:5', 'qq:dm:5', 'session', 'qq:dm:5', []), ('entities/user_x/p.toml', 'bad', 'legacy:unscoped', 'session', 'legacy:user:x', [])) v(path, session, sid, visibility, subject, users)""")
+def file_locations(spark, d):
+    from ..sources.legacy import location
+
+    rows = _rows(spark, "path, session", "('global/self/a.toml', '')", "('entities/user_qq%3A12/p.toml', 'qq:pm:5')", "('entities/group_qq%3A9/p.toml', 'qq:gm:5')", "('core.txt', 'qq:pm:5')", "('entities/user_x/p.toml', 'bad')")
+    return rows.withColumn("x", location(F.col("path"), F.col("session"))).select("path", "session", "x.*")
+
+
+@query("SELECT * FROM (VALUES ('qq:12', 'qq', '12', ''), ('qq:pm:5', 'qq', '5', 'dm'), ('qq:gm:7', 'qq', '7', 'gm'), ('qq:xx:7', '', 'qq:xx:7', ''), ('plain', '', 'plain', '')) v(id, adapter, number, kind)")
+def identity_parts(spark, d):
+    rows = _rows(spark, "id", "('qq:12')", "('qq:pm:5')", "('qq:gm:7')", "('qq:xx:7')", "('plain')")
+    return rows.withColumn("x", X.adapter_parts(F.col("id"))).select("id", "x.*")
+
+
+@query("SELECT * FROM (VALUES ('legacy:user:12', 'user', '', '12'), ('legacy:group:qq:9', 'group', 'qq', '9'), ('legacy:global', NULL, NULL, NULL), ('qq:12', NULL, NULL, NULL)) v(id, kind, adapter, number)")
+def pending_identities(spark, d):
+    rows = _rows(spark, "id", "('legacy:user:12')", "('legacy:group:qq:9')", "('legacy:global')", "('qq:12')")
+    return rows.withColumn("x", X.pending_parts(F.col("id"), "legacy:")).select("id", "x.*")
+
+
+@q(f"""r AS (SELECT *, row_number() OVER w AS n, role = 'user' AND lag(role) OVER w <> 'user' AS closes FROM records WHERE active = 1 AND deleted = 0 AND permanent = 0 AND level = 0 WINDOW w AS (PARTITION BY sid, visibility ORDER BY position, id)),
+b AS (SELECT sid, visibility, count(*) AS m, count(*) FILTER (closes) AS closed, max(CASE WHEN closes THEN n - 1 END) AS last FROM r GROUP BY sid, visibility),
+pick AS (SELECT sid, visibility, CASE WHEN closed > 0 THEN last ELSE least(40, m) END AS take FROM b QUALIFY row_number() OVER (PARTITION BY sid ORDER BY m DESC, visibility) = 1)
+SELECT r.sid, id, CAST(n - 1 AS INT) AS ordinal, 1 AS target_level FROM r JOIN pick USING (sid, visibility) WHERE n <= take""")
+def compression_plan_boosted(spark, d):
+    return K.fold_plan(records(spark, d), K.FoldSettings(max_chars=10**9), now=1.9e9)

@@ -7,7 +7,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import rejection
@@ -23,7 +23,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, path: str, parse) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MOST_BYTES).select("path", F.col("modificationTime").alias("modified"), "content")
+    """Entries of all files; a file that isn't of the format, or too large, is one entry without a text, whose category says
+    so and which ingest() reports."""
+    every = spark.read.format("binaryFile").load(path)
+    files = every.where(F.col("length") <= MOST_BYTES).select("path", F.col("modificationTime").alias("modified"), "content")
+    large = every.where(F.col("length") > MOST_BYTES).select("path", F.col("modificationTime").alias("modified"), F.lit("").alias("key"), F.lit(None).cast("string").alias("text"), F.lit("too_large").alias("category"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -32,10 +36,10 @@ def _documents(spark: SparkSession, path: str, parse) -> DataFrame:
                 try:
                     out += [(p, m, k, t, c) for k, t, c in parse(bytes(raw).decode())]
                 except ValueError:
-                    continue  # not of this format
+                    out.append((p, m, "", None, "unreadable"))
             yield pd.DataFrame(out, columns=["path", "modified", "key", "text", "category"])
 
-    return files.mapInPandas(run, ENTRY)
+    return files.mapInPandas(run, ENTRY).unionByName(large)
 
 
 def _leaves(value, key: str = ""):
@@ -59,8 +63,41 @@ SECTIONS = {"name": "profile", "traits": "profile", "aliases": "profile", "facts
 
 
 def json_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Profiles flattened to entries; unknown sections are left out."""
-    return _documents(spark, path, lambda s: [(k, t, SECTIONS[k.split(".")[0]]) for k, t in _leaves(json.loads(s)) if k.split(".")[0] in SECTIONS])
+    """Profiles flattened to entries; one of an unknown section has no text and the category unknown_section."""
+
+    def parse(s: str):
+        for k, text in _leaves(json.loads(s)):
+            section = SECTIONS.get(k.split(".")[0])
+            yield (k, text, section) if section else (k, None, "unknown_section")
+
+    return _documents(spark, path, lambda s: list(parse(s)))
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """One row: when the newest file below ``path`` (core.txt, *.toml, profile.json) was changed, null without any."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
+    return files.where(F.col("path").rlike(r"(/core\.txt|\.toml|/profile\.json)$")).agg(F.max("modificationTime").alias("newest"))
+
+
+def location(relative: Column, session: Column) -> Column:
+    """struct<sid, visibility, subject, users> that a file's relative path and its header's session stand for."""
+    p = F.split(relative, "/")
+    s = F.split(session, ":", 3)
+    named = (F.size(s) == 3) & ~F.exists(s, lambda x: x == "") & F.get(s, F.lit(1)).isin("dm", "gm", "pm")
+    sid = F.when(named, F.concat_ws(":", s[0], F.when(s[1] == "pm", "dm").otherwise(s[1]), s[2])).otherwise("legacy:unscoped")
+    folder = F.coalesce(F.get(p, F.lit(1)), F.lit(""))
+    kind, entity = F.substring_index(folder, "_", 1), F.when(F.contains(folder, F.lit("_")), F.url_decode(F.regexp_replace(folder, "^[^_]*_", ""))).otherwise("")
+    whole = entity.rlike(r"^[^:\s]+:[^\s]+$")
+    group = F.concat_ws(":", F.substring_index(entity, ":", 1), F.lit("gm"), F.regexp_replace(entity, "^[^:]*:", ""))
+    own = F.when((kind == "group") & whole, group).otherwise(sid)
+    as_user, of_all = (kind == "user") & whole, p[0] == "global"
+    pick = lambda a, b, c: F.when(of_all, a).when(as_user, b).otherwise(c)
+    none = F.array().cast("array<string>")
+    return F.struct(
+        pick(F.lit("legacy:global"), F.concat(F.lit("legacy:user:"), entity), own).alias("sid"), pick(F.lit("global"), F.lit("user"), F.lit("session")).alias("visibility"),
+        pick(F.when(F.array_contains(p, "self"), "legacy:self").otherwise("legacy:global"), entity, F.when(entity != "", F.concat_ws(":", F.lit("legacy"), kind, entity)).otherwise(own)).alias("subject"),
+        pick(none, F.array(entity), none).alias("users"),
+    )
 
 
 def ingest(entries: DataFrame, ledger: DataFrame, source: str, limit: int = 4000) -> tuple[DataFrame, DataFrame]:

@@ -20,7 +20,11 @@ def one(spark, f, *values):
 def test_text_functions(spark):
     assert one(spark, X.normalize, "Ab, c!", None) == ["abc", None]
     assert one(spark, X.bigrams, "a", "", "Ab a", "喜欢猫") == [["a"], [], ["ab", "ba"], ["喜欢", "欢猫"]]
-    assert X.query_tokens("the iPhone 15 喜欢猫 猫 的") == ["15", "iphone", "喜欢", "欢猫", "猫"]
+    assert X.query_tokens("the iPhone 15 喜欢猫, 猫 and 的") == ["15", "iphone", "喜欢", "欢猫", "猫", "的"]
+    assert X.query_tokens("that and with 我们, 之前") == [] and X.query_tokens("翅 膀") == ["翅膀"] == one(spark, X.tokens_of, "翅 膀")[0]
+    assert X.match_grams(["iph", "ab", " "]) == ["ip", "ph", "ab"]
+    assert one(spark, lambda c: X.overlap_hit(c, "order 123456 done"), "12345", "99", "order is done", "order", None) == [True, False, True, False, False]
+    assert one(spark, lambda c: C.rejection(c, 30), "\n{\"a\": 1}", "\t ok\n") == ["markup_or_serialized_output", None]
     assert one(spark, X.index_grams, "ab 喜欢", "") == ["a b ab 喜 欢 喜欢", ""]
     assert one(spark, lambda c: C.rejection(c, 30), None, "x" * 31, " ! ", "a\x01b", "<b>x</b>", "未知", "ab" * 10, "fine text") == ["invalid_text", "too_long", "empty", "control_characters", "markup_or_serialized_output", "placeholder", "repetition", None]
     assert one(spark, lambda c: C.media_only(c, ["小明"]), "[Reply ID: 3]", "[Reply x] 你好呀", "@小明！", "@他就好了", "[Image a", "[At 123] 555 hi", "@123 []", None) == [True, False, True, False, True, False, True, True]
@@ -93,7 +97,7 @@ def test_sources_and_ingest(spark, tmp_path):
     (tmp_path / "q.toml").write_text('[facts]\na = "b"\n')
     entries = legacy.lines(spark, f"{tmp_path}/core.txt")
     assert entries.count() == 3
-    assert sorted((r.key, r.category) for r in legacy.json_profiles(spark, f"{tmp_path}/p.json").collect()) == [("name", "profile"), ("preferences.food", "preference"), ("traits.0", "profile")]
+    assert sorted((r.key, r.category) for r in legacy.json_profiles(spark, f"{tmp_path}/p.json").collect()) == [("name", "profile"), ("other", "unknown_section"), ("preferences.food", "preference"), ("traits.0", "profile")]
     assert [r.text for r in legacy.toml_trees(spark, f"{tmp_path}/q.toml").collect()] == ["b"]
     ledger = spark.createDataFrame([], "source string, key string, digest string")
     new, report = legacy.ingest(entries, ledger, "s")
