@@ -8,17 +8,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._common import cut, table, texts
+from ._common import cut, table, texts, written
 from ._words import mix
 
 PERIOD, SAMPLES, END = 4096, 256, 255  # steps after which walks use the same bits again; most samples looked for; past the end
 CHANCE = 0.125  # about the share of samples in which unrelated texts agree
-GROUP_BYTES = 8 << 20
+GROUP_BYTES, RANGE_BYTES = 2 << 20, 16 << 20  # text walked at once; text of a range
 BLOCK = 256  # fingerprints of a block of a large bucket
-LOWEST = -(1 << 63)
 
 _rng = np.random.default_rng(8)
 BITS = _rng.integers(0, 2, (PERIOD, 256), dtype="uint8")  # whether a walk moves on from a character of a class at a step
@@ -192,6 +193,24 @@ def near_documents(prints: DataFrame, threshold: float = 0.5, bands: int | None
     return found.unionByName(copies)
 
 
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What a range gives: kind 0 are results; 1 is its first row's text, 2 its last row, for which the next range's first is needed.
+RANGE = f"kind int, part int, text binary, {OUT}"
+
+
+def _compared(ids: list, text: list[str], follow: list[str]) -> pd.DataFrame:
+    """Results of rows, each with the text that follows it."""
+    edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(text, follow)]
+    m = len(text)
+    found = walk(text + edited + follow)
+    a, b, c = found[:m], found[m : 2 * m], found[2 * m :]
+    return pd.DataFrame({
+        "doc_id": pd.array(ids, "Int64"), "n_chars": [len(t) for t in text], "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
+        "fingerprint": [to_text(f) for f in a], "edited_fingerprint": [to_text(f) for f in b],
+        "near_edited": [likeness(x, y) for x, y in zip(a, b)], "near_next": [likeness(x, y) for x, y in zip(a, c)],
+    })
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness.
 
@@ -200,54 +219,65 @@ def with_next(docs: DataFrame) -> DataFrame:
     document, or all it has. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited (to
     the edited text's), near_next (to the next document's), a row for each row; null text is empty.
 
-    Ranges of doc_id of near-equal sizes are a task each; the head of each range is also given to the range before, so
-    texts are shuffled once, compressed. The driver holds a few numbers for each range. Other columns are left out.
+    Texts are compressed, dealt once into sorted ranges of doc_id and hash (so rows of one doc_id, or without any, don't
+    fall to one task), and each range is walked through in batches of bounded size. A range's last row waits for the first
+    of the next range; these two rows a range are joined afterwards. Nothing comes to the driver. Other columns are left out.
     """
-    docs = texts(docs).withColumn("at", F.coalesce("doc_id", F.lit(LOWEST)))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // GROUP_BYTES))
-    cuts = np.unique(np.array(docs.select(F.col("at").cast("double")).approxQuantile("at", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else [], "float64")).astype("int64")
-
-    @F.pandas_udf("int")
-    def part(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, at.to_numpy(), "left").astype("int32"))
+    spark = docs.sparkSession
 
-    heads = sorted((r.p, r.head) for r in docs.select(part("at").alias("p"), "at").groupBy("p").agg(F.max("at").alias("head")).collect())
-    also = {heads[k][1]: heads[(k + 1) % len(heads)][0] for k in range(len(heads))} if len(heads) > 1 else {}
+    def press(batch: pd.Series) -> pd.Series:
+        z = zstandard.ZstdCompressor(level=3)
+        return pd.Series([z.compress(t.encode("utf-8", "surrogatepass")) for t in batch])
 
-    @F.pandas_udf("array<int>")
-    def parts(at: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, at.to_numpy(), "left").tolist()
-        return pd.Series([[p, also[a]] if a in also else [p] for p, a in zip(own, at.tolist())])
+    pressed = texts(docs).select("doc_id", F.xxhash64("text").alias("tie"), F.octet_length("text").cast("long").alias("size"), F.pandas_udf(press, "binary")("text").alias("text"))
+    stored = written(pressed, "pressed")
+    ranges = max(1, -(-(stored.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_, part = zstandard.ZstdDecompressor().decompress, TaskContext.get().partitionId()
+        held: list[tuple] = []  # rows whose next one may not be known yet
+        size, first = 0, None
+
+        def done(last: bool) -> Iterator[pd.DataFrame]:
+            ids, text = [i for i, _ in held], [t for _, t in held]
+            if len(ids) > 1:
+                out = _compared(ids[:-1], text[:-1], text[1:])
+                out.insert(0, "kind", 0)
+                out.insert(1, "part", part)
+                out.insert(2, "text", [None] * len(out))
+                yield out
+            if last:
+                ends = [(1, part, z.compress(first.encode("utf-8", "surrogatepass")), None), (2, part, z.compress(text[-1].encode("utf-8", "surrogatepass")), ids[-1])]
+                yield pd.DataFrame([(*x, *[None] * 6) for x in ends], columns=[c.split()[0] for c in RANGE.split(", ")], dtype=object)
+
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for i, raw in zip(batch["doc_id"].astype("Int64"), batch["text"]):
+                text = open_(raw).decode("utf-8", "surrogatepass")
+                first = text if first is None else first
+                held.append((None if pd.isna(i) else int(i), text))
+                size += len(text)
+                if size > GROUP_BYTES and len(held) > 1:
+                    yield from done(False)
+                    held, size = held[-1:], len(text)
+        if held:
+            yield from done(True)
+
+    by = [F.desc_nulls_last("doc_id"), F.desc("tie")]
+    found = written(stored.select("doc_id", "tie", "text").repartitionByRange(ranges, *by).sortWithinPartitions(*by).select("doc_id", "text").mapInPandas(run, RANGE), "ranges")
+    heads = found.where("kind = 1").select("part", F.col("text").alias("head"))
+    order = Window.orderBy("part")  # a row a range
+    turn = heads.select("part", F.lead("part").over(order).alias("next"), F.min("part").over(Window.partitionBy(F.lit(0))).alias("least"))
+    turn = turn.select("part", F.coalesce("next", "least").alias("next"))
+    tails = found.where("kind = 2").select("part", "doc_id", "text").join(turn, "part").join(heads.withColumnRenamed("part", "next"), "next")
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_ = zstandard.ZstdDecompressor().decompress
-        g = g.assign(text=[open_(t).decode("utf-8", "surrogatepass") for t in g["text"]])
-        own = np.searchsorted(cuts, g["at"].to_numpy(), "left") == key[0]
-        g = g.assign(own=own, tie=[hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in g["text"]])
-        g = g.sort_values(["at", "tie"], ascending=False, kind="stable")
-        mine, given = g[g["own"]], g[~g["own"]]
-        text = mine["text"].tolist()
-        if not text:
-            return pd.DataFrame(columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        follow = text[1:] + [given["text"].iloc[0] if len(given) else text[0]]
-        edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(text, follow)]
-        m = len(text)
-        found = walk(text + edited + follow[-1:])
-        a, b, c = found[:m], found[m : 2 * m], found[1:m] + found[-1:]
-        return pd.DataFrame({
-            "doc_id": mine["doc_id"].astype("Int64").to_numpy(), "n_chars": [len(t) for t in text], "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
-            "fingerprint": [to_text(f) for f in a], "edited_fingerprint": [to_text(f) for f in b],
-            "near_edited": [likeness(x, y) for x, y in zip(a, b)], "near_next": [likeness(x, y) for x, y in zip(a, c)],
-        })
-
-    @F.pandas_udf("binary")
-    def pressed(text: pd.Series) -> pd.Series:
-        press = zstandard.ZstdCompressor(level=3).compress
-        return pd.Series([press(t.encode("utf-8", "surrogatepass")) for t in text])
-
-    dealt = docs.select("doc_id", "at", pressed("text").alias("text"), parts("at").alias("parts")).withColumn("part", F.explode("parts")).drop("parts")
-    return dealt.groupBy("part").applyInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        for batch in batches:
+            text, head = ([open_(x).decode("utf-8", "surrogatepass") for x in batch[c]] for c in ("text", "head"))
+            yield _compared([None if pd.isna(i) else int(i) for i in batch["doc_id"].astype("Int64")], text, head)
+
+    return found.where("kind = 0").select(*[c.split()[0] for c in OUT.split(", ")]).unionByName(tails.select("doc_id", "text", "head").mapInPandas(last, OUT))
 
 
 def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,7 @@ def test_next_and_edited(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS part", "2 AS at").repartition(4)
     for group in (1 << 23, 900):
         monkeypatch.setattr(E, "GROUP_BYTES", group)
+        monkeypatch.setattr(E, "RANGE_BYTES", 4 * group)
         got = {x.doc_id: x for x in E.with_next(df).collect()}
         assert len(got) == len(rows)
         for k, (i, t) in enumerate(order):
@@ -67,6 +68,21 @@ def test_next_and_edited(spark, monkeypatch):
     assert one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one[0].near_next == 1
 
 
+def test_equal_ids_and_repeated_rows(spark, monkeypatch):
+    """A doc_id of most rows, no doc_id, repeated rows: each row is followed by one other, and ranges split such an id."""
+    monkeypatch.setattr(E, "GROUP_BYTES", 300)
+    monkeypatch.setattr(E, "RANGE_BYTES", 600)
+    r = random.Random(9)
+    rows = [(7, words(r, r.randint(1, 20))) for _ in range(60)] + [(None, words(r, 9)) for _ in range(20)] + [(9, "same text here")] * 3
+    got = E.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(str(x.doc_id) for x in got) == sorted(str(i) for i, _ in rows)
+    n = {hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for _, a in rows for _, b in rows}
+    assert all(x.edited_sha256 in n for x in got)
+    assert sorted(x.fingerprint for x in got) == sorted(E.to_text(E.walk([t])[0]) for _, t in rows)
+    nines = [x for x in got if x.doc_id == 9]
+    assert sorted(x.near_next == 1 for x in nines) == [False, True, True]
+
+
 def test_near_documents(spark):
     r = random.Random(5)
     base = [words(r, 300) for _ in range(20)]
