@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import cleaning as C
 from ..functions import exprs as X
 from .facts import _array
 
@@ -215,3 +216,75 @@ def packed(rows: DataFrame, group: list[str], order: list, cells: Column, budget
     w = Window.partitionBy(*group).orderBy(*order)
     sized = rows.withColumn("used", F.sum(F.length(F.to_json(cells))).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
     return sized.where((F.col("used") <= budget) | (F.col("_n") == 1)).drop("_n")
+
+
+def gram_index(records: DataFrame, text: str = "content") -> DataFrame:
+    """id and gram: what an index of characters and adjacent pairs holds of each row's text, each once."""
+    return records.select("id", F.explode(F.array_distinct(F.split(X.search_body(F.col(text)), " "))).alias("gram"))
+
+
+def indexed_search(records: DataFrame, index: DataFrame, query: str, k: int, most: int = 1200, text: str = "content") -> DataFrame:
+    """The lexical top ``k`` of ``query``: by score, activity, age and id; adds score.
+
+    Candidates are rows that share a gram with the query, a superset of those that score. Where they are over ``most`` the
+    index isn't worth it and all rows are scored, with the same result.
+    """
+    tokens = X.query_tokens(query)
+    near = index.where(F.col("gram").isin(*X.match_grams(tokens))).select("id").distinct()
+    few = near.limit(most + 1).count() <= most
+    rows = records.join(near, "id", "left_semi") if few else records
+    scored = rows.withColumn("score", X.lexical_score(X.squeeze(F.col(text)), tokens)).where("score > 0")
+    return scored.orderBy(F.desc("score"), F.desc("active"), "end", "id").limit(k)
+
+
+def real_names(names: DataFrame) -> DataFrame:
+    """The latest name of each entity that no third party made up: entity, name."""
+    own = names.where(~C.synthetic_name(F.col("name")) & F.length("name").between(1, 500) & ~F.col("name").rlike(r"[\x00-\x1f]"))
+    return own.groupBy("entity").agg(F.max_by("name", F.struct("observed", "name")).alias("name"))
+
+
+def totals(records: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row: live records, pinned ones, sessions, users, groups, live facts."""
+    live = records.where("deleted = 0")
+    some = live.agg(F.count("*").alias("n"), F.sum("permanent").alias("pinned"), F.countDistinct("sid").alias("sessions"), F.countDistinct(F.when(F.contains("sid", F.lit(":gm:")), F.col("sid"))).alias("groups"))
+    users = live.select(F.explode("users").alias("u")).agg(F.countDistinct("u").alias("users"))
+    known = facts.where("deleted = 0").agg(F.count("*").alias("facts"))
+    one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731  each is a single row
+    return one(some).join(one(users), "_one").join(one(known), "_one").drop("_one")
+
+
+def by_user(records: DataFrame) -> DataFrame:
+    """user and how many live rows and sessions name them."""
+    return records.where("deleted = 0").select("sid", F.explode(F.array_distinct("users")).alias("user")).groupBy("user").agg(F.count("*").alias("n"), F.countDistinct("sid").alias("sessions"))
+
+
+def migration_status(items: DataFrame) -> DataFrame:
+    """items (source, key, reason, record_id): skips by source and reason; imported keys, each once, under the reason imported."""
+    reason = F.coalesce("reason", F.lit("imported"))
+    return items.groupBy("source", reason.alias("reason")).agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("reason").isNull(), F.col("key"))).alias("imported"))
+
+
+def unscoped(items: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: how many distinct live records of the ledger belong to no session."""
+    homeless = records.where("deleted = 0").where(F.col("sid").startswith("legacy:")).select("id")
+    return items.select(F.col("record_id").alias("id")).join(homeless, "id").agg(F.countDistinct("id").alias("n"))
+
+
+def reranked(rows: DataFrame, scores: DataFrame, order: list) -> DataFrame:
+    """rows (id, ...) by another model's scores (id, score), those without one last, then by ``order``."""
+    return rows.join(scores, "id", "left").orderBy(F.desc_nulls_last("score"), *order)
+
+
+def over_cap(records: DataFrame, most: int = 30, chars: int = 5000) -> DataFrame:
+    """Pinned rows of each session that are beyond its caps when the weightiest come first: sid, id."""
+    w = Window.partitionBy("sid").orderBy(F.desc("importance"), "id")
+    rows = records.where("permanent = 1 AND deleted = 0 AND active = 1").select("sid", "id", F.row_number().over(w).alias("n"), F.sum(F.length("content")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("used"))
+    return rows.where((F.col("n") > most) | ((F.col("used") > chars) & (F.col("n") > 1))).select("sid", "id")
+
+
+def family(edges: DataFrame) -> DataFrame:
+    """id, children (in order) and parents of each node of edges (parent, child, ordinal)."""
+    kids = edges.groupBy(F.col("parent").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "child"))), lambda x: x.child).alias("children"))
+    up = edges.groupBy(F.col("child").alias("id")).agg(F.array_sort(F.collect_set("parent")).alias("parents"))
+    none = F.array().cast("array<string>")
+    return kids.join(up, "id", "full").select("id", F.coalesce("children", none).alias("children"), F.coalesce("parents", none).alias("parents"))

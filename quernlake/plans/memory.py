@@ -599,3 +599,90 @@ pick AS (SELECT sid, visibility, CASE WHEN closed > 0 THEN last ELSE least(40, m
 SELECT r.sid, id, CAST(n - 1 AS INT) AS ordinal, 1 AS target_level FROM r JOIN pick USING (sid, visibility) WHERE n <= take""")
 def compression_plan_boosted(spark, d):
     return K.fold_plan(records(spark, d), K.FoldSettings(max_chars=10**9), now=1.9e9)
+
+
+LEX = "CASE WHEN contains(lower(content), 'wandering') THEN 9 ELSE 0 END + CASE WHEN contains(lower(content), 'ation') THEN 5 ELSE 0 END"
+
+
+def _indexed(name: str, most: int):
+    def run(spark, d):
+        r = records(spark, d)
+        return R.indexed_search(r, R.gram_index(r), "wandering ation", 25, most).select("id", "score")
+
+    run.__name__ = name
+    q(f"SELECT id, {LEX} AS score FROM records WHERE {LEX} > 0 ORDER BY score DESC, active DESC, \"end\", id LIMIT 25")(run)
+
+
+_indexed("indexed_search", 10**9)
+_indexed("indexed_search_beyond_cap", 1)
+
+
+@q("SELECT entity, max_by(name, (observed, name)) AS name FROM (SELECT * FROM names UNION ALL SELECT entity, 'system', 9e9 FROM names) WHERE name <> 'system' GROUP BY entity")
+def real_names(spark, d):
+    n = names(spark, d)
+    return R.real_names(n.unionByName(n.withColumn("name", F.lit("system")).withColumn("observed", F.lit(9e9))))
+
+
+@q("SELECT (SELECT count(*) FROM records WHERE deleted = 0) AS n, (SELECT CAST(sum(permanent) AS BIGINT) FROM records WHERE deleted = 0) AS pinned, (SELECT count(DISTINCT sid) FROM records WHERE deleted = 0) AS sessions, (SELECT count(DISTINCT sid) FROM records WHERE deleted = 0 AND contains(sid, ':gm:')) AS groups, (SELECT count(DISTINCT u) FROM (SELECT unnest(users) AS u FROM records WHERE deleted = 0)) AS users, (SELECT count(*) FROM facts WHERE deleted = 0) AS facts")
+def memory_totals(spark, d):
+    return R.totals(records(spark, d), facts(spark, d))
+
+
+@q("SELECT u AS user, count(*) AS n, count(DISTINCT sid) AS sessions FROM (SELECT sid, unnest(list_distinct(users)) AS u FROM records WHERE deleted = 0) GROUP BY u")
+def rows_by_user(spark, d):
+    return R.by_user(records(spark, d))
+
+
+ITEMS = "(SELECT CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS source, 'k' || (doc_id % 50) AS key, CASE doc_id % 4 WHEN 1 THEN 'empty' WHEN 2 THEN 'too_long' END AS reason, 'm' || (doc_id % 20) || '-' || (doc_id % 5) AS record_id FROM documents)"
+
+
+def _items(spark, d):
+    return t(spark, d, "documents").selectExpr("CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS source", "concat('k', doc_id % 50) AS key", "CASE doc_id % 4 WHEN 1 THEN 'empty' WHEN 2 THEN 'too_long' END AS reason", "concat('m', doc_id % 20, '-', doc_id % 5) AS record_id")
+
+
+@query(f"SELECT source, coalesce(reason, 'imported') AS reason, count(*) AS n, count(DISTINCT CASE WHEN reason IS NULL THEN key END) AS imported FROM {ITEMS} GROUP BY 1, 2")
+def migration_status(spark, d):
+    return R.migration_status(_items(spark, d))
+
+
+@q(f"SELECT count(DISTINCT i.record_id) AS n FROM {ITEMS} i JOIN records r ON r.id = i.record_id WHERE deleted = 0 AND position % 2 = 0")
+def ledger_unscoped(spark, d):
+    r = records(spark, d).withColumn("sid", F.when(F.col("position") % 2 == 0, "legacy:unscoped").otherwise(F.col("sid")))
+    return R.unscoped(_items(spark, d), r)
+
+
+@q("s AS (SELECT 'm' || (vec_id % 25) || '-' || (vec_id // 25) AS id, label + vec_id / 1000 AS score FROM embeddings WHERE vec_id % 3 = 0) SELECT r.id, score FROM records r LEFT JOIN s USING (id) WHERE sid = 'qq:gm:1' ORDER BY score DESC NULLS LAST, position, r.id LIMIT 30")
+def external_rerank(spark, d):
+    s = t(spark, d, "embeddings").where("vec_id % 3 = 0").selectExpr("concat('m', vec_id % 25, '-', vec_id DIV 25) AS id", "label + vec_id / 1000 AS score")
+    return R.reranked(records(spark, d).where("sid = 'qq:gm:1'"), s, ["position", "id"]).limit(30).select("id", "score")
+
+
+@q("r AS (SELECT sid, id, row_number() OVER w AS n, sum(length(content)) OVER w AS used FROM records WHERE permanent = 1 AND deleted = 0 AND active = 1 WINDOW w AS (PARTITION BY sid ORDER BY importance DESC, id)) SELECT sid, id FROM r WHERE n > 4 OR (used > 900 AND n > 1)")
+def pinned_over_cap(spark, d):
+    return R.over_cap(records(spark, d), 4, 900)
+
+
+@q(f"{FOLD}, a AS (SELECT sid, sha256(sid || '|1|' || string_agg(id, ',' ORDER BY ordinal)) AS parent, list(id ORDER BY ordinal) AS kids FROM p GROUP BY sid) SELECT parent AS id, kids AS children, [] AS parents FROM a UNION ALL SELECT id, [], [parent] FROM p JOIN a USING (sid)")
+def archive_family(spark, d):
+    return R.family(_fold(spark, d)[1])
+
+
+@q("u AS (SELECT id, 1 AS band, created FROM facts WHERE category = 'commitment' AND deleted = 0 UNION ALL SELECT id, 2, created FROM facts WHERE subject = 'qq:3' AND deleted = 0) SELECT id, min(band) AS band FROM u GROUP BY id")
+def banded_union(spark, d):
+    f = facts(spark, d).where("deleted = 0").select("id", "created", "category", "subject")
+    bands = f.where("category = 'commitment'").withColumn("band", F.lit(1)).unionByName(f.where("subject = 'qq:3'").withColumn("band", F.lit(2)))
+    return R.first_wins(bands, ["id"], ["band", "created"]).select("id", "band")
+
+
+SIM = f"g AS (SELECT id, sid, subject, category, {grams('content')} AS g FROM facts WHERE deleted = 0 AND merge_pending = 0 AND content <> ''), p AS (SELECT a.id AS a, b.id AS b, a.sid = b.sid AS same, a.subject = b.subject AND a.category = b.category AS alike, a.category AS category, len(list_intersect(a.g, b.g)) AS n, round(len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)), 6) AS similarity FROM g a JOIN g b ON a.id < b.id)"
+
+
+@q(f"{SIM} SELECT a, b, similarity FROM p WHERE n >= 4 AND similarity >= CASE WHEN same THEN 0.85 ELSE 0.95 END")
+def session_aware_pairs(spark, d):
+    return S.session_pairs(FA.live(facts(spark, d)).where("content <> ''"), "id", "content", "sid", 0.85, 0.95)
+
+
+@q(f"{SIM}, m AS (SELECT * FROM p WHERE n >= 2 AND similarity >= 0.9 AND alike AND (same OR category IN ('profile', 'preference', 'relationship'))) SELECT a AS id FROM m UNION SELECT b FROM m")
+def merge_queue(spark, d):
+    f = facts(spark, d)
+    return FA.merge_queue(f, S.similar_pairs(FA.live(f).where("content <> ''"), "id", "content", "subject", 0.9))
