@@ -25,7 +25,7 @@ BATCHES = 3  # batches in which deduplicate() adds a table
 
 #: Windows of a chunk or a run in a range of hashes. For each stretch of one key and one least doc_id: the key (k), how many
 #: windows (c), the doc_id (d); for each window its other hash (v). Kind 0 comes from a chunk, 1 is a reply to one (bits in
-#: k), 2 belongs to a run of the index.
+#: k), 2 belongs to a run of the index. Counts and doc_ids are compressed.
 BLOCK = "kind int, chunk long, bucket int, k binary, c binary, v binary, d binary"
 NAMES = [x.split()[0] for x in BLOCK.split(", ")]
 
@@ -47,8 +47,9 @@ class Windows:
 
     @classmethod
     def read(cls, k: bytes, c: bytes, v: bytes, d: bytes) -> Windows:
-        n = np.frombuffer(c, "uint32")
-        return cls(np.repeat(np.frombuffer(k, "uint64"), n), np.frombuffer(v, "uint32"), np.repeat(np.frombuffer(d, "int64"), n))
+        open_ = zstandard.ZstdDecompressor().decompress
+        n = np.frombuffer(open_(c), "uint32")
+        return cls(np.repeat(np.frombuffer(k, "uint64"), n), np.frombuffer(v, "uint32"), np.repeat(np.frombuffer(open_(d), "int64"), n))
 
     def blocks(self, kind: int, chunk: int, buckets: int) -> Iterator[tuple]:
         head = np.flatnonzero(np.append(True, (self.key[1:] != self.key[:-1]) | (self.doc[1:] != self.doc[:-1]))) if len(self.key) else np.zeros(0, "int64")
@@ -56,9 +57,10 @@ class Windows:
         count = np.diff(np.append(head, len(self.key))).astype("uint32")
         bucket = _bucket(keys, buckets)
         turn = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
+        press = zstandard.ZstdCompressor(level=1).compress
         for a, z in zip(turn, [*turn[1:], len(keys)]):
             s = slice(int(head[a]), int(head[z]) if z < len(head) else len(self.key))
-            yield kind, chunk, int(bucket[a]), keys[a:z].tobytes(), count[a:z].tobytes(), self.other[s].tobytes(), docs[a:z].tobytes()
+            yield kind, chunk, int(bucket[a]), keys[a:z].tobytes(), press(count[a:z].tobytes()), self.other[s].tobytes(), press(docs[a:z].tobytes())
 
 
 def merge(parts: list[Windows]) -> tuple[Windows, np.ndarray]:
@@ -202,6 +204,12 @@ def _pressed(text: Column) -> Column:
     return F.pandas_udf(press, "binary")(text)
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Has the driver notice that the shuffles of what is written aren't needed any more, so that their files go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _write(blocks: DataFrame, path: str) -> None:
     """Blocks are large cells of random bytes: no dictionary, and pages and row groups end by size after each row."""
     options = {"parquet.enable.dictionary": "false", "parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
@@ -264,7 +272,7 @@ class FingerprintIndex:
         sent = placed.select(chunk, "doc_id", body).groupBy(chunk).applyInPandas(send, BLOCK)
         met = (sent.unionByName(self.runs(buckets)) if self.parts else sent).groupBy("bucket").applyInPandas(_match, BLOCK)
         _write(met, part)
-        gc.collect()  # lets go of the shuffle files of what is written
+        _let_go(spark)
         self.parts.append([part, buckets])
         replies = spark.read.schema(BLOCK).parquet(part).where("kind = 1").select("chunk", "bucket", "k")
         fields = [docs.schema[c] for c in rest] if digest else docs.schema.fields
@@ -308,7 +316,7 @@ class FingerprintIndex:
             _write(self.runs(buckets).groupBy("bucket").applyInPandas(_merge_runs, BLOCK), part)
             for old, _ in self.parts:
                 drop(self.spark, f"{old}/kind=2")  # replies of kind 1 are for results not yet read
-            gc.collect()
+            _let_go(self.spark)
             self.parts = [[part, buckets]]
 
     def state(self) -> str:
