@@ -58,7 +58,7 @@ def cut(df: DataFrame) -> DataFrame:
 def kept(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     """``df`` written to the shared folder as Parquet and read again, made once and read by column; and its path."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
