@@ -198,12 +198,12 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 RANGE = f"kind int, part int, text binary, {OUT}"
 
 
-def _compared(ids: list, text: list[str], follow: list[str]) -> pd.DataFrame:
-    """Results of rows, each with the text that follows it."""
+def _compared(ids: list, text: list[str], follow: list[str], chained: bool = False) -> pd.DataFrame:
+    """Results of rows, each with the text that follows it; ``chained``: that of the next row."""
     edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(text, follow)]
     m = len(text)
-    found = walk(text + edited + follow)
-    a, b, c = found[:m], found[m : 2 * m], found[2 * m :]
+    found = walk(text + edited + (follow[-1:] if chained else follow))
+    a, b, c = found[:m], found[m : 2 * m], found[1:m] + found[-1:] if chained else found[2 * m :]
     return pd.DataFrame({
         "doc_id": pd.array(ids, "Int64"), "n_chars": [len(t) for t in text], "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
         "fingerprint": [to_text(f) for f in a], "edited_fingerprint": [to_text(f) for f in b],
@@ -226,7 +226,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
 
     def press(batch: pd.Series) -> pd.Series:
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=9)
         return pd.Series([z.compress(t.encode("utf-8", "surrogatepass")) for t in batch])
 
     pressed = texts(docs).select("doc_id", F.xxhash64("text").alias("tie"), F.octet_length("text").cast("long").alias("size"), F.pandas_udf(press, "binary")("text").alias("text"))
@@ -241,7 +241,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         def done(last: bool) -> Iterator[pd.DataFrame]:
             ids, text = [i for i, _ in held], [t for _, t in held]
             if len(ids) > 1:
-                out = _compared(ids[:-1], text[:-1], text[1:])
+                out = _compared(ids[:-1], text[:-1], text[1:], True)
                 out.insert(0, "kind", 0)
                 out.insert(1, "part", part)
                 out.insert(2, "text", [None] * len(out))
