@@ -9,6 +9,7 @@ from .quality import op9_quality
 from .sentencepiece_codec import op2_sentencepiece
 from .sharding import op5_sharding
 from .substring_dedup import op7_substring_dedup
+from .token_files import op13_token_files
 from .toxicity import op1_toxicity
 from .url_filter import op4_url_filter
 
@@ -23,5 +24,6 @@ QUERIES = {
     "op8_edit_fingerprint": op8_edit_fingerprint,
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
+    "op13_token_files": op13_token_files,
 }
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.ORACLE, "op7_substring_dedup": substring_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
