@@ -23,6 +23,7 @@ from ._common import Memo, drop, kept, scratch, store, table, texts
 
 RANGE_ROWS = 4096  # documents of a range of doc_id, which one task sorts and writes
 MOST_RANGES = 10_000  # ranges at most; beyond, a task writes more files
+SLICE = 4000  # documents whose words are looked up at once
 FILE_TOKENS, FILE_DOCS = 1 << 22, 1 << 18  # a file ends once it holds so many
 SAMPLE = 512  # every so many ones' places are kept for select
 MAGIC = b"QTOKENS1"
@@ -238,7 +239,7 @@ class TokenFiles:
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, task = byte_tokens(tokenizer_path), zlib.crc32(str(TaskContext.get().partitionId()).encode())
             end = np.array([end_id], f"<u{tokens.width}").tobytes()
-            for batch in batches:
+            for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
                 doc_id, bodies = batch.column("doc_id"), [x + end for x in tokens.many(batch.column("text"))]
                 tie = np.array([zlib.crc32(x, task) for x in bodies], "uint32")
                 d, none = doc_id.fill_null(0).to_numpy(), doc_id.is_null().to_numpy(zero_copy_only=False)
@@ -246,6 +247,7 @@ class TokenFiles:
                 a, z = np.where(none, ranges, a), np.where(none, ranges + nameless - 1, z)
                 to = a + ((z - a + 1) * tie.astype("int64") >> 32)
                 yield pa.RecordBatch.from_arrays([pa.array(to.astype("int32")), doc_id, pa.array(tie.astype("int64")), pa.array(bodies, pa.binary())], names=["range", "doc_id", "tie", "body"])
+                pa.default_memory_pool().release_unused()
 
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder = re.sub("^file:/+", "file:///", place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString())
