@@ -23,7 +23,7 @@ from ._common import Memo, drop, kept, scratch, store, table, texts
 
 RANGE_ROWS = 4096  # documents of a range of doc_id, which one task sorts and writes
 MOST_RANGES = 10_000  # ranges at most; beyond, a task writes more files
-SLICE = 4000  # documents whose words are looked up at once
+SLICE = 3000  # documents whose words are looked up at once
 FILE_TOKENS, FILE_DOCS = 1 << 22, 1 << 18  # a file ends once it holds so many
 SAMPLE = 512  # every so many ones' places are kept for select
 MAGIC = b"QTOKENS1"
@@ -140,15 +140,15 @@ class ByteTokens:
     encoded by the library once and remembered. A text that holds an added token is handed over whole.
     """
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
         added = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or r"(?!)")
-        self.twice, self.part = re.compile(r"\s\s"), re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
+        self.added = re.compile("|".join(added))
+        self.part = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
         (self.line,) = self._bytes(["\n"])
         self.units = Memo(self._encode, memo)
 
@@ -182,24 +182,34 @@ class ByteTokens:
         return [before[x] + units[s] + units[t] for x, s, t in zip(line, stems, tails)]
 
     def __call__(self, text: str) -> bytes:
-        return self._bytes([text])[0] if self.added.search(text) else b"".join(self.parts(self.part.findall(text)))
+        return self._bytes([text])[0] if self.added.pattern and self.added.search(text) else b"".join(self.parts(self.part.findall(text)))
 
     def many(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each of ``texts`` (strings, none null); each distinct word of the batch is looked up once."""
-        odd = np.array([bool(self.twice.search(t) or self.added.search(t)) for t in texts.to_pylist()], bool)
-        words = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), " ")
-        coded = pc.dictionary_encode(words.flatten())
-        spaced = self.parts([w if w[:1] == "\n" else " " + w for w in coded.dictionary.to_pylist()])
-        heads = pc.list_element(words, 0).to_pylist() if len(words) else []
-        first = dict(zip(set(heads), self.parts(list(set(heads)))))
-        codes, ends, at = coded.indices.to_numpy(), words.offsets.to_numpy(), 0
-        for k, other in enumerate(odd):
-            if other:
-                yield self(texts[k].as_py())
-            else:
-                a, z = ends[at] - ends[0], ends[at + 1] - ends[0]
-                yield first[heads[at]] + b"".join(map(spaced.__getitem__, codes[a + 1 : z].tolist()))
-                at += 1
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded, ends = pc.dictionary_encode(words.flatten()), words.offsets.to_numpy()
+        codes, ends = coded.indices.to_numpy(), ends - ends[0]
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # Where white space meets white space, or a text begins or ends with it, the text is cut with more care.
+        odd = np.array([w.split() != [w.removeprefix("\n")] for w in distinct], bool)[codes]
+        odd = {*np.searchsorted(ends, np.flatnonzero(odd), "right").tolist()}
+        odd |= {k + 1 for k in np.flatnonzero(pc.match_substring_regex(texts, self.added.pattern).to_numpy(zero_copy_only=False)).tolist()} if self.added.pattern else set()
+        heads = codes[ends[:-1]]
+        first, again = np.unique(heads, return_inverse=True)
+        codes = codes.copy()
+        codes[ends[:-1]] = len(distinct) + again
+        ids = self.parts([w if w[:1] == "\n" else " " + w for w in distinct] + [distinct[k] for k in first.tolist()])
+        sizes = np.fromiter(map(len, ids), "int64", len(ids)) // self.width
+        flat, starts = np.frombuffer(b"".join(ids), f"<u{self.width}"), np.append(0, np.cumsum(sizes)[:-1])
+        count = sizes[codes]
+        before = np.append(0, np.cumsum(count))
+        for a in range(0, len(ends) - 1, 256):
+            z = min(a + 256, len(ends) - 1)
+            part = slice(ends[a], ends[z])
+            at = np.repeat(starts[codes[part]] - before[part], count[part]) + np.arange(before[ends[a]], before[ends[z]])
+            body, cuts = flat[at].tobytes(), ((before[ends[a : z + 1]] - before[ends[a]]) * self.width).tolist()
+            for k in range(a, z):
+                yield self(texts[k].as_py()) if k + 1 in odd else body[cuts[k - a] : cuts[k - a + 1]]
 
 
 def byte_tokens(path: str) -> ByteTokens:
