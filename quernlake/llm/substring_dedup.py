@@ -10,7 +10,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,16 +23,51 @@ from ._words import Vocabulary, mix, runs
 
 WINDOW, GRAM = 13, 6  # words of a window; of the runs that windows are filed under
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20  # text of a chunk of documents; text whose windows fill a range of hashes
+HOT_WINDOWS = 1 << 20  # windows of a range before it is looked at as a hot one
 RUNS = 4  # sorted runs of an index, beyond which they are compacted
 BATCHES = 3  # batches in which deduplicate() adds a table
 
-#: Windows of a chunk or a run in a range of hashes. For each stretch of one key and one least doc_id: the key (k), how many
-#: windows (c), the doc_id (d); for each window its other hash (v). Kind 0 comes from a chunk, 1 is a reply to one (bits in
-#: k), 2 belongs to a run of the index. Counts and doc_ids are compressed.
-BLOCK = "kind int, chunk long, bucket int, k binary, c binary, v binary, d binary"
+PROBE = 16  # of so many chunks, one is looked at to see which ranges are hot
+
+#: Windows of a chunk or a run in a part of a range of hashes. For each stretch of one key and one least doc_id: the key (k),
+#: how many windows (c), the doc_id (d); for each window its other hash (v). Kind 0 comes from a chunk, 1 is a reply to one
+#: (bits in k), 2 belongs to a run of the index. Counts and doc_ids are compressed. A hot range has several parts.
+BLOCK = "kind int, chunk long, bucket int, part int, k binary, c binary, v binary, d binary"
 NAMES = [x.split()[0] for x in BLOCK.split(", ")]
 
 
+class Layout:
+    """``buckets`` ranges of keys, a power of two, and of hot ones in how many parts, another, the other hash splits them.
+
+    All windows around one common run of words have one key, so a range alone could grow without bound.
+    """
+
+    def __init__(self, buckets: int = 1, hot: dict[int, int] | None = None):
+        self.buckets, self.hot = buckets, hot or {}
+
+    def __eq__(self, other) -> bool:
+        return (self.buckets, self.hot) == (other.buckets, other.hot)
+
+    def finer(self, buckets: int) -> Layout:
+        """The same with more ranges, no fewer than before; parts of a hot range go on in each of its halves."""
+        more = buckets // self.buckets
+        return Layout(buckets, {b * more + k: n for b, n in self.hot.items() for k in range(more)})
+
+    def cuts(self, key: np.ndarray, other: np.ndarray) -> Iterator[tuple[int, int, np.ndarray | slice]]:
+        """Range, part, and which of the sorted windows lie there, in their order."""
+        bucket = _bucket(key, self.buckets)
+        turn = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
+        for a, z in zip(turn.tolist(), [*turn[1:].tolist(), len(bucket)]):
+            b = int(bucket[a])
+            parts = self.hot.get(b, 1)
+            if parts == 1:
+                yield b, 0, slice(a, z)
+            else:
+                of = _bucket(other[a:z], parts)
+                for p in np.unique(of).tolist():
+                    yield b, p, a + np.flatnonzero(of == p)
+
+
 def _bucket(k: np.ndarray, n: int) -> np.ndarray:
     """Buckets are ranges of keys, so that sorted keys have sorted buckets; ``n`` is a power of two."""
     return (k >> np.uint64(65 - n.bit_length())).astype("int64") if n > 1 else np.zeros(len(k), "int64")
@@ -49,18 +87,15 @@ class Windows:
     def read(cls, k: bytes, c: bytes, v: bytes, d: bytes) -> Windows:
         open_ = zstandard.ZstdDecompressor().decompress
         n = np.frombuffer(open_(c), "uint32")
-        return cls(np.repeat(np.frombuffer(k, "uint64"), n), np.frombuffer(v, "uint32"), np.repeat(np.frombuffer(open_(d), "int64"), n))
+        return cls(np.repeat(np.frombuffer(k, "uint64"), n), np.frombuffer(v, "uint64"), np.repeat(np.frombuffer(open_(d), "int64"), n))
 
-    def blocks(self, kind: int, chunk: int, buckets: int) -> Iterator[tuple]:
-        head = np.flatnonzero(np.append(True, (self.key[1:] != self.key[:-1]) | (self.doc[1:] != self.doc[:-1]))) if len(self.key) else np.zeros(0, "int64")
-        keys, docs = self.key[head], self.doc[head]
-        count = np.diff(np.append(head, len(self.key))).astype("uint32")
-        bucket = _bucket(keys, buckets)
-        turn = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
+    def blocks(self, kind: int, chunk: int, layout: Layout) -> Iterator[tuple]:
         press = zstandard.ZstdCompressor(level=1).compress
-        for a, z in zip(turn, [*turn[1:], len(keys)]):
-            s = slice(int(head[a]), int(head[z]) if z < len(head) else len(self.key))
-            yield kind, chunk, int(bucket[a]), keys[a:z].tobytes(), press(count[a:z].tobytes()), self.other[s].tobytes(), press(docs[a:z].tobytes())
+        for bucket, part, at in layout.cuts(self.key, self.other):
+            key, doc = self.key[at], self.doc[at]
+            head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+            count = np.diff(np.append(head, len(key))).astype("uint32")
+            yield kind, chunk, bucket, part, key[head].tobytes(), press(count.tobytes()), self.other[at].tobytes(), press(doc[head].tobytes())
 
 
 def merge(parts: list[Windows]) -> tuple[Windows, np.ndarray]:
@@ -97,7 +132,7 @@ class Chunk:
     """The windows of a chunk of documents (doc_id, text), the same whatever the order of its rows.
 
     A window is filed under the least hash of its six-word runs (XXH3 of the words), and told apart by a hash of all its
-    words from another family (BLAKE2b of the words): 64 and 32 bits, which are independent of each other.
+    words from another family (BLAKE2b of the words): 64 bits each, which are independent of each other.
     """
 
     def __init__(self, ids: list, docs: list[bytes]):
@@ -105,7 +140,7 @@ class Chunk:
         if not mine:
             mine["words"] = Vocabulary()
         self.lengths = np.zeros(len(docs), "int64")
-        keys, others, rows, places = [np.zeros(0, "uint64")], [np.zeros(0, "uint32")], [], []
+        keys, others, rows, places = [np.zeros(0, "uint64")], [np.zeros(0, "uint64")], [], []
         for n, (i, d) in enumerate(zip(ids, docs)):
             w = d.split()
             self.lengths[n] = len(w)
@@ -113,7 +148,7 @@ class Chunk:
                 first, second = mine["words"](w)
                 at, g = least_grams(first)
                 keys.append(mix(g[at]))
-                others.append((runs(second, WINDOW) >> np.uint64(32)).astype("uint32"))
+                others.append(mix(runs(second, WINDOW)))
                 rows.append((n, len(at)))
         key, other = np.concatenate(keys), np.concatenate(others)
         self.row = np.repeat([n for n, _ in rows], [m for _, m in rows]).astype("int64")
@@ -137,15 +172,14 @@ class Chunk:
         self.entry[order] = np.cumsum(first) - 1
         self.windows = Windows(ks[first], vs[first], self.doc[order][first])
 
-    def removed(self, buckets: int, replies: pd.DataFrame) -> list[np.ndarray]:
+    def removed(self, layout: Layout, replies: list[dict]) -> list[np.ndarray]:
         """For each row which words go, by the replies of kind 1."""
         earlier = np.zeros(len(self.windows.key), bool)
-        got = dict(zip(replies["bucket"], replies["k"]))
-        bucket = _bucket(self.windows.key, buckets)
-        turn = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
-        for a, z in zip(turn, [*turn[1:], len(bucket)]):
-            if bits := got.get(int(bucket[a])):
-                earlier[a:z] = np.unpackbits(np.frombuffer(bits, "uint8"), count=z - a).astype(bool)
+        got = {(r["bucket"], r["part"]): r["k"] for r in replies}
+        for bucket, part, at in layout.cuts(self.windows.key, self.windows.other):
+            if bits := got.get((bucket, part)):
+                n = len(earlier[at])
+                earlier[at] = np.unpackbits(np.frombuffer(bits, "uint8"), count=n).astype(bool)
         goes = earlier[self.entry] | (self.doc > self.windows.doc[self.entry])
         out = [np.zeros(n, bool) for n in self.lengths]
         rows, places = self.row[goes], self.place[goes]
@@ -158,8 +192,8 @@ class Chunk:
         return out
 
 
-def _match(g: pd.DataFrame) -> pd.DataFrame:
-    """Merges a range's windows of the index (kind 2) with those of a batch's chunks (kind 0).
+def _match(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    """Merges a part's windows of the index (kind 2) with those of a batch's chunks (kind 0).
 
     Replies to each chunk which of its windows have a smaller doc_id elsewhere; and gives the batch's own sorted run:
     its windows, but those that the index has under a doc_id as small.
@@ -169,39 +203,74 @@ def _match(g: pd.DataFrame) -> pd.DataFrame:
     whole, where = merge(parts)
     known = np.zeros(len(whole.key), bool)
     out, at = [], 0
-    for kind, chunk, bucket, p in zip(g["kind"], g["chunk"], g["bucket"], parts):
+    for kind, chunk, p in zip(g["kind"], g["chunk"], parts):
         mine = where[at : at + len(p.key)]
         at += len(p.key)
         if kind == 0:
             bits = p.doc > whole.doc[mine]
             if bits.any():
-                out.append((1, chunk, bucket, np.packbits(bits).tobytes(), None, None, None))
-    at = 0
-    for kind, p in zip(g["kind"], parts):
-        mine = where[at : at + len(p.key)]
-        at += len(p.key)
-        if kind == 2:
+                out.append((1, chunk, *key, np.packbits(bits).tobytes(), None, None, None))
+        else:
             known[mine[p.doc <= whole.doc[mine]]] = True
     fresh = Windows(whole.key[~known], whole.other[~known], whole.doc[~known])
-    b = int(g["bucket"].iloc[0])
     if len(fresh.key):
-        out += [(kind, chunk, b, *rest) for kind, chunk, _, *rest in fresh.blocks(2, -1, 1)]
+        out += [(2, -1, *key, *x[4:]) for x in fresh.blocks(2, -1, Layout())]
     return _frame(out)
 
 
-def _merge_runs(g: pd.DataFrame) -> pd.DataFrame:
+def _merge_runs(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
     whole, _ = merge([Windows.read(*x) for x in zip(g["k"], g["c"], g["v"], g["d"])])
-    return _frame((kind, chunk, int(g["bucket"].iloc[0]), *rest) for kind, chunk, _, *rest in whole.blocks(2, -1, 1))
-
-
-def _pressed(text: Column) -> Column:
-    """The text in UTF-8, compressed."""
-
-    def press(batch: pd.Series) -> pd.Series:
-        z = zstandard.ZstdCompressor(level=9)
-        return pd.Series([z.compress(t.encode("utf-8", "surrogatepass")) for t in batch])
-
-    return F.pandas_udf(press, "binary")(text)
+    return _frame((2, -1, *key, *x[4:]) for x in whole.blocks(2, -1, Layout()))
+
+
+#: A chunk of documents: a compressed Arrow stream of their rows, and the bytes of their texts.
+CHUNK = "batch int, chunk long, bytes long, body binary"
+
+
+def _chunks(docs: DataFrame, batch: str) -> DataFrame:
+    """``docs`` in chunks of about CHUNK_BYTES of text, each of one batch; made in one pass, with no shuffle."""
+    most = CHUNK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size: dict[int, int] = {}
+        number = TaskContext.get().partitionId() << 32
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+
+        def put(k: int) -> pa.RecordBatch:
+            nonlocal number
+            rows = pa.Table.from_batches(held.pop(k)).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_table(rows)
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([number]), pa.array([size.pop(k)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "chunk", "bytes", "body"])
+
+        for rows in batches:
+            of = rows.column(batch).to_numpy()
+            for k in np.unique(of).tolist():
+                mine = rows.filter(pa.array(of == k))
+                ends = np.cumsum(pc.fill_null(pc.binary_length(mine.column("text")), 0).to_numpy(zero_copy_only=False), dtype="int64")
+                at = 0
+                while at < len(ends):
+                    before = int(ends[at - 1]) if at else 0
+                    to = min(len(ends), int(np.searchsorted(ends, before + most - size.get(k, 0), "left")) + 1)
+                    held.setdefault(k, []).append(mine.slice(at, to - at))
+                    size[k] = size.get(k, 0) + int(ends[to - 1]) - before
+                    at = to
+                    if size[k] >= most:
+                        yield put(k)
+        for k in sorted(held):
+            yield put(k)
+
+    return docs.mapInArrow(run, CHUNK)
+
+
+def _opened(body: bytes) -> tuple[pa.Table, Chunk, list[bytes]]:
+    """The rows of a chunk, its windows and its texts."""
+    rows = pa.ipc.open_stream(body).read_all()
+    docs = [t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()]
+    return rows, Chunk(rows.column("doc_id").to_pylist(), docs), docs
 
 
 def _let_go(spark: SparkSession) -> None:
@@ -223,9 +292,10 @@ class FingerprintIndex:
     doc_id, of the batch or of an earlier one. A run holds, for each range of keys, the batch's distinct windows of 13
     words, sorted, each with its least doc_id, and nothing that the index had before; so a later batch needs neither the
     earlier texts nor to be told of them. The sorted runs of a range are merged with the sorted windows of the batch's
-    chunks; a window is filed under the least hash of its six-word runs and verified by a second hash of all its words,
-    of another family (96 bits in all, of independent hashes). compact() merges runs into one. Ranges are split as the index grows: a run's
-    blocks are cut at the new bounds as they are read.
+    chunks; a window is filed under the least hash of its six-word runs, and windows of one key are told apart by 64 bits
+    more, a hash of all their words from another family. compact() merges runs into one. Ranges are split as the index
+    grows, and hot ones into parts by that other hash; a run's blocks are cut at the new bounds as they are read. Which
+    ranges are hot, the windows of some chunks say; it decides nothing but who compares.
 
     A chunk sends a window once, however many of its documents hold it, so a passage in a third of all documents weighs as
     many entries as there are chunks. Judging is by doc_id, and a document is judged when it is added, so batches should
@@ -234,7 +304,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.bytes, self.batches, self.parts = 0, 0, []  # text added; batches; [folder, ranges] of each run
+        self.bytes, self.batches, self.parts, self.layout = 0, 0, [], Layout()  # text added; batches; [folder, ranges, hot] of each run
 
     def _ranges(self) -> int:
         return 1 << max(0, (-(-self.bytes // BUCKET_BYTES) - 1).bit_length())
@@ -248,87 +318,117 @@ class FingerprintIndex:
         don't take words from each other. Other columns come back as they are, but those named like added ones are
         replaced.
         """
+        (batch,) = free_names(docs, "batch")
+        rows = (docs.select("doc_id", "text") if digest else docs).withColumn(batch, F.lit(0))
+        return self.add_chunks(written_chunks(rows, batch), rows.drop(batch), digest)
+
+    def add_chunks(self, chunks: DataFrame, docs: DataFrame, digest: bool = False) -> DataFrame:
+        """add() for what _chunks() made of ``docs``, whose columns alone are looked at."""
         spark, own = self.spark, ["n_words", "n_removed", "kept_sha256" if digest else "kept"]
-        rest = [c for c in docs.columns if c.lower() not in [*own, "text"]] if not digest else ["doc_id"]
-        number, body, size, chunk = free_names(docs, "number", "body", "size", "chunk")
-        text = F.coalesce(F.col("text"), F.lit(""))
-        placed = docs.select(*rest, F.monotonically_increasing_id().alias(number), F.col("text").isNull().alias(size + "_none"), F.octet_length(text).cast("long").alias(size), _pressed(text).alias(body))
-        stored, part = f"{self.path}/batch-{self.batches}", f"{self.path}/run-{self.batches}"
-        placed.write.parquet(stored)
-        placed = spark.read.schema(placed.schema).parquet(stored)
-        added = placed.agg(F.sum(size)).first()[0] or 0
+        rest = ["doc_id"] if digest else [c for c in docs.columns if c.lower() not in own]
+        part = f"{self.path}/run-{self.batches}"
+        added = chunks.agg(F.sum("bytes")).first()[0] or 0
         self.bytes, self.batches = self.bytes + added, self.batches + 1
-        buckets = self._ranges()
-        placed = placed.withColumn(chunk, F.pmod(F.xxhash64(number), F.lit(max(1, -(-added // CHUNK_BYTES)))))
-
-        def opened(g: pd.DataFrame) -> tuple[Chunk, list[bytes]]:
-            open_ = zstandard.ZstdDecompressor().decompress
-            docs = [open_(x) for x in g[body]]
-            return Chunk([None if pd.isna(x) else int(x) for x in g["doc_id"]], docs), docs
+        self.layout = layout = self._looked_at(chunks, self.layout.finer(max(self._ranges(), self.layout.buckets)))
 
-        def send(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-            return _frame(opened(g)[0].windows.blocks(0, int(key[0]), buckets))
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for g in batches:
+                for chunk, body in zip(g["chunk"], g["body"]):
+                    yield _frame(_opened(body)[1].windows.blocks(0, chunk, layout))
 
-        sent = placed.select(chunk, "doc_id", body).groupBy(chunk).applyInPandas(send, BLOCK)
-        met = (sent.unionByName(self.runs(buckets)) if self.parts else sent).groupBy("bucket").applyInPandas(_match, BLOCK)
+        sent = chunks.select("chunk", "body").mapInPandas(send, BLOCK)
+        met = (sent.unionByName(self.runs()) if self.parts else sent).groupBy("bucket", "part").applyInPandas(_match, BLOCK)
         _write(met, part)
         _let_go(spark)
-        self.parts.append([part, buckets])
-        replies = spark.read.schema(BLOCK).parquet(part).where("kind = 1").select("chunk", "bucket", "k")
-        fields = [docs.schema[c] for c in rest] if digest else docs.schema.fields
-        fields = [f for f in fields if f.name.lower() not in own]
+        self.parts.append([part, layout.buckets, layout.hot])
+        replies = spark.read.schema(BLOCK).parquet(part).where("kind = 1").select("chunk", "bucket", "part", "k")
+        fields = [f for f in docs.schema.fields if f.name in rest]
         out = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(own[2], T.StringType())])
 
-        def finish(key: tuple, g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            if not len(g):
-                return pd.DataFrame(columns=out.fieldNames())
-            c, data = opened(g)
-            gone, kept = c.removed(buckets, r), []
-            texts = [None if none else x.decode("utf-8", "surrogatepass") for none, x in zip(g[size + "_none"], data)] if not digest else [None] * len(g)
-            for d, t, x in zip(data, texts, gone):
-                if digest or x.any():
-                    left = b" ".join([w for w, y in zip(d.split(), x.tolist()) if not y] if x.any() else d.split())
-                kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "surrogatepass") if x.any() else t)
-            added = {"n_words": [len(x) for x in gone], "n_removed": [int(x.sum()) for x in gone], own[2]: kept}
-            return g.assign(**added, **({} if digest else {"text": texts}))[out.fieldNames()]
-
-        return placed.groupBy(chunk).cogroup(replies.groupBy("chunk")).applyInPandas(finish, out)
-
-    def runs(self, buckets: int | None = None) -> DataFrame:
-        """All runs, of which there is one at least, cut at the bounds of ``buckets`` ranges, no fewer than any run has."""
-        buckets = buckets or self._ranges()
+        def finish(g: pa.Table, r: pa.Table) -> pa.Table:
+            found = [_finished(*_opened(body), layout, r.to_pylist(), rest, digest) for body in g.column("body").to_pylist()]
+            return pa.concat_tables(found) if found else _finished(pa.table({c: pa.nulls(0) for c in rest} | {"text": pa.nulls(0)}), None, [], layout, [], rest, digest)
+
+        return chunks.select("chunk", "body").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, out)
+
+    def _looked_at(self, chunks: DataFrame, layout: Layout) -> Layout:
+        """``layout`` with parts for ranges that some of the chunks show to be far larger than the rest."""
+        ask, old = F.pmod(F.xxhash64("chunk"), F.lit(PROBE)) == 0, Layout(layout.buckets)
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for g in batches:
+                for body in g["body"]:
+                    sizes = [(b, len(w.key[at])) for w in [_opened(body)[1].windows] for b, _, at in old.cuts(w.key, w.other)]
+                    yield pd.DataFrame(sizes, columns=["bucket", "n"])
+
+        looked, total = chunks.agg(F.sum(ask.cast("long")), F.count("*")).first()
+        if layout.buckets == 1 or not looked:
+            return layout
+        sizes = chunks.where(ask).select("body").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        usual = sizes.agg(F.sum("n")).first()[0] or 0
+        most = max(4 * usual / layout.buckets, HOT_WINDOWS * looked / total)  # such a range has four times the usual windows, and many
+        hot = {r["bucket"]: 1 << int(np.ceil(np.log2(r["n"] / most))) + 1 for r in sizes.where(F.col("n") > most).collect()}
+        return Layout(layout.buckets, layout.hot | {b: max(n, layout.hot.get(b, 1)) for b, n in hot.items()})
+
+    def runs(self) -> DataFrame:
+        """All runs, of which there is one at least, cut at the bounds of the layout, whose ranges are no fewer than any run's."""
+        layout = self.layout
 
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for x in zip(batch["k"], batch["c"], batch["v"], batch["d"]):
-                    yield _frame(Windows.read(*x).blocks(2, -1, buckets))
+                    yield _frame(Windows.read(*x).blocks(2, -1, layout))
 
         found = []
-        for part, n in self.parts:
+        for part, buckets, hot in self.parts:
             run = self.spark.read.schema(BLOCK).parquet(part).where("kind = 2").select(*NAMES)
-            found.append(run if n == buckets else run.mapInPandas(split, BLOCK))
+            found.append(run if Layout(buckets, hot) == layout else run.mapInPandas(split, BLOCK))
         return reduce(DataFrame.unionByName, found)
 
     def compact(self, most: int = RUNS) -> None:
         """Merges all runs into one if there are more than ``most``; merged runs are removed."""
         if len(self.parts) > most:
-            part, buckets = f"{self.path}/merged-{self.batches}", self._ranges()
-            _write(self.runs(buckets).groupBy("bucket").applyInPandas(_merge_runs, BLOCK), part)
-            for old, _ in self.parts:
+            part = f"{self.path}/merged-{self.batches}"
+            _write(self.runs().groupBy("bucket", "part").applyInPandas(_merge_runs, BLOCK), part)
+            for old, *_ in self.parts:
                 drop(self.spark, f"{old}/kind=2")  # replies of kind 1 are for results not yet read
             _let_go(self.spark)
-            self.parts = [[part, buckets]]
+            self.parts = [[part, self.layout.buckets, self.layout.hot]]
 
     def state(self) -> str:
-        return json.dumps({"bytes": self.bytes, "batches": self.batches, "parts": self.parts})
+        parts = [[p, n, list(hot.items())] for p, n, hot in self.parts]
+        return json.dumps({"bytes": self.bytes, "batches": self.batches, "parts": parts, "layout": [self.layout.buckets, list(self.layout.hot.items())]})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, state: str) -> FingerprintIndex:
-        index = cls(spark, path)
-        index.__dict__.update(json.loads(state))
+        index, was = cls(spark, path), json.loads(state)
+        index.bytes, index.batches = was["bytes"], was["batches"]
+        index.parts = [[p, n, dict(map(tuple, hot))] for p, n, hot in was["parts"]]
+        index.layout = Layout(was["layout"][0], dict(map(tuple, was["layout"][1])))
         return index
 
 
+def _finished(rows: pa.Table, chunk: Chunk | None, docs: list[bytes], layout: Layout, replies: list[dict], rest: list[str], digest: bool) -> pa.Table:
+    """The columns ``rest`` of a chunk's rows, n_words, n_removed, and what is kept of each text or its digest."""
+    gone, texts, kept_ = chunk.removed(layout, replies) if chunk else [], rows.column("text"), []
+    for k, (d, x) in enumerate(zip(docs, gone)):
+        if x.any():
+            left = b" ".join([w for w, y in zip(d.split(), x.tolist()) if not y])
+        elif digest:
+            left = b" ".join(d.split())
+        kept_.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "surrogatepass") if x.any() else texts[k].as_py())
+    out = {"n_words": pa.array([len(x) for x in gone], pa.int64()), "n_removed": pa.array([int(x.sum()) for x in gone], pa.int64()), "kept": pa.array(kept_, pa.string())}
+    return pa.table([rows.column(c) for c in rest] + list(out.values()), names=[*rest, "n_words", "n_removed", "kept_sha256" if digest else "kept"])
+
+
+def written_chunks(docs: DataFrame, batch: str) -> DataFrame:
+    """_chunks() kept in the shared folder, by batch."""
+    path = scratch(docs.sparkSession, "chunks")
+    options = {"parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size": 16 << 20}
+    _chunks(docs, batch).write.options(**options).partitionBy("batch").parquet(path)
+    return docs.sparkSession.read.schema(CHUNK).parquet(path)
+
+
 def batch_of(docs: DataFrame, batches: int) -> Column:
     """The number of a row's batch by rising doc_id, near-equal in rows; equal doc_id together, null in the first."""
     cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] or []
@@ -336,11 +436,17 @@ def batch_of(docs: DataFrame, batches: int) -> Column:
 
 
 def deduplicate(docs: DataFrame, digest: bool = False, batches: int = BATCHES) -> DataFrame:
-    """``docs`` added to a new index in ``batches`` batches by rising doc_id, compacted after each but the last; as add()."""
+    """``docs`` added to a new index in ``batches`` batches by rising doc_id, compacted after each but the last; as add().
+
+    Documents are read once, and written in chunks by batch.
+    """
     spark = docs.sparkSession
-    index, of, found = FingerprintIndex(spark, scratch(spark, "fingerprints")), batch_of(docs, batches), None
+    (batch,) = free_names(docs, "batch")
+    docs = docs.select("doc_id", "text") if digest else docs
+    chunks = written_chunks(docs.withColumn(batch, batch_of(docs, batches)), batch)
+    index, found = FingerprintIndex(spark, scratch(spark, "fingerprints")), None
     for k in range(batches):
-        part = index.add(docs.where(of == k), digest)
+        part = index.add_chunks(chunks.where(F.col("batch") == k), docs, digest)
         found = part if found is None else found.unionByName(part)
         if k < batches - 1:
             index.compact(1)

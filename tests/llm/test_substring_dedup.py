@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from quernlake.llm import substring_dedup as S
@@ -120,3 +121,29 @@ def test_empty(spark):
     assert S.FingerprintIndex(spark, scratch(spark, "t")).add(df).count() == 0 and S.deduplicate(df).count() == 0
     nulls = spark.createDataFrame([(None, None), (None, "a b")], "doc_id long, text string")
     assert S.deduplicate(nulls).count() == 2
+
+
+def around_one_phrase(n):
+    """``n`` documents of 20 words that share only a six-word run of a small hash; all their windows have one key."""
+    words = S.Vocabulary()
+    phrases = [[f"p{k}x{j}".encode() for j in range(6)] for k in range(20_000)]
+    phrase = min(phrases, key=lambda p: int(S.least_grams(np.concatenate([words(p)[0], words([b"z"] * 7)[0]]))[1][0]))
+    phrase = [w.decode() for w in phrase]
+    return [(k, " ".join([*(f"a{k}q{j}" for j in range(7)), *phrase, *(f"b{k}q{j}" for j in range(7))])) for k in range(n)]
+
+
+def test_windows_around_one_phrase(spark, monkeypatch):
+    """480,000 different windows under one key: none is taken for another, and the range that holds them is split."""
+    monkeypatch.setattr(S, "BUCKET_BYTES", 1 << 18)
+    monkeypatch.setattr(S, "CHUNK_BYTES", 1 << 17)
+    monkeypatch.setattr(S, "HOT_WINDOWS", 1 << 14)
+    docs = around_one_phrase(60_000)
+    index = S.FingerprintIndex(spark, scratch(spark, "t"))
+    df = spark.createDataFrame(docs + [(70_000, docs[9][1]), (-1, docs[10][1])], "doc_id long, text string").repartition(8)
+    lost = {r.doc_id: r.n_removed for r in index.add(df, digest=True).where("n_removed > 0").collect()}
+    assert lost == {70_000: 20, 10: 20}
+    assert len(index.layout.hot) == 1 and max(index.layout.hot.values()) >= 16
+    sizes = spark.read.parquet(index.parts[0][0]).where("kind = 2").selectExpr("bucket", "part", "length(v) / 8 AS n").groupBy("bucket", "part").sum("n").collect()
+    assert max(r[2] for r in sizes) < 480_000 / 8
+    later = index.add(spark.createDataFrame([(80_000, docs[5][1]), (80_001, docs[5][1].replace("a5q6", "new"))], "doc_id long, text string"), digest=True)
+    assert {r.doc_id: r.n_removed for r in later.collect()} == {80_000: 20, 80_001: 13}
