@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import exprs as X
+
 # Texts that stand for nothing known.
 PLACEHOLDERS = ("暂无", "暂无信息", "暂无画像信息", "无", "未知", "无有效信息", "None", "null")
 # Predicates that state no relation.
 VAGUE = ("认为", "觉得", "说", "提到", "表示", "评价", "是", "相关", "关系", "thinks", "says", "is", "mentions")
-SHELL = r"(?i)\[(?:reply|at|cq:at)\b[^\]]*(?:\]|$)|<at\b[^>]*(?:>|$)|↩\S+"
-MEDIA = r"(?i)\[(?:image|sticker|video|voice|file|face|图片|图文|表情|贴纸|语音|视频|文件)[^\]]*(?:\]|$)"
+# Words that begin a block of media; how media, replies and mentions stand in a text.
+MEDIA_WORDS = "Sticker|Image|图片|贴纸|表情|语音|视频|文件|图文|voice|video|file|photo|image|face"
+MEDIA_HEAD = rf"(?iU)^\s*\[(?:{MEDIA_WORDS})(?:\s|\])"
+MEDIA_INLINE = rf"(?iU)\[(?:{MEDIA_WORDS})[^\]]*\]"
+MEDIA_BLOCK = r"(?iU)\[(?:表情|图片|贴纸|语音|视频|文件|Sticker|sticker|face|image|video|voice)[^\]]*\]"
+MENTION_SHELL = r"(?iU)\[At\s*-?\d+[^\]]*\]"
+OPEN_SHELL = r"(?iU)\[(?:Reply|At\b|CQ:at\b)[^\]]*$|<at[^>]*$"
+SHELL = r"(?iU)\[Reply[^\]]*\]|\[Reply[^\]]*$|\[CQ:at[^\]]*\]|\[at[^\]]*\]|<at[^>]*>|↩\S+"
+REPLY_WITH_CONTENT = r"(?iU)\[Reply(?:\s+ID)?[:\s,，]*\s*-?\d+\s*content:\s*([^\[\]]*?)\s*\]"
+REPLY_SHELL = r"(?iU)\[Reply(?:[^\[\]]|\[[^\[\]]*\])*\]"
+MENTION_END = r"[，。！？、,.!?~～:：;；\"'）)】\]]+$"
+# How text begins, or what it holds, that is markup.
+MARKUP = r"^(?:```|\{|\[|<)|</?\w+[^>]*>"
 
 
 def rejection(c: Column, limit: int) -> Column:
@@ -21,7 +34,7 @@ def rejection(c: Column, limit: int) -> Column:
         .when(F.length(c) > limit, "too_long")
         .when(~s.rlike(r"[\p{L}\p{N}]"), "empty")
         .when(s.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), "control_characters")
-        .when(s.rlike(r"^(?:```|\{|\[|<)|</?\w+[^>]*>"), "markup_or_serialized_output")
+        .when(s.rlike(MARKUP), "markup_or_serialized_output")
         .when(s.isin(*PLACEHOLDERS), "placeholder")
         .when((F.length(s) > 12) & (F.size(F.array_distinct(F.split(s, ""))) < 3), "repetition")
     )
@@ -39,26 +52,27 @@ def without_reasoning(c: Column) -> Column:
     return F.regexp_replace(opened, r"(?i)</?reasoning\b[^>]*>", "")
 
 
-# How a message begins that is media, whatever follows.
-MEDIA_HEAD = r"(?i)^\s*\[(?:image|sticker|video|voice|file|face|图片|图文|表情|贴纸|语音|视频|文件)(?:\s|\]|\d)"
-
-
 def media_only(c: Column, names: list[str] = ()) -> Column:
     """Whether a message begins as media, or holds nothing but shells, media and mentions of known names or numbers."""
-    left = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), SHELL, " "), MEDIA, " ")
-    words = F.filter(F.split(left, r"\s+"), lambda w: w.rlike(r"[0-9A-Za-z一-鿿]"))
-    who = lambda w: F.regexp_replace(w.substr(F.lit(2), F.length(w)), r"[，。！？、,.!?~～:：;；\"'）)】\]]+$", "")
+    left = F.coalesce(c, F.lit(""))
+    for shell in (MENTION_SHELL, OPEN_SHELL, SHELL, MEDIA_BLOCK):
+        left = F.regexp_replace(left, shell, " ")
+    words = F.filter(F.split(left, r"(?U)\s+"), lambda w: w.rlike(r"[0-9A-Za-z一-鿿]"))
+    who = lambda w: F.regexp_replace(w.substr(F.lit(2), F.length(w)), MENTION_END, "")
     mention = lambda w: F.startswith(w, F.lit("@")) & (who(w).rlike(r"^\d+$") | who(w).isin(*names) if names else who(w).rlike(r"^\d+$"))
     return F.coalesce(c, F.lit("")).rlike(MEDIA_HEAD) | (F.size(F.filter(words, lambda w: ~mention(w))) == 0)
 
 
 def recall_text(c: Column, limit: int = 0) -> Column:
-    """Media and replies as short marks, white space collapsed, cut to ``limit`` characters with an ellipsis."""
-    out = F.regexp_replace(F.coalesce(c, F.lit("")), MEDIA, " [Image] ")
-    out = F.regexp_replace(out, r"(?i)\[reply[^\]]*?content:\s*([^\]]*)\]", " [Reply] $1 ")
-    out = F.regexp_replace(out, r"(?i)\[reply\s+id[^\]]*\]", " [Reply] ")
-    out = F.trim(F.regexp_replace(out, r"\s+", " "))
-    return F.when(F.length(out) > limit, F.concat(F.rtrim(F.substring(out, 1, limit)), F.lit("…"))).otherwise(out) if limit else out
+    """Media and replies as short marks, white space collapsed, cut to ``limit`` characters with an ellipsis.
+
+    Media go first, so that a reply's shell may hold some; a reply that quotes what it answers keeps the quote.
+    """
+    out = F.regexp_replace(F.coalesce(c, F.lit("")), MEDIA_INLINE, " [Image] ")
+    out = F.regexp_replace(out, REPLY_WITH_CONTENT, " [Reply] $1 ")
+    out = F.regexp_replace(out, REPLY_SHELL, " [Reply] ")
+    out = F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+    return X.let(out, lambda x: F.when(F.length(x) > limit, F.concat(F.rtrim(F.substring(x, 1, limit)), F.lit("…"))).otherwise(x)) if limit else out
 
 
 def tool_preview(c: Column, limit: int = 240) -> Column:

@@ -15,6 +15,21 @@ BAD = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]"
 CJK = r"\x{3400}-\x{9fff}"
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with ``c`` worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _letters(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def _adjacent(letters: Column) -> Column:
+    """Adjacent pairs of an array of characters, in one pass."""
+    n = F.greatest(F.size(letters) - 1, F.lit(0))
+    return F.zip_with(F.slice(letters, F.lit(1), n), F.slice(letters, F.lit(2), n), lambda a, b: F.concat(a, b))
+
+
 def normalize(c: Column) -> Column:
     """Lower case, without white space and punctuation."""
     return F.regexp_replace(F.lower(c), NOISE, "")
@@ -22,15 +37,13 @@ def normalize(c: Column) -> Column:
 
 def bigrams(c: Column) -> Column:
     """Distinct pairs of adjacent characters of the normalised text; a single character stands for itself."""
-    n = normalize(c)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(n) - 1, F.lit(1))), lambda i: n.substr(i, F.lit(2)))
-    return F.when(n == "", F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+    return let(_letters(normalize(c)), lambda x: F.when(F.size(x) < 2, x).otherwise(F.array_distinct(_adjacent(x))))
 
 
 def containment(a: Column, b: Column, min_overlap: int = 4) -> Column:
     """Common members of two sets over the smaller set's size; 0 below ``min_overlap`` common members."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when(both >= min_overlap, both / F.least(F.size(a), F.size(b))).otherwise(0.0)
+    sizes = F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.least(F.size(a), F.size(b)).alias("least"))
+    return let(sizes, lambda n: F.when(n.both >= min_overlap, n.both / n.least).otherwise(0.0))
 
 
 def squeeze(c: Column) -> Column:
@@ -53,12 +66,12 @@ def _chunks(c: Column) -> Column:
 
 def _pairs(t: Column) -> Column:
     """Adjacent pairs of characters; none of a single one."""
-    return F.transform(F.filter(F.sequence(F.lit(1), F.length(t)), lambda i: i < F.length(t)), lambda i: t.substr(i, F.lit(2)))
+    return let(_letters(t), _adjacent)
 
 
 def index_grams(c: Column) -> Column:
     """Of each Latin or CJK chunk all characters and all adjacent pairs, joined by spaces, in order."""
-    return F.concat_ws(" ", F.flatten(F.transform(_chunks(c), lambda t: F.concat(F.filter(F.split(t, ""), lambda x: x != ""), _pairs(t)))))
+    return F.concat_ws(" ", F.flatten(F.transform(_chunks(c), lambda t: let(_letters(t), lambda x: F.concat(x, _adjacent(x))))))
 
 
 def search_body(c: Column) -> Column:
@@ -130,8 +143,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; -1 if lengths differ, one is null or has no length."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(-1.0)
+    parts = F.struct(F.sqrt(dot(a, a)).alias("x"), F.sqrt(dot(b, b)).alias("y"), dot(a, b).alias("xy"))
+    return let(parts, lambda p: F.when((F.size(a) == F.size(b)) & (p.x * p.y > 0), p.xy / (p.x * p.y)).otherwise(-1.0))
 
 
 def half_life(age_days: Column, days: float) -> Column:
@@ -207,28 +220,47 @@ def bare_id(c: Column) -> Column:
     return F.trim(F.substring_index(F.coalesce(c, F.lit("")), "(", 1))
 
 
+def utc_text(epoch: Column) -> Column:
+    """yyyy-MM-dd HH:mm:ss in UTC, whatever the session's time zone."""
+    return (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=epoch.cast("decimal(18,6)"))).cast("string")
+
+
 def short_time(epoch: Column, year: int, with_clock: bool = True) -> Column:
-    """Month, day (and clock), with the year where it isn't ``year``; empty outside 2000 to 2100 and for null."""
-    at, clock = F.timestamp_seconds(epoch), " HH:mm" if with_clock else ""
-    text = F.when(F.year(at) == year, F.date_format(at, "MM-dd" + clock)).otherwise(F.date_format(at, "yyyy-MM-dd" + clock))
-    return F.when(epoch.between(946684800, 4102444800), text).otherwise("")
+    """Month, day (and clock), with the year where it isn't ``year``; empty outside 2000 to 2100 and for null; in UTC."""
+    most = 16 if with_clock else 10
+    good = F.when(epoch.between(946684800, 4102444800), epoch)
+    text = let(utc_text(good), lambda x: F.when(F.startswith(x, F.lit(f"{year}-")), F.substring(x, 6, most - 5)).otherwise(F.substring(x, 1, most)))
+    return F.coalesce(text, F.lit(""))
 
 
 def full_time(epoch: Column) -> Column:
-    return F.when(epoch > 0, F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm")).otherwise("")
+    """Date and clock in UTC; empty where there is none."""
+    return F.when(epoch > 0, F.substring(utc_text(epoch), 1, 16)).otherwise("")
 
 
 def parsed_time(c: Column, fallback: Column) -> Column:
-    """struct<at double, basis string> of ISO text (without a zone: UTC) or seconds since 1970, else of ``fallback``."""
-    number = F.when(c.rlike(r"^\s*\d+(\.\d+)?\s*$"), c.try_cast("double"))
-    iso = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_micros(F.try_to_timestamp(c)) / 1e6)
+    """struct<at double, basis string> of ISO text (without a zone: UTC; eight digits: a date), or seconds since 1970, else
+    of ``fallback``."""
+    text = F.trim(c)
+    date = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    stamp = F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(date, F.lit("T00:00:00Z"))).when(text.rlike(r"^\d{4}-\d{2}-\d{2}.*(?:[zZ]|[+-]\d{2}:?\d{2})$"), F.upper(text)).when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.concat(text, F.lit("Z")))
+    iso = F.unix_micros(F.try_to_timestamp(stamp)) / 1e6
+    number = F.when(text.rlike(r"^\d+(\.\d+)?$") & ~text.rlike(r"^\d{8}$"), text.try_cast("double"))
     ok = F.when((number > 0) & (number < 32503680000), number)
     return F.struct(F.coalesce(iso, ok, fallback).alias("at"), F.when(iso.isNotNull(), "source.time").when(ok.isNotNull(), "source.timestamp").otherwise("file_mtime_estimate").alias("basis"))
 
 
-def aged_importance(importance: Column, age_days: Column, days: float = 365) -> Column:
-    """Importance halved every ``days``, from 1 to 10."""
-    return F.greatest(F.least(F.bround(importance / F.pow(F.lit(2.0), F.least(age_days, F.lit(36500)) / days), 0), F.lit(10)), F.lit(1)).cast("int")
+def aged_importance(importance: Column, when: Column, now: float, days: float = 365) -> Column:
+    """Importance halved every ``days`` since ``when``, from 1 to 10; a time to come counts as now, none as no age.
+
+    Times are seconds; beyond 1e11 they are taken for milliseconds. No ageing where ``days`` isn't above 0; an importance
+    that is none is 1.
+    """
+    now = now / 1000 if now > 1e11 else now
+    at = F.when(when > 1e11, when / 1000).otherwise(when)
+    age = F.when(at > 0, F.least(F.greatest((F.lit(now) - at) / 86400, F.lit(0.0)), F.lit(36500.0))).otherwise(0.0) if days > 0 else F.lit(0.0)
+    whole = F.coalesce(importance.cast("int"), F.lit(1))
+    return F.greatest(F.least(F.bround(whole / F.pow(F.lit(2.0), F.coalesce(age, F.lit(0.0)) / (days if days > 0 else 1)), 0), F.lit(10)), F.lit(1)).cast("int")
 
 
 def scope(mode: str, sid: Column, visibility: Column, users: Column, own: str, people: list[str]) -> Column:

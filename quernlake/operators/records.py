@@ -82,9 +82,9 @@ def probe(records: DataFrame) -> DataFrame:
     return live.groupBy("sid").agg(F.count_if(F.col("permanent") == 0).alias("total"), F.count_if((F.col("permanent") == 0) & (F.col("level") > 0)).alias("upper"), F.min("end").alias("oldest"), F.max("end").alias("newest"))
 
 
-def worth_planning(probed: DataFrame, now: float, rounds: int = 12, threshold: int = 50, by_rounds: bool = True, boost: bool = False, stale_days: int = 3, idle_hours: int = 6) -> DataFrame:
+def worth_planning(probed: DataFrame, now: float, rounds: int = 12, threshold: int = 50, boost: bool = False, stale_days: int = 3, idle_hours: int = 6) -> DataFrame:
     """Adds worth: whether a plan is possible at all; never false where one is."""
-    enough = (F.col("upper") >= 4) | (F.col("total") >= (min(rounds, threshold) if by_rounds else min(rounds, threshold)))
+    enough = (F.col("upper") >= 4) | (F.col("total") >= min(rounds, threshold))
     old = (F.col("total") > 0) & (F.col("oldest") < now - stale_days * 86400) & (F.col("newest") < now - idle_hours * 3600) & F.lit(boost and stale_days > 0 and idle_hours > 0)
     return probed.withColumn("worth", F.coalesce(enough | old, F.lit(False)))
 
@@ -133,10 +133,20 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
-def short_codes(ids: DataFrame) -> DataFrame:
-    """A short code of its own for each distinct id: id, code; base 36 of its number by partition and place, no global sort."""
-    once = ids.select("id").distinct()
-    return once.select("id", F.lower(F.conv(F.monotonically_increasing_id().cast("string"), 10, 36)).alias("code"))
+def short_codes(ids: DataFrame, known: DataFrame | None = None, lengths: tuple[int, ...] = (6, 10, 64)) -> DataFrame:
+    """A short code of its own for each distinct id: id, code; those that ``known`` (id, code) has stay for good.
+
+    A code is the beginning of the id's sha256. Where a shorter one is taken, by a known id or by a smaller new one, the id
+    goes on to the next length. The same ids get the same codes however they lie; null ids get none.
+    """
+    old = known.select("id", "code") if known is not None else ids.sparkSession.createDataFrame([], "id string, code string")
+    left = ids.select("id").where("id IS NOT NULL").distinct().join(old, "id", "left_anti")
+    out = old
+    for n in lengths:
+        coded = left.withColumn("code", F.substring(F.sha2("id", 256), 1, n))
+        won = coded.join(old.select("code"), "code", "left_anti").groupBy("code").agg(F.min("id").alias("id")).select("id", "code")
+        out, left = out.unionByName(won), left.join(won.select("id"), "id", "left_anti")
+    return out
 
 
 def name_map(names: DataFrame, subjects: DataFrame) -> DataFrame:

@@ -188,9 +188,13 @@ def name_map(spark, d):
     return R.name_map(names(spark, d), t(spark, d, "nation").select(F.lower("n_name").alias("subject")))
 
 
-@q("SELECT count(*) AS n, count(DISTINCT id) AS codes FROM facts")
+@q("""known AS (SELECT id, 'k' || id AS code FROM facts WHERE deleted = 1), new AS (SELECT id FROM facts WHERE deleted = 0 UNION SELECT id FROM records),
+one AS (SELECT min(id) AS id, substr(sha256(id), 1, 6) AS code FROM new GROUP BY 2), two AS (SELECT min(id) AS id, substr(sha256(id), 1, 10) AS code FROM new WHERE id NOT IN (SELECT id FROM one) GROUP BY 2)
+SELECT * FROM known UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two""")
 def short_codes(spark, d):
-    return R.short_codes(facts(spark, d)).agg(F.count("*").alias("n"), F.countDistinct("code").alias("codes"))
+    f = facts(spark, d)
+    known = f.where("deleted = 1").select("id", F.concat(F.lit("k"), "id").alias("code"))
+    return R.short_codes(f.select("id").unionByName(records(spark, d).select("id")), known)
 
 
 @q("r AS (SELECT id, row_number() OVER (ORDER BY importance / 20 DESC, id) AS rank, importance / 20 AS s FROM (SELECT * FROM records WHERE sid = 'qq:gm:2')) SELECT id, rank FROM r WHERE s >= 0.3 OR rank <= 2")
@@ -387,23 +391,36 @@ def grouped_facts(spark, d):
     return FA.grouped_rows(facts(spark, d))
 
 
-CASES = [" Event", "喜好", "misc", "Custom ", "SELF", "画像"]
+def _values(table: dict) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in table.items())
+
+
+NAMED = [" Event", "喜好", "misc", "Custom ", "SELF", "画像", "note"]
 
 
-@query("SELECT * FROM (VALUES (' Event', 'event'), ('喜好', 'preference'), ('misc', 'fact'), ('Custom ', 'Custom'), ('SELF', 'self'), ('画像', 'profile')) v(name, category)")
+@query(f"""WITH d AS (SELECT doc_id, [{', '.join(f"'{x}'" for x in NAMED)}][doc_id % 7 + 1] || CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END AS name FROM documents), a AS (SELECT * FROM (VALUES {_values(X.CATEGORY_ALIASES)}) v(alias, category))
+SELECT doc_id, CASE WHEN lower(trim(name)) IN ({', '.join(f"'{x}'" for x in X.CATEGORY_CODES)}) THEN lower(trim(name)) ELSE coalesce(category, trim(name)) END AS category FROM d LEFT JOIN a ON alias = lower(trim(name))""")
 def category_aliases(spark, d):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, CASES))).alias("name")).select("name", X.category(F.col("name")).alias("category"))
+    name = F.concat(F.get(F.array(*map(F.lit, NAMED)), (F.col("doc_id") % 7).cast("int")), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(""))
+    return t(spark, d, "documents").select("doc_id", X.category(name).alias("category"))
 
 
-@query("SELECT * FROM (VALUES ('翅 膀 很 美', '翅膀很美'), ('  a   b ', 'a b'), ('iPhone 15', 'iPhone 15'), ('中 a 文', '中 a 文'), ('', '')) v(s, squeezed)")
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace('  ' || replace(coalesce(text, ''), ' ', '   ') || chr(1), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')
+|| CASE WHEN text <> '' THEN chr(10) ELSE '' END || '翅膀很美 a 文') AS squeezed FROM documents""")
 def squeezed_text(spark, d):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, ["翅 膀 很 美", "  a   b ", "iPhone 15", "中 a 文", ""]))).alias("s")).select("s", X.squeeze(F.col("s")).alias("squeezed"))
+    mangled = F.concat(F.lit("  "), F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit("   ")), F.lit("\x01\n翅 膀\t很 美  a 文 "))
+    return t(spark, d, "documents").select("doc_id", F.sha2(X.squeeze(mangled), 256).alias("squeezed"))
+
+
+WORDS_SQL = "regexp_extract_all(lower(coalesce(text, '') || ' 我喜欢猫'), '[a-z0-9_]+|[㐀-鿿]+')"
+PAIRS_SQL = "list_transform(range(1, length(x)), lambda i: substr(x, i, 2))"
 
 
-@query("SELECT * FROM (VALUES ('我喜欢猫', '我 喜 欢 猫 我喜 喜欢 欢猫', ['喜欢', '我喜', '欢猫']), ('iph', 'i p h ip ph', ['iph']), ('the and that with 我们 之前', 't h e th he a n d an nd t h a t th ha at w i t h wi it th 我 们 我们 之 前 之前', ['们之']), ('!!', '-', [])) v(s, body, tokens)".replace("我 们 我们 之 前 之前', ['们之']", "我 们 之 前 我们 们之 之前', ['们之']"))
+@query(f"""SELECT conv_id, turn, array_to_string(flatten(list_transform({WORDS_SQL}, lambda x: list_concat(list_filter(string_split(x, ''), lambda y: y <> ''), {PAIRS_SQL}))), ' ') AS body,
+list_sort(list_filter(list_distinct(flatten(list_transform({WORDS_SQL}, lambda x: CASE WHEN length(x) < 2 OR regexp_matches(x, '^[a-z0-9_]') THEN [x] ELSE {PAIRS_SQL} END))), lambda x: x NOT IN ({', '.join(f"'{x}'" for x in X.STOP)}))) AS tokens FROM conversations""")
 def search_bodies(spark, d):
-    s = ["我喜欢猫", "iph", "the and that with 我们 之前", "!!"]
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, s))).alias("s")).select("s", X.search_body(F.col("s")).alias("body"), X.tokens_of(F.col("s")).alias("tokens"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" 我喜欢猫"))
+    return t(spark, d, "conversations").select("conv_id", "turn", X.search_body(text).alias("body"), X.tokens_of(text).alias("tokens"))
 
 
 REPLY = "the wandering station 123456 bright leaves"
@@ -426,15 +443,21 @@ def event_times(spark, d):
     return t(spark, d, "events").select("event_id", X.short_time(at, 2024).alias("short"), X.full_time(at).alias("full"))
 
 
-@query("SELECT * FROM (VALUES ('2024-01-02T03:04:05Z', 1704164645e0, 'source.time'), ('1700000000', 1.7e9, 'source.timestamp'), ('-5', 9e0, 'file_mtime_estimate'), ('soon', 9e0, 'file_mtime_estimate')) v(s, epoch, basis)")
+@query("""WITH s AS (SELECT event_id, event_id % 7 AS k, date_trunc('second', ts) AS ts FROM events)
+SELECT event_id, CASE k WHEN 0 THEN epoch(ts) WHEN 1 THEN epoch(ts) WHEN 2 THEN epoch(ts) - 19800 WHEN 3 THEN epoch(ts) WHEN 4 THEN epoch(date_trunc('day', ts)) ELSE 9e0 END AS epoch,
+CASE WHEN k IN (0, 1, 2, 4) THEN 'source.time' WHEN k = 3 THEN 'source.timestamp' ELSE 'file_mtime_estimate' END AS basis FROM s""")
 def parsed_times(spark, d):
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, ["2024-01-02T03:04:05Z", "1700000000", "-5", "soon"]))).alias("s"))
-    return rows.withColumn("x", X.parsed_time(F.col("s"), F.lit(9.0))).select("s", F.col("x.at").alias("epoch"), "x.basis")
+    ts, k = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz").cast("string"), F.col("event_id") % 7
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")).cast("string")
+    s = F.when(k == 0, F.concat(F.replace(ts, F.lit(" "), F.lit("T")), F.lit("Z"))).when(k == 1, ts).when(k == 2, F.concat(ts, F.lit("+05:30"))).when(k == 3, seconds).when(k == 4, F.replace(F.substring(ts, 1, 10), F.lit("-"), F.lit(""))).when(k == 5, F.concat(F.lit("-"), seconds)).otherwise("soon")
+    return t(spark, d, "events").withColumn("x", X.parsed_time(s, F.lit(9.0))).select("event_id", F.col("x.at").alias("epoch"), "x.basis")
 
 
-@query("SELECT * FROM (VALUES ('7.5', 8), ('99', 10), ('-3', 1), ('x', 5), ('nan', 5)) v(s, importance)")
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 2 THEN 1 ELSE CAST(least(greatest(round_even(o_orderkey % 27 / 2, 0), 1), 10) AS INT) END AS importance FROM orders")
 def importance_clamp(spark, d):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, ["7.5", "99", "-3", "x", "nan"]))).alias("s")).select("s", X.importance_of(F.col("s")).alias("importance"))
+    k = F.col("o_orderkey") % 5
+    s = F.when(k == 0, "x").when(k == 1, "nan").when(k == 2, "-3.5").otherwise((F.col("o_orderkey") % 27 / 2).cast("string"))
+    return t(spark, d, "orders").select("o_orderkey", X.importance_of(s).alias("importance"))
 
 
 @q("SELECT DISTINCT entity || '(' || name || ')' AS pair, entity AS bare FROM names")
@@ -442,16 +465,23 @@ def named_pairs(spark, d):
     return names(spark, d).withColumn("pair", X.named_pair(F.col("entity"), F.col("name"))).select("pair", X.bare_id(F.col("pair")).alias("bare")).distinct()
 
 
-@query("SELECT * FROM (VALUES ('[图文] x', true), ('[Image x] hello', true), ('@123456', true), ('@小明 你好', false), ('晚上吃什么', false), ('[表情6]', true), ('@小明', true), ('@小明你好', false)) v(s, media)")
+SHELLS = {0: ("[图文] ", ""), 1: ("@123456 @小明！", None), 2: ("[Reply 5] ", ""), 3: ("", "[Image a"), 4: ("[Sticker2] ", ""), 5: ("[At 12] <at 3> ↩7 @小明", None), 6: ("[Reply ID: -13", None), 7: ("@他就好了 ", ""), 8: ("[photo] ", "")}
+
+
+@query("SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 9 IN (0, 1, 5, 6, 8) THEN true WHEN (conv_id + turn) % 9 = 7 THEN false ELSE NOT regexp_matches(coalesce(text, '') || CASE (conv_id + turn) % 9 WHEN 3 THEN '[Image a' ELSE '' END, '[0-9A-Za-z一-鿿]') END AS media FROM conversations")
 def media_messages(spark, d):
-    s = ["[图文] x", "[Image x] hello", "@123456", "@小明 你好", "晚上吃什么", "[表情6]", "@小明", "@小明你好"]
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, s))).alias("s")).select("s", C.media_only(F.col("s"), ["小明"]).alias("media"))
+    """Known names are 小明; (conv_id + turn) % 9 says which shell the message is put into."""
+    k, text = (F.col("conv_id") + F.col("turn")) % 9, F.coalesce("text", F.lit(""))
+    s = F.coalesce(*[F.when(k == n, F.lit(a) if z is None else F.concat(F.lit(a), text, F.lit(z))) for n, (a, z) in SHELLS.items()])
+    return t(spark, d, "conversations").select("conv_id", "turn", C.media_only(s, ["小明"]).alias("media"))
 
 
-@query("""SELECT * FROM (VALUES ('工具感知结果： {"ok": true, "records": []}', true, true), ('{"ok" : true, "facts": 1}', false, false), ('{"ok": true, "records": 1}', true, false), (' 工具感知结果：x', false, true), ('plain', false, false)) v(s, payload, tool)""")
+@query("""SELECT conv_id, turn, (conv_id + turn) % 4 IN (0, 2) AND (conv_id + turn) % 3 <> 0 AS payload, (conv_id + turn) % 4 IN (0, 3) AS tool FROM conversations""")
 def tool_texts(spark, d):
-    s = ['工具感知结果： {"ok": true, "records": []}', '{"ok" : true, "facts": 1}', '{"ok": true, "records": 1}', " 工具感知结果：x", "plain"]
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, s))).alias("s")).select("s", C.memory_payload(F.col("s"), ["records"]).alias("payload"), C.tool_result(F.col("s")).alias("tool"))
+    k, body = (F.col("conv_id") + F.col("turn")) % 4, F.to_json(F.struct(F.lit(True).alias("ok"), F.coalesce("text", F.lit("")).alias("text")))
+    body = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, body).otherwise(F.regexp_replace(body, r'^\{"ok":true,', '{"ok" : true, "records": [],'))
+    s = F.when(k == 0, F.concat(F.lit("工具感知结果： "), body)).when(k == 1, F.concat(F.lit("said "), body)).when(k == 2, body).otherwise(F.concat(F.lit(" 工具感知结果："), F.coalesce("text", F.lit(""))))
+    return t(spark, d, "conversations").select("conv_id", "turn", C.memory_payload(s, ['"records"']).alias("payload"), C.tool_result(s).alias("tool"))
 
 
 @q("""s AS (SELECT id, sid, position, length(to_json({'id': id, 'position': position})) AS n FROM records WHERE deleted = 0), p AS (SELECT id, CAST(sum(n) OVER w AS BIGINT) AS used, row_number() OVER w AS k FROM s WINDOW w AS (PARTITION BY sid ORDER BY position, id))
@@ -558,39 +588,57 @@ def _rows(spark, schema: str, *rows: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS v({schema})")
 
 
-@query("SELECT * FROM (VALUES (0, 'h', 'd', ['d', 'c']), (1, 'g', 'a', ['b', 'a']), (2, NULL, 'a', ['a']), (3, 'i', 'e', ['e'])) v(verdict, grp, target_id, source_ids)")
+@q("""n AS (SELECT sid, count(*) AS rows_, max_by(id, (start, -row_number)) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY id DESC) AS row_number FROM records) GROUP BY sid),
+g AS (SELECT sid, min(id) AS first, max(id) AS last FROM records GROUP BY sid)
+SELECT 2 * m AS verdict, sid AS grp, CASE WHEN m % 2 = 0 THEN first ELSE newest END AS target_id, CASE WHEN newest = last THEN [last] ELSE [newest, last] END AS source_ids FROM g JOIN n USING (sid), (SELECT 0) z, LATERAL (SELECT CAST(split_part(sid, ':', 3) AS INT) AS m)
+UNION ALL SELECT 2 * m + 1, NULL, 'other', [last] FROM g, LATERAL (SELECT CAST(split_part(sid, ':', 3) AS INT) AS m)""")
 def merge_verdicts(spark, d):
-    groups = _rows(spark, "batch, grp, id, time", "('1', 'g', 'a', 1.0D)", "('1', 'g', 'b', 2.0D)", "('1', 'h', 'c', 1.0D)", "('1', 'h', 'd', 5.0D)", "('1', 'i', 'e', 1.0D)")
-    verdicts = _rows(spark, "batch, verdict, target_id, source_ids", "('1', 0, 'zz', array('c', 'q'))", "('1', 1, 'a', array('a', 'x'))", "('1', 2, 'a', array('a'))", "('1', 3, 'e', cast(null AS array<string>))")
-    return K.pair_verdicts(groups, verdicts).drop("batch")
+    """Of two verdicts on a session's records the first gets it; the target of every second session isn't a member."""
+    r = records(spark, d)
+    groups = r.select(F.lit("1").alias("batch"), F.col("sid").alias("grp"), "id", F.col("start").alias("time"))
+    ends = r.groupBy("sid").agg(F.min("id").alias("first"), F.max("id").alias("last")).withColumn("m", F.element_at(F.split("sid", ":"), 3).cast("int"))
+    one = ends.select(F.lit("1").alias("batch"), (2 * F.col("m")).alias("verdict"), F.when(F.col("m") % 2 == 0, F.col("first")).otherwise("zz").alias("target_id"), F.array("last", F.lit("q")).alias("source_ids"))
+    two = ends.select(F.lit("1").alias("batch"), (2 * F.col("m") + 1).alias("verdict"), F.lit("other").alias("target_id"), F.array("last").alias("source_ids"))
+    return K.pair_verdicts(groups, one.unionByName(two)).drop("batch")
 
 
-@query("SELECT * FROM (VALUES ('t', 't', 'one', 0), ('t', 'u', 'two', 1), ('t', 'w', 'three', 2)) v(target, id, content, ordinal)")
+@query("""WITH d AS (SELECT doc_id // 4 AS g, doc_id % 4 AS k, CASE WHEN doc_id % 4 = 0 THEN 't' || (doc_id // 4) ELSE 'u' || doc_id END AS id, 'said ' || doc_id || ' in ' || lang AS content FROM documents)
+SELECT 't' || g AS target, id, content, CAST(row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS INT) AS ordinal FROM d WHERE k < 3 AND (g % 5 <> 0 OR k <> 1) AND g % 7 <> 3 AND g IN (SELECT g FROM d GROUP BY g HAVING count(*) = 4)""")
 def unmerged_facts(spark, d):
-    merged = _rows(spark, "id, content", "('t', 'one；two；three')", "('x', 'one；two')")
-    versions = _rows(spark, "target, id, content", "('t', 'u', 'two')", "('t', 't', 'one')", "('t', 'v', 'decoy')", "('t', 'w', 'three')", "('x', 'u', 'two')", "('x', 'v', 'one')")
-    return K.take_apart(merged, versions)
-
-
-@query("""SELECT * FROM (VALUES ('global/self/a.toml', '', 'legacy:global', 'global', 'legacy:self', []), ('entities/user_qq%3A12/p.toml', 'qq:pm:5', 'legacy:user:qq:12', 'user', 'qq:12', ['qq:12']),
-('entities/group_qq%3A9/p.toml', 'qq:gm:5', 'qq:gm:9', 'session', 'legacy:group:qq:9', []), ('core.txt', 'qq:pm:5', 'qq:dm:5', 'session', 'qq:dm:5', []), ('entities/user_x/p.toml', 'bad', 'legacy:unscoped', 'session', 'legacy:user:x', [])) v(path, session, sid, visibility, subject, users)""")
+    """Texts of three documents put together, of every fifth group without the second; a fourth is a decoy. Every seventh
+    merged text was written anew, so nothing of it can be taken apart."""
+    docs = t(spark, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("g"), (F.col("doc_id") % 4).alias("k"), F.concat(F.lit("said "), "doc_id", F.lit(" in "), "lang").alias("content"), "doc_id")
+    docs = docs.withColumn("target", F.concat(F.lit("t"), "g")).withColumn("id", F.when(F.col("k") == 0, F.col("target")).otherwise(F.concat(F.lit("u"), "doc_id")))
+    put = docs.groupBy("g", F.col("target").alias("id")).agg(F.array_sort(F.collect_list(F.when((F.col("k") < 3) & ((F.col("g") % 5 != 0) | (F.col("k") != 1)), F.struct("k", "content")))).alias("x"), F.count("*").alias("n"))
+    merged = put.where("n = 4").select("id", F.concat(F.when(F.col("g") % 7 == 3, "new: ").otherwise(""), F.array_join(F.transform("x", lambda y: y.content), "；")).alias("content"))
+    return K.take_apart(merged, docs.select("target", "id", "content"))
+
+
+@query("""WITH p AS (SELECT page_id AS n, page_id % 5 AS k FROM pages) SELECT n AS page_id, CASE k WHEN 0 THEN 'legacy:global' WHEN 1 THEN 'legacy:user:qq:' || n WHEN 2 THEN 'qq:gm:' || n WHEN 3 THEN 'qq:dm:' || n ELSE 'legacy:unscoped' END AS sid,
+CASE k WHEN 0 THEN 'global' WHEN 1 THEN 'user' ELSE 'session' END AS visibility, CASE k WHEN 0 THEN CASE WHEN n % 2 = 0 THEN 'legacy:self' ELSE 'legacy:global' END WHEN 1 THEN 'qq:' || n WHEN 2 THEN 'legacy:group:qq:' || n WHEN 3 THEN 'qq:dm:' || n ELSE 'legacy:user:x' || n END AS subject,
+CASE WHEN k = 1 THEN ['qq:' || n] ELSE [] END AS users FROM p""")
 def file_locations(spark, d):
     from ..sources.legacy import location
 
-    rows = _rows(spark, "path, session", "('global/self/a.toml', '')", "('entities/user_qq%3A12/p.toml', 'qq:pm:5')", "('entities/group_qq%3A9/p.toml', 'qq:gm:5')", "('core.txt', 'qq:pm:5')", "('entities/user_x/p.toml', 'bad')")
-    return rows.withColumn("x", location(F.col("path"), F.col("session"))).select("path", "session", "x.*")
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 5
+    path = F.when(k == 0, F.concat(F.lit("global/"), F.when(F.col("page_id") % 2 == 0, "self").otherwise("notes"), F.lit("/a.toml"))).when(k == 1, F.concat(F.lit("entities/user_qq%3A"), n, F.lit("/p.toml"))).when(k == 2, F.concat(F.lit("entities/group_qq%3A"), n, F.lit("/p.toml"))).when(k == 3, "core.txt").otherwise(F.concat(F.lit("entities/user_x"), n, F.lit("/p.toml")))
+    session = F.when(k == 0, "").when(k == 4, "bad").otherwise(F.concat(F.lit("qq:pm:"), n))
+    return t(spark, d, "pages").withColumn("x", location(path, session)).select("page_id", "x.*")
 
 
-@query("SELECT * FROM (VALUES ('qq:12', 'qq', '12', ''), ('qq:pm:5', 'qq', '5', 'dm'), ('qq:gm:7', 'qq', '7', 'gm'), ('qq:xx:7', '', 'qq:xx:7', ''), ('plain', '', 'plain', '')) v(id, adapter, number, kind)")
+@query("""WITH c AS (SELECT c_custkey AS n, c_custkey % 6 AS k FROM customer) SELECT n AS c_custkey, CASE WHEN k < 3 THEN 'qq' ELSE '' END AS adapter, CASE WHEN k < 3 THEN '' || n WHEN k = 3 THEN 'qq:xx:' || n WHEN k = 4 THEN 'plain' || n ELSE 'qq::' || n END AS number,
+CASE k WHEN 1 THEN 'dm' WHEN 2 THEN 'gm' ELSE '' END AS kind FROM c""")
 def identity_parts(spark, d):
-    rows = _rows(spark, "id", "('qq:12')", "('qq:pm:5')", "('qq:gm:7')", "('qq:xx:7')", "('plain')")
-    return rows.withColumn("x", X.adapter_parts(F.col("id"))).select("id", "x.*")
+    k = (F.col("c_custkey") % 6).cast("int")
+    i = F.concat(F.get(F.array(*map(F.lit, ["qq:", "qq:pm:", "qq:gm:", "qq:xx:", "plain", "qq::"])), k), "c_custkey")
+    return t(spark, d, "customer").withColumn("x", X.adapter_parts(i)).select("c_custkey", "x.*")
 
 
-@query("SELECT * FROM (VALUES ('legacy:user:12', 'user', '', '12'), ('legacy:group:qq:9', 'group', 'qq', '9'), ('legacy:global', NULL, NULL, NULL), ('qq:12', NULL, NULL, NULL)) v(id, kind, adapter, number)")
+@query("""WITH c AS (SELECT c_custkey AS n, c_custkey % 4 AS k FROM customer) SELECT n AS c_custkey, CASE k WHEN 0 THEN 'user' WHEN 1 THEN 'group' END AS kind, CASE k WHEN 0 THEN '' WHEN 1 THEN 'qq' END AS adapter, CASE WHEN k < 2 THEN '' || n END AS number FROM c""")
 def pending_identities(spark, d):
-    rows = _rows(spark, "id", "('legacy:user:12')", "('legacy:group:qq:9')", "('legacy:global')", "('qq:12')")
-    return rows.withColumn("x", X.pending_parts(F.col("id"), "legacy:")).select("id", "x.*")
+    k = (F.col("c_custkey") % 4).cast("int")
+    i = F.concat(F.get(F.array(*map(F.lit, ["legacy:user:", "legacy:group:qq:", "legacy:global", "qq:"])), k), F.when(k != 2, F.col("c_custkey").cast("string")).otherwise(""))
+    return t(spark, d, "customer").withColumn("x", X.pending_parts(i, "legacy:")).select("c_custkey", "x.*")
 
 
 @q(f"""r AS (SELECT *, row_number() OVER w AS n, role = 'user' AND lag(role) OVER w <> 'user' AS closes FROM records WHERE active = 1 AND deleted = 0 AND permanent = 0 AND level = 0 WINDOW w AS (PARTITION BY sid, visibility ORDER BY position, id)),

@@ -277,10 +277,13 @@ def sink_score(spark, d):
     return use(spark, d).select("user_id", X.sink_score(F.lit(5.0), F.col("used"), F.col("last_age"), F.col("first_age"), F.lit(0)).alias("score"))
 
 
-@query("SELECT o_orderkey, CAST(greatest(least(round_even((o_orderkey % 10 + 1) / pow(2.0, date_diff('day', o_orderdate, TIMESTAMP '2002-01-01') / 365), 0), 10), 1) AS INT) AS importance FROM orders")
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 10 + 1 AS base, CASE o_orderkey % 4 WHEN 0 THEN 0 ELSE greatest(date_diff('day', o_orderdate, TIMESTAMP '2000-01-01'), 0) END AS days FROM orders)
+SELECT o_orderkey, CAST(greatest(least(round_even(base / pow(2.0, days / 365), 0), 10), 1) AS INT) AS importance FROM o""")
 def aged_importance(spark, d):
-    days = F.datediff(F.lit("2002-01-01").cast("date"), F.col("o_orderdate").cast("date"))
-    return t(spark, d, "orders").select("o_orderkey", X.aged_importance(F.pmod("o_orderkey", F.lit(10)) + 1, days).alias("importance"))
+    """Every fourth order has no time, every second of the rest one in milliseconds; some lie ahead."""
+    at = F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double")
+    when = F.when(F.col("o_orderkey") % 4 == 0, 0.0).when(F.col("o_orderkey") % 4 == 1, at * 1000).otherwise(at)
+    return t(spark, d, "orders").select("o_orderkey", X.aged_importance(F.pmod("o_orderkey", F.lit(10)) + 1, when, 946684800.0).alias("importance"))
 
 
 @query("""WITH x AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND coalesce(lag(role) OVER w, '') <> 'user' THEN 1 ELSE 0 END AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
