@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from quernlake.plans import memory, registry  # noqa: F401  memory registers its queries
+from quernlake.plans import memory, messages, registry  # noqa: F401  memory and messages register their queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
