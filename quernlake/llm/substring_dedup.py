@@ -5,27 +5,30 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import drop, free_names, scratch, store, table
-from ._words import Vocabulary, mix, runs
+from ._common import drop, free_names, scratch, table
+from ._words import mix, runs
 
 WINDOW, GRAM = 13, 6  # words of a window; of the runs that windows are filed under
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20  # text of a chunk of documents; text whose windows fill a range of hashes
 HOT_WINDOWS = 1 << 20  # windows of a range before it is looked at as a hot one
 RUNS = 4  # sorted runs of an index, beyond which they are compacted
-BATCHES = 3  # batches in which deduplicate() adds a table
+SHARES = (0.25, 0.25, 0.5)  # of the rows: the batches in which deduplicate() adds a table
 
 PROBE = 16  # of so many chunks, one is looked at to see which ranges are hot
 
@@ -121,38 +124,50 @@ def merge(parts: list[Windows]) -> tuple[Windows, np.ndarray]:
     return Windows(key[first], other[first], doc[first]), where
 
 
+def hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word's bytes, from different families: XXH3 and BLAKE2b."""
+    second = b"".join([blake2b(w, digest_size=8).digest() for w in words])
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "uint64", len(words)), np.frombuffer(second, "uint64")
+
+
 def least_grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the least of each window's six-word hashes stands; the hashes of all six-word runs."""
     g = mix(runs(h, GRAM))
+    if len(h) < WINDOW:
+        return np.zeros(0, "int64"), g
     view = np.lib.stride_tricks.sliding_window_view(g, WINDOW - GRAM + 1)
     return view.argmin(1) + np.arange(len(view)), g
 
 
 class Chunk:
-    """The windows of a chunk of documents (doc_id, text), the same whatever the order of its rows.
+    """The windows of a chunk of documents (ids, and their texts as an Arrow array), the same whatever the order of its rows.
 
     A window is filed under the least hash of its six-word runs (XXH3 of the words), and told apart by a hash of all its
     words from another family (BLAKE2b of the words): 64 bits each, which are independent of each other.
     """
 
-    def __init__(self, ids: list, docs: list[bytes]):
-        mine = store("substrings")
-        if not mine:
-            mine["words"] = Vocabulary()
-        self.lengths = np.zeros(len(docs), "int64")
-        keys, others, rows, places = [np.zeros(0, "uint64")], [np.zeros(0, "uint64")], [], []
-        for n, (i, d) in enumerate(zip(ids, docs)):
-            w = d.split()
-            self.lengths[n] = len(w)
-            if i is not None and len(w) >= WINDOW:
-                first, second = mine["words"](w)
-                at, g = least_grams(first)
-                keys.append(mix(g[at]))
-                others.append(mix(runs(second, WINDOW)))
-                rows.append((n, len(at)))
-        key, other = np.concatenate(keys), np.concatenate(others)
-        self.row = np.repeat([n for n, _ in rows], [m for _, m in rows]).astype("int64")
-        self.place = np.concatenate([np.arange(m) for _, m in rows] or [np.zeros(0, "int64")])
+    def __init__(self, ids: list, texts: pa.Array):
+        words = pc.ascii_split_whitespace(texts)
+        ends, flat = words.offsets.to_numpy().astype("int64"), words.flatten()
+        coded = pc.dictionary_encode(flat)
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ends = ends - ends[0]
+        if b"" in distinct:  # before the first word and after the last
+            full = codes != distinct.index(b"")
+            ends = np.append(0, np.cumsum(full))[ends]
+            codes = codes[full]
+        self.lengths = np.diff(ends)
+        first, second = (h[codes] for h in hashes(distinct))
+        at, g = least_grams(first)
+        row = np.repeat(np.arange(len(ids)), self.lengths)
+        inside = row[: len(at)] == row[len(row) - len(at) :] if len(at) else np.zeros(0, bool)
+        named = np.array([i is not None for i in ids], bool)
+        if not named.all():
+            inside &= named[row[: len(at)]]
+        place = np.flatnonzero(inside)
+        key, other = mix(g[at[place]]), mix(runs(second, WINDOW))[place]
+        self.row = row[place]
+        self.place = place - ends[:-1][self.row]
         self.doc = np.array([0 if i is None else i for i in ids], "int64")[self.row]
         # Windows of one place in a text that share their least run stand together; a key met once more is sorted out.
         turn = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (self.row[1:] != self.row[:-1]) | (self.place[1:] != self.place[:-1] + 1))) if len(key) else np.zeros(0, "int64")
@@ -192,11 +207,11 @@ class Chunk:
         return out
 
 
-def _match(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+def _match(key: tuple, g: pd.DataFrame, run: bool = True) -> pd.DataFrame:
     """Merges a part's windows of the index (kind 2) with those of a batch's chunks (kind 0).
 
-    Replies to each chunk which of its windows have a smaller doc_id elsewhere; and gives the batch's own sorted run:
-    its windows, but those that the index has under a doc_id as small.
+    Replies to each chunk which of its windows have a smaller doc_id elsewhere; and, with ``run``, gives the batch's own
+    sorted run: its windows, but those that the index has under a doc_id as small.
     """
     g = g.sort_values(["kind", "chunk"], kind="stable", ignore_index=True)
     parts = [Windows.read(*x) for x in zip(g["k"], g["c"], g["v"], g["d"])]
@@ -212,8 +227,8 @@ def _match(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
                 out.append((1, chunk, *key, np.packbits(bits).tobytes(), None, None, None))
         else:
             known[mine[p.doc <= whole.doc[mine]]] = True
-    fresh = Windows(whole.key[~known], whole.other[~known], whole.doc[~known])
-    if len(fresh.key):
+    if run and not known.all():
+        fresh = Windows(whole.key[~known], whole.other[~known], whole.doc[~known])
         out += [(2, -1, *key, *x[4:]) for x in fresh.blocks(2, -1, Layout())]
     return _frame(out)
 
@@ -223,6 +238,14 @@ def _merge_runs(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
     return _frame((2, -1, *key, *x[4:]) for x in whole.blocks(2, -1, Layout()))
 
 
+def _together(parts: list[DataFrame], f) -> DataFrame:
+    """f(key, rows) of the blocks of each part of a range. Two tables that lie by ranges are read side by side, not shuffled."""
+    by = [p.groupBy("bucket", "part") for p in parts]
+    if len(by) == 2:
+        return by[0].cogroup(by[1]).applyInPandas(lambda key, a, b: f(key, pd.concat([a, b], ignore_index=True)), BLOCK)
+    return reduce(DataFrame.unionByName, parts).groupBy("bucket", "part").applyInPandas(f, BLOCK)
+
+
 #: A chunk of documents: a compressed Arrow stream of their rows, and the bytes of their texts.
 CHUNK = "batch int, chunk long, bytes long, body binary"
 
@@ -235,7 +258,7 @@ def _chunks(docs: DataFrame, batch: str) -> DataFrame:
         held: dict[int, list] = {}
         size: dict[int, int] = {}
         number = TaskContext.get().partitionId() << 32
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
         def put(k: int) -> pa.RecordBatch:
             nonlocal number
@@ -269,8 +292,8 @@ def _chunks(docs: DataFrame, batch: str) -> DataFrame:
 def _opened(body: bytes) -> tuple[pa.Table, Chunk, list[bytes]]:
     """The rows of a chunk, its windows and its texts."""
     rows = pa.ipc.open_stream(body).read_all()
-    docs = [t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()]
-    return rows, Chunk(rows.column("doc_id").to_pylist(), docs), docs
+    texts = pc.fill_null(rows.column("text").combine_chunks(), "")
+    return rows, Chunk(rows.column("doc_id").to_pylist(), texts), texts.cast(pa.binary()).to_pylist()
 
 
 def _let_go(spark: SparkSession) -> None:
@@ -279,10 +302,15 @@ def _let_go(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def _write(blocks: DataFrame, path: str) -> None:
-    """Blocks are large cells of random bytes: no dictionary, and pages and row groups end by size after each row."""
+def _write(blocks: DataFrame, path: str, files: int) -> str:
+    """Blocks as a table below ``path``, by kind and in ``files`` files by ranges; its name in the session's catalog.
+
+    Blocks are large cells of random bytes: no dictionary, and pages and row groups end by size after each row.
+    """
     options = {"parquet.enable.dictionary": "false", "parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
-    blocks.write.options(**options).partitionBy("kind").parquet(path)
+    name = f"run_{uuid.uuid4().hex}"
+    blocks.write.options(**options).option("path", path).partitionBy("kind").bucketBy(files, "bucket", "part").saveAsTable(name)
+    return name
 
 
 class FingerprintIndex:
@@ -304,7 +332,8 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.bytes, self.batches, self.parts, self.layout = 0, 0, [], Layout()  # text added; batches; [folder, ranges, hot] of each run
+        self.bytes, self.batches, self.parts, self.layout = 0, 0, [], Layout()  # text added; batches; [folder, ranges, hot, table] of each run
+        self.files = int(spark.conf.get("spark.sql.shuffle.partitions"))  # of a run, so that another table is dealt to meet it
 
     def _ranges(self) -> int:
         return 1 << max(0, (-(-self.bytes // BUCKET_BYTES) - 1).bit_length())
@@ -322,14 +351,17 @@ class FingerprintIndex:
         rows = (docs.select("doc_id", "text") if digest else docs).withColumn(batch, F.lit(0))
         return self.add_chunks(written_chunks(rows, batch), rows.drop(batch), digest)
 
-    def add_chunks(self, chunks: DataFrame, docs: DataFrame, digest: bool = False) -> DataFrame:
-        """add() for what _chunks() made of ``docs``, whose columns alone are looked at."""
+    def add_chunks(self, chunks: DataFrame, docs: DataFrame, digest: bool = False, last: bool = False) -> DataFrame:
+        """add() for what _chunks() made of ``docs``, whose columns alone are looked at; after the ``last`` batch no run is
+        written, and those there are go."""
         spark, own = self.spark, ["n_words", "n_removed", "kept_sha256" if digest else "kept"]
         rest = ["doc_id"] if digest else [c for c in docs.columns if c.lower() not in own]
         part = f"{self.path}/run-{self.batches}"
         added = chunks.agg(F.sum("bytes")).first()[0] or 0
         self.bytes, self.batches = self.bytes + added, self.batches + 1
-        self.layout = layout = self._looked_at(chunks, self.layout.finer(max(self._ranges(), self.layout.buckets)))
+        if self._ranges() > self.layout.buckets or not self.parts and not self.layout.hot:
+            self.layout = self.looked_at(chunks, self.layout.finer(max(self._ranges(), self.layout.buckets)))
+        layout = self.layout
 
         def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for g in batches:
@@ -337,10 +369,11 @@ class FingerprintIndex:
                     yield _frame(_opened(body)[1].windows.blocks(0, chunk, layout))
 
         sent = chunks.select("chunk", "body").mapInPandas(send, BLOCK)
-        met = (sent.unionByName(self.runs()) if self.parts else sent).groupBy("bucket", "part").applyInPandas(_match, BLOCK)
-        _write(met, part)
+        name = _write(_together([sent, *self.runs()], lambda key, g: _match(key, g, not last)), part, self.files)
         _let_go(spark)
-        self.parts.append([part, layout.buckets, layout.hot])
+        self.parts.append([part, layout.buckets, layout.hot, name])
+        if last:
+            self._forget()
         replies = spark.read.schema(BLOCK).parquet(part).where("kind = 1").select("chunk", "bucket", "part", "k")
         fields = [f for f in docs.schema.fields if f.name in rest]
         out = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(own[2], T.StringType())])
@@ -351,7 +384,7 @@ class FingerprintIndex:
 
         return chunks.select("chunk", "body").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, out)
 
-    def _looked_at(self, chunks: DataFrame, layout: Layout) -> Layout:
+    def looked_at(self, chunks: DataFrame, layout: Layout) -> Layout:
         """``layout`` with parts for ranges that some of the chunks show to be far larger than the rest."""
         ask, old = F.pmod(F.xxhash64("chunk"), F.lit(PROBE)) == 0, Layout(layout.buckets)
 
@@ -370,8 +403,8 @@ class FingerprintIndex:
         hot = {r["bucket"]: 1 << int(np.ceil(np.log2(r["n"] / most))) + 1 for r in sizes.where(F.col("n") > most).collect()}
         return Layout(layout.buckets, layout.hot | {b: max(n, layout.hot.get(b, 1)) for b, n in hot.items()})
 
-    def runs(self) -> DataFrame:
-        """All runs, of which there is one at least, cut at the bounds of the layout, whose ranges are no fewer than any run's."""
+    def runs(self) -> list[DataFrame]:
+        """All runs, cut at the bounds of the layout, whose ranges are no fewer than any run's."""
         layout = self.layout
 
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -380,30 +413,37 @@ class FingerprintIndex:
                     yield _frame(Windows.read(*x).blocks(2, -1, layout))
 
         found = []
-        for part, buckets, hot in self.parts:
-            run = self.spark.read.schema(BLOCK).parquet(part).where("kind = 2").select(*NAMES)
+        for part, buckets, hot, name in self.parts:
+            known = self.spark.catalog.tableExists(name)  # else another session's; its files are read as they are
+            run = (self.spark.table(name) if known else self.spark.read.schema(BLOCK).parquet(part)).where("kind = 2").select(*NAMES)
             found.append(run if Layout(buckets, hot) == layout else run.mapInPandas(split, BLOCK))
-        return reduce(DataFrame.unionByName, found)
+        return found
 
     def compact(self, most: int = RUNS) -> None:
         """Merges all runs into one if there are more than ``most``; merged runs are removed."""
         if len(self.parts) > most:
             part = f"{self.path}/merged-{self.batches}"
-            _write(self.runs().groupBy("bucket", "part").applyInPandas(_merge_runs, BLOCK), part)
-            for old, *_ in self.parts:
-                drop(self.spark, f"{old}/kind=2")  # replies of kind 1 are for results not yet read
-            _let_go(self.spark)
-            self.parts = [[part, self.layout.buckets, self.layout.hot]]
+            name = _write(_together(self.runs(), _merge_runs), part, self.files)
+            self._forget()
+            self.parts = [[part, self.layout.buckets, self.layout.hot, name]]
+
+    def _forget(self) -> None:
+        """Removes all runs; replies of kind 1 are for results not yet read."""
+        for part, _, _, name in self.parts:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop(self.spark, f"{part}/kind=2")
+        self.parts = []
+        _let_go(self.spark)
 
     def state(self) -> str:
-        parts = [[p, n, list(hot.items())] for p, n, hot in self.parts]
-        return json.dumps({"bytes": self.bytes, "batches": self.batches, "parts": parts, "layout": [self.layout.buckets, list(self.layout.hot.items())]})
+        parts = [[p, n, list(hot.items()), name] for p, n, hot, name in self.parts]
+        return json.dumps({"bytes": self.bytes, "files": self.files, "batches": self.batches, "parts": parts, "layout": [self.layout.buckets, list(self.layout.hot.items())]})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, state: str) -> FingerprintIndex:
         index, was = cls(spark, path), json.loads(state)
-        index.bytes, index.batches = was["bytes"], was["batches"]
-        index.parts = [[p, n, dict(map(tuple, hot))] for p, n, hot in was["parts"]]
+        index.bytes, index.batches, index.files = was["bytes"], was["batches"], was["files"]
+        index.parts = [[p, n, dict(map(tuple, hot)), name] for p, n, hot, name in was["parts"]]
         index.layout = Layout(was["layout"][0], dict(map(tuple, was["layout"][1])))
         return index
 
@@ -429,26 +469,30 @@ def written_chunks(docs: DataFrame, batch: str) -> DataFrame:
     return docs.sparkSession.read.schema(CHUNK).parquet(path)
 
 
-def batch_of(docs: DataFrame, batches: int) -> Column:
-    """The number of a row's batch by rising doc_id, near-equal in rows; equal doc_id together, null in the first."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] or []
-    return F.coalesce(sum([(F.col("doc_id") > c).cast("int") for c in cuts], F.lit(0)), F.lit(0))
+def batch_of(docs: DataFrame, shares: tuple[float, ...]) -> Column:
+    """The number of a row's batch by rising doc_id, of about these shares of rows; equal doc_id together, null in the first."""
+    cuts = [sum(shares[: k + 1]) for k in range(len(shares) - 1)]
+    found = docs.agg(F.percentile_approx("doc_id", cuts, 10_000)).first()[0] or [] if cuts else []
+    return F.coalesce(sum([(F.col("doc_id") > c).cast("int") for c in found], F.lit(0)), F.lit(0))
 
 
-def deduplicate(docs: DataFrame, digest: bool = False, batches: int = BATCHES) -> DataFrame:
-    """``docs`` added to a new index in ``batches`` batches by rising doc_id, compacted after each but the last; as add().
+def deduplicate(docs: DataFrame, digest: bool = False, shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """``docs`` added to a new index in batches by rising doc_id, compacted after each but the last; as add().
 
-    Documents are read once, and written in chunks by batch.
+    Documents are read once, and written in chunks by batch; ranges are laid out for all batches at once, so that a run
+    stays as it lies until it is merged.
     """
     spark = docs.sparkSession
     (batch,) = free_names(docs, "batch")
     docs = docs.select("doc_id", "text") if digest else docs
-    chunks = written_chunks(docs.withColumn(batch, batch_of(docs, batches)), batch)
+    chunks = written_chunks(docs.withColumn(batch, batch_of(docs, shares)), batch)
     index, found = FingerprintIndex(spark, scratch(spark, "fingerprints")), None
-    for k in range(batches):
-        part = index.add_chunks(chunks.where(F.col("batch") == k), docs, digest)
+    index.bytes = chunks.agg(F.sum("bytes")).first()[0] or 0
+    index.layout, index.bytes = index.looked_at(chunks, Layout(index._ranges())), 0
+    for k in range(len(shares)):
+        part = index.add_chunks(chunks.where(F.col("batch") == k), docs, digest, last=k == len(shares) - 1)
         found = part if found is None else found.unionByName(part)
-        if k < batches - 1:
+        if k < len(shares) - 1:
             index.compact(1)
     return found
 
