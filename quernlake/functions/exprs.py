@@ -137,6 +137,13 @@ def overlap_hit(c: Column, reply: str, min_hits: int = 2) -> Column:
     return (F.size(tokens) > 0) & (F.lit(reply) != "") & (told | number)
 
 
+def used_in(text: str, reply: str, min_hits: int = 2) -> bool:
+    """overlap_hit() of two strings."""
+    tokens, body = [t for t in query_tokens(text) if len(t) >= 2], _squeezed(reply).casefold()
+    hits = sum(t in body for t in tokens) >= max(1, min_hits)
+    return bool(tokens and reply) and (hits or any(d in body for d in re.findall(r"[0-9]{5,}", text or "")))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import envelope as E
 from ..functions import exprs as X
 from ..operators.textindex import TextIndex
 from ..shared import scratch
+from ..streaming import sessions as ST
 from .memory import facts, q, records
 from .registry import query, t
 
@@ -86,3 +88,39 @@ def index_postings(spark, d):
     index, rows = _indexed(spark, d)
     index.merge(rows)
     return index.postings().where("gram <> '-'").groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def _stream(spark, rows: DataFrame, files: int) -> tuple[DataFrame, str]:
+    """``rows`` (at, ...) as a stream of ``files`` batches in the order of time, and a folder for what comes of it."""
+    path = scratch(spark, "stream")
+    cuts = rows.agg(F.percentile_approx("at", [k / files for k in range(1, files)], 1000)).first()[0]
+    for k, (a, z) in enumerate(zip([None, *cuts], [*cuts, None])):
+        part = rows if a is None else rows.where(F.col("at") > a)
+        (part if z is None else part.where(F.col("at") <= z)).coalesce(1).write.parquet(f"{path}/in/b={k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/b=*"), path
+
+
+@q("""m AS (SELECT sid, id, role, start AS z FROM records WHERE start <= (SELECT max(start) - 60 FROM records)), g AS (SELECT *, z - lag(z) OVER w AS gap, lag(role) OVER w AS before FROM m WINDOW w AS (PARTITION BY sid ORDER BY z, id)),
+e AS (SELECT *, CASE WHEN gap > 600 THEN 'silent' WHEN role = 'user' AND before <> 'user' THEN 'next' END AS ended FROM g), r AS (SELECT *, count(ended) OVER (PARTITION BY sid ORDER BY z, id) + 1 AS round FROM e),
+x AS (SELECT sid, round, min(z) AS first, max(z) AS last, count(*) AS n, count(*) FILTER (role = 'user') AS users, arg_min(coalesce(ended, ''), (z, id)) AS began FROM r GROUP BY sid, round)
+SELECT sid, round, first, last, n, users, coalesce(after, CASE WHEN last + 600 < (SELECT max(start) - 60 FROM records) THEN 'silent' END) AS why FROM (SELECT *, lead(began) OVER (PARTITION BY sid ORDER BY round) AS after FROM x) WHERE coalesce(after, CASE WHEN last + 600 < (SELECT max(start) - 60 FROM records) THEN 'silent' END) IS NOT NULL""")
+def streamed_rounds(spark, d):
+    rows = records(spark, d).select("sid", "id", "role", F.col("start").alias("at"))
+    src, path = _stream(spark, rows, 3)
+    messages = src.withColumn("ts", F.timestamp_millis((F.col("at") * 1000).cast("long"))).drop("at")
+    return ST.run_once(ST.closed_rounds(messages, 600.0, "60 seconds"), path)
+
+
+def slot_events(spark, d) -> DataFrame:
+    """A user's message offers the session's facts, the best by importance first; an assistant's is the reply to it."""
+    told = facts(spark, d).where("deleted = 0 AND sid <> 'global'").groupBy("sid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "id", F.col("content").alias("text")))), 1, 12).alias("x"))
+    rows = records(spark, d).where("role IN ('user', 'assistant')").join(told, "sid")
+    users = F.sum((F.col("role") == "user").cast("long")).over(Window.partitionBy("sid").orderBy("start", "id"))
+    offered = F.when(F.col("role") == "user", F.transform("x", lambda y: F.struct(y.id.alias("id"), y.text.alias("text"))))
+    return rows.select("sid", F.col("start").alias("at"), F.when(F.col("role") == "user", "offer").otherwise("reply").alias("kind"), users.alias("turn"), offered.alias("offered"), F.col("content").alias("reply"))
+
+
+@query(None)
+def streamed_slots(spark, d):
+    src, path = _stream(spark, slot_events(spark, d), 3)
+    return ST.run_once(ST.rotation(src), path)

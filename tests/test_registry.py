@@ -43,3 +43,11 @@ def test_same_as_sql(spark, con, name):
     want = sorted(tuple(norm(r[rel.columns.index(c)]) for c in cols) for r in rel.fetchall())
     got = sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())
     assert got == want
+
+
+def test_streamed_slots_as_the_batch_form(spark):
+    from quernlake.plans import messages
+    from quernlake.streaming import sessions
+
+    got = sorted(map(tuple, messages.streamed_slots(spark, SF).collect()))
+    assert got == sorted(map(tuple, sessions.rotation_of(messages.slot_events(spark, SF)).collect())) and got
