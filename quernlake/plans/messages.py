@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import envelope as E
-from ..functions import exprs as X
+from ..operators import mentions as M
+from ..operators import search as S
 from ..operators.textindex import TextIndex
 from ..shared import scratch
 from ..streaming import sessions as ST
-from .memory import facts, q, records
+from .memory import NOW, facts, names, q, records, vectors
 from .registry import query, t
 
 BODY = "coalesce(text, '')"
@@ -124,3 +127,110 @@ def slot_events(spark, d) -> DataFrame:
 def streamed_slots(spark, d):
     src, path = _stream(spark, slot_events(spark, d), 3)
     return ST.run_once(ST.rotation(src), path)
+
+
+SCOPED = "deleted = 0 AND category <> 'media' AND cold = 0 AND id NOT IN ('m3-0', 'm8-1') AND sid <> 'qq:gm:6' AND (sid = 'qq:gm:2' OR visibility = 'global' OR (visibility = 'user' AND list_has_any(users, ['qq:1']))) AND \"end\" >= 1.70002e9 AND start <= 1.7045e9"
+TIER = "CASE WHEN sid = 'qq:gm:2' THEN 0 WHEN list_has_any(users, ['qq:1', 'qq:3']) THEN 1 WHEN visibility = 'global' THEN 2 ELSE 3 END"
+ASK = S.Ask(sid="qq:gm:2", users=("qq:1",), exclude_ids=("m3-0", "m8-1"), exclude_sid="qq:gm:6", start=1.70002e9, end=1.7045e9, prefer_sid="qq:gm:2", prefer_users=("qq:1", "qq:3"), lexical=PHRASE, limit=12, offset=2)
+
+
+def _page(spark, d, ask: S.Ask, index: TextIndex | None = None, rows: DataFrame | None = None) -> DataFrame:
+    rows = records(spark, d) if rows is None else rows
+    page, total = S.search(rows, ask, names(spark, d), vectors(spark, d), index=index, now=NOW)
+    return page.select("id", "place", F.round("score", 6).alias("score"), F.lit(total).cast("long").alias("total"))
+
+
+LEXICAL = f"w AS (SELECT *, {TIER} AS tier, {INDEXED} AS score FROM records WHERE {SCOPED}), m AS (SELECT * FROM w WHERE score > 0), p AS (SELECT id, category, content, score, row_number() OVER (ORDER BY tier, score DESC, active DESC, \"end\", id) - 3 AS place FROM m)"
+
+
+@q(f"{LEXICAL} SELECT id, CAST(place AS INT) AS place, CAST(score AS DOUBLE) AS score, (SELECT count(*) FROM m) AS total FROM p WHERE place BETWEEN 0 AND 11 AND category <> 'tool' AND regexp_matches(content, '[0-9A-Za-z]')")
+def search_lexical_page(spark, d):
+    return _page(spark, d, ASK)
+
+
+@q(f"{LEXICAL} SELECT id, CAST(place AS INT) AS place, CAST(score AS DOUBLE) AS score, (SELECT count(*) FROM m) AS total FROM p WHERE place BETWEEN 0 AND 11 AND category <> 'tool' AND regexp_matches(content, '[0-9A-Za-z]')")
+def search_indexed_page(spark, d):
+    """As above by the kept index, with rows that it has not seen yet."""
+    rows = records(spark, d).withColumn("updated", F.when(F.col("position") % 5 == 4, 3e9).otherwise(F.col("start")))
+    index = TextIndex(spark, scratch(spark, "textindex"), buckets=16)
+    index.add(rows.where("position % 5 <> 4").select("id", "updated", "content"), "content")
+    return _page(spark, d, ASK, index, rows)
+
+
+@q(f"""w AS (SELECT *, {TIER} AS tier FROM records WHERE {SCOPED}), probe AS (SELECT vector AS v FROM vectors WHERE id = 'm7-0'),
+s AS (SELECT w.*, CASE WHEN v.vector IS NULL THEN -1 ELSE list_dot_product(vector, probe.v) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(probe.v, probe.v))) END AS score FROM w LEFT JOIN (SELECT id, vector FROM vectors WHERE model = 'new' AND revision = 1) v USING (id), probe),
+p AS (SELECT id, category, content, score, row_number() OVER (ORDER BY tier, score DESC, \"end\", id) - 3 AS place FROM s) SELECT id, CAST(place AS INT) AS place, round(score, 6) AS score, (SELECT count(*) FROM s) AS total FROM p WHERE place BETWEEN 0 AND 11 AND category <> 'tool' AND regexp_matches(content, '[0-9A-Za-z]')""")
+def search_vector_page(spark, d):
+    probe = vectors(spark, d).where("id = 'm7-0'").select("vector").first()[0]
+    return _page(spark, d, replace(ASK, lexical="", vector=tuple(probe), model="new"))
+
+
+@q(f"""w AS (SELECT *, {TIER} AS tier FROM records r WHERE {SCOPED} AND (contains(lower(content), 'nation_1') OR EXISTS (SELECT 1 FROM names n WHERE contains(lower(n.name), 'nation_1') AND (n.entity = r.sid OR list_contains(r.users, n.entity)))) AND level = 1 AND active = 1 AND list_contains(users, 'qq:1')),
+p AS (SELECT id, category, content, row_number() OVER (ORDER BY tier, \"end\", id) - 3 AS place FROM w) SELECT id, CAST(place AS INT) AS place, 0e0 AS score, (SELECT count(*) FROM w) AS total FROM p WHERE place BETWEEN 0 AND 11 AND category <> 'tool' AND regexp_matches(content, '[0-9A-Za-z]')""")
+def search_keyword_page(spark, d):
+    return _page(spark, d, replace(ASK, lexical="", keyword="Nation_1", level=1, active=True, subject="qq:1"))
+
+
+@q("""seen AS (SELECT id, visibility = 'global' OR (visibility = 'user' AND list_contains(users, 'qq:2')) OR sid = 'qq:gm:3' OR list_contains(users, 'qq:2') AS ok FROM records WHERE deleted = 0),
+src AS (SELECT f.id, arg_min(ok, n) AS ok FROM (SELECT id, unnest(sources) AS s, unnest(range(len(sources))) AS n FROM facts WHERE deleted = 0) f JOIN seen ON seen.id = f.s GROUP BY f.id)
+SELECT id, coalesce(seen.ok, src.ok, false) AS allowed FROM (SELECT id FROM records UNION SELECT id FROM facts) LEFT JOIN seen USING (id) LEFT JOIN src USING (id)""")
+def access_by_id(spark, d):
+    r, f = records(spark, d), facts(spark, d)
+    return S.accessible(r.select("id").unionByName(f.select("id")), r, f, "qq:gm:3", ["qq:2"], "linked")
+
+
+EDGES = """edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child, 25 - n_nationkey AS ordinal FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, o_orderkey % 5 FROM orders),
+shown AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY ordinal, child) AS n FROM edges) WHERE n BETWEEN 3 AND 6), kids AS (SELECT parent AS id, count(*) AS kids FROM edges GROUP BY parent),
+tree AS (SELECT 'r' || r_regionkey AS root, 0 AS depth, CAST(NULL AS VARCHAR) AS parent, 'r' || r_regionkey AS id, 0 AS place, ['r' || r_regionkey] AS path FROM region UNION ALL SELECT root, depth + 1, id, child, CAST(n AS INT), list_append(path, child) FROM tree JOIN shown ON shown.parent = id WHERE depth < 3)"""
+
+
+def edges(spark, d) -> DataFrame:
+    nation, customer, orders = (t(spark, d, x) for x in ("nation", "customer", "orders"))
+    one = nation.selectExpr("concat('r', n_regionkey) AS parent", "concat('n', n_nationkey) AS child", "bigint(25 - n_nationkey) AS ordinal")
+    two = customer.selectExpr("concat('n', c_nationkey) AS parent", "concat('c', c_custkey) AS child", "c_custkey AS ordinal")
+    return one.unionByName(two).unionByName(orders.selectExpr("concat('c', o_custkey) AS parent", "concat('o', o_orderkey) AS child", "o_orderkey % 5 AS ordinal"))
+
+
+@query(f"WITH RECURSIVE {EDGES} SELECT root, depth, parent, id, place, path, coalesce(kids, 0) AS kids, CASE WHEN kids > 6 THEN 6 END AS next FROM tree LEFT JOIN kids USING (id)")
+def tree_pages(spark, d):
+    """Four levels of a tree, of each node the children from the third to the sixth."""
+    return S.descend(edges(spark, d), t(spark, d, "region").selectExpr("concat('r', r_regionkey) AS id"), 3, 2, 4)
+
+
+CITED = "edges AS (SELECT 'm' || conv_id || '-' || (turn // 3) AS parent, 'm' || conv_id || '-' || turn AS child, turn AS ordinal FROM conversations WHERE turn > 0 AND turn // 3 <> turn)"
+
+
+@q(f"""{CITED}, up AS (SELECT child AS id, list_sort(list(DISTINCT parent)) AS parents FROM edges GROUP BY child), kids AS (SELECT parent AS id, count(*) AS kids FROM edges GROUP BY parent),
+tree AS (SELECT id AS root, 0 AS depth, id, [id] AS path FROM records WHERE position = 0 UNION ALL SELECT root, depth + 1, child, list_append(path, child) FROM tree JOIN edges ON edges.parent = id WHERE depth < 2),
+seen AS (SELECT sources[1] AS id, count(*) AS versions FROM facts GROUP BY 1), items AS (SELECT sources[2] AS id, count(*) AS items FROM facts GROUP BY 1)
+SELECT root, path, id, coalesce(kids, 0) AS kids, CAST(NULL AS INT) AS next, strftime(make_timestamp(CAST(\"end\" * 1e6 AS BIGINT)), '%Y-%m-%d %H:%M') AS \"at\", level, CASE WHEN permanent = 1 THEN 1 END AS mem, coalesce(parents, []) AS parents, coalesce(versions, 0) AS versions, coalesce(items, 0) AS items, CASE WHEN kids IS NULL THEN content END AS content
+FROM tree JOIN records USING (id) LEFT JOIN up USING (id) LEFT JOIN kids USING (id) LEFT JOIN seen USING (id) LEFT JOIN items USING (id)""")
+def archive_views(spark, d):
+    c, f = t(spark, d, "conversations"), facts(spark, d)
+    e = c.where("turn > 0 AND turn DIV 3 <> turn").selectExpr("concat('m', conv_id, '-', turn DIV 3) AS parent", "concat('m', conv_id, '-', turn) AS child", "turn AS ordinal")
+    r = records(spark, d)
+    tree = S.descend(e, r.where("position = 0").select("id"), 2)
+    return S.archive_view(tree, r, e, f.select(F.get("sources", F.lit(0)).alias("target")), f.select(F.get("sources", F.lit(1)).alias("record_id")))
+
+
+def _named(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts of documents with a name or an id put in, entities by nation, and two former names of each."""
+    docs = t(spark, d, "documents")
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" met nation_"), (F.col("doc_id") % 40).cast("string"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" of qq:"), F.col("doc_id") % 30)).otherwise(""))
+    n = t(spark, d, "nation")
+    return docs.select(F.col("doc_id").alias("id"), said.alias("text")), n.selectExpr("concat('qq:', n_nationkey) AS entity", "lower(n_name) AS name", "n_nationkey % 4 AS updated"), n.selectExpr("concat('qq:', n_nationkey) AS entity", "concat('th', substr(n_name, -1), 'nd') AS name").unionByName(n.selectExpr("concat('qq:', n_nationkey) AS entity", "'x' AS name"))
+
+
+MENTIONS = r"""WITH x AS (SELECT doc_id AS id, regexp_replace(regexp_replace(coalesce(text, '') || ' met nation_' || (doc_id % 40) || CASE WHEN doc_id % 3 = 0 THEN ' of qq:' || (doc_id % 30) ELSE '' END, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '[ \t]{2,}', ' ', 'g') AS text FROM documents),
+w AS (SELECT 'qq:' || n_nationkey AS entity, n_nationkey % 4 AS updated, unnest([lower(n_name), 'th' || right(n_name, 1) || 'nd', 'qq:' || n_nationkey]) AS word FROM nation),
+m AS (SELECT DISTINCT id, entity, updated FROM x JOIN w ON contains(text, word)) SELECT id, entity, CAST(row_number() OVER (PARTITION BY id ORDER BY updated DESC, entity) AS INT) AS place FROM m QUALIFY place <= 20"""
+
+
+@query(MENTIONS)
+def mentions_in_documents(spark, d):
+    return M.mentions(*_named(spark, d), longest=None)
+
+
+@query(MENTIONS)
+def mentions_by_rarest_pair(spark, d):
+    return M.mentions(*_named(spark, d), longest=None, automaton_bytes=0)
