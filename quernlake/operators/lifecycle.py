@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .records import over_cap
+
 
 def edit(rows: DataFrame, patches: DataFrame, fields: list[str], key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Applies patches (key, revision, new_<field>...) whose revision is the row's; gives the new table and the versions.
@@ -47,6 +49,49 @@ def fill_cold(rows: DataFrame, cold: DataFrame) -> DataFrame:
     return rows.join(kept, rows["id"] == kept["record_id"], "left").withColumn("content", F.coalesce(F.nullif(F.trim("content"), F.lit("")), "_cold", F.lit(""))).select(rows.columns)
 
 
+def cold_stats(rows: DataFrame, cold: DataFrame) -> DataFrame:
+    """One row: rows without a body that the cold store has (moved), bodies there in all and their bytes, and those that no row
+    asks for any more (stray)."""
+    blank = rows.where(F.coalesce(F.trim("content"), F.lit("")) == "").select(F.col("id").alias("record_id"), F.lit(1).alias("moved"))
+    known = rows.select(F.col("id").alias("record_id"), F.lit(1).alias("known"))
+    both = cold.join(blank, "record_id", "left").join(known, "record_id", "left")
+    return both.agg(F.count("moved").alias("moved"), F.count("*").alias("bodies"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("bytes"), F.count_if(F.col("known").isNull()).alias("stray"))
+
+
+def restore_cold(rows: DataFrame, cold: DataFrame, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bodies of ``ids`` (id; all without) back in their rows where those are blank, and the cold store without them."""
+    asked = cold if ids is None else cold.join(ids.select(F.col("id").alias("record_id")).distinct(), "record_id", "left_semi")
+    back = asked.join(rows.where(F.coalesce(F.trim("content"), F.lit("")) == "").select(F.col("id").alias("record_id")), "record_id", "left_semi").select("record_id", "content")
+    return fill_cold(rows, back), cold.join(back.select("record_id"), "record_id", "left_anti")
+
+
+def cold_preview(rows: DataFrame, now: float, days: int = 180) -> DataFrame:
+    """One row: how many bodies spill_cold() would move, their bytes, and the oldest and newest end of their rows."""
+    moved = spill_cold(rows, now, days)[1].join(rows.select(F.col("id").alias("record_id"), "end"), "record_id")
+    return moved.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("bytes"), F.min("end").alias("oldest"), F.max("end").alias("newest"))
+
+
+def within_cap(records: DataFrame, facts: DataFrame, now: float, most: int = 30, chars: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """Pinned rows that are over their session's caps (over_cap()) let go, and what they say kept as facts.
+
+    Gives the records, those rows no longer pinned nor live, revision up by one; and facts (id, sid, subject, content,
+    importance, created, sources): a live one of the same session and text takes the row among its sources, else there is
+    a new one with the row as its source. Afterwards nothing is over the cap.
+    """
+    over = over_cap(records, most, chars).select("id", F.lit(True).alias("_over"))
+    both = records.join(over, "id", "left")
+    hit = F.coalesce("_over", F.lit(False))
+    change = {"permanent": F.lit(0), "active": F.lit(0), "archived_at": F.lit(float(now)), "revision": F.col("revision") + 1}
+    left = both.select(*[F.when(hit, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in records.columns])
+    said = both.where(hit).groupBy("sid", "content").agg(F.array_sort(F.collect_set("id")).alias("more"), F.max("importance").alias("_i"), F.min(F.get("users", F.lit(0))).alias("_s"))
+    same = facts.where("deleted = 0").groupBy("sid", "content").agg(F.min("id").alias("id"))
+    told = said.join(same, ["sid", "content"], "left")
+    kept = facts.where("deleted = 0").select("id", "sid", "subject", "content", "importance", "created", "sources").join(told.where("id IS NOT NULL").select("id", "more", "_i"), "id", "left")
+    kept = kept.select("id", "sid", "subject", "content", F.greatest("importance", F.coalesce("_i", "importance")).alias("importance"), "created", F.array_distinct(F.concat("sources", F.coalesce("more", F.array().cast("array<string>")))).alias("sources"))
+    new = told.where("id IS NULL").select(F.sha2(F.concat_ws("\x1f", F.lit("extracted"), "sid", "content"), 256).alias("id"), "sid", F.col("_s").alias("subject"), "content", F.col("_i").alias("importance"), F.lit(float(now)).alias("created"), F.col("more").alias("sources"))
+    return left, kept.unionByName(new)
+
+
 def orphans(facts: DataFrame, records: DataFrame) -> DataFrame:
     """Facts that cite records of which none is live any more."""
     cited = facts.select(F.col("id"), F.explode("sources").alias("source"))

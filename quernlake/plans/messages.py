@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import envelope as E
+from ..functions import exprs as X
+from ..operators import identity as I
+from ..operators import lifecycle as L
 from ..operators import mentions as M
 from ..operators import search as S
 from ..operators.textindex import TextIndex
+from ..operators.versions import VersionedTable
 from ..shared import scratch
+from ..streaming import capture as CA
 from ..streaming import sessions as ST
 from .memory import NOW, facts, names, q, records, vectors
 from .registry import query, t
@@ -234,3 +239,112 @@ def mentions_in_documents(spark, d):
 @query(MENTIONS)
 def mentions_by_rarest_pair(spark, d):
     return M.mentions(*_named(spark, d), longest=None, automaton_bytes=0)
+
+
+def _chain(spark, d) -> tuple[VersionedTable, list[DataFrame], DataFrame]:
+    """Records edited, edited again with conflicts, put back in part, and purged in part; and the edges left."""
+    r = records(spark, d)
+    table = VersionedTable.create(r.select("id", "revision", "content", "importance"), scratch(spark, "versioned"), buckets=8)
+    n = F.col("position").cast("long")
+    one = r.where("position % 3 = 0").select(n.alias("n"), "id", F.lit(1).alias("revision"), F.concat(F.lit("new "), "id").alias("content"), F.lit(None).cast("int").alias("importance"))
+    two = r.where("position % 2 = 0").select(n.alias("n"), "id", F.lit(1).alias("revision"), F.lit(None).cast("string").alias("content"), F.lit(10).alias("importance"))
+    lost = r.where("position = 0").select(n.alias("n"), F.concat("id", F.lit("?")).alias("id"), F.lit(1).alias("revision"), F.lit("x").alias("content"), F.lit(1).alias("importance"))
+    conflicts = [table.edit(one.unionByName(lost), ["content", "importance"], NOW), table.edit(two, ["content", "importance"], NOW + 1)]
+    wanted = r.where("position % 6 = 0").select(n.alias("n"), F.sha2(F.concat_ws("\x1f", "id", F.lit("1")), 256).alias("version"), F.lit(2).alias("revision"))
+    conflicts.append(table.restore(wanted, NOW + 2))
+    e = r.where("position > 0").select(F.col("id").alias("child"), "sid")
+    left = table.purge(r.where("position % 11 = 7").select("id"), {"edges": (e, "child")})
+    return table, conflicts, left["edges"]
+
+
+@q("""s AS (SELECT id, position, content, importance, position % 3 = 0 AS a, position % 2 = 0 AND position % 3 <> 0 AS b, position % 6 = 0 AS c FROM records WHERE position % 11 <> 7)
+SELECT id, CAST(1 + CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) AS INT) AS revision, CASE WHEN a AND NOT c THEN 'new ' || id ELSE content END AS content, CASE WHEN b THEN 10 ELSE importance END AS importance FROM s""")
+def versioned_rows(spark, d):
+    return _chain(spark, d)[0].rows()
+
+
+@q("SELECT id || '?' AS id, 'missing' AS why, 0 AS step FROM records WHERE position = 0 UNION ALL SELECT id, 'revision', 1 FROM records WHERE position % 6 = 0")
+def version_conflicts(spark, d):
+    found = [c.select("id", "why", F.lit(k).alias("step")) for k, c in enumerate(_chain(spark, d)[1])]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@q("""SELECT sha256(id || chr(31) || '1') AS version, id AS target, 1 AS revision FROM records WHERE (position % 3 = 0 OR position % 2 = 0) AND position % 11 <> 7
+UNION ALL SELECT sha256(id || chr(31) || '2'), id, 2 FROM records WHERE position % 6 = 0 AND position % 11 <> 7""")
+def version_log(spark, d):
+    return _chain(spark, d)[0].versions().select("version", "target", "revision")
+
+
+@q("SELECT id AS child, sid FROM records WHERE position > 0 AND position % 11 <> 7")
+def purge_cascade(spark, d):
+    return _chain(spark, d)[2]
+
+
+def _bound(spark, d):
+    """Every second user of records, facts and names by a pending id; the number 3 is known twice, 8 not at all."""
+    old = lambda c, n: F.when(n % 2 == 0, F.regexp_replace(c, "^qq:", "legacy:user:")).otherwise(c)
+    r = records(spark, d).withColumn("users", F.transform("users", lambda u: old(u, F.col("position"))))
+    n = F.substring("id", 2, 20).cast("long")
+    f = facts(spark, d).where("deleted = 0").withColumn("subject", old(F.col("subject"), n)).withColumn("src_user", old(F.col("src_user"), n)).withColumn("content", F.concat(F.lit("c"), n % 40))
+    f = f.withColumn("relations", F.transform("relations", lambda x: F.struct(old(x.subject, n).alias("subject"), x.predicate.alias("predicate"), old(x.object, n).alias("object"))))
+    told = F.array_join(F.array_sort(F.transform("relations", lambda x: F.concat_ws("\x1e", x.subject, x.predicate, x.object))), "\x1d")
+    f = f.withColumn("fingerprint", X.fingerprint(F.col("sid"), F.col("subject"), F.col("category"), F.col("content"), told))
+    known = spark.range(9).select(F.concat(F.lit("qq:"), "id").alias("id")).where("id <> 'qq:8'").unionByName(spark.createDataFrame([("wx:3",)], "id string"))
+    return I.bind_identities(r, f, names(spark, d).withColumn("entity", old(F.col("entity"), F.col("observed").cast("long"))), known)
+
+
+BOUND = "CASE WHEN {0} IN ('qq:3', 'qq:8') AND {1} % 2 = 0 THEN replace({0}, 'qq:', 'legacy:user:') ELSE {0} END"
+
+
+@q(f"SELECT id, list_distinct(list_transform(users, lambda u: {BOUND.format('u', 'position')})) AS users_ FROM records".replace("list_distinct(", "list_sort(list_distinct(").replace(") AS users_", ")) AS users"))
+def identity_bound_records(spark, d):
+    return _bound(spark, d)[0].select("id", F.array_sort(F.array_distinct("users")).alias("users"))
+
+
+@q(f"""f AS (SELECT id, CAST(substr(id, 2) AS BIGINT) AS n, sid, category, subject, relations[1] AS r, sources, importance FROM facts WHERE deleted = 0),
+g AS (SELECT id, sid, {BOUND.format('subject', 'n')} AS subject, category, sources, importance, 'c' || (n % 40) AS content, {BOUND.format("r['subject']", 'n')} AS a, r['predicate'] AS p, {BOUND.format("r['object']", 'n')} AS o FROM f),
+h AS (SELECT *, sha256(concat_ws(chr(31), sid, subject, category, content, concat_ws(chr(30), a, p, o))) AS fingerprint FROM g)
+SELECT min(id) AS id, sid, subject, fingerprint, list_sort(list_distinct(flatten(list(sources)))) AS sources, max(importance) AS importance, count(*) AS n FROM h GROUP BY sid, subject, fingerprint""")
+def identity_bound_facts(spark, d):
+    return _bound(spark, d)[1].select("id", "sid", "subject", "fingerprint", "sources", "importance", "n")
+
+
+@q("SELECT id, count(*) OVER (PARTITION BY sid ORDER BY start, id) - 1 AS position FROM records")
+def captured_positions(spark, d):
+    """Messages in three batches, all of them delivered twice: once more in a later batch, and by another checkpoint."""
+    rows = records(spark, d).select(F.col("id").alias("event_key"), "sid", F.col("start").alias("at"), F.timestamp_millis((F.col("start") * 1000).cast("long")).alias("ts"))
+    src, path = _stream(spark, rows, 3)
+    for k in (1, 2):
+        again = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/b=*")
+        CA.capture_to(again, f"{path}/captured", f"{path}/check{k}").awaitTermination()
+    return CA.captured(spark, f"{path}/captured").select(F.col("event_key").alias("id"), "position")
+
+
+OVER = "p AS (SELECT *, row_number() OVER w AS k, sum(length(content)) OVER w AS used FROM records WHERE permanent = 1 AND deleted = 0 AND active = 1 WINDOW w AS (PARTITION BY sid ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING)), over_ AS (SELECT id, sid, content, importance, users FROM p WHERE k > 3 OR (used > 400 AND k > 1))"
+
+
+@q(f"{OVER} SELECT id, CASE WHEN id IN (SELECT id FROM over_) THEN 0 ELSE permanent END AS permanent, CASE WHEN id IN (SELECT id FROM over_) THEN 0 ELSE active END AS active, revision + CAST(id IN (SELECT id FROM over_) AS INT) AS revision FROM records")
+def capped_records(spark, d):
+    return L.within_cap(records(spark, d), facts(spark, d), NOW, 3, 400)[0].select("id", "permanent", "active", "revision")
+
+
+@q(f"""{OVER}, said AS (SELECT sid, content, list_sort(list(DISTINCT id)) AS more, max(importance) AS i FROM over_ GROUP BY ALL)
+SELECT sha256('extracted' || chr(31) || sid || chr(31) || content) AS id, sid, i AS importance, more AS sources FROM said UNION ALL SELECT id, sid, importance, list_distinct(sources) FROM facts WHERE deleted = 0""".replace("list_distinct(sources)", "list_sort(list_distinct(sources))"))
+def capped_facts(spark, d):
+    return L.within_cap(records(spark, d), facts(spark, d), NOW, 3, 400)[1].select("id", "sid", "importance", F.array_sort("sources").alias("sources"))
+
+
+GONE = f"(((cold = 1 AND (archived_at = 0 OR archived_at <= {NOW} - 30 * 86400)) OR deleted = 1) AND trim(content) <> '')"
+
+
+@q(f"SELECT count(*) FILTER ({GONE}) AS n, CAST(coalesce(sum(strlen(content)) FILTER ({GONE}), 0) AS BIGINT) AS bytes, min(\"end\") FILTER ({GONE}) AS oldest, max(\"end\") FILTER ({GONE}) AS newest FROM records")
+def cold_preview(spark, d):
+    return L.cold_preview(records(spark, d), NOW, 30)
+
+
+@q(f"SELECT count(*) FILTER ({GONE} AND position % 2 = 1) AS moved, count(*) FILTER ({GONE} AND position % 2 = 1) AS bodies, CAST(coalesce(sum(strlen(content)) FILTER ({GONE} AND position % 2 = 1), 0) AS BIGINT) AS bytes, 0 AS stray FROM records")
+def cold_stats_after_restore(spark, d):
+    """The bodies of every second row are read back; the rest stays cold."""
+    hot, cold = L.spill_cold(records(spark, d), NOW, 30)
+    rows, left = L.restore_cold(hot, cold, records(spark, d).where("position % 2 = 0").select("id"))
+    return L.cold_stats(rows, left)

@@ -126,10 +126,28 @@ def stream(spark, tmp_path):
 
 
 def test_capture_stream(spark, stream, tmp_path):
-    rows = [("k1", at(0), "a"), ("k2", at(1), "b"), ("k1", at(2), "a again")]
-    src = stream("m", [rows, rows[:1]], "event_key string, ts timestamp, text string")
-    ST.capture_to(src, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    assert sorted(r.event_key for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["k1", "k2"]
+    rows = [("k1", "s", at(0), "a"), ("k2", "s", at(1), "b"), ("k1", "s", at(2), "a again"), (None, "s", at(3), "no key"), ("k3", None, at(90_000), "c")]
+    src = stream("m", [rows, [*rows[:1], ("k4", "s", at(5), "d"), ("k5", None, at(5), "e")]], "event_key string, sid string, ts timestamp, text string")
+    for check in ("c", "c", "d"):  # a restart, and another checkpoint at the same table
+        ST.capture_to(src, str(tmp_path / "t"), str(tmp_path / check)).awaitTermination()
+        got = sorted((r.event_key, r.position, r.text) for r in ST.captured(spark, str(tmp_path / "t")).collect())
+        assert got == [("k1", 0, "a"), ("k2", 1, "b"), ("k3", 0, "c"), ("k4", 2, "d"), ("k5", 1, "e")]
+
+
+def test_a_batch_that_runs_again_files_the_same(spark, tmp_path):
+    schema, path = "event_key string, sid string, ts timestamp", str(tmp_path / "t")
+    one = spark.createDataFrame([("a", "s", at(0)), ("b", "s", at(1))], schema)
+    two = spark.createDataFrame([("b", "s", at(1)), ("c", "s", at(2))], schema)
+    ST.capture_batch(one, path, "x-0", None)
+    for _ in range(2):
+        ST.capture_batch(two, path, "x-1", "x-0")
+    assert sorted((r.event_key, r.position) for r in ST.captured(spark, path).collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    plan = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows").where("day = '2024-01-01'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_capture_drops_what_comes_again(spark, stream):
+    src = stream("m2", [[("k1", at(0), "a"), ("k2", at(1), "b"), ("k1", at(2), "a again")]], "event_key string, ts timestamp, text string")
     q = ST.capture(src).writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == 2
