@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import drop, hot_join, kept
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _together(g: pd.DataFrame) -> pd.DataFrame:
+    """The components of few edges, by a forest whose roots are least nodes."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    for u, v in zip(g["u"].tolist(), g["v"].tolist()):
+        a, b = root(u), root(v)
+        up[max(a, b)] = min(a, b)
+        up.setdefault(min(a, b), min(a, b))
+    return pd.DataFrame([(x, root(x)) for x in up if root(x) != x], columns=["node", "root"])
+
+
+def components(edges: DataFrame, few: int = 0) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b: long) but the roots, the least nodes of their components.
 
     Each round hooks every node's larger neighbours to its least neighbour, then its smaller ones, till nothing changes;
     rounds grow as the logarithm of the longest chain. Every round is written to the shared folder. Nodes with very many
-    neighbours are joined by broadcast (hot_join), so their edges stay spread. Null ends and loops are left out.
+    neighbours are joined by broadcast (hot_join), so their edges stay spread. Null ends and loops are left out. No more
+    than ``few`` edges, which are counted first, go to one task instead, with the same result.
     """
     spark = edges.sparkSession
     now, path = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if few and now.count() <= few:
+        return now.coalesce(1).mapInPandas(lambda batches: iter([_together(pd.concat([pd.DataFrame({"u": [], "v": []}, dtype="int64"), *batches]))]), "node long, root long")
     seen = None
     while True:
         total, sign = now.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 16))).first()

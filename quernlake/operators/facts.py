@@ -189,6 +189,32 @@ def audited(facts: DataFrame, verdicts: DataFrame, records: DataFrame) -> DataFr
     return both.select("id", text.alias("content"), level.alias("importance"), gone.alias("deleted"), ((text != F.col("content")) | (level != F.col("importance")) | (gone == 1)).alias("changed"))
 
 
+def audit_applied(facts: DataFrame, verdicts: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Live facts after verdicts (id, action, importance, content, target), merges included, and how often each was applied.
+
+    Gives audited()'s rows with sources and merged (the ids that came in), and action, n. merge: the fact goes, and its
+    target, a live fact of the same subject that no verdict takes away, gets its sources and the greater importance; a
+    merge without such a target changes nothing and counts as refused. Other facts stay out.
+    """
+    base = facts.where("deleted = 0")
+    wants = verdicts.where("action = 'merge'").select("id", "target").where("id <> target")
+    away = verdicts.where("action IN ('merge', 'retract')").select(F.col("id").alias("target"))
+    side = base.select("id", "subject", "sources", "importance")
+    to = base.select(F.col("id").alias("target"), F.col("subject").alias("_subject"))
+    good = wants.join(away, "target", "left_anti").join(side, "id").join(to, "target").where(F.col("subject").eqNullSafe(F.col("_subject")))
+    came = good.groupBy(F.col("target").alias("id")).agg(F.array_sort(F.flatten(F.collect_list("sources"))).alias("_more"), F.max("importance").alias("_most"), F.array_sort(F.collect_list("id")).alias("_merged"))
+    gone = good.select("id", F.lit(1).alias("_gone"))
+    silent = came.select("id").join(verdicts.select("id"), "id", "left_anti").select("id", F.lit("keep").alias("action"), F.lit(None).cast("int").alias("importance"), F.lit(None).cast("string").alias("content"))
+    rows = audited(facts, verdicts.select("id", "action", "importance", "content").unionByName(silent), records).join(base.select("id", "sources"), "id").join(came, "id", "left").join(gone, "id", "left")
+    none = F.array().cast("array<string>")
+    out = rows.select(
+        "id", "content", F.greatest("importance", F.coalesce("_most", "importance")).alias("importance"), F.greatest("deleted", F.coalesce("_gone", F.lit(0))).alias("deleted"),
+        F.array_distinct(F.concat("sources", F.coalesce("_more", none))).alias("sources"), F.coalesce("_merged", none).alias("merged"), (F.col("changed") | F.col("_gone").isNotNull() | F.col("_more").isNotNull()).alias("changed"),
+    )
+    done = verdicts.join(base.select("id"), "id").join(gone, "id", "left").select(F.when((F.col("action") == "merge") & F.col("_gone").isNull(), "refused").otherwise(F.col("action")).alias("action"))
+    return out, done.groupBy("action").agg(F.count("*").alias("n"))
+
+
 def widen_sources(facts: DataFrame, records: DataFrame, keyword: str) -> DataFrame:
     """Facts whose sources don't hold ``keyword`` get one record of their session that does, the earliest: id, sources."""
     holds = records.where((F.col("deleted") == 0) & F.contains(F.lower("content"), F.lit(keyword.lower())))

@@ -161,8 +161,10 @@ def refined(rows: DataFrame, score: str, order: list, least: float = 0.10, floor
 
     For one result list: adds rank.
     """
-    w = Window.orderBy(F.desc(F.coalesce(score, F.lit(0.0))), *order)
-    return rows.withColumn("rank", F.row_number().over(w)).where((F.coalesce(score, F.lit(0.0)) >= least) | (F.col("rank") <= floor))
+    best = [F.desc(F.coalesce(score, F.lit(0.0))), *order]
+    good = rows.where(F.coalesce(score, F.lit(0.0)) >= least)
+    kept = good.unionByName(rows.orderBy(*best).limit(floor).where(F.coalesce(score, F.lit(0.0)) < least))
+    return kept.withColumn("rank", F.row_number().over(Window.orderBy(*best)))  # of what is left of one result list
 
 
 def wider(width: int, factor: int = 3, most: int = 60) -> int:

@@ -10,10 +10,14 @@ from pyspark.sql.window import Window
 
 from ..functions import envelope as E
 from ..functions import exprs as X
+from ..operators import facts as FA
 from ..operators import identity as I
+from ..operators import intake as N
 from ..operators import lifecycle as L
 from ..operators import mentions as M
+from ..operators import records as R
 from ..operators import search as S
+from ..operators import similar as SI
 from ..operators.textindex import TextIndex
 from ..operators.versions import VersionedTable
 from ..shared import scratch
@@ -348,3 +352,112 @@ def cold_stats_after_restore(spark, d):
     hot, cold = L.spill_cold(records(spark, d), NOW, 30)
     rows, left = L.restore_cold(hot, cold, records(spark, d).where("position % 2 = 0").select("id"))
     return L.cold_stats(rows, left)
+
+
+def _heard(spark, d) -> DataFrame:
+    c = wrapped(spark, d)
+    call = F.when((F.col("role") == "assistant") & (F.col("turn") % 3 == 0), F.array(F.struct(F.lit("look").alias("name"), F.concat(F.lit("n="), "turn").alias("arguments"))))
+    media, k = F.col("turn") % 7 == 5, F.col("turn") % 4
+    return c.select(
+        F.concat(F.lit("e"), "conv_id").alias("event"), F.col("turn").alias("n"), F.lit("qq:gm:1").alias("sid"), F.lit("qq").alias("adapter"), (F.col("turn") % 6 == 4).alias("notice"), "role",
+        F.when(k == 3, "unknown").otherwise(F.col("turn").cast("string")).alias("sender_id"), F.when(k == 1, "Ann").alias("sender_name"), F.when(media, "[Image x").when(F.col("turn") % 5 == 1, "<msg/>").otherwise(F.col("raw")).alias("text"), call.alias("tool_calls"),
+    )
+
+
+SAID = f"""m AS (SELECT conv_id, turn, role, turn % 6 = 4 AS notice, role = 'assistant' AND turn % 3 = 0 AS called, CASE WHEN turn % 4 = 3 THEN '' ELSE '' || turn END AS account, CASE WHEN turn % 7 = 5 THEN '[Image x' WHEN turn % 5 = 1 THEN '' WHEN {K} = 3 AND role = 'assistant' THEN {PLAIN} ELSE {CLEANED} END AS said FROM conversations),
+u AS (SELECT conv_id, list_sort(list(DISTINCT 'qq:' || account) FILTER (account <> '')) AS users FROM m WHERE NOT notice GROUP BY conv_id)"""
+
+
+@query(f"""WITH {SAID} SELECT 'e' || conv_id AS event, turn AS n, CASE WHEN called AND said <> '' THEN said || chr(10) ELSE said END || CASE WHEN called THEN '{{"tool_calls":[{{"name":"look","arguments":"n=' || turn || '"}}]}}' ELSE '' END AS content,
+CASE WHEN called AND said <> '' THEN said || chr(10) ELSE said END || CASE WHEN called THEN '[调用工具：look(n=' || turn || ')]' ELSE '' END AS summary,
+CASE WHEN called THEN 'tool' WHEN role = 'user' AND (turn % 7 = 5 OR NOT regexp_matches(said, '[0-9A-Za-z]')) THEN 'media' ELSE '' END AS category, CASE WHEN turn % 4 = 1 THEN 'Ann' ELSE account END AS speaker, CASE WHEN account = '' THEN '' ELSE 'qq:' || account END AS speaker_id, coalesce(users, []) AS users
+FROM m LEFT JOIN u USING (conv_id) WHERE NOT notice AND (said <> '' OR called)""")
+def capture_hygiene(spark, d):
+    return N.to_capture(_heard(spark, d)).drop("sid", "role")
+
+
+@q("""SELECT '100-' || CAST(floor(start * 1000) AS BIGINT) || '-' || CAST(floor("end" * 1000) AS BIGINT) || '-' || substr(sha256(concat_ws(chr(31), sid, content, array_to_string(users, ','), category)), 1, 12) AS id, sid, 100 AS level, CASE WHEN position % 2 = 0 THEN 8 ELSE importance END AS importance, 1 AS permanent FROM records""")
+def pinned_records(spark, d):
+    r = records(spark, d).withColumn("importance", F.when(F.col("position") % 2 == 1, F.col("importance")))
+    return N.pinned(r, NOW).select("id", "sid", "level", "importance", "permanent")
+
+
+@q("""s AS (SELECT id, position % 5 AS k, deleted, revision, content FROM records) SELECT id, CASE WHEN deleted = 0 AND k = 0 THEN 1 ELSE deleted END AS deleted, CAST(revision + CASE WHEN deleted = 0 AND k IN (0, 1, 2) THEN 1 ELSE 0 END AS INT) AS revision,
+CASE WHEN k = 0 THEN '工具感知结果：{"ok": true, "records": 1}' WHEN k = 1 THEN CASE WHEN deleted = 0 THEN '工具感知结果：' || repeat('y', 240) || '…' ELSE '工具感知结果：' || repeat('y', 500) END WHEN k = 2 THEN CASE WHEN deleted = 0 THEN 'well [调用工具：look(a)、go]' ELSE 'well' || chr(10) || '{"tool_calls": [{"name": "look", "arguments": "a"}, {"name": "go"}]}' END
+WHEN k = 3 THEN '工具感知结果：short' ELSE content END AS summary, CASE WHEN deleted = 0 THEN CASE k WHEN 0 THEN 'removed' WHEN 1 THEN 'rewritten' WHEN 2 THEN 'rewritten' END END AS done FROM s""")
+def tidied_tools(spark, d):
+    """Run twice, so that the second run must find nothing left to do."""
+    k = F.col("position") % 5
+    said = F.when(k == 0, '工具感知结果：{"ok": true, "records": 1}').when(k == 1, "工具感知结果：" + "y" * 500).when(k == 2, 'well\n{"tool_calls": [{"name": "look", "arguments": "a"}, {"name": "go"}]}').when(k == 3, "工具感知结果：short").otherwise(F.col("content"))
+    r = records(spark, d).select("id", "deleted", "revision", said.alias("summary"), F.lit("").alias("content"))
+    once = N.tidied_tools(r, ['"records"'])
+    again = N.tidied_tools(once.drop("done"), ['"records"']).select("id", "deleted", "revision", "summary", F.col("done").alias("_again"))
+    return again.join(once.select("id", "done"), "id").select("id", "deleted", "revision", "summary", F.coalesce(F.concat(F.lit("again "), "_again"), "done").alias("done"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS n, c_custkey % 8 AS k FROM customer) SELECT n AS c_custkey, CASE k WHEN 0 THEN '全局记忆' WHEN 1 THEN '机器人自身' WHEN 2 THEN '未分类 · 来源会话未确定' WHEN 3 THEN '待绑定 · 群 ' || n WHEN 4 THEN '待绑定 · 号码 ' || n WHEN 5 THEN '待绑定 · 号码 ' || n WHEN 6 THEN '未分类' ELSE '名称待补全' END AS label,
+CASE k WHEN 4 THEN 'qq:' || n WHEN 5 THEN '' WHEN 7 THEN 'qq:' || n ELSE '' END AS lookup_id FROM c""")
+def identity_labels(spark, d):
+    k, n = F.col("c_custkey") % 8, F.col("c_custkey").cast("string")
+    forms = [F.lit("global"), F.lit("legacy:self"), F.lit("legacy:unscoped"), F.concat(F.lit("unresolved:group:qq:"), n), F.concat(F.lit("legacy:user:qq:"), n), F.concat(F.lit("legacy:group:"), n), F.concat(F.lit("legacy:"), n), F.concat(F.lit("qq:"), n)]
+    i = F.coalesce(*[F.when(k == j, f) for j, f in enumerate(forms)])
+    return t(spark, d, "customer").withColumn("x", N.identity_info(i)).select("c_custkey", "x.label", "x.lookup_id")
+
+
+@q("""a AS (SELECT sid, id, 'r' || row_number() OVER (PARTITION BY sid ORDER BY position, id) AS alias, row_number() OVER (PARTITION BY sid ORDER BY position, id) AS k FROM records WHERE active = 1 AND deleted = 0)
+SELECT x.sid AS batch, x.k AS n, [x.id, y.id] AS source_ids FROM a x JOIN a y ON y.sid = x.sid AND y.k = 1 WHERE x.k % 3 <> 0 UNION ALL SELECT sid, k, [] FROM a WHERE k % 6 = 0""")
+def restored_aliases(spark, d):
+    """Facts cite their record by alias and the first one by id; every sixth cites nothing, others a stranger as well."""
+    a = R.aliases(records(spark, d)).withColumn("k", F.substring("alias", 2, 9).cast("long"))
+    first = a.where("k = 1").select("sid", F.col("id").alias("first"))
+    said = F.when(F.col("k") % 6 == 0, F.array().cast("array<string>")).when(F.col("k") % 3 == 0, F.array("alias", F.lit("r0"))).otherwise(F.array("alias", "first"))
+    out = a.join(first, "sid").select(F.col("sid").alias("batch"), F.col("k").alias("n"), said.alias("source_ids"))
+    return N.restored_aliases(out, a.select(F.col("sid").alias("batch"), "alias", "id"))[0]
+
+
+GRAMS = "list_distinct(list_transform(range(1, length(c)), lambda i: substr(c, i, 2)))"
+
+
+@q(f"""n AS (SELECT id, subject, category, lower(regexp_replace(content, '[\\s，。、；：！？,.!?;:''"“”‘’()（）\\[\\]【】<>《》\\-—~～/\\\\]+', '', 'g')) AS c FROM facts WHERE deleted = 0), g AS (SELECT id, subject, category, {GRAMS} AS s FROM n WHERE length(c) > 1),
+p AS (SELECT a.id AS a, b.id AS b, a.category = b.category AS same, len(list_intersect(a.s, b.s)) AS k, least(len(a.s), len(b.s)) AS m FROM g a JOIN g b ON a.subject = b.subject AND a.id < b.id)
+SELECT a, b, round(k / m, 6) AS similarity FROM p WHERE k >= 4 AND round(k / m, 6) >= CASE WHEN same THEN 0.6 ELSE 0.75 END""")
+def category_pairs(spark, d):
+    return SI.category_pairs(facts(spark, d).where("deleted = 0"), "id", "content", "subject", "category", 0.6, 0.75)
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_suppkey AS b FROM lineitem WHERE l_quantity > 49), w AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT u, u AS v FROM w UNION SELECT reach.u, w.v FROM reach JOIN w ON reach.v = w.u), r AS (SELECT u AS node, min(v) AS root FROM reach GROUP BY u), k AS (SELECT node, root, row_number() OVER (PARTITION BY root ORDER BY node % 97, node) AS n FROM r)
+SELECT root, list(node ORDER BY n) FILTER (n <= 5) AS members FROM k GROUP BY root HAVING count(*) > 1""")
+def cluster_heads(spark, d):
+    """Parts and their suppliers in bulk lines as clusters, of each the first five by node % 97."""
+    e = t(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"))
+    found = SI.clusters(e)
+    return SI.first_members(found, found.select("node").distinct().select("node", F.struct(F.col("node") % 97, "node").alias("place")))
+
+
+VERDICTS = "v AS (SELECT id, subject, CASE n % 4 WHEN 0 THEN 'keep' WHEN 1 THEN 'merge' WHEN 2 THEN 'retract' ELSE 'correct' END AS action, 'f' || (n + CASE WHEN n % 8 = 1 THEN 36 ELSE 35 END) AS target, importance + 3 AS wanted FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS n FROM facts WHERE deleted = 0) WHERE n % 4 < 3 AND n % 16 <> 5 AND n % 16 <> 9)"
+
+
+def _audit(spark, d):
+    f = facts(spark, d).withColumn("n", F.substring("id", 2, 20).cast("long"))
+    k = F.col("n") % 4
+    v = f.where("deleted = 0 AND n % 4 < 3 AND n % 16 <> 5 AND n % 16 <> 9").select(
+        "id", F.when(k == 0, "keep").when(k == 1, "merge").otherwise("retract").alias("action"), F.lit(None).cast("int").alias("importance"), F.lit(None).cast("string").alias("content"),
+        F.concat(F.lit("f"), (F.col("n") + F.when(F.col("n") % 8 == 1, 36).otherwise(35)).cast("string")).alias("target"),
+    )
+    return FA.audit_applied(f.drop("n"), v, records(spark, d))
+
+
+MERGED = f"{VERDICTS}, away AS (SELECT id FROM v WHERE action IN ('merge', 'retract')), good AS (SELECT v.id, v.target, f.sources, f.importance FROM v JOIN facts f ON f.id = v.id JOIN facts g ON g.id = v.target AND g.deleted = 0 AND g.subject = v.subject WHERE action = 'merge' AND target NOT IN (SELECT id FROM away))"
+
+
+@q(f"""{MERGED} SELECT action, count(*) AS n FROM (SELECT CASE WHEN action = 'merge' AND id NOT IN (SELECT id FROM good) THEN 'refused' ELSE action END AS action FROM v) GROUP BY action""")
+def audit_counts(spark, d):
+    return _audit(spark, d)[1]
+
+
+@q(f"""{MERGED}, came AS (SELECT target AS id, list_sort(flatten(list(sources))) AS more, max(importance) AS most, list_sort(list(id)) AS merged FROM good GROUP BY target)
+SELECT f.id, greatest(f.importance, coalesce(most, 0)) AS importance, CASE WHEN f.id IN (SELECT id FROM good) OR action = 'retract' THEN 1 ELSE 0 END AS deleted, list_sort(list_distinct(list_concat(f.sources, coalesce(more, [])))) AS sources, coalesce(merged, []) AS merged
+FROM facts f LEFT JOIN v ON v.id = f.id LEFT JOIN came ON came.id = f.id WHERE f.deleted = 0 AND (v.id IS NOT NULL OR came.id IS NOT NULL)""")
+def audit_merges(spark, d):
+    return _audit(spark, d)[0].select("id", "importance", "deleted", F.array_sort("sources").alias("sources"), "merged")
