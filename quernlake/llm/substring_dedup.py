@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import drop, free_names, scratch, table
+from ._common import drop, free_names, scratch, store, table
 from ._words import mix, runs
 
 WINDOW, GRAM = 13, 6  # words of a window; of the runs that windows are filed under
@@ -290,7 +290,9 @@ def _chunks(docs: DataFrame, batch: str) -> DataFrame:
 
 
 def _opened(body: bytes) -> tuple[pa.Table, Chunk, list[bytes]]:
-    """The rows of a chunk, its windows and its texts."""
+    """The rows of a chunk, its windows and its texts; what other operators left in this worker goes, and unused memory."""
+    store("substrings")
+    pa.default_memory_pool().release_unused()
     rows = pa.ipc.open_stream(body).read_all()
     texts = pc.fill_null(rows.column("text").combine_chunks(), "")
     return rows, Chunk(rows.column("doc_id").to_pylist(), texts), texts.cast(pa.binary()).to_pylist()
