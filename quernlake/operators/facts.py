@@ -189,6 +189,24 @@ def audited(facts: DataFrame, verdicts: DataFrame, records: DataFrame) -> DataFr
     return both.select("id", text.alias("content"), level.alias("importance"), gone.alias("deleted"), ((text != F.col("content")) | (level != F.col("importance")) | (gone == 1)).alias("changed"))
 
 
+def evidence(facts: DataFrame, records: DataFrame) -> DataFrame:
+    """The live records that live facts cite: fact, place (in its sources, from 0), all columns of the record, src_user."""
+    cited = facts.where("deleted = 0").select(F.col("id").alias("fact"), "src_user", F.posexplode("sources").alias("place", "id"))
+    return cited.join(records.where("deleted = 0"), "id")
+
+
+def neighbours(facts: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
+    """What live facts relate to: fact, entity (an object of its relations), its latest name (empty without one), and tops,
+    the ``most`` weightiest live facts about it, by importance and id."""
+    far = live(facts, True).select(F.col("id").alias("fact"), F.explode("relations").alias("r")).select("fact", F.col("r.object").alias("entity")).where("entity IS NOT NULL").distinct()
+    latest = names.groupBy("entity").agg(F.max_by("name", F.struct("observed", "name")).alias("name"))
+    rank = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("importance"), "id"))
+    told = live(facts, True).select(F.col("subject").alias("entity"), "id", rank.alias("n")).where(F.col("n") <= most)
+    tops = told.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x.id).alias("tops"))
+    none = F.array().cast("array<string>")
+    return far.join(latest, "entity", "left").join(tops, "entity", "left").select("fact", "entity", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("tops", none).alias("tops"))
+
+
 def audit_applied(facts: DataFrame, verdicts: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Live facts after verdicts (id, action, importance, content, target), merges included, and how often each was applied.
 

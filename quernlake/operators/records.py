@@ -265,6 +265,12 @@ def totals(records: DataFrame, facts: DataFrame) -> DataFrame:
     return one(some).join(one(users), "_one").join(one(known), "_one").drop("_one")
 
 
+def capacity(records: DataFrame) -> DataFrame:
+    """Live records by level and year (UTC) of their start: level, y, n, pinned, chars."""
+    year = F.substring(X.utc_text(F.col("start")), 1, 4).cast("int")
+    return records.where("deleted = 0").groupBy("level", year.alias("y")).agg(F.count("*").alias("n"), F.count_if(F.col("permanent") == 1).alias("pinned"), F.sum(F.length("content")).alias("chars"))
+
+
 def by_user(records: DataFrame) -> DataFrame:
     """user and how many live rows and sessions name them."""
     return records.where("deleted = 0").select("sid", F.explode(F.array_distinct("users")).alias("user")).groupBy("user").agg(F.count("*").alias("n"), F.countDistinct("sid").alias("sessions"))

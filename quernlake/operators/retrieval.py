@@ -57,15 +57,6 @@ def latest(df: DataFrame, key: str, order: list[str], *values: str) -> DataFrame
     return df.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("v")).select(key, *[F.col(f"v.{c}").alias(c) for c in values])
 
 
-def uncovered(df: DataFrame, group: str) -> DataFrame:
-    """Rows of which no row of the same group with a higher level covers the interval (start_at, end_at).
-
-    A left-anti join on the group with the range as its condition; hot groups are split by Spark's skew join.
-    """
-    over = df.select(F.col(group).alias("g"), F.col("level").alias("l"), F.col("start_at").alias("s"), F.col("end_at").alias("e"))
-    return df.join(over, (F.col(group) == F.col("g")) & (F.col("l") > F.col("level")) & (F.col("s") <= F.col("start_at")) & (F.col("e") >= F.col("end_at")), "left_anti")
-
-
 def rounds(df: DataFrame, session: str, position: str) -> DataFrame:
     """Numbers the rounds of a session: one closes before a user's row that follows another's. Adds round (from 1)."""
     w = Window.partitionBy(session).orderBy(position)

@@ -425,12 +425,12 @@ def category_pairs(spark, d):
     return SI.category_pairs(facts(spark, d).where("deleted = 0"), "id", "content", "subject", "category", 0.6, 0.75)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_suppkey AS b FROM lineitem WHERE l_quantity > 49), w AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
-reach AS (SELECT u, u AS v FROM w UNION SELECT reach.u, w.v FROM reach JOIN w ON reach.v = w.u), r AS (SELECT u AS node, min(v) AS root FROM reach GROUP BY u), k AS (SELECT node, root, row_number() OVER (PARTITION BY root ORDER BY node % 97, node) AS n FROM r)
-SELECT root, list(node ORDER BY n) FILTER (n <= 5) AS members FROM k GROUP BY root HAVING count(*) > 1""")
+@query("""WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS root, count(*) OVER (PARTITION BY text) AS c FROM documents WHERE text IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY doc_id % 97, doc_id) AS n FROM g WHERE c > 1)
+SELECT root, list(doc_id ORDER BY n) FILTER (n <= 5) AS members FROM k GROUP BY root""")
 def cluster_heads(spark, d):
-    """Parts and their suppliers in bulk lines as clusters, of each the first five by node % 97."""
-    e = t(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"))
+    """Chains of documents with one text as clusters, of each the first five by doc_id % 97."""
+    before = F.lag("doc_id").over(Window.partitionBy(F.sha2("text", 256)).orderBy("doc_id"))
+    e = t(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("a"), before.alias("b")).where("b IS NOT NULL")
     found = SI.clusters(e)
     return SI.first_members(found, found.select("node").distinct().select("node", F.struct(F.col("node") % 97, "node").alias("place")))
 
@@ -461,3 +461,32 @@ SELECT f.id, greatest(f.importance, coalesce(most, 0)) AS importance, CASE WHEN
 FROM facts f LEFT JOIN v ON v.id = f.id LEFT JOIN came ON came.id = f.id WHERE f.deleted = 0 AND (v.id IS NOT NULL OR came.id IS NOT NULL)""")
 def audit_merges(spark, d):
     return _audit(spark, d)[0].select("id", "importance", "deleted", F.array_sort("sources").alias("sources"), "merged")
+
+
+RECALLED = "deleted = 0 AND category <> 'media' AND cold = 0"
+
+
+@q(f"""rows_ AS (SELECT * FROM records WHERE {RECALLED}), over_ AS (SELECT sid, level, start, "end" AS e FROM rows_ WHERE active = 1)
+SELECT id FROM rows_ a WHERE NOT (active = 0 AND EXISTS (SELECT 1 FROM over_ b WHERE a.sid = b.sid AND b.level > a.level AND b.start <= a.start AND b.e >= a."end"))""")
+def folded_elimination(spark, d):
+    r = records(spark, d)
+    found = R.recallable(r)
+    return found.join(R.folded(found, r), "id", "left_anti").select("id")
+
+
+@q("""s AS (SELECT id AS fact, unnest(sources) AS id, unnest(range(len(sources))) AS place, src_user FROM facts WHERE deleted = 0)
+SELECT fact, CAST(place AS INT) AS place, id, role, start, src_user FROM s JOIN records USING (id) WHERE records.deleted = 0""")
+def evidence_of_facts(spark, d):
+    return FA.evidence(facts(spark, d), records(spark, d)).select("fact", "place", "id", "role", "start", "src_user")
+
+
+@q("""far AS (SELECT DISTINCT f.id AS fact, r.object AS entity FROM (SELECT id, unnest(relations) AS r FROM facts WHERE deleted = 0) f),
+one AS (SELECT entity, max_by(name, (observed, name)) AS name FROM names GROUP BY entity), told AS (SELECT subject AS entity, id, content, row_number() OVER (PARTITION BY subject ORDER BY importance DESC, id) AS n FROM facts WHERE deleted = 0)
+SELECT fact, entity, coalesce(name, '') AS name, coalesce(tops, []) AS tops FROM far LEFT JOIN one USING (entity) LEFT JOIN (SELECT entity, list(id ORDER BY n) FILTER (n <= 2) AS tops FROM told GROUP BY entity) USING (entity)""")
+def neighbours_of_facts(spark, d):
+    return FA.neighbours(facts(spark, d), names(spark, d), 2)
+
+
+@q("""SELECT level, CAST(year(make_timestamp(CAST(start * 1e6 AS BIGINT))) AS INT) AS y, count(*) AS n, count(*) FILTER (permanent = 1) AS pinned, CAST(sum(length(content)) AS BIGINT) AS chars FROM records WHERE deleted = 0 GROUP BY ALL""")
+def capacity_by_level(spark, d):
+    return R.capacity(records(spark, d))

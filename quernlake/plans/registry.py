@@ -152,16 +152,6 @@ def evidence_latest(spark, d):
     return R.latest(t(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", "o_orderdate")
 
 
-SPANS = "(SELECT o_orderkey, o_custkey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS level, o_orderdate AS start_at, o_orderdate + CAST(substr(o_orderpriority, 1, 1) AS INT) * INTERVAL 60 DAY AS end_at FROM orders)"
-
-
-@query(f"SELECT o_orderkey FROM {SPANS} a WHERE NOT EXISTS (SELECT 1 FROM {SPANS} b WHERE a.o_custkey = b.o_custkey AND b.level > a.level AND b.start_at <= a.start_at AND b.end_at >= a.end_at)")
-def folded_elimination(spark, d):
-    level = F.substring("o_orderpriority", 1, 1).cast("int")
-    rows = t(spark, d, "orders").select("o_orderkey", "o_custkey", level.alias("level"), F.col("o_orderdate").alias("start_at"), F.expr("o_orderdate + int(substring(o_orderpriority, 1, 1)) * INTERVAL 60 DAY").alias("end_at"))
-    return R.uncovered(rows, "o_custkey").select("o_orderkey")
-
-
 @query("SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer QUALIFY rank <= 2")
 def neighbor_topk(spark, d):
     return R.top_per_group(t(spark, d, "customer"), ["c_nationkey"], [F.desc("c_acctbal"), "c_custkey"], 2).select("c_nationkey", "c_custkey", "rank")
