@@ -193,6 +193,27 @@ def near_documents(prints: DataFrame, threshold: float = 0.5, bands: int | None
     return found.unionByName(copies)
 
 
+SAMPLE_TEXTS, DICTIONARY_BYTES = 400, 112_640  # from whose beginnings a dictionary is trained, and its size
+
+
+def dictionary(docs: DataFrame) -> bytes:
+    """A dictionary for pressing texts, of some texts as they come; empty where there are too few. Results don't depend on it."""
+    some = [r[0].encode("utf-8", "surrogatepass") for r in texts(docs).limit(SAMPLE_TEXTS).select(F.substring("text", 1, 4000)).collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, some).as_bytes() if len(some) > 50 else b""
+    except zstandard.ZstdError:  # texts too short or too alike
+        return b""
+
+
+def _press(words: bytes):
+    """Compresses bytes by a dictionary."""
+    return zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(words) if words else None).compress
+
+
+def _open(words: bytes):
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None).decompress
+
+
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 #: What a range gives: kind 0 are results; 1 is its first row's text, 2 its last row, for which the next range's first is needed.
 RANGE = f"kind int, part int, text binary, {OUT}"
@@ -223,18 +244,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     fall to one task), and each range is walked through in batches of bounded size. A range's last row waits for the first
     of the next range; these two rows a range are joined afterwards. Nothing comes to the driver. Other columns are left out.
     """
-    spark = docs.sparkSession
+    words = dictionary(docs)
 
     def press(batch: pd.Series) -> pd.Series:
-        z = zstandard.ZstdCompressor(level=9)
-        return pd.Series([z.compress(t.encode("utf-8", "surrogatepass")) for t in batch])
+        z = _press(words)
+        return pd.Series([z(t.encode("utf-8", "surrogatepass")) for t in batch])
 
     pressed = texts(docs).select("doc_id", F.xxhash64("text").alias("tie"), F.octet_length("text").cast("long").alias("size"), F.pandas_udf(press, "binary")("text").alias("text"))
     stored = written(pressed, "pressed")
     ranges = max(1, -(-(stored.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_, part = zstandard.ZstdDecompressor().decompress, TaskContext.get().partitionId()
+        open_, z, part = _open(words), _press(words), TaskContext.get().partitionId()
         held: list[tuple] = []  # rows whose next one may not be known yet
         size, first = 0, None
 
@@ -247,10 +268,9 @@ def with_next(docs: DataFrame) -> DataFrame:
                 out.insert(2, "text", [None] * len(out))
                 yield out
             if last:
-                ends = [(1, part, z.compress(first.encode("utf-8", "surrogatepass")), None), (2, part, z.compress(text[-1].encode("utf-8", "surrogatepass")), ids[-1])]
+                ends = [(1, part, z(first.encode("utf-8", "surrogatepass")), None), (2, part, z(text[-1].encode("utf-8", "surrogatepass")), ids[-1])]
                 yield pd.DataFrame([(*x, *[None] * 6) for x in ends], columns=[c.split()[0] for c in RANGE.split(", ")], dtype=object)
 
-        z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for i, raw in zip(batch["doc_id"].astype("Int64"), batch["text"]):
                 text = open_(raw).decode("utf-8", "surrogatepass")
@@ -272,7 +292,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     tails = found.where("kind = 2").select("part", "doc_id", "text").join(turn, "part").join(heads.withColumnRenamed("part", "next"), "next")
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_ = zstandard.ZstdDecompressor().decompress
+        open_ = _open(words)
         for batch in batches:
             text, head = ([open_(x).decode("utf-8", "surrogatepass") for x in batch[c]] for c in ("text", "head"))
             yield _compared([None if pd.isna(i) else int(i) for i in batch["doc_id"].astype("Int64")], text, head)
