@@ -40,6 +40,18 @@ def bigrams(c: Column) -> Column:
     return let(_letters(normalize(c)), lambda x: F.when(F.size(x) < 2, x).otherwise(F.array_distinct(_adjacent(x))))
 
 
+def bigrams_of(text: str) -> Column:
+    """bigrams() of a text that is known here, worked out once."""
+    n = re.sub(NOISE, "", text.lower(), flags=re.ASCII)
+    pairs = dict.fromkeys(n[k : k + 2] for k in range(len(n) - 1)) if len(n) > 1 else [n] if n else []
+    return F.array(*map(F.lit, pairs)).cast("array<string>")
+
+
+def vector_of(query) -> Column:
+    """A query's vector: numbers, or a column such as a scalar subquery of one row."""
+    return query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
+
+
 def containment(a: Column, b: Column, min_overlap: int = 4) -> Column:
     """Common members of two sets over the smaller set's size; 0 below ``min_overlap`` common members."""
     sizes = F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.least(F.size(a), F.size(b)).alias("least"))

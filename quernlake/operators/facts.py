@@ -59,7 +59,7 @@ def similar_facts(facts: DataFrame, sid: str, subject: str, category: str, conte
     """The live facts of the subject and category (of the session, unless ``across``) most like ``content``; adds similarity."""
     same = live(facts).where((F.col("subject") == subject) & (F.col("category") == category))
     same = same if across else same.where(F.col("sid") == sid)
-    told = same.withColumn("similarity", X.containment(X.bigrams(F.lit(content)), X.bigrams(F.col("content")), 2))
+    told = same.withColumn("similarity", X.containment(X.bigrams_of(content), X.bigrams(F.col("content")), 2))
     return told.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(k)
 
 
@@ -73,7 +73,7 @@ def covering_fact(facts: DataFrame, sid: str, content: str, threshold: float = 0
     text = content.strip()
     pool = live(facts).where(F.col("sid").isin(sid, "global")).orderBy(F.desc("importance"), F.desc("created"), "id").limit(most if len(text) >= 4 else 0)
     letters = lambda c: F.array_distinct(F.split(c, ""))
-    told = pool.withColumn("score", F.when(F.size(F.array_intersect(letters(F.lit(text)), letters(F.col("content")))) >= 3, X.containment(X.bigrams(F.lit(text)), X.bigrams(F.col("content")), 3)).otherwise(0.0))
+    told = pool.withColumn("score", F.when(F.size(F.array_intersect(letters(F.lit(text)), letters(F.col("content")))) >= 3, X.containment(X.bigrams_of(text), X.bigrams(F.col("content")), 3)).otherwise(0.0))
     best = told.orderBy(F.desc("score"), F.desc("importance"), F.desc("created"), "id").limit(1)
     return best.where((F.col("score") > 0) & (F.col("score") >= threshold)).select("id", F.round("score", 3).alias("score"))
 

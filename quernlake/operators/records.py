@@ -56,11 +56,11 @@ def expanded(tokens: list[str], names: DataFrame, facts: DataFrame) -> DataFrame
     return own.unionByName(far).distinct()
 
 
-def vector_scores(rows: DataFrame, vectors: DataFrame, query: list[float], model: str, revision: int) -> DataFrame:
+def vector_scores(rows: DataFrame, vectors: DataFrame, query: list[float] | Column, model: str, revision: int) -> DataFrame:
     """Adds cosine: -1 for rows without a vector of this model and revision, or of another length."""
     same = vectors.where((F.col("model") == model) & (F.col("revision") == revision)).select("id", "vector")
-    target = F.array(*[F.lit(float(x)) for x in query])
-    return rows.join(same, "id", "left").withColumn("cosine", F.coalesce(X.cosine(F.col("vector"), target), F.lit(-1.0))).drop("vector")
+    both = rows.join(same, "id", "left").withColumn("_probe", X.vector_of(query))
+    return both.withColumn("cosine", F.coalesce(X.cosine(F.col("vector"), F.col("_probe")), F.lit(-1.0))).drop("vector", "_probe")
 
 
 def finite_vectors(vectors: DataFrame) -> DataFrame:

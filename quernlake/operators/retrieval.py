@@ -24,19 +24,19 @@ def proximity_rerank(df: DataFrame, text: str, tokens: list[str], tie: list, k:
     return ranked.withColumn("bonus", X.proximity_bonus(F.col(text), tokens)).orderBy(F.desc("bonus"), "base_rank").limit(k)
 
 
-def vector_search(df: DataFrame, vector: str, query: list[float], tie: list, k: int) -> DataFrame:
-    target = F.array(*[F.lit(float(x)) for x in query])
-    return df.withColumn("cosine", X.cosine(F.col(vector), target)).orderBy(F.desc("cosine"), *tie).limit(k)
+def vector_search(df: DataFrame, vector: str, query: list[float] | Column, tie: list, k: int) -> DataFrame:
+    probed = df.withColumn("_probe", X.vector_of(query))
+    return probed.withColumn("cosine", X.cosine(F.col(vector), F.col("_probe"))).drop("_probe").orderBy(F.desc("cosine"), *tie).limit(k)
 
 
-def fused_search(df: DataFrame, key: str, text: str, vector: str, tokens: list[str], query: list[float], k: int, tier: Column | None = None, end: Column | None = None, offset: int = 0) -> DataFrame:
+def fused_search(df: DataFrame, key: str, text: str, vector: str, tokens: list[str], query: list[float] | Column, k: int, tier: Column | None = None, end: Column | None = None, offset: int = 0) -> DataFrame:
     """0.3 of the lexical and 0.7 of the cosine score, each over its largest in the pool of both top lists.
 
     Rows without a vector have a cosine of -1. By tier, fused score, then ``end`` (the latest first) and key. The rows are
     scored once and written, and the pool has three times the page's rows, at least 30, from either list.
     """
-    pool, target = max(30, 3 * (offset + k)), F.array(*[F.lit(float(x)) for x in query])
-    scored = df.select(key, X.lexical_score(F.col(text), tokens).alias("lex"), F.coalesce(X.cosine(F.col(vector), target), F.lit(-1.0)).alias("cos"), (F.lit(0) if tier is None else tier).alias("tier"), (F.lit(0.0) if end is None else end.cast("double")).alias("end"))
+    pool, df = max(30, 3 * (offset + k)), df.withColumn("_probe", X.vector_of(query))
+    scored = df.select(key, X.lexical_score(F.col(text), tokens).alias("lex"), F.coalesce(X.cosine(F.col(vector), F.col("_probe")), F.lit(-1.0)).alias("cos"), (F.lit(0) if tier is None else tier).alias("tier"), (F.lit(0.0) if end is None else end.cast("double")).alias("end"))
     scored = written(scored, "scored")
     lexical = scored.where("lex > 0").orderBy("tier", F.desc("lex"), key).limit(pool)
     near = scored.orderBy("tier", F.desc("cos"), key).limit(pool)

@@ -124,8 +124,8 @@ def query_expansion_names(spark, d):
 s AS (SELECT r.id, CASE WHEN v.vector IS NULL THEN -1 ELSE list_dot_product(vector, q) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(q, q))) END AS cosine FROM records r LEFT JOIN (SELECT id, vector FROM vectors WHERE model = 'new' AND revision = 1) v USING (id), probe)
 SELECT id, round(cosine, 6) AS cosine FROM s""")
 def vector_scores_by_model(spark, d):
-    probe = vectors(spark, d).where("id = 'm7-0'").select("vector").first()
-    return R.vector_scores(records(spark, d), vectors(spark, d), list(probe[0]), "new", 1).select("id", F.round("cosine", 6).alias("cosine"))
+    probe = vectors(spark, d).where("id = 'm7-0'").select("vector").scalar()
+    return R.vector_scores(records(spark, d), vectors(spark, d), probe, "new", 1).select("id", F.round("cosine", 6).alias("cosine"))
 
 
 @q("SELECT id FROM vectors WHERE len(list_filter(vector, lambda x: isfinite(x))) = len(vector) AND len(vector) > 0")

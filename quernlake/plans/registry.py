@@ -125,8 +125,8 @@ def proximity_rerank(spark, d):
     return R.proximity_rerank(t(spark, d, "documents"), "text", TOKENS, ["n_chars", "doc_id"], 20).select("doc_id", "score", "bonus")
 
 
-def probe_vector(spark, d) -> list[float]:
-    return list(t(spark, d, "embeddings").where("vec_id = 7").select("embedding").first()[0])
+def probe_vector(spark, d):
+    return t(spark, d, "embeddings").where("vec_id = 7").select(F.col("embedding").cast("array<double>")).scalar()
 
 
 COS = "CASE WHEN list_dot_product(e, e) > 0 THEN list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) ELSE -1 END"

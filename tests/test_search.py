@@ -81,3 +81,21 @@ def test_mentions(spark, most):
     may = spark.createDataFrame([(1, "qq:1"), (3, "qq:1")], "id int, entity string")
     assert got(visible=may) == [(1, "qq:1", 1)]
     assert M.mentions(df.limit(0), entities, former).count() == 0 and M.mentions(df, entities.limit(0), former, automaton_bytes=most).count() == 0
+
+
+def test_fused_and_vector_paths(spark, corpus):
+    """With both rankings: 0.3 of the lexical and 0.7 of the cosine score, each over its best; the total counts all filtered rows."""
+    import math
+
+    v = {f"m{k}": [math.cos(k), math.sin(k)] for k in range(0, 8, 2)}
+    vectors = spark.createDataFrame([(i, "new", 1, x) for i, x in v.items()], "id string, model string, revision int, vector array<double>")
+    page, n = S.search(corpus, S.Ask(sid="S1", lexical="apple project", vector=(1.0, 0.0), model="new", limit=3, skip_media=False), vectors=vectors)
+    assert n == 8
+    lex = {f"m{k}": 5 * ("apple" in x.lower()) + 7 * ("project" in x) for k, x in enumerate(TEXTS)}
+    cos = {i: max(v[i][0], 0) if i in v else 0 for i in lex}
+    fused = {i: round(0.3 * lex[i] / 12 + 0.7 * cos[i] / max(cos.values()), 6) for i in lex}
+    want = sorted(fused, key=lambda i: (-fused[i], -int(i[1:])))[:3]
+    got = page.orderBy("place").collect()
+    assert {r.id: r.score for r in got} == {i: fused[i] for i in want}
+    page, n = S.search(corpus, S.Ask(sid="S1", vector=(0.0, 1.0), model="new", limit=2), vectors=vectors)
+    assert n == 8 and [r.id for r in page.orderBy("place").collect()] == ["m2", "m0"]
