@@ -77,7 +77,8 @@ class TextIndex:
     def merge(self, rows: DataFrame, text: str = "text") -> None:
         """All segments as one, without pairs that the present texts of ``rows`` no longer have."""
         ids = rows.where("id IS NOT NULL").select("id", F.array_distinct(F.split(X.search_body(F.col(text)), " ")).alias("grams"))
-        live = self.postings().select("gram", "id").distinct().join(ids, "id").where(F.array_contains("grams", F.col("gram"))).select("gram", "id")
+        had = self.postings().groupBy("id").agg(F.collect_set("gram").alias("had"))  # a row of two arrays each, not one a posting
+        live = had.join(ids, "id").select("id", F.explode(F.array_intersect("had", "grams")).alias("gram"))
         old, segment = self.segments, self._write(live, f"segment-{self.version}")
         self._save([segment], self.seen)
         for s in old:

@@ -64,16 +64,21 @@ def stored_messages(spark, d):
     return rows.select("conv_id", "turn", F.when((F.col("turn") % 2 == 0) | (F.col("stored") != F.trim("raw")), F.col("stored")).alias("stored"))
 
 
+def _after(index: TextIndex) -> float:
+    """A time of change that the index hasn't seen, whatever times the table holds."""
+    return (index.seen or 0.0) + 1
+
+
 def _indexed(spark, d) -> tuple[TextIndex, DataFrame]:
     """An index of three fifths of the records, upkept by a later batch; some rows then change, go or are too new for it."""
     rows = records(spark, d).select("id", F.col("start").alias("updated"), F.col("content").alias("text"), "active", "end", F.col("position").alias("n"))
     index = TextIndex(spark, scratch(spark, "textindex"), buckets=32)
     old = rows.where("n % 5 < 3").withColumn("text", F.when(F.col("n") % 4 == 1, F.lit("an old text")).otherwise(F.col("text")))
     index.add(old)
-    late = lambda c: F.when(c, F.col("updated") + 1e9).otherwise(F.col("updated"))
+    late = lambda c: F.when(c, _after(index)).otherwise(F.col("updated"))
     rows = rows.withColumn("updated", late((F.col("n") % 5 >= 3) | (F.col("n") % 4 == 1))).where("n % 11 <> 10")
     index.add(rows.where("n % 5 <> 4"))
-    return index, rows.withColumn("updated", F.when(F.col("n") % 5 == 4, 3e9).otherwise(F.col("updated")))
+    return index, rows.withColumn("updated", late(F.col("n") % 5 == 4))
 
 
 PHRASE = "the ation onst"
@@ -160,9 +165,10 @@ def search_lexical_page(spark, d):
 @q(f"{LEXICAL} SELECT id, CAST(place AS INT) AS place, CAST(score AS DOUBLE) AS score, (SELECT count(*) FROM m) AS total FROM p WHERE place BETWEEN 0 AND 11 AND category <> 'tool' AND regexp_matches(content, '[0-9A-Za-z]')")
 def search_indexed_page(spark, d):
     """As above by the kept index, with rows that it has not seen yet."""
-    rows = records(spark, d).withColumn("updated", F.when(F.col("position") % 5 == 4, 3e9).otherwise(F.col("start")))
+    rows = records(spark, d).withColumn("updated", F.col("start"))
     index = TextIndex(spark, scratch(spark, "textindex"), buckets=16)
     index.add(rows.where("position % 5 <> 4").select("id", "updated", "content"), "content")
+    rows = rows.withColumn("updated", F.when(F.col("position") % 5 == 4, _after(index)).otherwise(F.col("start")))
     return _page(spark, d, ASK, index, rows)
 
 
