@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quernlake.plans import messages, registry
+from quernlake.streaming import sessions
 
 from .test_registry import SF, norm
 
@@ -35,3 +37,59 @@ def far(tmp_path_factory):
 def test_index_with_late_times(spark, far, name):
     assert name in messages.__dict__
     _same(spark, far, name)
+
+
+class _Handle:
+    """State and timers of one key, with a count of reads of the list."""
+
+    def __init__(self):
+        self.values, self.timers, self.reads = {}, set(), 0
+
+    def __call__(self, name):
+        handle = self
+
+        class State:
+            def exists(self):
+                return name in handle.values
+
+            def get(self):
+                handle.reads += name == "held"
+                return handle.values[name]
+
+            def put(self, x):
+                handle.values[name] = x
+
+            update = put
+
+            def appendList(self, x):
+                handle.values[name] = handle.values.get(name, []) + x
+
+            def clear(self):
+                handle.values.pop(name, None)
+
+        return State()
+
+    getListState = getValueState = lambda self, name, schema: self(name)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class _At:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_a_round_reads_what_it_holds_once_a_batch():
+    rounds, h, out = sessions._Rounds(5.0), _Handle(), []
+    rounds.init(h)
+    for b in range(3):
+        list(rounds.handleInputRows(("s",), iter([pd.DataFrame({"at": [b * 1000.0 + k for k in range(1000)], "id": [f"{b}-{k:04}" for k in range(1000)], "role": ["user", "assistant"] * 500})]), _At(0)))
+        now = (b * 1000 + 939) * 1000
+        for at in sorted(x for x in h.timers if x <= now):
+            h.timers.discard(at)
+            out += [r for d in rounds.handleExpiredTimer(("s",), _At(now), None) for r in d.itertuples(index=False)]
+    assert h.reads <= 9 and sum(r[4] for r in out) == 2938 and {r[4] for r in out} == {2}
