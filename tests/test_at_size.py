@@ -1,11 +1,13 @@
 """What goes wrong only on larger tables: keys far from zero, many rows of one session, many rows of one group."""
 
 import os
+import random
 
 import duckdb
 import pandas as pd
 import pytest
 
+from quernlake.operators import records as R
 from quernlake.plans import messages, registry
 from quernlake.streaming import sessions
 
@@ -93,3 +95,16 @@ def test_a_round_reads_what_it_holds_once_a_batch():
             h.timers.discard(at)
             out += [r for d in rounds.handleExpiredTimer(("s",), _At(now), None) for r in d.itertuples(index=False)]
     assert h.reads <= 9 and sum(r[4] for r in out) == 2938 and {r[4] for r in out} == {2}
+
+
+def test_folding_meets_no_pairs(spark):
+    r, top = random.Random(1), float("inf")
+    spans = [(f"r{k}", r.choice(["a", "a", "b", None]), r.choice([0, 0, 1, 2, 5, None]), r.choice([0.0, 10.0, 86400.0, 2e5, 9e5, -1e5, float("nan"), top, None]), r.choice([5.0, 20.0, 3e5, 1e6, float("nan"), None]), r.randrange(2), int(r.random() < 0.1)) for k in range(400)]
+    df = spark.createDataFrame(spans, "id string, sid string, level int, start double, end double, active int, deleted int")
+    rows = df.where("id not like '%7'")
+    df.createOrReplaceTempView("every"), rows.createOrReplaceTempView("some")
+    want = spark.sql("SELECT id FROM some a WHERE active = 0 AND deleted = 0 AND EXISTS (SELECT 1 FROM some b WHERE b.active = 1 AND b.deleted = 0 AND a.sid = b.sid AND b.level > a.level AND b.start <= a.start AND b.end >= a.end)")
+    found = R.folded(rows, df)
+    assert sorted(found.collect()) == sorted(want.collect()) and found.count() > 20
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join LeftSemi" in line and "<=" in line]
