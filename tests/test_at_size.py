@@ -6,7 +6,10 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from quernlake.functions import exprs as X
+from quernlake.operators import facts, similar
 from quernlake.operators import records as R
 from quernlake.plans import messages, registry
 from quernlake.streaming import sessions
@@ -108,3 +111,39 @@ def test_folding_meets_no_pairs(spark):
     assert sorted(found.collect()) == sorted(want.collect()) and found.count() > 20
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join LeftSemi" in line and "<=" in line]
+
+
+def test_alike_sets_in_blocks(spark, monkeypatch):
+    """Blocks of a few rows, so that pairs meet within and across them; CJK, single characters, nulls, copies."""
+    monkeypatch.setattr(similar, "BLOCK", 16), monkeypatch.setattr(similar, "STRIP", 5), monkeypatch.setattr(similar, "HEAVY", 60), monkeypatch.setattr(similar, "PAGE", 7)
+    r = random.Random(4)
+    texts = ["".join(r.choices("ab猫喜😀c", k=r.randrange(9))) for _ in range(150)] + ["same text"] * 30 + ["a", "a", "\U0001f600", None, "a\0"]
+    rows = [(f"k{k}", x, r.choice(["s", "t", None]), r.choice(["u", "v", None])) for k, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, content string, subject string, category string")
+    sets = {i: (set(g), s, c) for i, g, s, c in df.where("content IS NOT NULL").select("id", X.bigrams(F.col("content")), "subject", "category").collect()}
+
+    def want(own, across, group, overlap):
+        out = []
+        for a, (x, s, c) in sets.items():
+            for b, (y, t, d) in sets.items():
+                if a < b and x and y and len(x & y) >= overlap and group(s, t):
+                    share = round(len(x & y) / min(len(x), len(y)), 6)
+                    if share >= (own if c == d is not None else across):
+                        out.append((a, b, share))
+        return sorted(out)
+
+    equal = lambda s, t: s == t is not None
+    assert sorted(map(tuple, similar.category_pairs(df, "id", "content", "subject", "category", 0.6, 0.75, min_overlap=2).collect())) == want(0.6, 0.75, equal, 2)
+    assert sorted(map(tuple, similar.category_pairs(df, "id", "content", "subject", "category", 0.6, min_overlap=2).collect())) == want(0.6, 9, equal, 2)
+    assert sorted(map(tuple, similar.session_pairs(df, "id", "content", "category", 0.7, 0.9, 2).collect())) == want(0.7, 0.9, lambda s, t: True, 2)
+    pairs = want(0.8, 0.8, equal, 1)
+    assert sorted(map(tuple, similar.similar_pairs(df, "id", "content", "subject", 0.8, 1).collect())) == pairs
+    assert {r.id for r in similar.similar_ids(df, "id", "content", ["subject"], 0.8, 1).collect()} == {i for p in pairs for i in p[:2]}
+
+
+def test_a_common_group_writes_no_pairs(spark):
+    """Copies of one text and texts of common pairs: what the queue sends follows the rows."""
+    df = spark.range(3000).selectExpr("concat('f', id) AS id", "'s' AS sid", "'q' AS subject", "'event' AS category", "'the same words again' AS content", "0 AS deleted", "0 AS merge_pending")
+    assert facts.near_ids(df, 0.9).count() == 3000
+    plan = facts.near_ids(df, 0.9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(grams" not in plan
