@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from sys import intern
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ BLAMED, GUILTY, INNOCENT, BENT, HARD = 8, 1500, 6000, 400, 2000  # words: of a t
 SHORT, PAIR = 4, 1.4  # letters of words that may be parts of one; how much more guilty the whole must look
 MARGIN = 0.1  # where between the clean texts and the toxic ones the border lies; low, for words with letters put in
 SIZE = LETTERS**4  # numbers of letter quadruples
+STRIP, MANY = 250, 20_000  # words taken at once: against the landmarks, and for their values
 SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")  # letters spaced out
 AGAIN = re.compile(r"([^\n]{2,6}?)\1+")
 LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -104,16 +106,16 @@ class Landmarks:
     def kernel(self, words: list[str]) -> np.ndarray:
         """k(word, landmark) for each word and landmark."""
         out = np.zeros((len(words), len(self.rows)))
-        table = np.ascontiguousarray(self.rows.T)
-        for k in range(0, len(words), 1000):
-            c, starts = codes(words[k : k + 1000])
+        table = np.ascontiguousarray(self.rows.T, "float32")
+        for k in range(0, len(words), STRIP):
+            c, starts = codes(words[k : k + STRIP])
             word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(c))))
             dense = np.zeros((len(starts), len(self.numbers)), "float32")
             for at, t, weight in subsequences(c, starts):
                 col = self.column[t]
                 hit = col >= 0
                 np.add.at(dense, (word[at[hit]], col[hit]), weight)
-            out[k : k + 1000] = (dense @ table.astype("float32")) / norms(c, starts)[:, None]
+            out[k : k + STRIP] = (dense @ table) / norms(c, starts)[:, None]
         return out
 
 
@@ -135,6 +137,8 @@ class Machine:
     def words(self, words: list[str]) -> list[float]:
         if not words:
             return []
+        if len(words) > MANY:
+            return [v for k in range(0, len(words), MANY) for v in self.words(words[k : k + MANY])]
         if self._table is None:
             self._table = np.zeros(SIZE, "float32")
             self._table[self.numbers] = self.values
@@ -215,7 +219,8 @@ def learn(rows: list[tuple[str, int]], landmarks: int = 256, seed: int = 5, roun
     with gaps and inserted characters, and on the other texts' words, the most guilty looking included.
     """
     rng = np.random.default_rng(seed)
-    toxic, clean = [sorted(set(units(t))) for t, y in rows if y], [sorted(set(units(t))) for t, y in rows if not y]
+    once = lambda t: sorted({intern(w) for w in units(t)})  # noqa: E731  a word is kept once, however many texts have it
+    toxic, clean = [once(t) for t, y in rows if y], [once(t) for t, y in rows if not y]
     if not toxic or not clean:
         p = (len(toxic) + 0.5) / (len(toxic) + len(clean) + 1)
         return constant(p)
@@ -253,6 +258,7 @@ def learn(rows: list[tuple[str, int]], landmarks: int = 256, seed: int = 5, roun
         weight = np.where(y > 0, share / share[y > 0].sum(), 2 * share / (y < 0).sum()) * 2000
         w, offset = _svm(z, y, weight)
         machine = Machine(lm.numbers, lm.rows.T @ (root @ w), offset, (1.0, 0.0))
+        del lm, z
         value = np.array(machine.words(innocent))
         hard = sorted({innocent[k] for k in np.argsort(-value)[:HARD]})
         rated = [sorted(zip(machine.words(ws), ws), reverse=True) for ws in toxic]

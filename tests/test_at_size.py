@@ -2,13 +2,16 @@
 
 import os
 import random
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quernlake.functions import exprs as X
+from quernlake.llm import toxicity
 from quernlake.operators import facts, similar
 from quernlake.operators import records as R
 from quernlake.plans import messages, registry
@@ -147,3 +150,17 @@ def test_a_common_group_writes_no_pairs(spark):
     assert facts.near_ids(df, 0.9).count() == 3000
     plan = facts.near_ids(df, 0.9)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode(grams" not in plan
+
+
+def test_values_of_many_words_in_bounded_memory():
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefghij", k=8)) for _ in range(80_000)]
+    machine = toxicity.Machine(np.arange(1000, 9000), np.linspace(-1, 1, 8000), 0.1, (1.0, 0.0))
+    machine.words(words[:1])
+    peaks = []
+    for n in (20_000, 80_000):
+        tracemalloc.start()
+        got = machine.words(words[:n])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0] and got[-3:] == machine.words(words[-3:])
