@@ -100,3 +100,34 @@ def test_descent_carries_recall_and_searches_visit_few(spark, tmp_path):
     recall, visits = np.mean([len(a & b) / 20 for a, b in zip(got, best)]), np.mean([r.visits for r in found.values()])
     print("recall by round", np.round(recalls, 3), "of searches", round(recall, 3), "vectors compared", round(visits))
     assert recall >= 0.9 and visits < 0.1 * len(x)
+
+
+def test_links_go_between_buckets_packed(spark, monkeypatch):
+    """What buckets offer each other is a row for each two of them, not one for each node; the graph is that of one bucket."""
+    x = np.random.default_rng(7).normal(size=(2000, 16))
+    nodes = spark.createDataFrame([(3 * k - 50, v.tolist()) for k, v in enumerate(x)], "node long, vec array<double>")
+    placed = N.place(nodes, len(x), 1.0, 16).withColumn("norm", F.lit(1.0).cast("float"))
+    graphs, merged = [], N._merged
+    for n in (1, 12):
+        made = []
+        monkeypatch.setattr(N, "_buckets", lambda count, most: n)
+        monkeypatch.setattr(N, "_merged", lambda graph, links, k: made.append(links.count()) or merged(graph, links, k))
+        for graph, _ in N.descent(placed, len(x)):
+            pass
+        assert len(made) > 2 and made[0] <= N.TREES * n * n and all(0 < m <= n * n for m in made[1:])
+        graphs.append({r.node: (set(r.near), len(r.near)) for r in graph.collect()})
+    same = [len(near & graphs[1][node][0]) for node, (near, _) in graphs[0].items()]
+    assert len(same) == 2000 and all(len(near) == n == 21 for g in graphs for near, n in g.values()) and sum(same) > 0.999 * 21 * 2000
+
+
+def test_best_takes_each_once():
+    rng = np.random.default_rng(8)
+    row, code, sim = rng.integers(0, 30, 4000), rng.integers(0, 200, 4000), rng.normal(size=4000).astype("float32")
+    old = np.arange(4000) < 1000
+    want = {}
+    for r, c, s, o in zip(row, code, sim, old):
+        want.setdefault(int(r), {}).setdefault(int(c), (-s, bool(o)))  # the first one stands, those there before come first
+    at = N._best(row, code, sim, old, 7)
+    for r in range(30):
+        mine = at[row[at] == r]
+        assert [(int(code[k]), -sim[k]) for k in mine] == [(c, s) for c, (s, _) in sorted(want[r].items(), key=lambda x: x[1][0])[:7]]
