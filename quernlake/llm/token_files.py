@@ -24,6 +24,7 @@ from ._common import Memo, drop, kept, scratch, store, table, texts
 RANGE_ROWS = 4096  # documents of a range of doc_id, which one task sorts and writes
 MOST_RANGES = 10_000  # ranges at most; beyond, a task writes more files
 SLICE = 3000  # documents whose words are looked up at once
+AT_ONCE = 4096  # units that the library encodes at once
 FILE_TOKENS, FILE_DOCS = 1 << 22, 1 << 18  # a file ends once it holds so many
 SAMPLE = 512  # every so many ones' places are kept for select
 MAGIC = b"QTOKENS1"
@@ -158,15 +159,18 @@ class ByteTokens:
     def _encode(self, units: list[str]) -> list[bytes]:
         """Units without white space but for a first blank go in one text, a line end between, whose id stands alone."""
         plain = [u for u in units if u.split() == [u.removeprefix(" ")]]
-        (raw,) = self._bytes(["\n".join(plain)])
-        ends = [*(self.width * np.flatnonzero(np.frombuffer(raw, f"<u{self.width}") == np.frombuffer(self.line, f"<u{self.width}")[0])).tolist(), len(raw)] if plain else []
-        found, at = {}, 0
-        for u, end in zip(plain, ends, strict=True):
-            found[u] = raw[at:end]
-            at = end + self.width
+        found = {}
+        for k in range(0, len(plain), AT_ONCE):  # the library's encodings take far more memory than the ids
+            part = plain[k : k + AT_ONCE]
+            (raw,) = self._bytes(["\n".join(part)])
+            ends, at = [*(self.width * np.flatnonzero(np.frombuffer(raw, f"<u{self.width}") == np.frombuffer(self.line, f"<u{self.width}")[0])).tolist(), len(raw)], 0
+            for u, end in zip(part, ends, strict=True):
+                found[u] = raw[at:end]
+                at = end + self.width
         if len(plain) < len(units):
             rest = [u for u in units if u not in found]
-            found |= dict(zip(rest, self._bytes(rest), strict=True))
+            for k in range(0, len(rest), AT_ONCE):
+                found |= dict(zip(rest[k : k + AT_ONCE], self._bytes(rest[k : k + AT_ONCE]), strict=True))
         return [found[u] for u in units]
 
     def parts(self, parts: list[str]) -> list[bytes]:
@@ -198,11 +202,14 @@ class ByteTokens:
         first, again = np.unique(heads, return_inverse=True)
         codes = codes.copy()
         codes[ends[:-1]] = len(distinct) + again
-        ids = self.parts([w if w[:1] == "\n" else " " + w for w in distinct] + [distinct[k] for k in first.tolist()])
+        ids = []
+        for part in (distinct[k : k + 8 * AT_ONCE] for k in range(0, len(distinct), 8 * AT_ONCE)):
+            ids += self.parts([w if w[:1] == "\n" else " " + w for w in part])
+        ids += self.parts([distinct[k] for k in first.tolist()])
         sizes = np.fromiter(map(len, ids), "int64", len(ids)) // self.width
         flat, starts = np.frombuffer(b"".join(ids), f"<u{self.width}"), np.append(0, np.cumsum(sizes)[:-1])
-        count = sizes[codes]
-        before = np.append(0, np.cumsum(count))
+        count = sizes[codes].astype("int32")
+        before = np.append(0, np.cumsum(count, dtype="int64"))
         for a in range(0, len(ends) - 1, 256):
             z = min(a + 256, len(ends) - 1)
             part = slice(ends[a], ends[z])

@@ -109,3 +109,15 @@ def test_random_access_through_files(spark):
         at = part.find(123)
         if at is not None:
             assert part.document(at).tolist() == lib.encode("text 123", add_special_tokens=False).ids + [0]
+
+
+def test_few_units_go_to_the_library_at_once(monkeypatch):
+    """Its encodings are large, so that all new words of a batch at once would take hundreds of MB of a worker."""
+    monkeypatch.setattr(t, "AT_ONCE", 50)
+    tokens, r = t.ByteTokens(PATH), random.Random(9)
+    texts = [" ".join(f"{r.choice(['w', 'É', '中', '(', 'a!b'])}{r.randrange(10**6)}{r.choice(['', '.', '  x', chr(10)])}" for _ in range(60)) for _ in range(40)]
+    sizes, encode = [], tokens._bytes
+    monkeypatch.setattr(tokens, "_bytes", lambda units: sizes.append(sum(u.count("\n") + 1 for u in units)) or encode(units))
+    want = [e.ids for e in tokens.lib.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in tokens.many(pa.array(texts, pa.string()))] == want
+    assert len(sizes) > 40 and max(sizes) <= 100
