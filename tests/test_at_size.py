@@ -7,6 +7,7 @@ import tracemalloc
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,71 @@ def test_alike_sets_in_blocks(spark, monkeypatch):
     assert {r.id for r in similar.similar_ids(df, "id", "content", ["subject"], 0.8, 1).collect()} == {i for p in pairs for i in p[:2]}
 
 
+def test_a_large_group_is_sent_a_few_times(spark, monkeypatch):
+    """What one group of all pairs shuffles follows its rows."""
+
+    def received(*_):
+        def run(_, batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("id")], ["id"])
+
+        return run
+
+    monkeypatch.setattr(similar, "_met", received)
+    sets = spark.range(140_000).selectExpr("id", "'' AS of", "'t' AS tag", "array('ab') AS grams")
+    assert similar._close(sets, 0.9, 0.9, 1, ids_only=True).count() <= 12 * 140_000
+
+
+def test_share_and_least_need():
+    least = np.repeat(np.arange(1, 300), 300)
+    both = np.minimum(np.tile(np.arange(300), 299), least)
+    exact = duckdb.from_arrow(pa.table({"k": both, "m": least})).project("round(k / m, 6) AS s").fetchnumpy()["s"]
+    assert (similar._share(both, least) == exact).all()
+    for t in (0.1, 0.6, 0.666667, 0.75, 0.85, 1.0):
+        need = similar._needed(t, 4, 299)
+        assert ((both >= need[least]) == ((exact >= t) & (both >= 4))).all()
+    assert (similar._needed(9.0, 1, 299)[1:] == np.arange(2, 301)).all()
+
+
+@pytest.mark.parametrize("longest", [40, 700, 5000])
+@pytest.mark.parametrize("bound", [False, True])
+def test_counts_of_three_rows_in_one_number(monkeypatch, longest, bound):
+    """Rectangles of a few rows, of one block and of two, sets of up to 254, 4094 and more members, copies, rare members."""
+    for name, x in {"STRIP": 5, "WIDE": 16, "RARE": 20, "HEAVY": 400, "FIRST": 6, "SHARED": 4}.items():
+        monkeypatch.setattr(similar, name, x)
+    r = np.random.default_rng(3)
+    words = np.minimum(longest - 1, (longest * r.random((120, longest)) ** 3).astype(int))
+    sets = [np.unique(w[: r.integers(1, longest)]) for w in words]
+    sets[40:50] = [np.arange(longest)] * 10
+    tags = np.sort(r.integers(-1, 3, 70)), np.sort(r.integers(-1, 3, 50))
+
+    def side(some, tag):
+        return similar._Side(np.concatenate(some), np.array([len(x) for x in some]), tag)
+
+    a, b = side(sets[:70], tags[0]), side(sets[70:], tags[1])
+    own, across = (0.8, 0.95) if bound else (0.6, 0.75)
+    for x, y, u, v in ((a, b, (sets[:70], tags[0]), (sets[70:], tags[1])), (a, a, (sets[:70], tags[0]), (sets[:70], tags[0]))):
+        want = {}
+        for i, (s, t) in enumerate(zip(*u)):
+            for j, (z, w) in enumerate(zip(*v)):
+                k = len(np.intersect1d(s, z))
+                if (x is not y or i < j) and k >= 2 and similar._share(k, min(len(s), len(z))) >= (own if t == w >= 0 else across):
+                    want[i, j] = k
+        got = {}
+        for k, c, counts, good in similar._alike(x, y, own, across, 2, bound):
+            at = good if good.ndim == 1 else np.flatnonzero(good)
+            got |= {(k + p // counts.shape[1], c + p % counts.shape[1]): int(counts.reshape(-1)[p]) for p in at.tolist()}
+        assert got == want and len(want) > 40 and (good.ndim == 1) == bound
+
+
+def test_pairs_leave_their_task_with_their_likeness(spark):
+    """Pairs may be a share of all pairs: no number of theirs is rounded one by one."""
+    df = spark.createDataFrame([("a", "same words", "s", "c"), ("b", "same word", "s", "c")], "id string, content string, subject string, category string")
+    found = similar.category_pairs(df, "id", "content", "subject", "category", 0.6, 0.75)
+    assert [tuple(r) for r in found.collect()] == [("a", "b", 1.0)]
+    assert "round(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_common_group_writes_no_pairs(spark):
     """Copies of one text and texts of common pairs: what the queue sends follows the rows."""
     df = spark.range(3000).selectExpr("concat('f', id) AS id", "'s' AS sid", "'q' AS subject", "'event' AS category", "'the same words again' AS content", "0 AS deleted", "0 AS merge_pending")
